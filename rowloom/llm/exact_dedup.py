@@ -40,15 +40,18 @@ class DigestIndex:
         self.spark, self.memtables = spark, memtables
         self.path, self.levels = common.new_path(spark, "lsm"), 0
 
-    def flush(self, log: DataFrame) -> None:
-        """Each memtable is a slice of the log; its rows meet by digest before they are written."""
+    def flush(self, log: DataFrame, total: int) -> None:
+        """Each memtable is a slice of the log; its rows meet by digest before they are written. Files' Bloom filters are sized by their share of the rows."""
+        files = self.memtables * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         run = F.pmod(F.xxhash64("uid"), F.lit(self.memtables)).cast("int")
         level = f"{self.path}/level={self.levels}"
         (
             log.groupBy(run.alias("run"), "digest")
             .agg(F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("n"))
             .sortWithinPartitions("run", "digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true").partitionBy("run").parquet(level)
+            .write.option("parquet.bloom.filter.enabled#digest", "true")
+            .option("parquet.bloom.filter.expected.ndv#digest", str(max(100, 2 * total // files)))
+            .partitionBy("run").parquet(level)
         )
         bit = F.pmod("digest", F.lit(FILTER_BITS))
         (
@@ -99,7 +102,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     total = log.count()
     index = DigestIndex(spark, memtables)
-    index.flush(log)
+    index.flush(log, total)
     groups = index.compact()
     hits = groups.where("n > 1")
     n_hits = hits.count()
