@@ -27,7 +27,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is at most so many times its source's size.
 MOST_TIMES = 3
 #: Documents of one group of the first level, and groups that meet in the next.
-GROUP_ROWS, FAN_IN = 20_000, 4_000
+GROUP_ROWS, FAN_IN = 2_000, 1_000
 EPS = 1e-9
 
 

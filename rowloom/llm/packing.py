@@ -13,7 +13,9 @@ documents longer than a sequence are cut. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -28,10 +30,12 @@ from . import common
 SEQUENCE = 2048
 END_ID = 0
 #: Encoded words that a worker keeps; beyond, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Rows of one slice in which ranks are counted.
 SLICE_ROWS = 100_000
 
+#: Letters whose class is the same for every engine, and marks that are no letters, digits, blanks or apostrophes.
+_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:%&*#$|)\"]+)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -61,20 +65,38 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], known: dict[str, bytes | None], before: str) -> None:
-        new = list({w for w in words if w not in known})
-        plain = [w for w in new if w and w.strip() == w]
-        known.update(dict.fromkeys(new))
-        for w, e in zip(plain, self.tok.encode_batch_fast([before + w for w in plain], add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
+    @staticmethod
+    def parts(word: str) -> list[str] | None:
+        """Where the pre-tokenizer always cuts: at a single line feed, and between letters and the punctuation after them. None: not plain."""
+        out: list[str] = []
+        for k, line in enumerate(word.split("\n")):
+            if not line or line.strip() != line:
+                return None
+            m = _WORD_AND_MARKS.fullmatch(line)
+            out += ["\n"] * (k > 0) + ([m[1], m[2]] if m else [line])
+        return out
+
+    def _learn(self, new: set[str], known: dict[str, bytes | None], before: str) -> None:
+        """The first part of a word has `before` before it, the others nothing."""
+        cut = {w: self.parts(w) for w in new}
+        if before:
+            self._core({p[0] for p in cut.values() if p} - known.keys(), known, before)
+        self._core({x for p in cut.values() if p for x in p[bool(before) :]} - self.first.keys(), self.first, "")
+        for w, p in cut.items():
+            known[w] = None if p is None else (known if before else self.first)[p[0]] + b"".join([self.first[x] for x in p[1:]])
+
+    def _core(self, new: set[str], known: dict[str, bytes | None], before: str) -> None:
+        words = list(new)
+        for w, e in zip(words, self.tok.encode_batch_fast([before + w for w in words], add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.later) > CACHE_WORDS:
             self.first.clear()
             self.later.clear()
         split = [t.split(" ") for t in texts]
-        self._learn([w[0] for w in split], self.first, "")
-        self._learn([x for w in split for x in w[1:]], self.later, " ")
+        self._learn({w[0] for w in split}.difference(self.first), self.first, "")
+        self._learn({x for w in split for x in w[1:]}.difference(self.later), self.later, " ")
         out = []
         for t, w in zip(texts, split, strict=True):
             try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, simhash_dedup
+from . import chroma, ctw, exact_dedup, language_id, licenses, mixing, packing, pii, simhash_dedup, toxicity
 from .common import documents
 
 
@@ -13,6 +13,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op2_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.lm_scores(documents(spark, sf_dir))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -25,15 +33,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.match(chroma.recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_ctw_scores": op2_ctw_scores,
+    "op3_personal_data": op3_personal_data,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_chroma_fingerprints": op7_chroma_fingerprints,
+    "op8_toxicity": op8_toxicity,
+    "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
 }
 
