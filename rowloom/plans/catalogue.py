@@ -1,4 +1,824 @@
-"""Queries by name with the SQL they must equal."""
+"""Queries by name with the SQL they must equal. Each takes (spark, folder of the driver's tables)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as fx
+from ..functions.columns import r6
+from ..operators import categories as cat
+from ..operators import estimators, evaluate, hvg, ontology, sampling, stats, tokens
+from ..operators import transforms as tr
+from ..sources import shards, virtual
+from ..sources.virtual import table
+from ..streaming import running
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_CELLS = "cells AS (SELECT o_orderkey AS cell_id, o_orderpriority AS batch, o_orderstatus AS assay, c_mktsegment AS cell_type, n_name AS tissue, o_totalprice AS library FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+_GENES = "genes AS (SELECT s_suppkey AS gene_id, s_name AS var_name, s_acctbal AS scale FROM supplier)"
+_MATRIX = "matrix AS (SELECT l_orderkey AS cell_id, l_suppkey AS gene_id, SUM(l_quantity) AS x FROM lineitem GROUP BY 1, 2)"
+_NORM = "norm AS (SELECT cell_id, gene_id, ln(1 + x * 10000.0 / (SUM(x) OVER (PARTITION BY cell_id) + 1e-6)) AS x FROM matrix)"
+_EDGES = "edges AS (SELECT 'ALL' AS parent, r_name AS child FROM region UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+_CLO = "walk AS (SELECT DISTINCT t AS ancestor, t AS descendant, 0 AS dist FROM (SELECT parent AS t FROM edges UNION ALL SELECT child FROM edges) UNION ALL SELECT ancestor, child, dist + 1 FROM walk JOIN edges ON descendant = parent), clo AS (SELECT ancestor, descendant, MIN(dist) AS dist FROM walk GROUP BY 1, 2)"
+_ONEPASS = "n AS (SELECT COUNT(*) AS n FROM cells), onepass AS (SELECT gene_id, n, SUM(x) / n AS mean, SUM(x * x) / n - (SUM(x) / n) * (SUM(x) / n) AS var FROM {m}, n GROUP BY gene_id, n)"
+#: The cells that queries over cells x genes keep.
+SOME_CELLS, SOME_GENES = "cell_id <= 800", 20
+
+
+def query(sql: str | None = None, **parts):
+    """Register a query; `sql` gets the common table expressions that it names."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {select}"
+
+
+def _norm(spark: SparkSession, d: str) -> DataFrame:
+    return tr.log1p(tr.normalize_total(virtual.matrix(spark, d)))
+
+
+def _moments(spark: SparkSession, d: str) -> DataFrame:
+    return stats.onepass(_norm(spark, d), virtual.cells(spark, d)).select("gene_id", "mean", "var")
+
+
+# statistics ---------------------------------------------------------------------------------------
+
+
+@query(_with(_CELLS, _MATRIX, _NORM, _ONEPASS.format(m="norm"), select="SELECT gene_id, n, round(mean, 6) AS mean, round(var, 6) AS var, round(sqrt(greatest(var, 0)), 6) AS std FROM onepass"))
+def onepass_mean_var_std(spark, d):
+    o = stats.onepass(_norm(spark, d), virtual.cells(spark, d))
+    return o.select("gene_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"), r6(F.col("std")).alias("std"))
+
+
+@query(_with(_CELLS, _MATRIX, _ONEPASS.format(m="matrix"), select="SELECT gene_id, n, round(mean, 6) AS mean, round(var, 6) AS var FROM onepass"))
+def onepass_shifted(spark, d):
+    m, c = virtual.matrix(spark, d), virtual.cells(spark, d)
+    shift = m.groupBy("gene_id").agg(F.avg("x").alias("shift"))
+    o = stats.onepass(m, c, shift)
+    return o.select("gene_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
+
+
+@query(_with(_CELLS, _MATRIX, "b AS (SELECT batch, COUNT(*) AS n FROM cells GROUP BY 1)", select="SELECT batch, gene_id, n, round(SUM(x) / n, 6) AS mean, round(SUM(x * x) / n - (SUM(x) / n) * (SUM(x) / n), 6) AS var FROM matrix JOIN cells USING (cell_id) JOIN b USING (batch) GROUP BY batch, gene_id, n"))
+def onepass_by_batch(spark, d):
+    o = stats.onepass_by_batch(virtual.matrix(spark, d), virtual.cells(spark, d))
+    return o.select("batch", "gene_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
+
+
+@query(_with(_MATRIX, select="SELECT gene_id, round(median(x), 6) AS median FROM matrix WHERE x <> 0 GROUP BY 1"))
+def nonzero_median(spark, d):
+    return stats.nonzero_median(virtual.matrix(spark, d)).select("gene_id", r6(F.col("median")).alias("median"))
+
+
+@query()
+def nonzero_quantile_sketch(spark, d):
+    return stats.nonzero_quantile_sketch(virtual.matrix(spark, d))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(SUM(a.v * b.v), 5) AS sum_ij FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
+def covariance_gram(spark, d):
+    g = stats.gram(table(spark, d, "embeddings"))
+    return g.select("i", "j", F.round("sum_ij", 5).alias("sum_ij"))
+
+
+@query()
+def incremental_pca(spark, d):
+    fit = stats.pca(table(spark, d, "embeddings"), 5)
+    return spark.createDataFrame([(k + 1, j, float(v)) for k, c in enumerate(fit["components"]) for j, v in enumerate(c)], "pc int, dim int, loading double")
+
+
+@query()
+def pca_explained_variance(spark, d):
+    fit = stats.pca(table(spark, d, "embeddings"), 5)
+    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(fit["explained"])], "pc int, variance double")
+
+
+@query()
+def pca_embed(spark, d):
+    e = table(spark, d, "embeddings")
+    return stats.embed(e, stats.pca(e, 5), "vec_id")
+
+
+@query()
+def ppca_closed_form(spark, d):
+    fit = stats.ppca(table(spark, d, "embeddings"), 5)
+    total = float(fit["explained"].sum() + fit["rest"].sum())
+    return spark.createDataFrame([(k + 1, float(v), fit["sigma2"], float((v - fit["sigma2"]) / total)) for k, v in enumerate(fit["explained"])], "pc int, eigenvalue double, sigma2 double, share double")
+
+
+# transforms ---------------------------------------------------------------------------------------
+
+
+@query(_with(_MATRIX, select="SELECT cell_id, gene_id, round(x * 10000.0 / (SUM(x) OVER (PARTITION BY cell_id) + 1e-6), 6) AS x FROM matrix"))
+def normalize_total(spark, d):
+    return tr.normalize_total(virtual.matrix(spark, d)).select("cell_id", "gene_id", r6(F.col("x")).alias("x"))
+
+
+@query(_with(_MATRIX, select="SELECT cell_id, gene_id, round(ln(1 + x), 6) AS x FROM matrix"))
+def log1p(spark, d):
+    return tr.log1p(virtual.matrix(spark, d)).select("cell_id", "gene_id", r6(F.col("x")).alias("x"))
+
+
+_GRID = f"grid AS (SELECT cell_id, gene_id, coalesce(x, 0) AS x FROM (SELECT cell_id FROM cells WHERE {SOME_CELLS}) CROSS JOIN (SELECT gene_id FROM genes WHERE gene_id <= {SOME_GENES}) LEFT JOIN matrix USING (cell_id, gene_id))"
+
+
+def _grid(spark, d, m=None):
+    return tr.densify(virtual.matrix(spark, d) if m is None else m, virtual.cells(spark, d).where(SOME_CELLS), virtual.genes(spark, d).where(f"gene_id <= {SOME_GENES}"))
+
+
+@query(_with(_CELLS, _GENES, _MATRIX, _ONEPASS.format(m="matrix"), _GRID, select="SELECT cell_id, gene_id, round((x - mean) / (sqrt(var) + 1e-6), 6) AS x FROM grid JOIN onepass USING (gene_id)"))
+def zscore_subset(spark, d):
+    s = stats.onepass(virtual.matrix(spark, d), virtual.cells(spark, d))
+    return tr.z_score(_grid(spark, d), s).select("cell_id", "gene_id", r6(F.col("x")).alias("x"))
+
+
+@query(_with(_MATRIX, "s AS (SELECT gene_id, CASE WHEN gene_id % 7 = 0 THEN 1e6 ELSE median(x) END AS scale FROM matrix GROUP BY 1)", select="SELECT cell_id, gene_id, round(x / (scale + 1e-6), 9) AS x FROM matrix JOIN s USING (gene_id)"))
+def divide_by_scale(spark, d):
+    m = virtual.matrix(spark, d)
+    scale = stats.nonzero_median(m).select("gene_id", F.when(F.col("gene_id") % 7 != 0, F.col("median")).alias("scale"))
+    return tr.divide_by_scale(m, scale).select("cell_id", "gene_id", F.round("x", 9).alias("x"))
+
+
+@query(_with(_CELLS, _GENES, _MATRIX, _GRID, select="SELECT cell_id, gene_id, round(x - AVG(x) OVER (PARTITION BY cell_id), 6) AS x FROM grid"))
+def center_per_cell(spark, d):
+    return tr.center_per_cell(_grid(spark, d)).select("cell_id", "gene_id", r6(F.col("x")).alias("x"))
+
+
+@query(_with(_CELLS, _GENES, _MATRIX, "p AS (SELECT cell_id, gene_id, ln(1 + x / (SUM(x) OVER (PARTITION BY cell_id) + 1e-6)) AS x FROM matrix)", _GRID.replace("LEFT JOIN matrix", "LEFT JOIN p"), select="SELECT cell_id, gene_id, round(x - AVG(x) OVER (PARTITION BY cell_id), 6) AS x FROM grid"))
+def pflogpf(spark, d):
+    c, g = virtual.cells(spark, d).where(SOME_CELLS), virtual.genes(spark, d).where(f"gene_id <= {SOME_GENES}")
+    return tr.pflogpf(virtual.matrix(spark, d), c, g).select("cell_id", "gene_id", r6(F.col("x")).alias("x"))
+
+
+_WANTED = ["Supplier#000000005", "Supplier#000000002", "Supplier#000000009"]
+
+
+def _wanted(spark, d):
+    names = [r[0] for r in virtual.genes(spark, d).where("gene_id in (9, 2, 5)").orderBy(F.desc("gene_id")).select("var_name").collect()]
+    return names
+
+
+@query(_with(_MATRIX, _GENES, select="SELECT cell_id, CASE gene_id WHEN 9 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS pos, var_name, x FROM matrix JOIN genes USING (gene_id) WHERE gene_id IN (9, 2, 5)"))
+def filter_ordered(spark, d):
+    return tr.filter_genes(virtual.matrix(spark, d), virtual.genes(spark, d), _wanted(spark, d))
+
+
+@query(_with(_MATRIX, _GENES, select="SELECT cell_id, CASE gene_id WHEN 2 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS pos, var_name, x FROM matrix JOIN genes USING (gene_id) WHERE gene_id IN (9, 2, 5)"))
+def filter_unordered(spark, d):
+    return tr.filter_genes(virtual.matrix(spark, d), virtual.genes(spark, d), [*_wanted(spark, d), "no such gene"], ordering=False)
+
+
+@query(_with(_CELLS, _MATRIX, _GENES, select="SELECT cell_id, CASE gene_id WHEN 9 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS pos, var_name, x FROM matrix JOIN genes USING (gene_id) WHERE gene_id IN (9, 2, 5) UNION ALL SELECT cell_id, 3, 'no such gene', 0.0 FROM cells"))
+def filter_allow_missing(spark, d):
+    return tr.filter_genes(virtual.matrix(spark, d), virtual.genes(spark, d), [*_wanted(spark, d), "no such gene"], allow_missing=True, cells=virtual.cells(spark, d))
+
+
+@query("SELECT v.name FROM (VALUES ('no such gene'), ('nor this')) v(name) WHERE v.name NOT IN (SELECT s_name FROM supplier)")
+def filter_missing_check(spark, d):
+    names = spark.createDataFrame([("no such gene",), ("nor this",)], "name string").unionByName(virtual.genes(spark, d).select(F.col("var_name").alias("name")).limit(3))
+    return names.join(virtual.genes(spark, d), F.col("name") == F.col("var_name"), "left_anti")
+
+
+@query(_with(_MATRIX, select="SELECT cell_id, gene_id, x, CAST(copy AS INTEGER) AS copy FROM matrix CROSS JOIN range(2) r(copy)"))
+def duplicate_rows(spark, d):
+    return tr.duplicate(virtual.matrix(spark, d))
+
+
+@query()
+def dropout_augmented(spark, d):
+    return tr.dropout(virtual.matrix(spark, d), 0.1, 0.3, 0.5, 7)
+
+
+@query()
+def binomial_resampled(spark, d):
+    return tr.binomial_resample(virtual.matrix(spark, d), 0.5, 0.9, 1.0, 7)
+
+
+@query()
+def gaussian_noise_augmented(spark, d):
+    return tr.gaussian_noise(_grid(spark, d), 0.1, 0.2, 1.0, 7)
+
+
+# categories ---------------------------------------------------------------------------------------
+
+_COLS = ("batch", "assay", "cell_type")
+_CATS = "cats AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY category) - 1 AS code FROM (SELECT DISTINCT 'batch' AS \"column\", batch AS category FROM cells UNION SELECT DISTINCT 'assay', assay FROM cells UNION SELECT DISTINCT 'cell_type', cell_type FROM cells))"
+_CODED = "coded AS (SELECT cells.*, b.code AS cb, a.code AS ca FROM cells JOIN cats b ON b.\"column\" = 'batch' AND b.category = batch JOIN cats a ON a.\"column\" = 'assay' AND a.category = assay)"
+
+
+@query(_with(_CELLS, _CATS, select='SELECT "column", category, CAST(code AS INTEGER) AS code FROM cats'))
+def category_table(spark, d):
+    return cat.categories(virtual.cells(spark, d), *_COLS)
+
+
+@query(_with(_CELLS, _CATS, _CODED, select="SELECT cell_id, CAST(cb AS INTEGER) AS batch_code FROM coded"))
+def category_codes(spark, d):
+    c = virtual.cells(spark, d)
+    return cat.add_codes(c, cat.categories(c, *_COLS), "batch").select("cell_id", "batch_code")
+
+
+@query(_with(_CELLS, _CATS, _CODED, select="SELECT cell_id, CAST(cb + ca * (SELECT COUNT(*) FROM cats WHERE \"column\" = 'batch') AS BIGINT) AS code FROM coded"))
+def product_codes(spark, d):
+    c = virtual.cells(spark, d)
+    return cat.product_code(c, cat.categories(c, *_COLS), ["batch", "assay"]).select("cell_id", F.col("code").cast("long").alias("code"))
+
+
+@query(_with(_CELLS, _CATS, select="SELECT b.category AS batch, a.category AS assay, CAST(b.code + a.code * (SELECT COUNT(*) FROM cats WHERE \"column\" = 'batch') AS BIGINT) AS code FROM cats b CROSS JOIN cats a WHERE b.\"column\" = 'batch' AND a.\"column\" = 'assay'"))
+def all_combinations(spark, d):
+    out = cat.combinations(cat.categories(virtual.cells(spark, d), *_COLS), ["batch", "assay"])
+    return out.select("batch", "assay", F.col("code").cast("long").alias("code"))
+
+
+@query(_with(_CELLS, select="SELECT batch, assay, COUNT(*) AS cell_count FROM cells GROUP BY 1, 2"))
+def observed_combinations(spark, d):
+    return virtual.cells(spark, d).groupBy("batch", "assay").agg(F.count(F.lit(1)).alias("cell_count")).orderBy(F.desc("cell_count"))
+
+
+@query(_with(_CELLS, _CATS, select="SELECT cell_id, category, CASE WHEN assay = category THEN 1 ELSE 0 END AS hot FROM cells CROSS JOIN cats WHERE \"column\" = 'assay'"))
+def one_hot(spark, d):
+    c = virtual.cells(spark, d)
+    return cat.one_hot(c, cat.categories(c, *_COLS), "assay").select("cell_id", "category", "hot")
+
+
+@query(_with(_CELLS, _CATS, select='SELECT "column", COUNT(*) AS n FROM cats GROUP BY 1'))
+def metadata_counts(spark, d):
+    return cat.categories(virtual.cells(spark, d), *_COLS).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'cells' AS what, COUNT(*) AS n FROM orders UNION ALL SELECT 'genes', COUNT(*) FROM supplier")
+def shape(spark, d):
+    n = [("cells", virtual.cells(spark, d)), ("genes", virtual.genes(spark, d))]
+    parts = [x.agg(F.lit(w).alias("what"), F.count(F.lit(1)).alias("n")) for w, x in n]
+    return parts[0].unionByName(parts[1])
+
+
+# sources ------------------------------------------------------------------------------------------
+
+
+@query(_with(_CELLS, select="SELECT DISTINCT tissue AS category, 'reference' AS side FROM cells WHERE tissue NOT IN (SELECT tissue FROM cells WHERE cell_id % 2 = 0 AND tissue <> 'CHINA' AND tissue NOT LIKE 'A%')"))
+def category_symmetric_difference(spark, d):
+    c = virtual.cells(spark, d)
+    return shards.category_difference(c, c.where("cell_id % 2 = 0 and tissue != 'CHINA' and tissue not like 'A%'"), "tissue")
+
+
+@query("SELECT k AS pos, l_orderkey AS cell_id, SUM(l_quantity) AS total FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 1)) w(k, id) JOIN lineitem ON l_orderkey = id GROUP BY 1, 2")
+def row_gather_with_duplicates(spark, d):
+    wanted = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 1)], "pos int, cell_id long")
+    return shards.gather_rows(virtual.matrix(spark, d), "cell_id", wanted).groupBy("pos", "cell_id").agg(F.sum("x").alias("total"))
+
+
+@query(_with(_MATRIX, select="SELECT out_pos, cell_id, gene_id, x FROM (VALUES (0, 4), (1, 2), (2, 1)) w(out_pos, g) JOIN matrix ON gene_id = g"))
+def column_gather(spark, d):
+    wanted = spark.createDataFrame([(0, 4), (1, 2), (2, 1)], "out_pos int, gene_id long")
+    return virtual.matrix(spark, d).join(F.broadcast(wanted), "gene_id").select("out_pos", "cell_id", "gene_id", "x")
+
+
+@query("SELECT CAST(k AS INTEGER) AS shard_id, k * 400 AS start, CASE WHEN k = 3 THEN 1300 ELSE (k + 1) * 400 END AS stop FROM range(4) r(k)")
+def limits_from_shard_size(spark, d):
+    return shards.shard_table(spark, shards.limits(4, 400, 100))
+
+
+@query("SELECT o_orderkey AS cell_id, CAST(CASE WHEN o_orderkey >= 1200 THEN 3 ELSE o_orderkey // 400 END AS INTEGER) AS shard_id FROM orders WHERE o_orderkey < 1300")
+def shard_lookup(spark, d):
+    t = shards.shard_table(spark, shards.limits(4, 400, 100))
+    return shards.lookup_shards(table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id")), "cell_id", t).select("cell_id", "shard_id")
+
+
+# splits and assignment ----------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS cell_id, CASE WHEN p < ceil(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN p < ceil(n * CAST(0.7 AS DOUBLE)) + 100 THEN 'val' ELSE 'rest' END AS part, p >= n - 50 AS is_predict FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, COUNT(*) OVER () AS n FROM orders)")
+def train_val_split(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"))
+    return sampling.split(o, "cell_id", o.count(), 0.7, 100, 50).select("cell_id", "part", "is_predict")
+
+
+@query("SELECT * FROM (VALUES (0, 80, 10), (1, 80, 20), (2, 80, 20), (3, 80, 20), (4, 80, 20), (5, 80, 20), (6, 80, 20), (7, 80, 20), (8, 100, 0)) v(k, n_train, n_val)")
+def split_sizes_table(spark, d):
+    given = [(0.8, 0.1), (0.8, 0.2), (80, 0.2), (80, 20), (80, None), (None, 20), (0.8, None), (None, 0.2), (None, None)]
+    return spark.createDataFrame([(k, *sampling.split_sizes(100, *g)) for k, g in enumerate(given)], "k int, n_train int, n_val int")
+
+
+_SHUF = "o AS (SELECT o_orderkey AS cell_id, o_orderkey // 1000 AS shard FROM orders), shuffled AS (SELECT cell_id, row_number() OVER (ORDER BY md5('5|shard|' || CAST(shard AS VARCHAR)), md5('5|row|' || CAST(cell_id AS VARCHAR))) - 1 AS pos FROM o)"
+
+
+def _shuffled(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), F.floor(F.col("o_orderkey") / 1000).alias("shard"))
+    return sampling.shard_shuffle(o, "shard", "cell_id", 3, 2)
+
+
+@query(_with(_SHUF, select="SELECT cell_id, pos FROM shuffled"))
+def shard_shuffle(spark, d):
+    return _shuffled(spark, d).select("cell_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query(_with(_SHUF, "c AS (SELECT COUNT(*) AS n FROM orders)", "s AS (SELECT cell_id, pos AS slot FROM shuffled UNION ALL SELECT cell_id, pos + n FROM shuffled, c WHERE pos + n < ceil(n / 7.0) * 7)", select="SELECT cell_id, CAST(slot AS BIGINT) AS slot, CAST(slot % 7 AS BIGINT) AS replica, CAST((slot // 7) // 64 AS BIGINT) AS batch, CAST(((slot // 7) // 64) % 3 AS BIGINT) AS worker FROM s"))
+def same_order_assignment(spark, d):
+    s = _shuffled(spark, d)
+    n = s.count()
+    out = sampling.same_order(sampling.even_positions(s, n, 7, False), n, 7, 64, 3)
+    return out.select("cell_id", *[F.col(c).cast("long").alias(c) for c in ("slot", "replica", "batch", "worker")])
+
+
+@query(_with(_SHUF, "c AS (SELECT COUNT(*) // 7 AS per FROM orders)", "s AS (SELECT cell_id, pos AS slot, per, (per + 63) // 64 AS batches, (pos % per) // 64 AS batch FROM shuffled, c WHERE pos < per * 7)", "w AS (SELECT *, (batches + 2) // 3 AS each FROM s)", select="SELECT cell_id, CAST(slot // per AS BIGINT) AS replica, CAST(batch AS BIGINT) AS batch, CAST(batch // each AS BIGINT) AS worker, CAST((batch % each) * 3 + batch // each AS BIGINT) AS turn FROM w"))
+def cache_efficient_assignment(spark, d):
+    s = _shuffled(spark, d)
+    n = s.count()
+    out = sampling.cache_efficient(sampling.even_positions(s, n, 7, True), n, 7, 64, 3, True)
+    return out.select("cell_id", *[F.col(c).cast("long").alias(c) for c in ("replica", "batch", "worker", "turn")])
+
+
+@query(_with(_SHUF, select="SELECT cell_id, CAST(pos // 64 AS BIGINT) AS batch FROM shuffled, (SELECT COUNT(*) AS n FROM orders) WHERE pos < (n // 64) * 64"))
+def drop_incomplete_batches(spark, d):
+    s = _shuffled(spark, d)
+    n = s.count()
+    return sampling.drop_incomplete(sampling.same_order(sampling.even_positions(s, n, 1, False), n, 1, 64, 1), 64).select("cell_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query("SELECT o_orderkey AS cell_id FROM orders ORDER BY md5('11|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
+def reservoir_sample(spark, d):
+    return sampling.reservoir(table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id")), "cell_id", 100, 11)
+
+
+# highly variable genes ----------------------------------------------------------------------------
+
+_MOM = (_CELLS, _MATRIX, _NORM, _ONEPASS.format(m="norm"))
+_DISP = "d0 AS (SELECT gene_id, ln(1 + CASE WHEN mean = 0 THEN 1e-12 ELSE mean END) AS mean, CASE WHEN var > 0 THEN ln(var / CASE WHEN mean = 0 THEN 1e-12 ELSE mean END) END AS disp FROM onepass), d1 AS (SELECT *, greatest(1, least(20, CAST(ceil((mean - MIN(mean) OVER ()) / (MAX(mean) OVER () - MIN(mean) OVER ()) * 20) AS INTEGER))) AS bin FROM d0), d2 AS (SELECT *, AVG(disp) OVER (PARTITION BY bin) AS a, stddev_samp(disp) OVER (PARTITION BY bin) AS s FROM d1), disp AS (SELECT gene_id, mean, disp, bin, CASE WHEN s IS NULL THEN disp / nullif(a, 0) ELSE (disp - a) / nullif(s, 0) END AS z FROM d2)"
+
+
+@query(_with(*_MOM, _DISP, select="SELECT gene_id, round(z, 6) AS dispersion_norm, coalesce(z, 0) >= (SELECT MIN(z) FROM (SELECT z, rank() OVER (ORDER BY z DESC NULLS LAST) AS r FROM disp) WHERE r <= 15 AND z IS NOT NULL) AS highly_variable FROM disp"))
+def hvg_seurat_v1_topn(spark, d):
+    return hvg.seurat_top(hvg.seurat_dispersion(_moments(spark, d)), 15).select("gene_id", r6(F.col("dispersion_norm")).alias("dispersion_norm"), "highly_variable")
+
+
+@query(_with(*_MOM, _DISP, select="SELECT gene_id, mean > 0.01 AND mean < 5 AND coalesce(z, 0) > 0.2 AND coalesce(z, 0) < 10 AS highly_variable FROM disp"))
+def hvg_seurat_v1_cutoff(spark, d):
+    return hvg.seurat_cutoff(hvg.seurat_dispersion(_moments(spark, d)), 0.2, 10, 0.01, 5).select("gene_id", "highly_variable")
+
+
+_BATCH = "mo AS (SELECT batch, gene_id, SUM(x) / n AS mean, SUM(x * x) / n - (SUM(x) / n) * (SUM(x) / n) AS var FROM matrix JOIN cells USING (cell_id) JOIN (SELECT batch, COUNT(*) AS n FROM cells GROUP BY 1) USING (batch) GROUP BY batch, gene_id, n)"
+_BDISP = _DISP.replace("SELECT gene_id, ln", "SELECT batch, gene_id, ln").replace("FROM onepass", "FROM mo").replace("OVER ()", "OVER (PARTITION BY batch)").replace("PARTITION BY bin", "PARTITION BY batch, bin").replace("SELECT gene_id, mean, disp, bin", "SELECT batch, gene_id, mean, disp, bin")
+
+
+@query(_with(_CELLS, _MATRIX, _BATCH, _BDISP, "t AS (SELECT *, CASE WHEN z IS NOT NULL AND rank() OVER (PARTITION BY batch ORDER BY z DESC NULLS LAST) <= 12 THEN 1 ELSE 0 END AS top FROM disp)", "g AS (SELECT gene_id, SUM(top) AS nb, round(AVG(coalesce(z, 0)), 6) AS z FROM t GROUP BY 1)", select="SELECT gene_id, CAST(nb AS BIGINT) AS nbatches, z AS dispersion_norm FROM g"))
+def hvg_seurat_v1_batched(spark, d):
+    mo = stats.onepass_by_batch(virtual.matrix(spark, d), virtual.cells(spark, d))
+    return hvg.seurat_batched(mo, 12).select("gene_id", "nbatches", r6(F.col("dispersion_norm")).alias("dispersion_norm"))
+
+
+_KOT = "f AS (SELECT gene_id, mean, var, var / nullif(mean, 0) AS fano FROM onepass), a AS (SELECT MIN(sqrt(var) / mean) AS a FROM (SELECT * FROM f ORDER BY mean DESC, gene_id LIMIT 20)), q AS (SELECT quantile_cont(mean, 0.1) AS ml, quantile_cont(mean, 0.9) AS mh, quantile_cont(fano, 0.1) AS fl, quantile_cont(fano, 0.9) AS fh FROM f), b AS (SELECT sqrt(median(fano)) AS b, stddev_samp(fano) AS s FROM f, q WHERE mean > ml AND mean < mh AND fano > fl AND fano < fh), r AS (SELECT gene_id, mean, fano / (a * a * mean + b * b) AS ratio, s FROM f, a, b)"
+
+
+@query(_with(*_MOM, _KOT, select="SELECT gene_id, round(ratio, 6) AS ratio, row_number() OVER (ORDER BY ratio DESC NULLS LAST, gene_id) <= 10 AS highly_variable FROM r"))
+def hvg_kotliar_topn(spark, d):
+    return hvg.kotliar(_moments(spark, d), 10).select("gene_id", r6(F.col("ratio")).alias("ratio"), "highly_variable")
+
+
+@query(_with(*_MOM, _KOT, select="SELECT gene_id, coalesce(ratio > 1 + s AND mean > 0.01, false) AS highly_variable FROM r"))
+def hvg_kotliar_threshold(spark, d):
+    return hvg.kotliar(_moments(spark, d), None, None, 0.01).select("gene_id", "highly_variable")
+
+
+_V1 = "bn AS (SELECT batch, COUNT(*) AS n FROM cells GROUP BY 1), mo AS (SELECT batch, gene_id, n, SUM(x) / n AS mean, (SUM(x * x) - SUM(x) * SUM(x) / n) / (n - 1) AS var FROM matrix JOIN cells USING (cell_id) JOIN bn USING (batch) GROUP BY batch, gene_id, n)"
+_V2 = "fit AS (SELECT batch, regr_slope(log10(var), log10(mean)) AS sl, regr_intercept(log10(var), log10(mean)) AS ic FROM mo WHERE var > 0 GROUP BY 1), cl AS (SELECT batch, gene_id, n, mean, sqrt(power(10.0, CASE WHEN var > 0 THEN ic + sl * log10(mean) ELSE 0 END)) AS rs FROM mo JOIN fit USING (batch)), clip AS (SELECT *, rs * sqrt(n) + mean AS clip FROM cl)"
+_V3 = "nv AS (SELECT batch, gene_id, n, coalesce((n * mean * mean + SUM(least(x, clip) * least(x, clip)) - 2 * mean * SUM(least(x, clip))) / nullif((n - 1) * rs * rs, 0), 0) AS nv FROM matrix JOIN cells USING (cell_id) JOIN clip USING (batch, gene_id) GROUP BY batch, gene_id, n, mean, rs)"
+
+
+def _rank_sql(order: str) -> str:
+    return _with(_CELLS, _MATRIX, _V1, _V2, _V3, "rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY nv DESC, gene_id) - 1 AS r FROM nv)", "g AS (SELECT gene_id, COUNT(*) FILTER (r < 20) AS nbatches, quantile_cont(CASE WHEN r < 20 THEN r END, 0.5) AS mr, AVG(nv) AS nv FROM rk GROUP BY 1)", select=f"SELECT gene_id, nbatches, CAST(mr AS DOUBLE) AS median_rank, round(nv, 6) AS norm_var, row_number() OVER (ORDER BY {order}, gene_id) <= 20 AS highly_variable FROM g")
+
+
+def _clip(spark, d):
+    return hvg.v3_clip(hvg.quadratic_trend(hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))))
+
+
+@query(_with(_CELLS, _MATRIX, _V1, select="SELECT batch, gene_id, n, round(mean, 6) AS mean, round(var, 6) AS var FROM mo"))
+def hvg_v3_pass1(spark, d):
+    return hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d)).select("batch", "gene_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
+
+
+@query(_with(_CELLS, _MATRIX, _V1, _V2, select="SELECT batch, gene_id, round(clip, 6) AS clip FROM clip"))
+def hvg_v3_clip(spark, d):
+    return _clip(spark, d).select("batch", "gene_id", r6(F.col("clip")).alias("clip"))
+
+
+@query(_with(_CELLS, _MATRIX, _V1, _V2, _V3, select="SELECT batch, gene_id, round(nv, 6) AS norm_var FROM nv"))
+def hvg_v3_pass2(spark, d):
+    return hvg.v3_norm_var(virtual.matrix(spark, d), virtual.cells(spark, d), _clip(spark, d)).select("batch", "gene_id", r6(F.col("norm_var")).alias("norm_var"))
+
+
+def _ranked(spark, d, flavor):
+    nv = hvg.v3_norm_var(virtual.matrix(spark, d), virtual.cells(spark, d), _clip(spark, d))
+    return hvg.v3_rank(nv, 20, flavor).select("gene_id", "nbatches", "median_rank", r6(F.col("norm_var")).alias("norm_var"), "highly_variable")
+
+
+@query(_rank_sql("mr ASC NULLS LAST, nbatches DESC"))
+def hvg_v3_rank(spark, d):
+    return _ranked(spark, d, "seurat_v3")
+
+
+@query(_rank_sql("nbatches DESC, mr ASC NULLS LAST"))
+def hvg_v3_rank_paper(spark, d):
+    return _ranked(spark, d, "seurat_v3_paper")
+
+
+@query()
+def hvg_v3_loess(spark, d):
+    mo = hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))
+    return hvg.v3_clip(hvg.loess_trend(mo)).select("batch", "gene_id", "est", "clip")
+
+
+# ontology -----------------------------------------------------------------------------------------
+
+
+def _closure(spark, d):
+    return ontology.closure(virtual.edges(spark, d))
+
+
+def _probs(spark, d):
+    """Per segment, the share of each nation."""
+    c = virtual.cells(spark, d).groupBy(F.col("cell_type").alias("row"), F.col("tissue").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("row")))
+
+
+_PROBS = "probs AS (SELECT cell_type AS \"row\", tissue AS term, COUNT(*) AS n, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY cell_type) AS p FROM cells GROUP BY 1, 2)"
+
+
+@query(_with(_EDGES, _CLO, select="SELECT ancestor, descendant, dist FROM clo", recursive=True))
+def ontology_closure(spark, d):
+    return _closure(spark, d)
+
+
+@query(_with(_EDGES, _CLO, select="SELECT DISTINCT ancestor AS term FROM clo WHERE descendant IN ('FRANCE', 'CHINA', 'ASIA')", recursive=True))
+def ancestors_of_subset(spark, d):
+    return ontology.with_ancestors(spark.createDataFrame([("FRANCE",), ("CHINA",), ("ASIA",)], "term string"), _closure(spark, d))
+
+
+@query(_with(_EDGES, _CLO, select="SELECT x.descendant AS a, y.descendant AS b, CAST(MIN(x.dist + y.dist) AS INTEGER) AS dist FROM clo x JOIN clo y ON x.ancestor = y.ancestor GROUP BY 1, 2", recursive=True))
+def shortest_distance(spark, d):
+    return ontology.distances(virtual.edges(spark, d))
+
+
+@query(_with(_EDGES, _CLO, select="SELECT ancestor AS term FROM clo GROUP BY 1 HAVING COUNT(*) = 1", recursive=True))
+def leaf_terms(spark, d):
+    return ontology.leaves(_closure(spark, d))
+
+
+@query(_with(_EDGES, _CLO, "c(label, term) AS (VALUES ('east', 'ASIA'), ('west', 'AMERICA'))", "h AS (SELECT DISTINCT descendant AS term, label FROM clo JOIN c ON ancestor = term)", select="SELECT * FROM h UNION ALL SELECT DISTINCT descendant, 'other' FROM clo WHERE descendant NOT IN (SELECT term FROM h)", recursive=True))
+def coarse_map(spark, d):
+    return ontology.coarse_map(_closure(spark, d), spark.createDataFrame([("east", "ASIA"), ("west", "AMERICA")], "label string, term string"))
+
+
+@query(_with(_EDGES, _CLO, _CELLS, _PROBS, select='SELECT "row", ancestor AS term, round(least(1.0, SUM(p)), 6) AS p FROM probs JOIN clo ON descendant = term GROUP BY 1, 2', recursive=True))
+def propagate_probs(spark, d):
+    return ontology.propagate_probs(_probs(spark, d), _closure(spark, d)).select("row", "term", r6(F.col("p")).alias("p"))
+
+
+@query(_with(_EDGES, _CLO, _CELLS, _PROBS, "z AS (SELECT \"row\", term, ln(p) * 2 AS logit FROM probs)", "t AS (SELECT \"row\", ln(SUM(exp(logit))) AS every FROM z GROUP BY 1)", select='SELECT "row", ancestor AS term, round(ln(SUM(exp(logit))) - every, 6) AS logit FROM z JOIN clo ON descendant = term JOIN t USING ("row") GROUP BY "row", ancestor, every', recursive=True))
+def propagate_logits(spark, d):
+    z = _probs(spark, d).select("row", "term", (F.log("p") * 2).alias("logit"))
+    return ontology.propagate_logits(z, _closure(spark, d)).select("row", "term", r6(F.col("logit")).alias("logit"))
+
+
+@query(_with(_EDGES, _CLO, _CELLS, "n AS (SELECT tissue AS term, COUNT(*) AS n FROM cells GROUP BY 1)", "w AS (SELECT ancestor, descendant, power(0.7, dist) / SUM(power(0.7, dist)) OVER (PARTITION BY descendant) AS w FROM clo)", select="SELECT ancestor AS term, CAST(floor(SUM(n * w) + 1e-9) AS BIGINT) AS n FROM n JOIN w ON descendant = term GROUP BY 1", recursive=True))
+def smoothed_counts(spark, d):
+    n = virtual.cells(spark, d).groupBy(F.col("tissue").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    return ontology.smoothed_counts(n, _closure(spark, d), 0.3)
+
+
+# tokens -------------------------------------------------------------------------------------------
+
+_RANKED = "SELECT cell_id, CAST(place AS INTEGER) AS place, CASE WHEN x > 0 THEN CAST(gene_id AS BIGINT) + 2 ELSE 0 END AS token, CASE WHEN x > 0 THEN 1 ELSE 0 END AS mask FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY x DESC, gene_id) AS place FROM {m}) WHERE place <= 4"
+
+
+def _tokens(df):
+    return df.select("cell_id", "place", F.col("token").cast("long").alias("token"), "mask")
+
+
+@query(_with(_MATRIX, select=_RANKED.format(m="matrix")))
+def rank_tokens(spark, d):
+    return _tokens(tokens.rank_tokens(virtual.matrix(spark, d), 4))
+
+
+@query(_with(_MATRIX, "p AS (SELECT cell_id, gene_id, CASE WHEN gene_id IN (1, 3) THEN 0 ELSE x END AS x FROM matrix)", select=_RANKED.format(m="p")))
+def perturb_deletion(spark, d):
+    return _tokens(tokens.rank_tokens(tokens.perturb(virtual.matrix(spark, d), deletion=[1, 3]), 4))
+
+
+@query(_with(_MATRIX, "p AS (SELECT cell_id, gene_id, x FROM matrix WHERE gene_id NOT IN (4, 2) UNION ALL SELECT cell_id, g, (SELECT MAX(x) FROM matrix) + up FROM (SELECT DISTINCT cell_id FROM matrix) CROSS JOIN (VALUES (4, 2), (2, 1)) a(g, up))", select=_RANKED.format(m="p")))
+def perturb_activation(spark, d):
+    return _tokens(tokens.rank_tokens(tokens.perturb(virtual.matrix(spark, d), activation=[4, 2]), 4))
+
+
+@query(_with(_MATRIX, f"t AS ({_RANKED.format(m='matrix')})", select="SELECT cell_id, place, CASE token WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE token END AS token, mask FROM t"))
+def perturb_map(spark, d):
+    return _tokens(tokens.replace_tokens(tokens.rank_tokens(virtual.matrix(spark, d), 4), {3: 1, 4: 1}))
+
+
+_CTX = "ctx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY md5('5|' || CAST(cell_id AS VARCHAR) || '|' || CAST(gene_id AS VARCHAR))) AS place FROM matrix) WHERE place <= 5), pq AS (SELECT *, CASE WHEN place > 2 THEN 1 ELSE 0 END AS is_query FROM ctx)"
+
+
+def _ctx(spark, d):
+    return tokens.shuffled_context(virtual.matrix(spark, d), 5, 5)
+
+
+@query(_with(_MATRIX, _CTX, select="SELECT cell_id, gene_id, CAST(place AS INTEGER) AS place FROM ctx"))
+def gene_shuffle_context(spark, d):
+    return _ctx(spark, d).select("cell_id", "gene_id", "place")
+
+
+@query(_with(_MATRIX, _CTX, select="SELECT cell_id, gene_id, 1 - is_query AS is_prompt, is_query, round(CAST(is_query AS DOUBLE) / greatest(SUM(is_query) OVER (PARTITION BY cell_id), 1), 6) AS weight FROM pq"))
+def prompt_query_split(spark, d):
+    return tokens.prompt_query(_ctx(spark, d), 2).select("cell_id", "gene_id", "is_prompt", "is_query", r6(F.col("weight")).alias("weight"))
+
+
+@query(_with(_MATRIX, _CTX, select="SELECT cell_id, gene_id, round(ln(1 + x) * (1 - is_query), 6) AS value, CAST(least(greatest(x, 0), 29) AS BIGINT) AS label FROM pq"))
+def value_labels(spark, d):
+    return tokens.values_labels(tokens.prompt_query(_ctx(spark, d), 2), 30).select("cell_id", "gene_id", r6(F.col("value")).alias("value"), "label")
+
+
+@query(_with(_CELLS, select="SELECT cell_id, CASE assay WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE -1 END AS code, CASE WHEN cell_id % 3 = 0 THEN 2 WHEN assay = 'F' THEN 1 ELSE 0 END AS token FROM cells"))
+def metadata_codes(spark, d):
+    return tokens.metadata_codes(virtual.cells(spark, d), "assay", ["O", "F"], F.col("cell_id") % 3 == 0).select("cell_id", "code", "token")
+
+
+@query(_with(_MATRIX, select="SELECT cell_id, gene_id, round_even(x * least(SUM(x) OVER (PARTITION BY cell_id), 50.0) / SUM(x) OVER (PARTITION BY cell_id), 0) AS x FROM matrix"))
+def predict_downsample(spark, d):
+    return tokens.downsample_predict(virtual.matrix(spark, d), 50.0)
+
+
+@query(_with(_MATRIX, _CTX, select="SELECT a.cell_id, CAST(a.place AS INTEGER) AS i, CAST(b.place AS INTEGER) AS j, CASE WHEN b.is_query = 0 OR a.place = b.place THEN 1 ELSE 0 END AS attends FROM pq a JOIN pq b USING (cell_id)"))
+def attention_mask(spark, d):
+    return tokens.attention_mask(tokens.prompt_query(_ctx(spark, d), 2))
+
+
+# scores -------------------------------------------------------------------------------------------
+
+_LOGITS = "w AS (SELECT gene_id, k, sin(gene_id * 1.0 + k) AS w FROM (SELECT s_suppkey AS gene_id FROM supplier) CROSS JOIN range(4) r(k)), logits AS (SELECT cell_id, k, SUM(x * w) / 10 AS logit FROM matrix JOIN w USING (gene_id) GROUP BY 1, 2)"
+_SOFT = "soft AS (SELECT cell_id, k, exp(logit - m) / SUM(exp(logit - m)) OVER (PARTITION BY cell_id) AS p FROM (SELECT *, MAX(logit) OVER (PARTITION BY cell_id) AS m FROM logits))"
+
+
+def _logits(spark, d):
+    w = virtual.genes(spark, d).select("gene_id").crossJoin(spark.range(4).withColumnRenamed("id", "k")).withColumn("w", F.sin(F.col("gene_id") + F.col("k").cast("double")))
+    return evaluate.matmul(virtual.matrix(spark, d), w).withColumn("logit", F.col("logit") / 10)
+
+
+def _soft(spark, d):
+    return _logits(spark, d).select("cell_id", "k", fx.softmax("logit", "cell_id").alias("p"))
+
+
+@query(_with(_MATRIX, _LOGITS, select="SELECT cell_id, k, round(logit, 6) AS logit FROM logits"))
+def logits_matmul(spark, d):
+    return _logits(spark, d).select("cell_id", "k", r6(F.col("logit")).alias("logit"))
+
+
+@query(_with(_MATRIX, _LOGITS, _SOFT, select="SELECT cell_id, k, round(p, 6) AS p FROM soft"))
+def softmax_probs(spark, d):
+    return _soft(spark, d).select("cell_id", "k", r6(F.col("p")).alias("p"))
+
+
+@query(_with(_MATRIX, _LOGITS, select="SELECT cell_id, k FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY logit DESC, k) AS r FROM logits) WHERE r = 1"))
+def argmax_class(spark, d):
+    return evaluate.argmax(_logits(spark, d))
+
+
+@query(_with(_MATRIX, _LOGITS, _SOFT, select="SELECT k, round(SUM(-ln(p + 1e-300) * (1 + cell_id % 3)) / SUM(1 + cell_id % 3), 6) AS loss FROM soft GROUP BY 1"))
+def weighted_ce(spark, d):
+    rows = _soft(spark, d).select("k", (-F.log(F.col("p") + 1e-300)).alias("loss"), (1.0 + F.col("cell_id") % 3).alias("w"))
+    return evaluate.weighted_ce(rows, "k").select("k", r6(F.col("loss")).alias("loss"))
+
+
+@query(_with(_MATRIX, _LOGITS, _SOFT, select="SELECT cell_id, round(SUM(k * p), 6) AS mean, round(SUM(k * k * p) - SUM(k * p) * SUM(k * p), 6) AS var FROM soft GROUP BY 1"))
+def predictive_moments(spark, d):
+    return evaluate.predictive_moments(_soft(spark, d)).select("cell_id", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
+
+
+@query(_with(_MATRIX, _LOGITS, select="SELECT round(AVG(CASE WHEN k = cell_id % 4 THEN 1.0 ELSE 0 END), 6) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY logit DESC, k) AS r FROM logits) WHERE r = 1"))
+def top1_accuracy(spark, d):
+    return evaluate.argmax(_logits(spark, d)).agg(r6(F.avg((F.col("k") == F.col("cell_id") % 4).cast("double"))).alias("accuracy"))
+
+
+_CENT = "e AS (SELECT label, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), cent AS (SELECT label, dim, COUNT(*) AS n, AVG(v) AS c, AVG(v * v) AS q FROM e GROUP BY 1, 2), cd AS (SELECT x.label AS a, y.label AS b, sqrt(SUM((x.c - y.c) * (x.c - y.c))) AS dist FROM cent x JOIN cent y USING (dim) WHERE x.label <> y.label GROUP BY 1, 2)"
+
+
+def _cent(spark, d):
+    return evaluate.centroids(table(spark, d, "embeddings"), "label")
+
+
+@query(_with(_CENT, select="SELECT label, CAST(dim AS INTEGER) AS dim, n, round(c, 6) AS c FROM cent"))
+def class_centroids(spark, d):
+    return _cent(spark, d).select("label", "dim", "n", r6(F.col("c")).alias("c"))
+
+
+@query(_with(_CENT, select="SELECT a, b, round(dist, 6) AS dist FROM cd"))
+def centroid_distances(spark, d):
+    return evaluate.centroid_distances(_cent(spark, d), "label").select("a", "b", r6(F.col("dist")).alias("dist"))
+
+
+@query(_with(_CENT, "i AS (SELECT label, MAX(n) AS n, sqrt(greatest(SUM(q) - SUM(c * c), 0)) AS intra FROM cent GROUP BY 1)", "o AS (SELECT a AS label, MIN(dist) AS b FROM cd GROUP BY 1)", select="SELECT round(SUM((b - intra) / greatest(b, intra, 1e-12) * n) / SUM(n), 6) AS silhouette FROM i JOIN o USING (label)"))
+def batch_silhouette(spark, d):
+    return evaluate.silhouette(_cent(spark, d), "label").select(r6(F.col("silhouette")).alias("silhouette"))
+
+
+@query(_with(_CENT, "p AS (SELECT dist AS x, CAST(abs(a - b) AS DOUBLE) AS y, CAST(1 + (a + b) % 4 AS DOUBLE) AS w FROM cd WHERE a < b)", "r AS (SELECT w, rank() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p)", "m AS (SELECT SUM(w) AS sw, SUM(w * rx) / SUM(w) AS mx, SUM(w * ry) / SUM(w) AS my FROM r)", select="SELECT round(SUM(w * (rx - mx) * (ry - my)) / sqrt(SUM(w * (rx - mx) * (rx - mx)) * SUM(w * (ry - my) * (ry - my))), 6) AS rho FROM r, m"))
+def weighted_spearman(spark, d):
+    p = evaluate.centroid_distances(_cent(spark, d), "label").where("a < b").select(F.col("dist").alias("x"), F.abs(F.col("a") - F.col("b")).cast("double").alias("y"), (1 + (F.col("a") + F.col("b")) % 4).cast("double").alias("w"))
+    return evaluate.weighted_spearman(p).select(r6(F.col("rho")).alias("rho"))
+
+
+@query("WITH v AS (SELECT vec_id // 2 AS id, vec_id % 2 AS copy, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 64), u AS (SELECT id, copy, k, v / sqrt(SUM(v * v) OVER (PARTITION BY id, copy)) AS v FROM v), s AS (SELECT a.id AS ia, a.copy AS ca, b.id AS ib, SUM(a.v * b.v) / 0.5 AS s FROM u a JOIN u b ON a.k = b.k AND (a.id <> b.id OR a.copy <> b.copy) GROUP BY a.id, a.copy, b.id, b.copy) SELECT round(AVG(l), 6) AS loss FROM (SELECT ln(SUM(exp(s))) - MAX(CASE WHEN ia = ib THEN s END) AS l FROM s GROUP BY ia, ca)")
+def ntxent_loss(spark, d):
+    p = table(spark, d, "embeddings").where("vec_id < 64").select(F.floor(F.col("vec_id") / 2).alias("id"), (F.col("vec_id") % 2).alias("copy"), "embedding")
+    return evaluate.nt_xent(p, 0.5).select(r6(F.col("loss")).alias("loss"))
+
+
+# analysts' queries --------------------------------------------------------------------------------
+
+
+@query(_with(_CELLS, select="SELECT tissue, COUNT(*) AS n FROM cells GROUP BY 1"))
+def freq_table(spark, d):
+    return virtual.cells(spark, d).groupBy("tissue").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+
+
+@query(_with(_CELLS, select="SELECT cell_id, tissue FROM cells WHERE tissue IN (SELECT tissue FROM cells GROUP BY 1 HAVING COUNT(*) > (SELECT COUNT(*) / 25.0 FROM cells))"))
+def having_freq(spark, d):
+    c = virtual.cells(spark, d)
+    common = c.groupBy("tissue").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy())).where(F.col("n") > F.col("all") / 25.0)
+    return c.join(F.broadcast(common), "tissue", "left_semi").select("cell_id", "tissue")
+
+
+@query(_with(_CELLS, select="SELECT cell_type, COUNT(DISTINCT tissue) AS n FROM cells GROUP BY 1"))
+def nunique_by_group(spark, d):
+    return virtual.cells(spark, d).groupBy("cell_type").agg(F.count_distinct("tissue").alias("n"))
+
+
+@query(_with(_CELLS, select="SELECT (SELECT COUNT(tissue) FROM cells) AS count, (SELECT COUNT(DISTINCT tissue) FROM cells) AS uniq, tissue AS top, COUNT(*) AS freq FROM cells GROUP BY tissue ORDER BY freq DESC, tissue LIMIT 1"))
+def describe_categorical(spark, d):
+    f = virtual.cells(spark, d).groupBy("tissue").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "tissue"))
+    return f.agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("uniq"), best["tissue"].alias("top"), (-best["n"]).alias("freq"))
+
+
+@query(_with(_CELLS, select="SELECT cell_type, round(quantile_cont(library, 0.25), 6) AS q1, round(median(library), 6) AS q2, round(quantile_cont(library, 0.75), 6) AS q3 FROM cells GROUP BY 1"))
+def box_summary(spark, d):
+    return virtual.cells(spark, d).groupBy("cell_type").agg(*[r6(F.percentile("library", p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+
+
+@query(_with(_CELLS, select="SELECT batch, assay, cell_type, tissue, COUNT(*) AS size FROM cells GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= 10"))
+def group_size_having(spark, d):
+    return virtual.cells(spark, d).groupBy("batch", "assay", "cell_type", "tissue").agg(F.count(F.lit(1)).alias("size")).where("size >= 10")
+
+
+@query(_with(_CELLS, "g AS (SELECT batch, assay, tissue, COUNT(*) AS size FROM cells GROUP BY 1, 2, 3)", select="SELECT batch, COUNT(DISTINCT size) AS sizes, COUNT(DISTINCT tissue) AS tissues FROM g GROUP BY 1"))
+def nested_nunique(spark, d):
+    g = virtual.cells(spark, d).groupBy("batch", "assay", "tissue").agg(F.count(F.lit(1)).alias("size"))
+    return g.groupBy("batch").agg(F.count_distinct("size").alias("sizes"), F.count_distinct("tissue").alias("tissues"))
+
+
+@query(_with(_CELLS, select="SELECT batch, tissue, round(median(library), 6) AS library FROM cells GROUP BY 1, 2 HAVING COUNT(*) >= 20"))
+def median_by_combo(spark, d):
+    return virtual.cells(spark, d).groupBy("batch", "tissue").agg(r6(F.median("library")).alias("library"), F.count(F.lit(1)).alias("n")).where("n >= 20").drop("n")
+
+
+@query(_with(_CELLS, select="SELECT batch, COUNT(*) FILTER (assay = 'F') AS f, COUNT(*) FILTER (assay = 'O') AS o, COUNT(*) FILTER (assay = 'P') AS p FROM cells GROUP BY 1"))
+def crosstab(spark, d):
+    out = virtual.cells(spark, d).groupBy("batch").pivot("assay", ["F", "O", "P"]).count().na.fill(0)
+    return out.select("batch", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
+
+
+@query(_with(_CELLS, select="SELECT cell_type, cell_id, library FROM (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY library, cell_id) AS r FROM cells) WHERE r = 1"))
+def argmin_row(spark, d):
+    best = virtual.cells(spark, d).groupBy("cell_type").agg(F.min(F.struct("library", "cell_id")).alias("b"))
+    return best.select("cell_type", "b.cell_id", "b.library")
+
+
+@query("SELECT round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)), 6) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem WHERE l_extendedprice > 0 AND l_quantity > 0")
+def loglog_regression(spark, d):
+    li = table(spark, d, "lineitem").where("l_extendedprice > 0 and l_quantity > 0")
+    y, x = F.log("l_extendedprice"), F.log("l_quantity")
+    return li.agg(r6(F.regr_slope(y, x)).alias("slope"), r6(F.regr_intercept(y, x)).alias("intercept"), r6(F.regr_r2(F.col("l_extendedprice"), F.col("l_quantity"))).alias("r2"))
+
+
+@query("WITH f AS (SELECT avg(l_extendedprice) AS m FROM lineitem) SELECT round(1 - SUM((l_extendedprice - l_quantity * 1000) * (l_extendedprice - l_quantity * 1000)) / SUM((l_extendedprice - m) * (l_extendedprice - m)), 6) AS r2 FROM lineitem, f")
+def r_squared(spark, d):
+    li = table(spark, d, "lineitem")
+    mean = F.broadcast(li.agg(F.avg("l_extendedprice").alias("m")))
+    res, tot = F.col("l_extendedprice") - F.col("l_quantity") * 1000, F.col("l_extendedprice") - F.col("m")
+    return li.crossJoin(mean).agg(r6(1 - F.sum(res * res) / F.sum(tot * tot)).alias("r2"))
+
+
+@query("SELECT CAST(h AS BIGINT) AS n_heads, CAST(b AS BIGINT) AS batch_size, CAST(h * 64 AS BIGINT) AS d_model, CAST(12 * h * 64 * h * 64 AS BIGINT) AS params FROM (VALUES (4), (8), (16)) m(h) CROSS JOIN (VALUES (64), (128)) g(b)")
+def config_grid(spark, d):
+    m, g = spark.createDataFrame([(4,), (8,), (16,)], "n_heads long"), spark.createDataFrame([(64,), (128,)], "batch_size long")
+    return m.crossJoin(F.broadcast(g)).withColumn("d_model", F.col("n_heads") * 64).withColumn("params", 12 * F.col("d_model") * F.col("d_model"))
+
+
+@query(_with(_CELLS, select="SELECT DISTINCT cell_type, tissue FROM cells"))
+def distinct_pairs(spark, d):
+    return virtual.cells(spark, d).select("cell_type", "tissue").distinct()
+
+
+@query("WITH k AS (SELECT l_quantity AS q, AVG(l_extendedprice) AS l FROM lineitem GROUP BY 1) SELECT round(regr_slope(ln(l), ln(q)), 6) AS slope FROM k")
+def mean_by_key_slope(spark, d):
+    k = table(spark, d, "lineitem").groupBy(F.col("l_quantity").alias("q")).agg(F.avg("l_extendedprice").alias("l"))
+    return k.agg(r6(F.regr_slope(F.log("l"), F.log("q"))).alias("slope"))
+
+
+@query("SELECT c_mktsegment AS cell_type, MIN(c_custkey) AS first_key FROM customer GROUP BY 1")
+def dedupe_keep_first(spark, d):
+    w = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
+    return table(spark, d, "customer").withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("c_mktsegment").alias("cell_type"), F.col("c_custkey").alias("first_key"))
+
+
+@query(_with(_CELLS, _MATRIX, _LOGITS, select="SELECT cell_id, k, round(logit, 6) AS logit, tissue, assay FROM logits JOIN cells USING (cell_id) WHERE k = 1"))
+def pred_join_obs(spark, d):
+    p = _logits(spark, d).where("k = 1")
+    return p.join(virtual.cells(spark, d), "cell_id").select("cell_id", "k", r6(F.col("logit")).alias("logit"), "tissue", "assay")
+
+
+@query(_with(_CELLS, "a AS (SELECT tissue, COUNT(*) AS na FROM cells WHERE assay = 'F' GROUP BY 1)", "b AS (SELECT tissue, COUNT(*) AS nb FROM cells WHERE assay = 'P' GROUP BY 1)", select="SELECT tissue, na, nb FROM a JOIN b USING (tissue)"))
+def outer_then_dropna(spark, d):
+    c = virtual.cells(spark, d)
+    a, b = (c.where(F.col("assay") == x).groupBy("tissue").agg(F.count(F.lit(1)).alias(n)) for x, n in (("F", "na"), ("P", "nb")))
+    return a.join(b, "tissue", "full").na.drop().select("tissue", "na", "nb")
+
+
+@query("SELECT n_name AS term FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+def set_difference(spark, d):
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier").where("s_suppkey <= 20")
+    return n.select(F.col("n_name").alias("term")).exceptAll(n.join(s, n.n_nationkey == s.s_nationkey, "left_semi").select("n_name"))
+
+
+@query(_with(_EDGES, _CLO, select="SELECT x.ancestor AS a, y.ancestor AS b, COUNT(*) AS shared FROM clo x JOIN clo y USING (descendant) WHERE x.ancestor < y.ancestor AND x.ancestor IN (SELECT r_name FROM region) AND y.ancestor IN (SELECT r_name FROM region) GROUP BY 1, 2", recursive=True))
+def mutual_exclusivity(spark, d):
+    """Rows are violations; regions share no nation."""
+    clo = _closure(spark, d).join(F.broadcast(table(spark, d, "region").select(F.col("r_name").alias("ancestor"))), "ancestor", "left_semi")
+    x, y = clo.select(F.col("ancestor").alias("a"), "descendant"), clo.select(F.col("ancestor").alias("b"), "descendant")
+    return x.join(y, "descendant").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+# formulas -----------------------------------------------------------------------------------------
+
+
+@query("SELECT mu, theta, round(CASE WHEN theta = 0 THEN 0 ELSE mu + mu * mu / nullif(theta, 0) END, 6) AS var FROM (SELECT CAST(i AS DOUBLE) AS mu FROM range(5) r(i)) CROSS JOIN (VALUES (CAST(0 AS DOUBLE)), (0.5), (2)) t(theta)")
+def nb_moments(spark, d):
+    mu, theta = spark.range(5).select(F.col("id").cast("double").alias("mu")), spark.createDataFrame([(0.0,), (0.5,), (2.0,)], "theta double")
+    return mu.crossJoin(F.broadcast(theta)).withColumn("var", r6(fx.nb_variance(F.col("mu"), F.col("theta"))))
+
+
+@query("SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 400 THEN i / 400.0 ELSE 1 END, 6) AS weight FROM range(0, 1000, 50) r(i)")
+def kl_warmup(spark, d):
+    return spark.range(0, 1000, 50).select(F.col("id").alias("step"), r6(fx.kl_weight(F.col("id"), 400)).alias("weight"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 100 THEN i / 100.0 ELSE greatest(0, (900 - i) / 800.0) END, 6) AS factor FROM range(0, 1000, 50) r(i)")
+def linear_lr(spark, d):
+    return spark.range(0, 1000, 50).select(F.col("id").alias("step"), r6(fx.linear_lr(F.col("id"), 100, 900)).alias("factor"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS x, round((1 + 0.5 * i) / (1 + 0.1 * i + 0.01 * i * i), 6) AS pade, round(2 + 3 * pow(i + 1.0, -0.3), 6) AS law FROM range(20) r(i)")
+def pade_eval(spark, d):
+    x = F.col("id")
+    return spark.range(20).select(x.alias("x"), r6((1 + 0.5 * x) / (1 + 0.1 * x + 0.01 * x * x)).alias("pade"), r6(2 + 3 * F.pow(x + 1.0, F.lit(-0.3))).alias("law"))
+
+
+@query("SELECT CAST(6 * 12 * l * w * w * t AS DOUBLE) AS flops, CAST(l AS BIGINT) AS layers, CAST(w AS BIGINT) AS width FROM (VALUES (6, 512, 1000000.0), (12, 768, 2000000.0)) m(l, w, t)")
+def flops_estimate(spark, d):
+    m = spark.createDataFrame([(6, 512, 1e6), (12, 768, 2e6)], "layers long, width long, t double")
+    return m.select((6 * 12 * F.col("layers") * F.col("width") * F.col("width") * F.col("t")).alias("flops"), "layers", "width")
+
+
+# fits, streams ------------------------------------------------------------------------------------
+
+
+@query()
+def logistic_regression_fit(spark, d):
+    e = table(spark, d, "embeddings")
+    return estimators.coefficients(estimators.logistic_regression(e, e.count(), 1.0, rounds=20))
+
+
+@query()
+def socam_fit(spark, d):
+    """Ten labels under two parents of five: classes 10 and 11."""
+    desc = np.eye(12, dtype=bool)
+    desc[10, :5] = desc[11, 5:10] = True
+    w, b = estimators.ontology_regression(table(spark, d, "embeddings"), desc, rounds=5)
+    return spark.createDataFrame([(k, j, float(v)) for k, r in enumerate(np.column_stack([w, b])) for j, v in enumerate(r)], "k int, j int, w double")
+
+
+@query("SELECT l_suppkey AS gene_id, COUNT(*) AS n, round(SUM(l_quantity), 6) AS s, round(SUM(l_quantity * l_quantity), 6) AS q FROM lineitem GROUP BY 1")
+def stream_running_stats(spark, d):
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    out = running.running_stats(spark, f"{d}/lineitem.parquet*", schema, "l_suppkey", "l_quantity", "running_stats")
+    return out.select(F.col("l_suppkey").alias("gene_id"), "n", r6(F.col("s")).alias("s"), r6(F.col("q")).alias("q"))
