@@ -24,6 +24,8 @@ from . import common
 WHITE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 #: Bits of a run's filter, in buckets of 32768; a fixed size, whatever the run holds.
 FILTER_BITS = 1 << 23
+#: What a run's files hold; an empty memtable writes none.
+RUN_SCHEMA = "digest long, best struct<short:int,no_id:boolean,doc_id:long,uid:long>, n long, run int"
 
 
 def normalised(text: Column) -> Column:
@@ -55,7 +57,7 @@ class DigestIndex:
         )
         bit = F.pmod("digest", F.lit(FILTER_BITS))
         (
-            self.spark.read.parquet(level)
+            self.spark.read.schema(RUN_SCHEMA).parquet(level)
             .groupBy("run", F.bitmap_bucket_number(bit).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
             .write.parquet(f"{self.path}/filter={self.levels}")
@@ -63,7 +65,7 @@ class DigestIndex:
         self.levels += 1
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/level={k}" for k in range(self.levels)])
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*[f"{self.path}/level={k}" for k in range(self.levels)])
 
     def compact(self) -> DataFrame:
         """One row a digest over all runs: the best row and how many rows there were."""

@@ -29,8 +29,8 @@ FORMATS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that may be identifiers without having a fixed format.
-TOKEN = r"(?:(?<![A-Za-z0-9@._%+-])|\G)[A-Za-z0-9@._%+-]{6,}"
+#: Tokens with a digit or @ that may be identifiers without having a fixed format.
+TOKEN = r"(?:(?<![A-Za-z0-9@._%+-])|\G)(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
 #: Code points around an instance in which its neighbour words are looked for.
 AROUND = 80
 ROUNDS, LEAST_DOCS, CONFIDENT = 3, 5, 0.9
@@ -91,7 +91,7 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     need = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
     none = F.array().cast(f"array<{_SPAN}>")
     base = F.concat(*[F.filter(F.when(need[k], found(text, FORMATS[k], k)).otherwise(none), valid) for k in KINDS])
-    token = F.filter(found(text, TOKEN, "other"), lambda s: s["value"].rlike("[0-9@]"))
+    token = found(text, TOKEN, "other")
     rows = rows.select("doc_id", base.alias("base"), token.alias("token"))
     free = F.filter("token", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     return common.materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "base", free.alias("other")), "pii-spans")
