@@ -3,12 +3,14 @@
 Audio (16-bit mono PCM) becomes pitch-class frames: windowed spectra folded into 12 classes,
 smoothed over time and normalised. Sixteen Haar-like filters on the integral image of the frames
 are quantised to two Gray-coded bits each: one packed 32-bit integer a frame. Two recordings are
-aligned by the histogram of offsets between equal integers, and compared at the best offset by
+aligned by the histogram of offsets between equal pairs of integers SPAN frames apart, and compared at the best offset by
 their share of differing bits.
 
 Equal fingerprints are one class, so copies are compared once. Queries are the recordings whose
 id is divisible by QUERY_EVERY; every recording is in the index, an inverted list of integers.
 
+Recordings of up to SPAN integers have no pairs and only meet their own class.
+
 Nulls: null or too short audio has no frames, an empty fingerprint and no match. A null id is
 indexed but never queried. Repeated rows share a class. An empty table gives an empty result.
 """
@@ -132,9 +134,10 @@ def match(media: DataFrame) -> DataFrame:
     fps = common.materialize(fingerprints(media), "chroma-fps")
     classes = common.materialize(fps.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.first("ints").alias("ints"), F.max(F.coalesce(F.col("media_id") % QUERY_EVERY == 0, F.lit(False))).alias("asked"), F.count(F.lit(1)).alias("n")), "chroma-classes")
     total = fps.count()
-    posts = classes.select("digest", F.posexplode("ints").alias("pos", "value"))
-    asked = classes.where("asked").select(F.col("digest").alias("query"), F.posexplode("ints").alias("at", "value"))
-    # equal integers by offset: sums before the classes meet, so that a common integer costs no row a pair of places
+    # single integers repeat across unrelated recordings; two that lie SPAN frames apart share no frame and seldom do
+    keys = F.when(F.size("ints") > SPAN, F.zip_with(F.slice("ints", F.lit(1), F.size("ints") - SPAN), F.slice("ints", F.lit(SPAN + 1), F.size("ints") - SPAN), lambda a, b: F.xxhash64(a, b)))
+    posts = classes.select("digest", F.posexplode(keys).alias("pos", "value"))
+    asked = classes.where("asked").select(F.col("digest").alias("query"), F.posexplode(keys).alias("at", "value"))
     votes = asked.join(posts, "value").where("query != digest").groupBy("query", "digest", (F.col("pos") - F.col("at")).alias("frame_offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("query", "digest").agg(F.max(F.struct("votes", (-F.abs("frame_offset")).alias("near"), "frame_offset")).alias("b")).select("query", "digest", "b.frame_offset")
     ints = classes.select("digest", "ints", "class_id")
