@@ -40,7 +40,7 @@ WORD, JOINT = b"w", b"h"
 #: Text and distinct words of one block, which is scored in one group.
 BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 1_000_000
 #: Words scored together.
-PART_WORDS = 100_000
+PART_WORDS = 250_000
 HALF = np.log(0.5)
 
 
@@ -286,8 +286,8 @@ def _fit_group(table: pa.Table) -> pa.Table:
         n1.append(level.n1[j])
     k, m = len(keys), sum(map(len, node))
     none = pa.nulls
-    grams = pa.table({"key": pa.array(keys[order].view(np.int64)), "pred": pa.array(list(pred), pa.list_(pa.float64())), "c1": none(k, pa.int32()), "node": none(k, pa.int32()), "log_w": none(k, pa.float64()), "n0": none(k, pa.float64()), "n1": none(k, pa.float64())})
-    nodes = pa.table({"key": none(m, pa.int64()), "pred": none(m, pa.list_(pa.float64())), "c1": pa.array(np.full(m, c1, np.int32)), "node": pa.array(np.concatenate(node).astype(np.int32)), "log_w": np.concatenate(logs), "n0": np.concatenate(n0), "n1": np.concatenate(n1)})
+    grams = pa.table({"key": pa.array(keys[order].view(np.int64)), "pred": pa.array(list(pred.astype(np.float32)), pa.list_(pa.float32())), "c1": none(k, pa.int32()), "node": none(k, pa.int32()), "log_w": none(k, pa.float64()), "n0": none(k, pa.float64()), "n1": none(k, pa.float64())})
+    nodes = pa.table({"key": none(m, pa.int64()), "pred": none(m, pa.list_(pa.float32())), "c1": pa.array(np.full(m, c1, np.int32)), "node": pa.array(np.concatenate(node).astype(np.int32)), "log_w": np.concatenate(logs), "n0": np.concatenate(n0), "n1": np.concatenate(n1)})
     return pa.concat_tables([grams, nodes])
 
 
@@ -295,7 +295,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     """key, logp from key, n."""
     spark = grams.sparkSession
     pair = F.shiftrightunsigned("key", 48)
-    fitted = common.materialize(grams.withColumn("pair", pair).groupBy("pair").applyInArrow(_fit_group, "key long, pred array<double>, c1 int, node int, log_w double, n0 double, n1 double"), "ctw-fitted")
+    fitted = common.materialize(grams.withColumn("pair", pair).groupBy("pair").applyInArrow(_fit_group, "key long, pred array<float>, c1 int, node int, log_w double, n0 double, n1 double"), "ctw-fitted")
     summary = fitted.where("key is null").groupBy("c1", "node").agg(F.sum("log_w").alias("log_w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()  # 256 x 255 at most
     up = spark.sparkContext.broadcast(upper_nodes(summary))
 
@@ -319,7 +319,7 @@ def _word_scores(vocab: DataFrame, scores: DataFrame) -> DataFrame:
         for b in batches:
             for p, w in zip(b.column("part").to_pylist(), b.column("word").to_pylist(), strict=True):
                 held.setdefault(p, []).append(w)
-            for p in [p for p, ws in held.items() if len(ws) > 50_000]:
+            for p in [p for p, ws in held.items() if len(ws) > 2 * PART_WORDS]:
                 yield _needed(p, held.pop(p))
         for p, ws in held.items():
             yield _needed(p, ws)
@@ -332,7 +332,8 @@ def _word_scores(vocab: DataFrame, scores: DataFrame) -> DataFrame:
         logp = grams["logp"].to_numpy()[order][np.searchsorted(have[order], key)] if len(key) else np.zeros(0)
         return pa.table({"word": words["word"], "c": words["c"], "logp": np.bincount(of, logp, len(w))})
 
-    asked = vocab.select("part", "word").mapInArrow(need, "part long, key long").distinct().join(scores, "key")
+    # a part's words stand in one task, so a gram is asked for once a part (twice does no harm)
+    asked = vocab.select("part", "word").repartition("part").mapInArrow(need, "part long, key long").join(scores, "key")
     return vocab.groupBy("part").cogroup(asked.withColumnRenamed("part", "of_part").groupBy("of_part")).applyInArrow(score, "word binary, c long, logp double")
 
 

@@ -168,8 +168,8 @@ def test_media(spark):
     import random
 
     rng = random.Random(1)
-    vec = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(6)]
-    data = [(0, vec[0]), (1, vec[0]), (50, vec[1][3:] + vec[1][:3]), (3, vec[1]), (4, None), (None, vec[2])]
+    vec = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(6)]
+    data = [(0, vec[0]), (1, vec[0]), (50, vec[1][13:] + vec[1][:13]), (3, vec[1]), (4, None), (None, vec[2])]
     got = {r["media_id"]: r for r in rows(chroma.match(chroma.recordings(spark.createDataFrame(data, "vec_id long, embedding array<double>"))))}
     assert len(got) == 6 and got[0]["class_id"] == got[1]["class_id"] == 0
     assert got[50]["best_class"] == 3 and got[50]["bit_errors"] <= 0.25 and got[3]["n_matches"] is None and got[4]["n_frames"] == 0
