@@ -74,7 +74,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     cold = groups.where(F.col(size) < hot_rows).select(F.col(key).alias("__key"), F.lit(True).alias("__cold"), F.struct(*extra).alias("__rest"))
     out = rows.join(F.broadcast(hot), key, "left")
     is_cold = F.col("__hot").isNull()
-    spread = F.when(is_cold, F.col(key)).otherwise(F.xxhash64(*[F.col(c) for c in rows.columns]))
+    spread = F.when(is_cold, F.col(key)).otherwise(F.xxhash64(*[F.col(c) for c in rows.columns]).cast(rows.schema[key].dataType))
     out = out.withColumns({"__key": spread, "__cold": is_cold}).join(cold, ["__key", "__cold"], "left")
     picked = F.coalesce(F.col("__hot"), F.col("__rest"))
     return out.select(*rows.columns, *[picked[c].alias(c) for c in extra])

@@ -117,7 +117,12 @@ def _brute(points: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int,
 
 def forest(points: np.ndarray, radius: int) -> np.ndarray:
     """For each point the least index of the points it can reach by links within the radius."""
-    root = np.arange(len(points))
+    return roots(len(points), near_blocks(points, radius))
+
+
+def roots(n: int, links) -> np.ndarray:
+    """For each of n points the least index that it can reach by links, which come as blocks (i, j)."""
+    root = np.arange(n)
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -125,7 +130,7 @@ def forest(points: np.ndarray, radius: int) -> np.ndarray:
             k = root[k]
         return k
 
-    for i, j in near_blocks(points, radius):
+    for i, j in links:
         while True:  # follow links of all at once
             up = root[root]
             if (up == root).all():
