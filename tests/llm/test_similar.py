@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rowloom.llm import similar
+from rowloom.llm import similar, vptree
 from rowloom.llm.simhash_dedup import shingle_hashes
 
 
@@ -28,7 +28,7 @@ def likeness(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("tile", [30_000, 7])  # rings in one tile, and cut into many
+@pytest.mark.parametrize("tile", [30_000, 7, 1])  # buckets in one tile, in several, and all of them split
 def test_copies_group_and_others_do_not(spark, monkeypatch, tile):
     monkeypatch.setattr(similar, "TILE_POINTS", tile)
     ts = texts(25, random.Random(3))
@@ -49,10 +49,25 @@ def test_edges(spark):
     assert similar.similar_groups(docs.limit(0)).collect() == []
 
 
-def test_blocks_hold_every_linked_pair():
+def test_links_have_the_components_of_all_linked_pairs():
     rng = np.random.default_rng(2)
-    sizes = np.sort(rng.integers(1, 3000, 1500))
-    words = rng.integers(0, 2**63, (1500, similar.WORDS), dtype=np.uint64)
-    words[1::2] = words[::2] ^ (np.uint64(1) << rng.integers(0, 60, (750, similar.WORDS), dtype=np.uint64))
-    got = {(min(i, j), max(i, j)) for x, y in similar.linked_blocks(words, sizes, np.arange(1500), None, 0.8, similar.WIDE_RADIUS, 64) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
-    assert got == {(k, k + 1) for k in range(0, 1500, 2) if sizes[k] >= 0.8 * sizes[k + 1]}
+    n = 600
+    sizes = rng.integers(900, 1400, n)
+    words = np.repeat(rng.integers(0, 2**63, (6, similar.WORDS), dtype=np.uint64), n // 6, axis=0)
+    for _ in range(9):  # six clouds, wider than the radius
+        words ^= np.uint64(1) << rng.integers(0, 64, (n, similar.WORDS), dtype=np.uint64)
+    d = np.bitwise_count(words[:, None, :] ^ words[None, :, :])
+    close = (d.sum(2) <= similar.WIDE_RADIUS) & (d[:, :, 0] <= similar.FIRST_RADIUS) & (np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes))
+    want = vptree.roots(n, [np.nonzero(close)])
+    got = vptree.roots(n, similar.linked_blocks(words, sizes, 0.8, similar.WIDE_RADIUS, 64))
+    assert 6 < len(set(want.tolist())) < n
+    assert got.tolist() == want.tolist()
+
+
+def test_alike_texts_share_a_band():
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(500):
+        both, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (80, 10, 10))
+        missed += not (similar.band_keys(np.concatenate([both, a])) == similar.band_keys(np.concatenate([both, b]))).any()
+    assert missed <= 2
