@@ -3,13 +3,12 @@
 Audio (16-bit mono PCM) becomes pitch-class frames: windowed spectra folded into 12 classes,
 smoothed over time and normalised. Sixteen Haar-like filters on the integral image of the frames
 are quantised to two Gray-coded bits each: one packed 32-bit integer a frame. Two recordings are
-aligned by the histogram of offsets between equal pairs of integers SPAN frames apart, and compared at the best offset by
-their share of differing bits.
+compared at every offset at which they overlap enough, and aligned where the share of differing
+bits is least, then at the offset nearest to 0.
 
 Equal fingerprints are one class, so copies are compared once. Queries are the recordings whose
-id is divisible by QUERY_EVERY; every recording is in the index, an inverted list of integers.
-
-Recordings of up to SPAN integers have no pairs and only meet their own class.
+id is divisible by QUERY_EVERY; each meets every class, block by block, so no match is missed. The
+differing bits of all offsets of a pair come at once, from the Fourier transforms of the two.
 
 Nulls: null or too short audio has no frames, an empty fingerprint and no match. A null id is
 indexed but never queried. Repeated rows share a class. An empty table gives an empty result.
@@ -36,6 +35,10 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 QUERY_EVERY = 50
 #: Aligned recordings match if at most this share of bits differs over at least this share of the shorter one.
 MOST_ERRORS, LEAST_SHARE = 0.25, 0.5
+#: Integers of one block of classes or queries, and of what is transformed at once; longer recordings stand alone.
+BLOCK_INTS, CHUNK_INTS, CHUNK_ROWS = 32_000, 6_000, 128
+#: Transforms up to this size are in single precision: sums of bits stay exact after rounding, and shares of them apart.
+FINE = 1024
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -125,6 +128,96 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "media_id long, ints array<int>").withColumn("digest", F.sha2(F.array_join(F.transform("ints", F.hex), ","), 256))
 
 
+def _spectra(ints: list[np.ndarray], size: int) -> np.ndarray:
+    """Frequency x recording x bit: transforms of the bits as -1 and 1, with 0 after the end."""
+    bits = np.zeros((len(ints), size, 32), np.float32 if size <= FINE else np.float64)
+    for k, x in enumerate(ints):
+        bits[k, : len(x)] = np.unpackbits(x.astype("<i4").view(np.uint8).reshape(-1, 4), axis=1) * 2.0 - 1
+    return np.fft.rfft(bits, axis=1).transpose(1, 0, 2)
+
+
+def least_errors(own: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """own x others: the least share of differing bits over all offsets of enough overlap, and that offset. Nothing is empty."""
+    m, n = (np.array([len(x) for x in side]) for side in (own, others))
+    alone = [x[:1] if (x == x[0]).all() else x for x in (m, n)]  # one length has one overlap an offset
+    o = np.array(sorted(range(1 - int(m.max()), int(n.max())), key=lambda o: (abs(o), -o)))[:, None, None]
+    y, z = alone[0][:, None], alone[1][None, :]
+    frames = np.minimum(y - np.maximum(-o, 0), z - np.maximum(o, 0))
+    enough = (frames > 0) & (frames >= LEAST_SHARE * np.minimum(y, z))
+    use = enough.any((1, 2))
+    o, frames, enough = o[use].ravel(), frames[use], enough[use]
+    # other offsets may fall on each other, but not on these
+    size = max(int(o.max() + m.max()), int(n.max() - o.min()))
+    while not _smooth(size):
+        size += 1
+    same = np.fft.irfft(np.conj(_spectra(own, size)) @ _spectra(others, size).transpose(0, 2, 1), size, axis=0)[o]
+    np.rint(same, out=same)  # equal less differing bits
+    same /= np.maximum(frames, 1).astype(same.dtype)
+    if not enough.all():
+        same = np.where(enough, same, -np.inf)
+    at = same.argmax(0)
+    best = np.take_along_axis(same, at[None], 0)[0].astype(float)
+    i, j = np.ogrid[: len(m), : len(n)]
+    frames = frames[at, i if len(alone[0]) > 1 else 0, j if len(alone[1]) > 1 else 0]
+    return np.rint((32 * frames - best * frames) / 2) / (32.0 * frames), o[at]
+
+
+def _smooth(n: int) -> bool:
+    for k in (2, 3, 5):
+        while n % k == 0:
+            n //= k
+    return n == 1
+
+
+def _chunks(ints: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """Places of recordings of like lengths, `most` integers and CHUNK_ROWS recordings a chunk, or one recording."""
+    order, out = np.argsort([len(x) for x in ints], kind="stable"), []
+    for k in order.tolist():
+        if out and len(out[-1]) < CHUNK_ROWS and len(ints[k]) * (len(out[-1]) + 1) <= most and len(ints[k]) <= 2 * len(ints[out[-1][0]]):
+            out[-1].append(k)
+        else:
+            out.append([k])
+    return [np.array(c) for c in out]
+
+
+def _best_of_block(table: pa.Table) -> pa.Table:
+    """query, n, bit_errors, class_id, frame_offset: what each query of a block matches among the block's classes."""
+    digest, asks = np.array(table["digest"].to_pylist()), np.array(table["asks"].to_pylist(), bool)
+    ints = [np.array(x, np.int32) for x in table["ints"].to_pylist()]
+    ids = table["class_id"].to_pylist()
+    q, c = np.nonzero(asks)[0], np.nonzero(~asks)[0]
+    n, best = [0] * len(q), [None] * len(q)
+    for x in _chunks([ints[k] for k in q], CHUNK_INTS):
+        for y in _chunks([ints[k] for k in c], CHUNK_INTS):
+            share, offset = least_errors([ints[k] for k in q[x]], [ints[k] for k in c[y]])
+            hit = (share <= MOST_ERRORS) & (digest[q[x]][:, None] != digest[c[y]])
+            share = np.where(hit, share, np.inf)
+            for i, k in enumerate(x.tolist()):
+                if not (found := int(hit[i].sum())):
+                    continue
+                n[k] += found
+                for j in np.nonzero(share[i] == share[i].min())[0].tolist():
+                    name = ids[c[y[j]]]
+                    new = (float(share[i, j]), name is not None, name or 0, int(offset[i, j]))
+                    best[k] = new if best[k] is None else min(best[k], new)
+    rows = [(digest[q[k]], n[k], b[0], b[2] if b[1] else None, b[3]) for k, b in enumerate(best) if b]
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    types = {"query": pa.string(), "n": pa.int64(), "bit_errors": pa.float64(), "class_id": pa.int64(), "frame_offset": pa.int32()}
+    return pa.table({name: pa.array([*v], t) for (name, t), v in zip(types.items(), cols, strict=True)})
+
+
+def aligned(classes: DataFrame) -> DataFrame:
+    """classes(digest, class_id, ints, asked) -> query, n, bit_errors, class_id, frame_offset: up to one row for each block of classes that a query meets."""
+    size = F.size("ints").cast("long")
+    every, queries = (max(1, -(-(n or 0) // BLOCK_INTS)) for n in classes.agg(F.sum(size), F.sum(F.when(F.col("asked"), size))).first())
+    own = lambda n: F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cols, some = ["digest", "class_id", "ints"], classes.where(F.size("ints") > 0)
+    dealt = some.select(F.lit(False).alias("asks"), own(every).alias("c"), upto(queries).alias("q"), *cols)
+    dealt = dealt.unionByName(some.where("asked").select(F.lit(True).alias("asks"), upto(every).alias("c"), own(queries).alias("q"), *cols))
+    return dealt.groupBy("c", "q").applyInArrow(_best_of_block, "query string, n long, bit_errors double, class_id long, frame_offset int")
+
+
 def match(media: DataFrame) -> DataFrame:
     """media_id, n_frames, fp_sha256, class_id, n_matches, best_class, frame_offset, bit_errors: one row per recording.
 
@@ -134,19 +227,7 @@ def match(media: DataFrame) -> DataFrame:
     fps = common.materialize(fingerprints(media), "chroma-fps")
     classes = common.materialize(fps.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.first("ints").alias("ints"), F.max(F.coalesce(F.col("media_id") % QUERY_EVERY == 0, F.lit(False))).alias("asked"), F.count(F.lit(1)).alias("n")), "chroma-classes")
     total = fps.count()
-    # single integers repeat across unrelated recordings; two that lie SPAN frames apart share no frame and seldom do
-    keys = F.when(F.size("ints") > SPAN, F.zip_with(F.slice("ints", F.lit(1), F.size("ints") - SPAN), F.slice("ints", F.lit(SPAN + 1), F.size("ints") - SPAN), lambda a, b: F.xxhash64(a, b)))
-    posts = classes.select("digest", F.posexplode(keys).alias("pos", "value"))
-    asked = classes.where("asked").select(F.col("digest").alias("query"), F.posexplode(keys).alias("at", "value"))
-    votes = asked.join(posts, "value").where("query != digest").groupBy("query", "digest", (F.col("pos") - F.col("at")).alias("frame_offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query", "digest").agg(F.max(F.struct("votes", (-F.abs("frame_offset")).alias("near"), "frame_offset")).alias("b")).select("query", "digest", "b.frame_offset")
-    ints = classes.select("digest", "ints", "class_id")
-    pairs = best.join(ints, "digest").join(ints.select(F.col("digest").alias("query"), F.col("ints").alias("own")), "query")
-    start, other = F.greatest(-F.col("frame_offset"), F.lit(0)), F.greatest(F.col("frame_offset"), F.lit(0))
-    n = F.least(F.size("own") - start, F.size("ints") - other)
-    wrong = F.aggregate(F.zip_with(F.slice("own", start + 1, F.greatest(n, F.lit(0))), F.slice("ints", other + 1, F.greatest(n, F.lit(0))), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda acc, x: acc + x)
-    pairs = pairs.withColumns({"frames": n, "bit_errors": wrong / (32.0 * n)}).where((F.col("frames") >= LEAST_SHARE * F.least(F.size("own"), F.size("ints"))) & (F.col("bit_errors") <= MOST_ERRORS))
-    top = pairs.groupBy("query").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("bit_errors", "class_id", "frame_offset")).alias("top"))
+    top = aligned(classes).groupBy("query").agg(F.sum("n").alias("n_matches"), F.min(F.struct("bit_errors", "class_id", "frame_offset")).alias("top"))
     named = classes.join(top.withColumnRenamed("query", "digest"), "digest", "left").select("digest", "class_id", "n", "n_matches", "top")
     out = fps.select("media_id", "digest", F.size("ints").alias("n_frames"))
     keyed = out.withColumn("key", F.xxhash64("digest"))
