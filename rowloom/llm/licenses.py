@@ -6,9 +6,10 @@ the class `none`. Its probabilities are calibrated by a temperature on paragraph
 fitted, among them notices of no known family; what stays below CERTAIN is `unknown`. A prediction
 counts only if the paragraph also holds enough of the family's template.
 
-Every n-gram of the model holds at least one anchor, a word of the templates that corpus paragraphs
-rarely have. A paragraph without an anchor therefore has no features and is `none` whatever the
-rest: it is passed over without computing that.
+Every n-gram of the model holds an anchor, a word of the templates that paragraphs beside notices
+rarely have, or a key, one of the word pairs that no paragraph with enough of a template can lack
+all of. A paragraph without either therefore has no features and is `none` whatever the rest: it is
+passed over without computing that. However common a notice is, it keeps its keys.
 
 Nulls: a null text is empty and has no paragraphs. Repeated rows give equal results. Very long
 texts are scanned whole.
@@ -51,7 +52,7 @@ NOTICE_WORDS = {"licence", "licenced", "license", "licensed", "copyright"}
 STRANGERS = ["licensed under the {} license version {}", "released under the {} public license", "subject to the {} terms of use version {}"]
 SAMPLE_DOCS, NEGATIVES, VARIANTS = 2_000, 8_000, 40
 MOST_GRAM, ROUNDS, RATE, DECAY = 3, 300, 0.5, 1e-4
-#: An anchor is in at most this share of the corpus's sampled paragraphs.
+#: An anchor is in at most this share of the corpus's sampled paragraphs, notices left out.
 ANCHOR_SHARE = 0.002
 CERTAIN, LEAST_COVER = 0.7, 0.6
 
@@ -67,10 +68,23 @@ def words(paragraph: bytes) -> list[str]:
     return [w.decode() for w in _WORD.findall(paragraph)]
 
 
-def features(ws: list[str], anchors: frozenset[str] | set[str]) -> set[str]:
-    """n-grams up to MOST_GRAM words that hold an anchor."""
+def features(ws: list[str], anchors: frozenset[str] | set[str], keys: frozenset[tuple[str, str]] = frozenset()) -> set[str]:
+    """n-grams up to MOST_GRAM words that hold an anchor or a key."""
     at = [i for i, w in enumerate(ws) if w in anchors]
-    return {" ".join(ws[s : s + n]) for i in at for n in range(1, MOST_GRAM + 1) for s in range(max(0, i - n + 1), i + 1) if s + n <= len(ws)}
+    out = {" ".join(ws[s : s + n]) for i in at for n in range(1, MOST_GRAM + 1) for s in range(max(0, i - n + 1), i + 1) if s + n <= len(ws)}
+    if keys:
+        at = [i for i, k in enumerate(zip(ws, ws[1:], strict=False)) if k in keys]
+        out |= {" ".join(ws[s : s + n]) for i in at for n in range(2, MOST_GRAM + 1) for s in range(max(0, i - n + 2), i + 1) if s + n <= len(ws)}
+    return out
+
+
+def key_pairs(anchors: frozenset[str], seen: Counter) -> frozenset[tuple[str, str]]:
+    """Of each template's word pairs so many that a paragraph with LEAST_COVER of them has one: those with anchors and seldom seen words first."""
+    out = set()
+    for t in (t.split() for ts in TEMPLATES.values() for t in ts):
+        pairs = sorted(set(zip(t, t[1:], strict=False)), key=lambda k: (anchors.isdisjoint(k), min(seen[w] for w in k), k))
+        out.update(pairs[: sum(1 for gone in range(len(pairs)) if (len(pairs) - gone) / len(pairs) >= LEAST_COVER)])
+    return frozenset(out)
 
 
 def _variants(rng: random.Random, filler: list[str]) -> list[tuple[str, list[str]]]:
@@ -130,21 +144,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     found = [r[0].split() for r in sample.mapInArrow(take, "p string").orderBy(F.xxhash64("p")).limit(NEGATIVES).collect()]
     rng = random.Random(seed)
-    seen = Counter(w for ws in found for w in set(ws) & least)
-    anchors = frozenset(w for w in least if not w.replace(".", "").isdigit() and seen[w] <= max(1, ANCHOR_SHARE * len(found)) and len(w) > 1) | {"license", "licensed", "copyright"}
     # paragraphs that repeat a template nearly whole are notices, not negatives
     notices = [set(t.split()) for ts in TEMPLATES.values() for t in ts]
-    negatives = [ws for ws in found if not (s := set(ws)) & anchors or max(len(s & t) / len(t) for t in notices) < LEAST_COVER]
+    negatives = [ws for ws in found if not (s := set(ws) & least) or max(len(s & t) / len(t) for t in notices) < LEAST_COVER]
+    seen = Counter(w for ws in negatives for w in set(ws) & least)
+    anchors = frozenset(w for w in least if not w.replace(".", "").isdigit() and seen[w] <= max(1, ANCHOR_SHARE * len(found)) and len(w) > 1) | {"license", "licensed", "copyright"}
+    keys = key_pairs(anchors, seen)
     filler = [w for ws in negatives[:200] for w in ws] or ["and"]
     families = sorted(TEMPLATES)
     made = _variants(rng, filler)
     rng.shuffle(made)
-    rows = [(families.index(f), features(ws, anchors)) for f, ws in made] + [(len(families), features(ws, anchors)) for ws in negatives]
+    rows = [(families.index(f), features(ws, anchors, keys)) for f, ws in made] + [(len(families), features(ws, anchors, keys)) for ws in negatives]
     rows = [r for r in rows if r[1]] or [(len(families), {"license"})]
-    strange = [(len(families), features(ws, anchors)) for ws in _strangers(rng, 400)]
+    strange = [(len(families), features(ws, anchors, keys)) for ws in _strangers(rng, 400)]
     kept = [r for k, r in enumerate(rows) if k % 5] + strange[::2]
     index, w, bias = fit(kept, len(families) + 1)
-    model = {"families": families, "anchors": anchors, "index": index, "w": w, "bias": bias, "temperature": 1.0, "key": uuid.uuid4().hex}
+    model = {"families": families, "anchors": anchors, "keys": keys, "index": index, "w": w, "bias": bias, "temperature": 1.0, "key": uuid.uuid4().hex}
     model["temperature"] = _temperature(model, [r for k, r in enumerate(rows) if not k % 5] + strange[1::2])
     return model
 
@@ -179,7 +194,7 @@ def cover(ws: list[str], family: str) -> float:
 def classify(model: dict, paragraph: bytes) -> tuple[str, float]:
     """Family, `unknown` or `none`, with its probability."""
     ws = words(paragraph)
-    fs = features(ws, model["anchors"])
+    fs = features(ws, model["anchors"], model["keys"])
     if not any(g in model["index"] for g in fs):
         return NONE, 1.0
     p = probabilities(model, fs)
@@ -198,11 +213,14 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         anchors = frozenset(a.encode() for a in m["anchors"])
+        # of keys without an anchor both words must be there; numbers may be cut differently here, so they are not asked for
+        loose = {frozenset(w.encode() for w in k if "." not in w) for k in m["keys"] if m["anchors"].isdisjoint(k)}
         for b in batches:
             rows = []
             for t in b.column("text").to_pylist():
                 low = (t or b"").translate(_BLANK)
-                if anchors.isdisjoint(low.replace(b".", b" ").split()) and anchors.isdisjoint(low.split()):
+                had = {*low.replace(b".", b" ").split(), *low.split()}
+                if anchors.isdisjoint(had) and not any(k <= had for k in loose):
                     rows.append((sum(1 for p in low.replace(b"\r", b"\n").split(b"\n") if p.strip()), 0, "", -1, 0.0))
                     continue
                 ps = paragraphs(t)
