@@ -88,18 +88,19 @@ def _rank() -> Column:
     return F.struct((-F.col("points")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, memtables: int = 4) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, memtables: int = 4, uid_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and `uid` if uid_col names a column that tells rows apart.
 
     Of equal texts the row with the most code points stays, then the smallest id, then the first
     read. `digest` maps the normalised text to a long; a weak one only costs time.
     """
     spark = docs.sparkSession
     digest = digest or F.xxhash64
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(uid_col).cast("long").alias("uid")] if uid_col else []))
+    uid = F.col("uid") if uid_col else F.monotonically_increasing_id()
     texts = texts.withColumn("norm", normalised(F.col("text")))
     log = common.materialize(
-        texts.select("doc_id", digest(F.col("norm")).cast("long").alias("digest"), F.length("text").alias("points"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("uid")),
+        texts.select("doc_id", digest(F.col("norm")).cast("long").alias("digest"), F.length("text").alias("points"), F.sha2("norm", 256).alias("text_sha256"), uid.alias("uid")),
         "dedup-log",
     )
     total = log.count()
@@ -112,22 +113,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     checked = common.materialize(met.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same")), "dedup-verified")
     differ = checked.where("not same").select("digest")
     if not differ.isEmpty():
-        return _split(texts, log, hits, differ, total, digest)
-    return _assign(log, hits, total)
+        out = _split(texts.withColumn("uid", uid), log, hits, differ, total, digest)
+    else:
+        out = _assign(log, hits, total)
+    return out if uid_col else out.drop("uid")
 
 
 def _assign(log: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     out = common.join_groups(log, groups.select("digest", "best", "n"), "digest", "n", total)
     keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     kept = F.col("best").isNull() | (F.col("best.uid") == F.col("uid"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", "uid")
 
 
 def _split(texts: DataFrame, log: DataFrame, hits: DataFrame, differ: DataFrame, total: int, digest) -> DataFrame:
     """Rows whose digest stands for several texts are grouped by the texts; the others stay as they are."""
     sound = _assign(log.join(differ, "digest", "left_anti"), hits.join(differ, "digest", "left_anti"), total)
-    odd = texts.withColumn("uid", F.monotonically_increasing_id()).withColumn("points", F.length("text")).withColumn("digest", digest(F.col("norm")).cast("long"))
+    odd = texts.withColumn("points", F.length("text")).withColumn("digest", digest(F.col("norm")).cast("long"))
     odd = common.materialize(odd.join(differ, "digest", "left_semi").select("doc_id", "norm", "points", "uid", F.sha2("norm", 256).alias("text_sha256")), "dedup-odd")
     by_text = odd.groupBy("norm").agg(F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("n"))
     out = odd.join(by_text, "norm")
-    return sound.unionByName(out.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.uid") == F.col("uid")).alias("kept"), "text_sha256"))
+    return sound.unionByName(out.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.uid") == F.col("uid")).alias("kept"), "text_sha256", "uid"))

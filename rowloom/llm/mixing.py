@@ -31,17 +31,18 @@ GROUP_ROWS, FAN_IN = 2_000, 1_000
 EPS = 1e-9
 
 
-def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: the number of words between [\\x20\\x09-\\x0D]."""
+def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", uid_col: str | None = None) -> DataFrame:
+    """doc_id, source, size: the number of words between [\\x20\\x09-\\x0D], and `uid` if uid_col names it."""
     common.small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = [0 if t is None else len(t.split()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), *[b.column(c) for c in more]], ["doc_id", "source", "size", *more])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"))
-    return cols.mapInArrow(count, "doc_id long, source string, size long")
+    more = ["uid"] if uid_col else []
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"), *[F.col(uid_col).cast("long").alias(c) for c in more])
+    return cols.mapInArrow(count, "doc_id long, source string, size long" + ", uid long" * len(more))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
@@ -121,8 +122,9 @@ def _cube(seed: int, last: bool):
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, seed: int = 17, **cols: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row per input row."""
-    sizes = common.materialize(word_sizes(docs, **cols).withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
+    """doc_id, size, source_size, target, taken, copies, and `uid` if uid_col names a column that tells rows apart: one row per input row."""
+    sizes, named = word_sizes(docs, **cols), cols.get("uid_col") is not None
+    sizes = common.materialize(sizes if named else sizes.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
     targets = common.materialize(source_targets(sizes, weights, most_times), "mix-targets")
     n_sources = targets.count()
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -144,4 +146,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, seed: in
     for part in done:
         rows = rows.unionByName(part)
     copies = F.col("whole") + F.col("prob").cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), *["uid"] * named)
