@@ -22,7 +22,7 @@ def log1p(m: DataFrame) -> DataFrame:
 
 
 def densify(m: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
-    """Every cell with every gene; callers cut one of the two down first."""
+    """Every cell with every gene: cells x genes rows."""
     grid = cells.select("cell_id").crossJoin(F.broadcast(genes.select("gene_id")))
     return grid.join(m, ["cell_id", "gene_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
 

@@ -207,7 +207,7 @@ def binomial_resampled(spark, d):
 
 @query()
 def gaussian_noise_augmented(spark, d):
-    return tr.gaussian_noise(_grid(spark, d), 0.1, 0.2, 1.0, 7)
+    return tr.gaussian_noise(tr.densify(virtual.matrix(spark, d), virtual.cells(spark, d), virtual.genes(spark, d)), 0.1, 0.2, 1.0, 7)
 
 
 # categories ---------------------------------------------------------------------------------------
