@@ -31,7 +31,7 @@ from . import common
 SEQUENCE = 2048
 END_ID = 0
 #: Rows of one slice of a length, in which ranks are counted.
-SLICE_ROWS = 4_000
+SLICE_ROWS = 500
 
 #: Fixed value: how byte-level tokenizers of this kind cut a text before merging bytes.
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
