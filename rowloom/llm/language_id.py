@@ -6,31 +6,35 @@ one gram is known, tried from GRAM_ORDERS[0] down. Scores add up over the text,
 of the best language is the row's score.
 
 The model is learnt from a bounded sample of labelled rows (SAMPLE_ROWS, a hash of the id decides)
-and keeps the MODEL_WORDS most frequent words and MODEL_GRAMS grams of each order, so its size has
-a bound. Counting is distributed.
+and has every word and gram that the sample holds at least LEAST_COUNT times, so its size is that of the
+sample's vocabulary. Counting is distributed.
+
+A word is a run of letters with the combining marks on them, by Unicode category; digits that look
+like letters, signs and numerals are none.
 
 Nulls: a null text, or one without letters, is `und` with score 0; so is everything when no
 labelled row was there to learn from. A null language is not learnt from. Repeated rows count as often as they
-occur. Very long texts are scored whole.
+occur. Ties of two languages go to the first by name. Very long texts are scored whole. An empty table gives
+an empty result. Of columns to keep, one that is named like a column of the result gives way to it.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SAMPLE_ROWS = 8_000
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 20_000
+#: A word or gram that the sample holds less often says too little of its frequency.
+LEAST_COUNT = 3
 GRAM_ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -39,7 +43,7 @@ CACHE_WORDS = 500_000
 
 #: ASCII letters in lower case, everything else in ASCII a blank; other bytes stay.
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _scorers: dict[str, "Scorer"] = {}
 
 
@@ -48,7 +52,7 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 def letters(word: bytes) -> list[str]:
-    return [w for w in _NOT_LETTERS.split(word.decode("utf-8", "replace").lower()) if w]
+    return _LETTERS.findall(word.decode("utf-8", "replace").lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -60,7 +64,7 @@ class Scorer:
     """Sums of log scores for texts; keeps the scores of words that it met."""
 
     def __init__(self, model: dict):
-        self.langs, self.words, self.grams, self.prior = model["langs"], model["words"], model["grams"], model["prior"]
+        self.langs, self.words, self.grams, self.logs, self.prior = (model[k] for k in ("langs", "words", "grams", "logs", "prior"))
         self.forget()
 
     def forget(self) -> None:
@@ -68,13 +72,13 @@ class Scorer:
         self.table = np.zeros((1 << 12, len(self.langs) + 1))
 
     def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        at = self.words.get(word)
+        if at is not None:
+            return self.logs[at]
         for n in GRAM_ORDERS:
             found = [g for g in map(self.grams.get, grams(word, n)) if g is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def _learn(self, new: list[bytes]) -> None:
@@ -123,11 +127,14 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _gram_counts(words: DataFrame) -> DataFrame:
+def _with_grams(words: DataFrame) -> DataFrame:
+    """lang, k (0: the word itself), key, n."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
             for lang, w, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+                seen[lang, 0, w] += n
                 for k in GRAM_ORDERS:
                     for g in grams(w, k):
                         seen[lang, k, g] += n
@@ -135,66 +142,80 @@ def _gram_counts(words: DataFrame) -> DataFrame:
                 yield _flushed(seen)
         yield _flushed(seen)
 
-    return words.mapInArrow(count, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(count, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
 
 
 def _flushed(seen: Counter) -> pa.RecordBatch:
     keys = list(seen)
-    out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "k", "gram", "n"])
+    out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "k", "key", "n"])
     seen.clear()
     return out
 
 
-def _most_frequent(counts: DataFrame, keys: list[str], most: int) -> list:
-    """(key, {lang: n}) of the most frequent keys over all languages."""
-    by_key = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("each"))
-    return by_key.orderBy(F.desc("total"), *keys).limit(most).collect()
-
-
-def train(labelled: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> dict:
+def train(labelled: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_count: int = LEAST_COUNT) -> dict:
     """Model from rows with text and lang; the caller has taken out what must not be learnt from."""
     common.small_batches(labelled.sparkSession)
     rows = common.bounded_sample(labelled.where("lang is not null and text is not null"), id_col, sample_rows)
     rows = common.materialize(rows.select("lang", "text"), "langid-sample")
-    words = common.materialize(_counted(rows), "langid-words")
-    gram_counts = common.materialize(_gram_counts(words), "langid-grams")
-    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
+    counts = common.materialize(_with_grams(_counted(rows)), "langid-counts")
     docs_by = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    totals = {(r["lang"], r["k"]): r["n"] for r in counts.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted({lang for lang, _ in totals})
     prior = np.log(np.array([docs_by[x] for x in langs], float) / max(1, sum(docs_by[x] for x in langs))) if langs else np.zeros(0)
+    by_key = counts.groupBy("k", "key").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)], F.sum("n").alias("total"))
+    kept = by_key.where(F.col("total") >= least_count).drop("total").toArrow()  # the bounded sample's vocabulary
+    order, n = kept["k"].to_numpy(), np.stack([kept[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
+    sizes = np.bincount(order, minlength=max(GRAM_ORDERS) + 1) + 1
+    all_of = np.array([[totals.get((x, k), 0) for x in langs] for k in range(len(sizes))], float).reshape(len(sizes), len(langs))
+    logs = np.log((n + SMOOTH) / (all_of + SMOOTH * sizes[:, None])[order]) if len(order) else np.zeros((0, len(langs)))
+    keys, is_word = kept["key"].to_pylist(), (order == 0).tolist()
+    words = {w: i for i, (w, own) in enumerate(zip(keys, is_word, strict=True)) if own}
+    parts = {g: i for i, (g, own) in enumerate(zip(keys, is_word, strict=True)) if not own}
+    return {"langs": langs, "prior": prior, "words": words, "grams": parts, "logs": logs, "key": uuid.uuid4().hex}
+
+
+def _scorer(model: dict) -> Scorer:
+    if model["key"] not in _scorers:
+        _scorers.clear()
+        _scorers[model["key"]] = Scorer(model)
+    return _scorers[model["key"]]
+
 
-    def logs(kept: list, totals: dict) -> dict:
-        size = len(kept) + 1
-        return {r[-3]: np.array([np.log((r["each"].get(x, 0) + SMOOTH) / (totals[x] + SMOOTH * size)) for x in langs]) for r in kept}
+def _scored(model: dict, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+    if not model["langs"]:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    return _scorer(model).score([t or b"" for t in texts])
+
+
+def with_language(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language, with all their columns, whatever their names."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, _ = _scored(shared.value, b.column(at).cast(pa.binary()).to_pylist())
+            yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    model = {"langs": langs, "prior": prior, "words": logs(_most_frequent(words, ["word"], MODEL_WORDS), totals), "grams": {}}
-    gram_totals = {(r["lang"], r["k"]): r["n"] for r in gram_counts.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()}
-    for k in GRAM_ORDERS:
-        kept = _most_frequent(gram_counts.where(F.col("k") == k), ["gram"], MODEL_GRAMS)
-        model["grams"] |= logs(kept, {x: gram_totals.get((x, k), 0) for x in langs})
-    model["key"] = uuid.uuid4().hex
-    return model
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, columns to keep, lang_pred, score for each row."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if m["key"] not in _scorers:
-            _scorers.clear()
-            _scorers[m["key"]] = Scorer(m)
         for b in batches:
-            texts = [t or b"" for t in b.column("__text").to_pylist()]
-            langs, p = _scorers[m["key"]].score(texts) if m["langs"] else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(langs, pa.string()), pa.array(p, pa.float64())], [*names, "lang_pred", "score"])
+            langs, p = _scored(shared.value, b.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(names))], pa.array(langs, pa.string()), pa.array(p, pa.float64())], [*names, "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("binary").alias("__text"))
-    names = [c for c in rows.columns if c != "__text"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    keep = tuple(c for c in keep if c not in ("doc_id", "lang_pred", "score"))
+    kept = docs.select(F.col(id_col).alias("doc_id"), *keep)
+    names, kinds = kept.columns, {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("binary").alias("__" + "_".join(names)))  # a name that no other column has
     return rows.mapInArrow(score, ", ".join([*[f"`{c}` {kinds[c]}" for c in names], "lang_pred string, score double"]))
 
 

@@ -5,11 +5,13 @@ probability is a logistic of the weights of its words; the document's is their n
 for labels that no sentence explains: 1 - (1 - leak) x product(1 - p). Weights are fitted to
 document labels, and then tell which sentence is to blame.
 
-The model is fitted to a bounded sample of labelled rows (SAMPLE_ROWS) on at most FEATURES words,
-those whose document counts differ most between the labels. Scoring covers all rows and whole texts.
+The model is fitted to a bounded sample of labelled rows (SAMPLE_ROWS) on all words whose document
+counts differ between the labels by LEAST_Z standard deviations. Scoring covers all rows and whole texts.
 
 Nulls: a null text is empty; texts without a known word score the leak alone. A null label is not
-learnt from. Without labels of both kinds every score is 0. Repeated rows are scored alike.
+learnt from. Without labels of both kinds every score is 0. Repeated rows are scored alike; a label given twice
+is toxic if one of them says so. Ties of two sentences blame the first. Very long texts are scored whole.
+Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_ROWS = 12_000
-FEATURES = 5_000
 #: A word needs so many sampled documents and so many standard deviations between the labels.
 LEAST_DOCS, LEAST_Z = 4, 2.5
 #: Log odds of a sentence without any known word; low, so that long clean texts stay clean.
@@ -118,7 +119,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMPLE
     share = (F.col("clean") + F.col("toxic")) / (n0 + n1)
     z = (F.col("toxic") - n1 * share) / F.sqrt(n1 * share * (1 - share) + 0.25)
     kept = _word_counts(rows).where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
-    kept = kept.orderBy(F.desc(F.abs("z")), "word").limit(FEATURES).collect()
+    kept = kept.orderBy("word").collect()  # words of the bounded sample
     words = {bytes(r["word"]): k for k, r in enumerate(kept)}
     start = np.array([np.log((r["toxic"] + 0.5) / n1) - np.log((r["clean"] + 0.5) / n0) for r in kept])
     bags = [(r["label"], r["sentence"], r["feature"]) for r in _bags(rows, words).toLocalIterator()]
@@ -164,7 +165,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame
     """doc_id, columns to keep, score, predicted, worst_sentence, worst_score."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by FEATURES
+    shared = spark.sparkContext.broadcast(model)  # words of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value)
