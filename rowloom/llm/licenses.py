@@ -1,18 +1,21 @@
 """Licence scans: a trained paragraph classifier with a template comparison behind it.
 
 Paragraphs are lines. A multinomial logistic regression over sparse word n-grams is fitted to
-paragraphs made from the templates below and to a bounded sample of the corpus's own paragraphs as
-the class `none`. Its probabilities are calibrated by a temperature on paragraphs that were not
-fitted, among them notices of no known family; what stays below CERTAIN is `unknown`. A prediction
-counts only if the paragraph also holds enough of the family's template.
+paragraphs made from the templates below (their families), to notices of made-up licences (the class
+`unknown`), and to a bounded sample of the corpus's own paragraphs and of prose with single words of
+notices in it (the class `none`). Its probabilities are calibrated by a temperature on paragraphs that were
+not fitted. A family counts from CERTAIN on and only if the paragraph also holds enough of the family's
+template; else the paragraph is `unknown` if all but `none` together reach CERTAIN, and `none` otherwise.
 
 Every n-gram of the model holds an anchor, a word of the templates that paragraphs beside notices
 rarely have, or a key, one of the word pairs that no paragraph with enough of a template can lack
 all of. A paragraph without either therefore has no features and is `none` whatever the rest: it is
 passed over without computing that. However common a notice is, it keeps its keys.
 
-Nulls: a null text is empty and has no paragraphs. Repeated rows give equal results. Very long
-texts are scanned whole.
+Nulls: a null text is empty and has no paragraphs; a null id is kept. Repeated rows give equal results.
+Ties of two classes go to the first by name. Very long texts are scanned whole; for fitting, a sampled
+paragraph counts in pieces of PIECE_WORDS. Other columns are ignored, whatever their names. An empty table
+gives an empty result, and a corpus without paragraphs a model of the templates alone.
 """
 
 from __future__ import annotations
@@ -47,10 +50,18 @@ TEMPLATES = {
     "proprietary": ["all rights reserved", "copyright all rights reserved no part may be reproduced without prior written permission"],
 }
 NONE, UNKNOWN = "none", "unknown"
-#: Without one of these a paragraph that no family explains is no notice.
-NOTICE_WORDS = {"licence", "licenced", "license", "licensed", "copyright"}
-STRANGERS = ["licensed under the {} license version {}", "released under the {} public license", "subject to the {} terms of use version {}"]
+#: How notices of licences that have no template read; two made-up names and a number go into each.
+STRANGERS = [
+    "licensed under the {} license version {}", "licensed under the {} license", "released under the {} public license", "released under the {} {} license", "subject to the {} terms of use version {}",
+    "distributed under the {} software license version {}", "this file is made available under the {} license", "see the {} license for the language governing permissions", "this software is provided under the {} license agreement",
+    "use of this work is governed by the {} licence version {}", "published under the {} open content licence {}", "available under the terms of the {} {} license {}",
+]
+#: Words that name a licence; always anchors, and half of the words that prose for the class `none` gets.
+NAMES = ("copyright", "licence", "licenced", "license", "licensed")
+#: Bounds of the sample of unlabelled rows that gives the class `none`, and paragraphs made of each template.
 SAMPLE_DOCS, NEGATIVES, VARIANTS = 2_000, 8_000, 40
+#: Words of a piece of a sampled paragraph, made-up notices, and pieces of prose with single words of notices.
+PIECE_WORDS, NOTICES, LOOSE = 200, 1_200, 2_400
 MOST_GRAM, ROUNDS, RATE, DECAY = 3, 300, 0.5, 1e-4
 #: An anchor is in at most this share of the corpus's sampled paragraphs, notices left out.
 ANCHOR_SHARE = 0.002
@@ -101,9 +112,30 @@ def _variants(rng: random.Random, filler: list[str]) -> list[tuple[str, list[str
     return out
 
 
-def _strangers(rng: random.Random, n: int) -> list[list[str]]:
-    made = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
-    return [rng.choice(STRANGERS).format(made(), rng.randint(1, 9)).split() for _ in range(n)]
+def _strangers(rng: random.Random, n: int, filler: list[str]) -> list[list[str]]:
+    """Notices of licences with names of one to three made-up words, some within other words."""
+    name = lambda: " ".join("".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3)))
+    out = []
+    for _ in range(n):
+        t = rng.choice(STRANGERS)
+        slots = [name() for _ in range(t.count("{}") - 1)] if t.endswith("{}") else [name() for _ in range(t.count("{}"))]
+        if len(slots) < t.count("{}"):
+            slots.append(str(rng.randint(1, 9)) + rng.choice(["", ".0", ".1"]))
+        around = [rng.choice(filler) for _ in range(rng.choice((0, 0, 3, 10)))]
+        cut = rng.randint(0, len(around))
+        out.append([*around[:cut], *t.format(*slots).split(), *around[cut:]])
+    return out
+
+
+def _loose(rng: random.Random, n: int, filler: list[str], vocabulary: list[str]) -> list[list[str]]:
+    """Prose with one or two words of notices, each between other words."""
+    out = []
+    for _ in range(n):
+        ws = [rng.choice(filler) for _ in range(rng.randint(5, 16))]
+        for _ in range(rng.randint(1, 2)):
+            ws.insert(rng.randint(1, len(ws)), rng.choice(vocabulary if rng.random() < 0.5 else NAMES))
+        out.append(ws)
+    return out
 
 
 def fit(rows: list[tuple[int, set[str]]], classes: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
@@ -137,9 +169,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b.column("text").to_pylist():
-                ps = paragraphs(t)
-                out += [" ".join(words(p)[:200]) for p in random.Random(len(ps)).sample(ps, min(len(ps), 8))]
+            for p in (p for t in b.column("text").to_pylist() for p in paragraphs(t)):
+                ws = words(p)
+                out += [" ".join(ws[k : k + PIECE_WORDS]) for k in range(0, len(ws), PIECE_WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["p"])
 
     found = [r[0].split() for r in sample.mapInArrow(take, "p string").orderBy(F.xxhash64("p")).limit(NEGATIVES).collect()]
@@ -148,19 +180,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     notices = [set(t.split()) for ts in TEMPLATES.values() for t in ts]
     negatives = [ws for ws in found if not (s := set(ws) & least) or max(len(s & t) / len(t) for t in notices) < LEAST_COVER]
     seen = Counter(w for ws in negatives for w in set(ws) & least)
-    anchors = frozenset(w for w in least if not w.replace(".", "").isdigit() and seen[w] <= max(1, ANCHOR_SHARE * len(found)) and len(w) > 1) | {"license", "licensed", "copyright"}
+    anchors = frozenset(w for w in least if not w.replace(".", "").isdigit() and seen[w] <= max(1, ANCHOR_SHARE * len(found)) and len(w) > 1) | set(NAMES)
     keys = key_pairs(anchors, seen)
     filler = [w for ws in negatives[:200] for w in ws] or ["and"]
     families = sorted(TEMPLATES)
     made = _variants(rng, filler)
     rng.shuffle(made)
-    rows = [(families.index(f), features(ws, anchors, keys)) for f, ws in made] + [(len(families), features(ws, anchors, keys)) for ws in negatives]
-    rows = [r for r in rows if r[1]] or [(len(families), {"license"})]
-    strange = [(len(families), features(ws, anchors, keys)) for ws in _strangers(rng, 400)]
-    kept = [r for k, r in enumerate(rows) if k % 5] + strange[::2]
-    index, w, bias = fit(kept, len(families) + 1)
+    none, unknown = len(families), len(families) + 1
+    vocabulary = sorted(w for w in anchors if w.isalpha())
+    rows = [(families.index(f), ws) for f, ws in made] + [(none, ws) for ws in negatives + _loose(rng, LOOSE, filler, vocabulary)] + [(unknown, ws) for ws in _strangers(rng, NOTICES, filler)]
+    rng.shuffle(rows)
+    rows = [(c, fs) for c, fs in ((c, features(ws, anchors, keys)) for c, ws in rows) if fs]
+    index, w, bias = fit([r for k, r in enumerate(rows) if k % 5], len(families) + 2)
     model = {"families": families, "anchors": anchors, "keys": keys, "index": index, "w": w, "bias": bias, "temperature": 1.0, "key": uuid.uuid4().hex}
-    model["temperature"] = _temperature(model, [r for k, r in enumerate(rows) if not k % 5] + strange[1::2])
+    model["temperature"] = _temperature(model, rows[::5])
     return model
 
 
@@ -198,10 +231,12 @@ def classify(model: dict, paragraph: bytes) -> tuple[str, float]:
     if not any(g in model["index"] for g in fs):
         return NONE, 1.0
     p = probabilities(model, fs)
+    n = len(model["families"])
     k = int(p.argmax())
-    if k < len(model["families"]) and p[k] >= CERTAIN and cover(ws, model["families"][k]) >= LEAST_COVER:
+    if k < n and p[k] >= CERTAIN and cover(ws, model["families"][k]) >= LEAST_COVER:
         return model["families"][k], float(p[k])
-    return (UNKNOWN if NOTICE_WORDS & set(ws) else NONE), float(p[k])
+    some = float(1 - p[n])
+    return (UNKNOWN, some) if some >= CERTAIN else (NONE, 1 - some)
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

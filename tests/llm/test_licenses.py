@@ -29,3 +29,37 @@ def test_enough_of_a_template_has_a_key():
                 for e in range(s + 2, len(ws) + 1):
                     pairs = set(zip(ws[s:e], ws[s + 1 : e], strict=False))
                     assert licenses.cover(ws[s:e], family) < licenses.LEAST_COVER or pairs & keys or len(pairs) < 2
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_real_licences_without_a_template_are_unknown(model):
+    notices = ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the EUPL License", "This file is made available under the Zlib license", "Released under the Eclipse Public License", "available under the terms of the Artistic License 2.0", "Licensed under the European Union Public Licence version 1.2", "Published under the Open Database License 1.0", "Use of this software is governed by the Sleepycat license"]
+    got = [licenses.classify(model, licenses.paragraphs(t.encode())[0])[0] for t in notices]
+    assert sum(g == "unknown" for g in got) >= 7, list(zip(notices, got, strict=True))
+
+
+def test_prose_with_words_of_notices_is_none(model):
+    prose = ["She lost her driver's license on the bus yesterday", "The book enters copyright law history", "He was granted permission to leave and took the train", "The general public was not amused", "A licensed plumber came in the morning", "They hold the rights and reserved a table for four", "Her licence plate was stolen", "This version of the story is the better one"]
+    got = [licenses.classify(model, licenses.paragraphs(t.encode())[0])[0] for t in prose]
+    assert sum(g == "none" for g in got) >= 7 and got[0] == "none" and got[1] == "none", list(zip(prose, got, strict=True))
+
+
+def test_held_out_paragraphs(model, spark):
+    import random
+
+    rng = random.Random(77)
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    prose = [p for t in rows for p in licenses.paragraphs((t or "").encode())]
+    filler = [w for p in prose[:100] for w in licenses.words(p)]
+    made = [(f, " ".join(ws)) for f, ws in licenses._variants(rng, filler)] + [("unknown", " ".join(ws)) for ws in licenses._strangers(rng, 300, filler)]
+    right = {}
+    for f, t in made:
+        right.setdefault(f, []).append(licenses.classify(model, t.encode())[0] == f)
+    share = {f: sum(x) / len(x) for f, x in right.items()}
+    assert all(v >= 0.6 for v in share.values()) and sum(map(sum, right.values())) >= 0.85 * len(made), (share, sum(map(sum, right.values())) / len(made))
+    clean = [licenses.classify(model, p)[0] for p in prose if not any(licenses.cover(licenses.words(p), f) >= 0.3 for f in licenses.TEMPLATES)]
+    assert sum(c != "none" for c in clean) <= 0.005 * len(clean)
