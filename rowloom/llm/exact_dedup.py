@@ -1,14 +1,19 @@
 """Exact duplicates through a log-structured merge index, with DataFrame functions only.
 
-Memtables are slices of the rows. Each flushes one sorted run: a digest, the best row and the row
-count, as Parquet sorted by digest with Bloom filters, and a bitmap filter for probes of later
-batches. Compaction merges runs by digest and keeps the best identifier. Digests met more than
+Memtables are slices of the rows. Each flushes one run sorted by digest, with the best row and the row
+count of each digest, and a bitmap filter. Every digest of a run then asks the filters of the other
+runs: what none of them may hold and was met once is in no group, and takes no part in the
+compaction, which merges the rest of the runs by digest and keeps the smallest identifier. Digests met more than
 once are hits: the smallest and largest normalised text of each must be the same bytes. A digest
 that fails this is split by the text itself.
 
+Filters have FILTER_BITS bits a row, so a digest passes wrongly about once in FILTER_BITS a run; passing only
+costs its share of the compaction. Filters are asked where they are (counted) small enough to be
+broadcast; beyond that asking would move what it saves, and all digests are compacted.
+
 Nulls: a null text counts as empty; a null id is a row of its own and sorts last among ties.
-Repeated rows, also with one id, are copies of which one is kept. Empty tables give empty results.
-Other columns are ignored.
+Repeated rows, also with one id, are copies of which one is kept. Very long texts are digested and compared whole.
+Empty tables give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from . import common
 
 #: Characters that do not count when texts are compared: [\x20\x09-\x0D].
 WHITE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
-#: Bits of a run's filter, in buckets of 32768; a fixed size, whatever the run holds.
-FILTER_BITS = 1 << 23
+#: Bits of a run's filter for each of its rows; they stand in buckets of BUCKET_BITS.
+FILTER_BITS, BUCKET_BITS = 16, 32_768
+#: Bytes of all filters up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 #: What a run's files hold; an empty memtable writes none.
 RUN_SCHEMA = "digest long, best struct<short:int,no_id:boolean,doc_id:long,uid:long>, n long, run int"
 
@@ -36,52 +43,65 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Runs in the shared folder. `flush` adds runs, `compact` merges them, `probe` asks filters first."""
+    """Runs in the shared folder. `flush` adds runs and their filters, `compact` merges what may be in several, `probe` asks the filters first."""
 
     def __init__(self, spark, memtables: int = 4):
         self.spark, self.memtables = spark, memtables
-        self.path, self.levels = common.new_path(spark, "lsm"), 0
+        self.path, self.levels, self.buckets = common.new_path(spark, "lsm"), 0, 0
 
     def flush(self, log: DataFrame, total: int) -> None:
-        """Each memtable is a slice of the log; its rows meet by digest before they are written. Files' Bloom filters are sized by their share of the rows."""
-        files = self.memtables * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        run = F.pmod(F.xxhash64("uid"), F.lit(self.memtables)).cast("int")
+        """Each memtable is a slice of the log; its rows meet by digest before they are written."""
+        run = (F.pmod(F.xxhash64("uid"), F.lit(self.memtables)) + self.levels * self.memtables).cast("int")
         level = f"{self.path}/level={self.levels}"
         (
             log.groupBy(run.alias("run"), "digest")
             .agg(F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("n"))
             .sortWithinPartitions("run", "digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", str(max(100, 2 * total // files)))
-            .partitionBy("run").parquet(level)
-        )
-        bit = F.pmod("digest", F.lit(FILTER_BITS))
-        (
-            self.spark.read.schema(RUN_SCHEMA).parquet(level)
-            .groupBy("run", F.bitmap_bucket_number(bit).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-            .write.parquet(f"{self.path}/filter={self.levels}")
+            .write.option("compression", "zstd").parquet(level)
         )
+        self.buckets = max(self.buckets, -(-FILTER_BITS * -(-total // self.memtables) // BUCKET_BITS), 1)
         self.levels += 1
 
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUN_SCHEMA).parquet(*[f"{self.path}/level={k}" for k in range(self.levels)])
 
+    def _place(self) -> tuple[Column, Column]:
+        bit = F.pmod("digest", F.lit(self.buckets * BUCKET_BITS))
+        return F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+
+    def filters(self) -> DataFrame:
+        """bucket, filters: of each run that has the bucket, (run, bits)."""
+        bucket, place = self._place()
+        bits = self.runs().groupBy(bucket.alias("bucket"), "run").agg(F.bitmap_construct_agg(place).alias("bits"))
+        return common.materialize(bits.groupBy("bucket").agg(F.collect_list(F.struct("run", "bits")).alias("filters")), "lsm-filters")
+
+    def small(self) -> bool:
+        return self.buckets * self.memtables * self.levels * BUCKET_BITS // 8 <= BROADCAST_BYTES
+
+    def _asked(self, rows: DataFrame, of_run: Column) -> Column:
+        """Whether a filter of a run for which of_run(run) holds may have the row's digest; rows stand beside their bucket's filters."""
+        _, place = self._place()
+        at, mask = F.floor(place / 8).cast("int") + 1, F.pmod(place, F.lit(8)).cast("int")
+        byte = lambda bits: F.conv(F.hex(F.substring(bits, at, F.lit(1))), 16, 10).cast("int")
+        return F.exists("filters", lambda x: of_run(x["run"]) & (byte(x["bits"]).bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), mask + 1)) != 0))
+
     def compact(self) -> DataFrame:
-        """One row a digest over all runs: the best row and how many rows there were."""
-        merged = self.runs().groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        """digest, best, n over all runs, for every digest that was met more than once (and some others)."""
+        rows = self.runs()
+        if self.small():
+            bucket, _ = self._place()
+            beside = rows.withColumn("bucket", bucket).join(F.broadcast(self.filters()), "bucket")
+            rows = beside.where((F.col("n") > 1) | self._asked(beside, lambda run: run != F.col("run"))).drop("bucket", "filters")
+        merged = rows.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         return common.materialize(merged.sortWithinPartitions("digest"), "lsm-compact")
 
     def probe(self, batch: DataFrame) -> DataFrame:
-        """Rows of batch(digest, ...) that the index holds. The filters' set bits rule out most others before the runs are read."""
-        filters = self.spark.read.parquet(*[f"{self.path}/filter={k}" for k in range(self.levels)])
-        either = filters.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        bit = F.pmod("digest", F.lit(FILTER_BITS))
-        place = F.bitmap_bit_position(bit)
-        byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        maybe = batch.withColumns({"bucket": F.bitmap_bucket_number(bit), "__place": place}).join(F.broadcast(either), "bucket")
-        maybe = maybe.where((F.floor(byte / F.pow(F.lit(2), F.col("__place") % 8)) % 2) == 1)
-        return maybe.drop("bucket", "bits", "__place").join(self.runs().select("digest").distinct(), "digest", "left_semi")
+        """Rows of batch(digest, ...) that the index holds. The filters rule out most others before the runs are read."""
+        bucket, _ = self._place()
+        filters = self.filters()
+        beside = batch.withColumn("bucket", bucket).join(F.broadcast(filters) if self.small() else filters, "bucket")
+        maybe = beside.where(self._asked(beside, lambda run: run.isNotNull())).drop("bucket", "filters")
+        return maybe.join(self.runs().select("digest").distinct(), "digest", "left_semi")
 
 
 def _rank() -> Column:

@@ -7,8 +7,10 @@ constraints (documents, words) until one is 0 or 1, so that sums never change. G
 do this apart; what each leaves, two documents at most, meets in the next level, and one small
 landing problem per source remains.
 
-Nulls: a null text has no words; a null source is a source of its own, last in order. Rows
-without words take nothing. Repeated rows are drawn apart. An empty table gives an empty result.
+Nulls: a null text has no words; a null source is a source of its own, last in order; a null id is kept. Rows
+without words take nothing. Repeated rows are drawn apart; where more rows than a group holds have one id and
+size, which nothing tells apart, they are dealt over groups of their own. Very long texts are counted whole.
+Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def landing(prob: list[float], size: list[float], rng: random.Random) -> list[fl
 def _cube(seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "uid"], na_position="last", kind="stable")
-        rng = random.Random(f"{seed}:{pdf['rank'].iat[0]}:{pdf['bucket'].iat[0]}:{last}")
+        rng = random.Random(f"{seed}:{pdf['rank'].iat[0]}:{pdf['bucket'].iat[0]}:{pdf['part'].iat[0]}:{last}")
         size = pdf["size"].astype(float).tolist()
         p = flight(pdf["prob"].tolist(), size, rng)
         pdf["prob"] = landing(p, size, rng) if last else p
@@ -133,15 +135,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, seed: in
     rows = rows.withColumn("prob", F.when(F.col("size") > 0, F.greatest(F.col("times") - F.col("whole"), F.lit(0.0))).otherwise(0.0)).drop("times")
     groups = F.ceil(F.col("docs") / GROUP_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), groups)).drop("docs")
+    # rows of one id and size fall into one bucket; where they overfill it, its rows are dealt over parts
+    full = rows.groupBy("rank", "bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("parts")).where("parts > 2")
+    full = common.materialize(full, "mix-full")
+    rows = rows.join(common.broadcast_if_small(full, full.count()), ["rank", "bucket"], "left")
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")), F.lit(0)).cast("long")).drop("parts")
     most = targets.agg(F.max(F.ceil(F.col("docs") / GROUP_ROWS))).first()[0] or 1
     done, level = [], 0
     while True:
         last = most <= 1
-        rows = common.materialize(rows.groupBy("rank", "bucket").applyInPandas(_cube(seed + level, last), rows.schema), f"mix-level{level}")
+        rows = common.materialize(rows.groupBy("rank", "bucket", "part").applyInPandas(_cube(seed + level, last), rows.schema), f"mix-level{level}")
         if last:
             break
         done.append(rows.where("prob in (0, 1)"))
-        rows = rows.where("prob not in (0, 1)").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
+        rows = rows.where("prob not in (0, 1)").withColumns({"bucket": F.floor(F.col("bucket") / FAN_IN), "part": F.lit(0).cast("long")})
         most, level = -(-most // FAN_IN), level + 1
     for part in done:
         rows = rows.unionByName(part)

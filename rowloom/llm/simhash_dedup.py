@@ -6,8 +6,9 @@ a fingerprint at most (a spanning forest has all components). Components over sh
 star contraction in DataFrames. Fingerprints with a large share of the rows are joined apart.
 
 Nulls: a null text is empty and has fingerprint zero, linked like any other; a row with a null id
-takes its fingerprint's component but never names one. Repeated rows share a fingerprint.
-An empty table gives an empty result. Very long texts are hashed whole.
+takes its fingerprint's component but never names one. Repeated rows share a fingerprint. Ties (bits set in
+just half the shingles) are 0. Very long texts are hashed whole. Other columns are ignored, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,13 +65,14 @@ def links(nodes: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     """nodes(fp, rep) with distinct fp and rep -> a, b: edges between reps, a < b, that have the components of all links within the radius."""
     depth = min(vptree.MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total / SHARD_POINTS)))))
     most = vptree.SAMPLE_PER_LEAF << depth
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(most).collect() if depth else []  # most <= 2^17 longs
-    tree = vptree.build(np.array([r[0] for r in sample], np.int64).view(np.uint64), depth)
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(most).toArrow() if depth else None  # 32 MB at most
+    tree = vptree.packed(vptree.build(sample["fp"].to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64), depth))
+    shared = nodes.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, rep = b.column("fp").to_numpy(), b.column("rep").to_numpy()
-            shard, idx = vptree.route(tree, fp.view(np.uint64), radius)
+            shard, idx = vptree.route(shared.value, fp.view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[idx]), pa.array(rep[idx])], ["shard", "fp", "rep"])
 
     def join(table: pa.Table) -> pa.Table:

@@ -1,7 +1,7 @@
 """Vantage-point trees over 64-bit fingerprints and Hamming distance.
 
-The upper levels are one tree on the driver, at most 2^MAX_DEPTH leaves, built from a bounded
-sample; its leaves are the shards. A point goes to its own shard and, where its distance to a
+The upper levels are one tree on the driver, built from a sample of SAMPLE_PER_LEAF points a leaf (32 MB for
+the 131,072 leaves of 2^MAX_DEPTH, which hold five billion points at 40,000 each; beyond that shards grow); its leaves are the shards. A point goes to its own shard and, where its distance to a
 vantage point lies within the search radius below the split, also to the shards beyond: by the
 triangle inequality any two points within the radius then meet in a shard. Inside a shard the same
 rule goes on down to small leaves, which are compared in blocks. Results never depend on the
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_DEPTH = 12
+MAX_DEPTH = 17
 #: Sampled points for each leaf of the upper tree.
 SAMPLE_PER_LEAF = 32
 LEAF = 1024
@@ -49,20 +49,27 @@ def _split(pts: np.ndarray) -> tuple[int, int] | None:
     return None if best is None else best[1:]
 
 
-def route(tree: list[tuple[int, int] | None], points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def packed(tree: list[tuple[int, int] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a node splits, vantage points, radii) of a heap, for `route`."""
+    return np.array([t is not None for t in tree], bool), np.array([t[0] if t else 0 for t in tree], np.uint64), np.array([t[1] if t else 0 for t in tree], np.int64)
+
+
+def route(tree: tuple[np.ndarray, np.ndarray, np.ndarray], points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard, index of the point) for the shards that each point belongs to or reaches into from within."""
+    splits, vantage, radii = tree
     at, idx = np.zeros(len(points), np.int64), np.arange(len(points))
     shards, ids = [], []
     while len(idx):
-        live = np.array([k < len(tree) and tree[k] is not None for k in at.tolist()], bool)
+        live = np.zeros(len(at), bool)
+        known = at < len(splits)
+        live[known] = splits[at[known]]
         shards.append(at[~live])
         ids.append(idx[~live])
         at, idx = at[live], idx[live]
         if not len(idx):
             break
-        v = np.array([tree[k][0] for k in at.tolist()], np.uint64)
-        mu = np.array([tree[k][1] for k in at.tolist()], np.int64)
-        d = distance(points[idx], v).astype(np.int64)
+        mu = radii[at]
+        d = distance(points[idx], vantage[at]).astype(np.int64)
         inner, across = d <= mu, (d <= mu) & (d > mu - radius)
         at = np.concatenate([np.where(inner, 2 * at + 1, 2 * at + 2), 2 * at[across] + 2])
         idx = np.concatenate([idx, idx[across]])

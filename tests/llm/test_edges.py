@@ -173,3 +173,41 @@ def test_media(spark):
     got = {r["media_id"]: r for r in rows(chroma.match(chroma.recordings(spark.createDataFrame(data, "vec_id long, embedding array<double>"))))}
     assert len(got) == 6 and got[0]["class_id"] == got[1]["class_id"] == 0
     assert got[50]["best_class"] == 3 and got[50]["bit_errors"] <= 0.25 and got[3]["n_matches"] is None and got[4]["n_frames"] == 0
+
+
+def test_unique_digests_take_no_part_in_the_compaction(spark, monkeypatch):
+    from rowloom.llm import exact_dedup as ed
+
+    log = spark.range(4000).selectExpr("id as doc_id", "xxhash64(id % 3900) as digest", "1 as points", "id as uid")
+    index = ed.DigestIndex(spark)
+    index.flush(log, 4000)
+    merged = {r["digest"]: r["n"] for r in index.compact().collect()}
+    assert sum(n == 2 for n in merged.values()) == 100 and len(merged) < 2000
+    monkeypatch.setattr(ed, "BROADCAST_BYTES", 0)
+    assert len(index.compact().collect()) == 3900
+
+
+def test_mixing_of_many_rows_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 20)
+    docs = spark.createDataFrame([(None if k % 2 else 7, "a b c", "s" if k % 3 else "t") for k in range(900)], "doc_id long, text string, source string")
+    got = rows(mixing.mix(docs))
+    assert len(got) == 900
+    for size in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 6
+
+
+@pytest.mark.parametrize("source", [None, "a"])
+def test_mixing_takes_words_near_targets(spark, source):
+    import random
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(["w"] * rng.randint(0, 60)), source if k % 5 else rng.choice("abcdef")) for k in range(3000)], "doc_id long, text string, source string")
+    got = rows(mixing.mix(docs))
+    taken, target = {}, {}
+    for r in got:
+        taken[r["source_size"]] = taken.get(r["source_size"], 0) + r["taken"]
+        target[r["source_size"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 120 for s in target)
+    assert sorted(map(str, got)) == sorted(map(str, rows(mixing.mix(docs))))

@@ -31,7 +31,7 @@ def test_shards_hold_every_near_pair():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
     b = a ^ (np.uint64(7) << rng.integers(0, 60, 2000, dtype=np.uint64))
-    tree = vptree.build(a[:500], 5)
+    tree = vptree.packed(vptree.build(a[:500], 5))
     shard, idx = vptree.route(tree, np.concatenate([a, b]), 3)
     held: dict[int, set] = {}
     for s, i in zip(shard.tolist(), idx.tolist(), strict=True):
