@@ -80,6 +80,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return out.select(*rows.columns, *[picked[c].alias(c) for c in extra])
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast only a table that was counted; beyond the bound Spark joins by a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rowloom.llm import similar, vptree
+from rowloom.llm import similar
 from rowloom.llm.simhash_dedup import shingle_hashes
 
 
@@ -49,19 +49,55 @@ def test_edges(spark):
     assert similar.similar_groups(docs.limit(0)).collect() == []
 
 
-def test_links_have_the_components_of_all_linked_pairs():
-    rng = np.random.default_rng(2)
-    n = 600
-    sizes = rng.integers(900, 1400, n)
-    words = np.repeat(rng.integers(0, 2**63, (6, similar.WORDS), dtype=np.uint64), n // 6, axis=0)
-    for _ in range(9):  # six clouds, wider than the radius
-        words ^= np.uint64(1) << rng.integers(0, 64, (n, similar.WORDS), dtype=np.uint64)
-    d = np.bitwise_count(words[:, None, :] ^ words[None, :, :])
-    close = (d.sum(2) <= similar.WIDE_RADIUS) & (d[:, :, 0] <= similar.FIRST_RADIUS) & (np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes))
-    want = vptree.roots(n, [np.nonzero(close)])
-    got = vptree.roots(n, similar.linked_blocks(words, sizes, 0.8, similar.WIDE_RADIUS, 64))
-    assert 6 < len(set(want.tolist())) < n
-    assert got.tolist() == want.tolist()
+def whole(texts, similarity=0.8):
+    """Components of all pairs from the similarity on, by the shingles' strings; common shingles too."""
+    sets = []
+    for t in texts:
+        ws = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
+        sets.append({b" ".join(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({b" ".join(ws)} if ws else set()))
+    groups: dict = {}
+    for k, x in enumerate(sets):
+        groups.setdefault(frozenset(x), []).append(k)
+    reps, posts, root, pairs = list(groups), {}, {}, 0
+    find = lambda k: k if root.setdefault(k, k) == k else find(root[k])
+    for k, x in enumerate(reps):
+        order = sorted(x)
+        both: dict = {}
+        for w in order:
+            for j in posts.get(w, ()):
+                both[j] = both.get(j, 0) + 1
+        for j, n in both.items():
+            if n / (len(x) + len(reps[j]) - n) >= similarity:
+                pairs += 1
+                root[find(k)] = find(j)
+        for w in order:
+            posts.setdefault(w, []).append(k)
+    out: dict = {}
+    for k, x in enumerate(reps):
+        out.setdefault(find(k), set()).update(groups[x])
+    return {min(g): g for g in out.values()}, pairs
+
+
+def test_groups_of_a_whole_table_are_those_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    got: dict = {}
+    for r in similar.similar_groups(docs).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    want, pairs = whole([r["text"] for r in rows])
+    want = {frozenset(rows[k]["doc_id"] for k in g) for g in want.values()}
+    assert pairs >= 40
+    several = {g for g in want if len(g) > 1}
+    missed = several - {frozenset(g) for g in got.values()}
+    assert len(missed) <= 0.002 * len(several), missed
+    assert len(got) - len(want) <= 0.002 * len(several)
+
+
+def test_rows_with_one_id_are_texts_of_their_own(spark):
+    a, b, c = texts(2, random.Random(5))[0], texts(2, random.Random(6))[0], texts(2, random.Random(7))[0]
+    docs = spark.createDataFrame([(2, a), (2, b), (1, b + " end"), (3, c), (None, c)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in similar.similar_groups(docs).collect()), key=str)
+    assert got == sorted([(2, 2), (2, 1), (1, 1), (3, 3), (None, 3)], key=str)
 
 
 def test_alike_texts_share_a_band():
