@@ -1,156 +1,187 @@
 """Language-model scores by context-tree weighting over bytes.
 
-Texts are tokens: words, then one end. A word is coded as its bytes and a space, the end as a line
-feed. Contexts are up to DEPTH bytes before: for the first HEAD bytes of a token they reach into the
-word before by BACK bytes, later they stay within the token. So a text's code length is a sum over
-its words' tails and over pairs of a word's end and the next token's head. Each byte is eight binary decisions,
-and every pair of context and decided bits is a node with Krichevsky-Trofimov counts. A node's
-weighted probability is half its own estimate and half the product of its children's, so that all
-depths are mixed; the posterior share of the two parts predicts the next bit. A child that training
-never saw leaves its share to the parent.
-
-How it runs: each task turns its texts into distinct words and, per document, counts of them. Words
-meet by a shuffle, and give the counts of the unigram base and of the context tree (all training
-words, so the tables grow with the corpus). Tree nodes from depth 2 on are fitted apart for each
-pair of the two last bytes; depths 0 and 1 have 65,536 nodes at most and are fitted on the driver.
-Scores go back to words, to the tasks' words, and to documents, each by a shuffle.
+Texts are tokens: words, then one end. A text is coded as its words' bytes with a space after each,
+then a line feed. The contexts of a byte are the up to DEPTH bytes before it, whatever words they belong to; before
+a text stand spaces. Each byte is eight binary decisions, and every pair of context and decided bits is a node with
+Krichevsky-Trofimov counts. A node's weighted probability is half its own estimate and half the product of its
+children's, so that all depths are mixed; the posterior share of the two parts predicts the next bit. A child that
+training never saw leaves its share to the parent.
+
+How it runs: each task turns its texts into blocks. A block sends its distinct words and its distinct grams (a context
+and the byte after it) with their training counts, cut into parts by hash and packed, so that they are counted over all blocks:
+the tables grow with the corpus. Words give the unigram base. A part has all grams whose last TOP bytes of context are
+the same, so its tree is fitted down from there on its own; nodes nearer the root meet by their two bytes in one
+aggregate, and are few (65,536 pairs of bytes at most). Each part then answers every block with the log probabilities of
+its grams, in the order in which it got them, and the block's texts are summed up.
 
 Nulls: a null text is empty, so it is the end alone; a row with a null id is not held out. Repeated rows count as often
-as they occur. Very long texts are scored whole. Without training rows all nodes are unseen and
-each bit costs one bit.
+as they occur. Very long texts are scored whole, in a block of their own if need be. Other columns are ignored,
+whatever their names. Without training rows all nodes are unseen and each bit costs one bit. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH = 7
-HEAD, BACK = 2, 2
-SPACE, END = b" ", b"\n"
-#: Kinds of vocabulary entries: a word (coded: its tail), and a head with the bytes before it.
-WORD, JOINT = b"w", b"h"
-#: Text and distinct words of one block, which is scored in one group.
-BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 1_000_000
-#: Words scored together.
-PART_WORDS = 250_000
+#: Bytes of context, and those of them that decide the part.
+DEPTH, TOP = 5, 3
+PAD = b" " * 8
+#: Text of one block, of what is looked at at once, and of the table for each part of it.
+BLOCK_BYTES, CHUNK_BYTES, PART_BYTES = 32 << 20, 4 << 20, 96 << 20
 HALF = np.log(0.5)
+#: Kinds of rows: a block's texts, words and grams; answers to words and grams; how many words there are.
+TEXTS, WORDS, GRAMS, OF_WORDS, OF_GRAMS, TOTALS = range(6)
+PACKED = "kind int, part int, block long, data binary, more binary, v long, n long"
 
 
-# blocks of texts ---------------------------------------------------------------------------------
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows. kind 0: block, doc_id, held_out, ids, counts (of the document's distinct words); kind 1: block, local, word, n_train."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq = TaskContext.get().partitionId(), 0
-        known: dict[bytes, int] = {}
-        train, size = np.zeros(1 << 16, np.int64), 0
-        for b in batches:
-            rows = []  # of documents; the bytes of words are coded with one more each
-            for d, held, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = (t or b"").lower().split()
-                size += len(t or b"")
-                entries = [*[WORD + w for w in ws], *joints(ws)]
-                ids = np.fromiter((known.setdefault(w, len(known)) for w in entries), np.int64, len(entries))
-                ids, n = np.unique(ids, return_counts=True)
-                while len(known) > len(train):
-                    train = np.concatenate([train, np.zeros_like(train)])
-                if not held:
-                    train[ids] += n
-                rows.append((d, held, np.diff(ids, prepend=0).astype("<u4").tobytes(), n.astype("<u4").tobytes(), sum(map(len, ws)) + len(ws) + 1))
-            yield _block_rows((task << 24) + seq, rows, [], None)
-            if size > BLOCK_BYTES or len(known) > BLOCK_WORDS:
-                yield from _words_of((task << 24) + seq, known, train)
-                known, size, seq = {}, 0, seq + 1
-                train[:] = 0
-        yield from _words_of((task << 24) + seq, known, train)
-
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id", 7, 2).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return cols.mapInArrow(run, "kind int, block long, doc_id long, held_out boolean, ids binary, counts binary, coded long, local int, word binary, n_train long")
+# packed columns ----------------------------------------------------------------------------------
 
 
-def joints(ws: list[bytes]) -> list[bytes]:
-    """An entry for each token's head: the end of the word before, a space, the first bytes."""
-    ends = [b"", *[w[-BACK:] for w in ws]]
-    return [JOINT + e + SPACE + h for e, h in zip(ends, [*[(w + SPACE)[:HEAD] for w in ws], END], strict=True)]
+def squeezed(values: np.ndarray) -> bytes:
+    """An array as planes of bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
 
 
-def coded(entry: bytes) -> tuple[bytes, bytes]:
-    """(bytes before, bytes coded) of an entry."""
-    if entry[:1] == WORD:
-        text = entry[1:] + SPACE
-        return (SPACE * DEPTH + text[:HEAD])[-DEPTH:], text[HEAD:]
-    cut = entry.index(SPACE, 1) + 1
-    return (SPACE * DEPTH + entry[1:cut])[-DEPTH:], entry[cut:]
+def opened(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _words_of(block: int, known: dict[bytes, int], train: np.ndarray) -> Iterator[pa.RecordBatch]:
-    words = list(known)
-    for s in range(0, len(words), 20_000):
-        part = words[s : s + 20_000]
-        yield _block_rows(block, [], part, (np.arange(s, s + len(part)), train[s : s + len(part)]))
+def _row(kind: int, part: int, block: int, data: bytes, more: bytes = b"", v: int = 0, n: int = 0) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, part, block, data, more, v, n), types, strict=True)], ["kind", "part", "block", "data", "more", "v", "n"])
 
 
-def _block_rows(block: int, rows: list[tuple], words: list[bytes], extra) -> pa.RecordBatch:
-    n = len(rows) + len(words)
-    none = lambda kind: pa.nulls(n, kind)
-    names = ["kind", "block", "doc_id", "held_out", "ids", "counts", "coded", "local", "word", "n_train"]
-    head = [pa.array(np.full(n, int(bool(words)), np.int32)), pa.array(np.full(n, block, np.int64))]
-    if words:
-        cols = [none(pa.int64()), none(pa.bool_()), none(pa.binary()), none(pa.binary()), none(pa.int64()), pa.array(extra[0].astype(np.int32)), pa.array(words, pa.binary()), pa.array(extra[1])]
-    else:
-        own = list(zip(*rows, strict=True)) or [[]] * 5
-        cols = [*[pa.array(c, t) for c, t in zip(own, (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()), strict=True)], none(pa.int32()), none(pa.binary()), none(pa.int64())]
-    return pa.RecordBatch.from_arrays([*head, *cols], names)
+def _table(rows: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(rows) if rows else pa.Table.from_batches([_row(0, 0, 0, b"")]).slice(0, 0)
 
 
-# grams -------------------------------------------------------------------------------------------
-
-
-def gram_keys(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the entry) of each coded byte. A key has the byte before in its highest bits, then the one before that, ..., and the coded byte last."""
-    parts = [coded(e) for e in entries]
-    data = np.frombuffer(b"".join([a + b for a, b in parts]), np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(b) for _, b in parts), np.int64, len(parts))
-    of = np.repeat(np.arange(len(parts)), sizes)
-    at = np.arange(sizes.sum()) + DEPTH * (of + 1)
-    key = data[at].copy()
-    for j in range(1, DEPTH + 1):
-        key |= data[at - j] << np.uint64(64 - 8 * j)
-    return key, of
+# blocks of texts ---------------------------------------------------------------------------------
 
 
-def _grams(vocab: DataFrame) -> DataFrame:
-    """key, n: training counts of all grams of all words (0: only held-out texts have it)."""
+def coded(text: bytes | None) -> bytes:
+    return b"".join(w + b" " for w in (text or b"").lower().split()) + b"\n"
+
+
+class Block:
+    """Coded texts of a block, with PAD before each."""
+
+    def __init__(self, texts: list[bytes], held: list[bool]):
+        self.texts, self.held = texts, np.array(held, bool)
+        self.data = b"".join(x for t in texts for x in (PAD, t))
+        self.starts = np.cumsum([0, *[len(PAD) + len(t) for t in texts]])
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(keys, texts) of the coded bytes, some at a time. A key has the byte before in its highest bits, then the one before that, ..., and the coded byte last."""
+        for s in range(0, len(self.data), CHUNK_BYTES):
+            e = min(len(self.data), s + CHUNK_BYTES)
+            cuts = np.clip(self.starts, s, e)
+            text = np.repeat(np.arange(len(self.texts)), np.diff(cuts))
+            at = np.arange(s, e)
+            real = at - self.starts[text] >= len(PAD)
+            at, text = at[real], text[real]
+            window = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))[at - 7]
+            before = (window << np.uint64(8)) >> np.uint64(64 - 8 * DEPTH)
+            yield (before << np.uint64(8)) | (window >> np.uint64(56)), text
+
+    def grams(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys by part, training counts of each, first place of each part."""
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for key, text in self.chunks():
+            both = (key << np.uint64(1)) | self.held[text]
+            both.sort()
+            first = np.nonzero(np.concatenate([[True], both[1:] != both[:-1]]))[0] if len(both) else np.zeros(0, int)
+            n, u = np.diff(np.append(first, len(both))), both[first]
+            keys.append(u >> np.uint64(1))
+            counts.append(np.where(u & np.uint64(1), 0, n))
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        part = part_of(key, parts)
+        order = np.argsort(part, kind="stable")
+        return key[order], n[order], np.searchsorted(part[order], np.arange(parts + 1))
+
+    def words(self, parts: int) -> tuple[dict[bytes, int], np.ndarray]:
+        """Distinct words by number, and the part of each."""
+        known = dict.fromkeys(chain.from_iterable(map(bytes.split, self.texts)))
+        known.update(zip(known, range(len(known)), strict=True))
+        return known, np.fromiter(map(zlib.crc32, known), np.int64, len(known)) % parts
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """By a hash of the last TOP bytes of the context."""
+    top = keys >> np.uint64(8 * (DEPTH - TOP + 1))
+    return ((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows of kind TEXTS (an Arrow stream of doc_id, held_out, text), WORDS and GRAMS: one of each of the latter a block and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        counts: list[np.ndarray] = []
+        task, seq, held, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
         for b in batches:
-            words += b.column("word").to_pylist()
-            counts.append(b.column("c").to_numpy())
-            if len(words) > 200_000:
-                yield _summed(words, np.concatenate(counts))
-                words, counts = [], []
-        if words:
-            yield _summed(words, np.concatenate(counts))
-
-    return vocab.select("word", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids.append(d)
+                held.append(h)
+                texts.append(coded(t))
+                size += len(texts[-1])
+                if size > BLOCK_BYTES:
+                    yield from _sent((task << 24) + seq, ids, held, texts, parts)
+                    seq, held, ids, texts, size = seq + 1, [], [], [], 0
+        if texts:
+            yield from _sent((task << 24) + seq, ids, held, texts, parts)
 
-
-def _summed(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-    key, of = gram_keys(words)
-    u, inv = np.unique(key, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, counts[of], len(u)).astype(np.int64))], ["key", "n"])
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id", 7, 2).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    return cols.mapInArrow(run, PACKED)
+
+
+def _sent(number: int, ids: list, held: list[bool], texts: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    sink = pa.BufferOutputStream()
+    rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.large_binary())], ["doc_id", "held_out", "text"])
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    yield _row(TEXTS, -1, number, zstandard.compress(sink.getvalue().to_pybytes(), 3))
+    block = Block(texts, held)
+    keys, counts, cuts = block.grams(parts)
+    for k in np.nonzero(np.diff(cuts))[0].tolist():
+        own = slice(cuts[k], cuts[k + 1])
+        yield _row(GRAMS, k, number, squeezed(np.diff(keys[own], prepend=np.uint64(0))), squeezed(counts[own]))
+    known, part = block.words(parts)
+    own = chain.from_iterable(t.split() for t, h in zip(texts, held, strict=True) if not h)
+    train = np.bincount(np.fromiter(map(known.__getitem__, own), np.int64), minlength=len(known))
+    names = list(known)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.nonzero(np.diff(cuts))[0].tolist():
+        own = order[cuts[k] : cuts[k + 1]]
+        yield _row(WORDS, k, number, zstandard.compress(b"\n".join([names[i] for i in own.tolist()]), 1), squeezed(train[own]))
+
+
+# words -------------------------------------------------------------------------------------------
+
+
+def _count_words(table: pa.Table) -> pa.Table:
+    """Training counts of a part's words over all blocks, back to each block; and the part's number of trained words and tokens."""
+    words = [zstandard.decompress(x).split(b"\n") for x in table["data"].to_pylist()]
+    train = np.concatenate([opened(x, "<i8") for x in table["more"].to_pylist()])
+    coded_words = pa.chunked_array([pa.array(w, pa.binary()) for w in words]).combine_chunks().dictionary_encode()
+    code = coded_words.indices.to_numpy()
+    c = np.bincount(code, train, len(coded_words.dictionary)).astype(np.int64)
+    ends = np.cumsum([len(w) for w in words])
+    part = table["part"][0].as_py()
+    rows = [_row(OF_WORDS, part, b, squeezed(c[code[e - len(w) : e]])) for b, w, e in zip(table["block"].to_pylist(), words, ends.tolist(), strict=True)]
+    return _table([*rows, _row(TOTALS, part, -1, b"", v=int((c > 0).sum()), n=int(train.sum()))])
 
 
 # the weighted tree -------------------------------------------------------------------------------
@@ -202,7 +233,7 @@ def _coarser(rows: np.ndarray) -> np.ndarray:
 
 
 def fit_tree(keys: np.ndarray, counts: np.ndarray, top: int) -> tuple[np.ndarray, Level]:
-    """For sorted distinct keys that share their first `top` bytes: predicted probabilities of each row's 8 bits as seen from depth `top`, and that level. -1: training has nothing there."""
+    """For sorted distinct keys: predicted probabilities of each row's 8 bits as seen from depth `top`, and that level. -1: training has nothing there."""
     levels = {DEPTH: Level(keys, counts)}
     ups = {}
     for d in range(DEPTH - 1, top - 1, -1):
@@ -240,137 +271,126 @@ def _row_counts(level: Level) -> np.ndarray:
     return np.where(one, level.n1[7][level.node[7]], level.n0[7][level.node[7]])
 
 
-def upper_nodes(summary: list) -> dict[str, np.ndarray]:
-    """Shares and counts of depths 1 and 0 from (c1, node, log_w, n0, n1) summed over depth 2."""
-    logs, n0, n1, seen = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256), bool)
-    for r in summary:
-        at = (r["c1"], r["node"])
-        logs[at], n0[at], n1[at], seen[at] = r["log_w"], r["n0"], r["n1"], True
-    kt = log_kt(n0.ravel(), n1.ravel()).reshape(256, 256)
-    w = np.where(seen, np.logaddexp(HALF + kt, HALF + logs), 0.0)
-    share1 = np.where(seen, np.exp(HALF + kt - w), 1.0)
-    m0, m1 = n0.sum(0), n1.sum(0)
-    kt0 = log_kt(m0, m1)
-    share0 = np.exp(HALF + kt0 - np.logaddexp(HALF + kt0, HALF + w.sum(0)))
-    return {"share1": share1, "n0": n0, "n1": n1, "share0": share0, "m0": m0, "m1": m1}
-
-
-def finish(keys: np.ndarray, pred: np.ndarray, up: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 probability of each gram: depths 1 and 0 over the predictions from depth 2."""
-    c1, byte = (keys >> np.uint64(56)).astype(int), (keys & np.uint64(255)).astype(int)
-    total = np.zeros(len(keys))
-    for j in range(8):
-        node = (1 << j) | (byte >> (8 - j))
-        one = (byte >> (7 - j)) & 1 == 1
-        n0, n1 = up["n0"][c1, node], up["n1"][c1, node]
-        own1 = (np.where(one, n1, n0) + 0.5) / (n0 + n1 + 1)
-        m0, m1 = up["m0"][node], up["m1"][node]
-        own0 = (np.where(one, m1, m0) + 0.5) / (m0 + m1 + 1)
-        s1 = np.where(pred[:, j] < 0, 1.0, up["share1"][c1, node])
-        s0 = np.where(n0 + n1 > 0, up["share0"][node], 1.0)
-        total += np.log10(s0 * own0 + (1 - s0) * (s1 * own1 + (1 - s1) * np.maximum(pred[:, j], 0)))
-    return total
-
-
-def _fit_group(table: pa.Table) -> pa.Table:
-    keys, counts = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    order = np.argsort(keys)
-    pred, level = fit_tree(keys[order], counts[order].astype(float), 2)
-    c1 = int(keys[0] >> np.uint64(56))
-    node, logs, n0, n1 = [], [], [], []
+def _fit_part(table: pa.Table) -> pa.Table:
+    """Two kinds of rows: the part's keys with their predictions as seen from depth TOP, and its sums over nodes of depth TOP by the two bytes before and the decided bits."""
+    keys = np.concatenate([np.cumsum(opened(x, "<u8"), dtype=np.uint64) for x in table["data"].to_pylist()])
+    counts = np.concatenate([opened(x, "<i8") for x in table["more"].to_pylist()])
+    keys, back = np.unique(keys, return_inverse=True)
+    pred, level = fit_tree(keys, np.bincount(back, counts, len(keys)), TOP)
+    at, logs, n0, n1 = [], [], [], []
     for j in range(8):
-        prefix = (level.rows[level.first[j]] & np.uint64(255)) >> np.uint64(8 - j)
-        node.append((1 << j) | prefix.astype(np.int64))
+        rows = level.rows[level.first[j]]
+        pair = (rows >> np.uint64(8 * (TOP - 1))).astype(np.int64)  # the two bytes nearest to the coded one
+        at.append((pair << 8) | (1 << j) | ((rows & np.uint64(255)) >> np.uint64(8 - j)).astype(np.int64))
         logs.append(level.log_w[j])
         n0.append(level.n0[j])
         n1.append(level.n1[j])
-    k, m = len(keys), sum(map(len, node))
-    none = pa.nulls
-    grams = pa.table({"key": pa.array(keys[order].view(np.int64)), "pred": pa.array(list(pred.astype(np.float32)), pa.list_(pa.float32())), "c1": none(k, pa.int32()), "node": none(k, pa.int32()), "log_w": none(k, pa.float64()), "n0": none(k, pa.float64()), "n1": none(k, pa.float64())})
-    nodes = pa.table({"key": none(m, pa.int64()), "pred": none(m, pa.list_(pa.float32())), "c1": pa.array(np.full(m, c1, np.int32)), "node": pa.array(np.concatenate(node).astype(np.int32)), "log_w": np.concatenate(logs), "n0": np.concatenate(n0), "n1": np.concatenate(n1)})
-    return pa.concat_tables([grams, nodes])
-
-
-def gram_scores(grams: DataFrame) -> DataFrame:
-    """key, logp from key, n."""
+    node, back = np.unique(np.concatenate(at), return_inverse=True)
+    sums = [np.bincount(back, np.concatenate(x), len(node)) for x in (logs, n0, n1)]
+    none, part = pa.nulls, table["part"][0].as_py()
+    fitted = pa.table({"part": pa.array([part], pa.int32()), "keys": pa.array([squeezed(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "pred": pa.array([squeezed(pred.astype("<f4").ravel())], pa.binary()), **dict(zip(("node", "log_w", "n0", "n1"), [none(1, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.float64())], strict=True))})
+    m = len(node)
+    nodes = pa.table({"part": none(m, pa.int32()), "keys": none(m, pa.binary()), "pred": none(m, pa.binary()), "node": node, "log_w": sums[0], "n0": sums[1], "n1": sums[2]})
+    return pa.concat_tables([fitted, nodes])
+
+
+class Upper:
+    """Shares and counts of the nodes of depths TOP - 1, ..., 0, from sums over the depth below."""
+
+    def __init__(self, node: np.ndarray, log_w: np.ndarray, n0: np.ndarray, n1: np.ndarray):
+        """node: the bytes before, nearest first, then 8 bits with the decided ones after a leading 1."""
+        self.levels = []
+        for d in range(TOP - 1, -1, -1):
+            kt = log_kt(n0, n1)
+            w = np.logaddexp(HALF + kt, HALF + log_w)
+            self.levels.append((node, np.exp(HALF + kt - w), n0, n1))
+            up = node & 255 if d <= 1 else ((node >> 16) << 8) | (node & 255)
+            node, back = np.unique(up, return_inverse=True)
+            log_w, n0, n1 = (np.bincount(back, x, len(node)).astype(float) for x in (w, n0, n1))
+
+    def finish(self, keys: np.ndarray, pred: np.ndarray) -> np.ndarray:
+        """log10 probability of each key, from its predictions as seen from depth TOP."""
+        byte, total = (keys & np.uint64(255)).astype(np.int64), np.zeros(len(keys))
+        for j in range(8):
+            bits = (1 << j) | (byte >> (8 - j))
+            one = (byte >> (7 - j)) & 1 == 1
+            p, seen = np.maximum(pred[:, j], 0.0), pred[:, j] >= 0
+            for d, (node, share, n0, n1) in zip(range(TOP - 1, -1, -1), self.levels, strict=True):
+                before = (keys >> np.uint64(8 * (DEPTH - d + 1))).astype(np.int64) if d else np.zeros(len(keys), np.int64)
+                at = np.searchsorted(node, (before << 8) | bits)
+                s = np.where(seen, share[at], 1.0)
+                p = s * (np.where(one, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1) + (1 - s) * p
+                seen = n0[at] + n1[at] > 0
+            total += np.log10(p)
+        return total
+
+
+def gram_answers(grams: DataFrame) -> DataFrame:
+    """Rows of kind OF_GRAMS for rows of kind GRAMS."""
     spark = grams.sparkSession
-    pair = F.shiftrightunsigned("key", 48)
-    fitted = common.materialize(grams.withColumn("pair", pair).groupBy("pair").applyInArrow(_fit_group, "key long, pred array<float>, c1 int, node int, log_w double, n0 double, n1 double"), "ctw-fitted")
-    summary = fitted.where("key is null").groupBy("c1", "node").agg(F.sum("log_w").alias("log_w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()  # 256 x 255 at most
-    up = spark.sparkContext.broadcast(upper_nodes(summary))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column("key").to_numpy().view(np.uint64)
-            pred = b.column("pred").flatten().to_numpy().reshape(len(keys), 8)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(finish(keys, pred, up.value))], ["key", "logp"])
+    sent = grams.select("part", "block", "data", "more")
+    fitted = common.materialize(sent.groupBy("part").applyInArrow(_fit_part, "part int, keys binary, pred binary, node long, log_w double, n0 double, n1 double"), "ctw-fitted")
+    nodes = fitted.where("node is not null").groupBy("node").agg(F.sum("log_w").alias("log_w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("node").toArrow()  # 65,536 pairs of bytes x 255 at most
+    upper = spark.sparkContext.broadcast(Upper(nodes["node"].to_numpy(), *[nodes[c].to_numpy().astype(float) for c in ("log_w", "n0", "n1")]))
 
-    return fitted.where("key is not null").select("key", "pred").mapInArrow(run, "key long, logp double")
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys = np.cumsum(opened(known["keys"][0].as_py(), "<u8"), dtype=np.uint64)
+        logp = upper.value.finish(keys, opened(known["pred"][0].as_py(), "<f4").reshape(-1, 8)).astype("<f4")
+        part = asked["part"][0].as_py()
+        return _table([_row(OF_GRAMS, part, b, squeezed(logp[np.searchsorted(keys, np.cumsum(opened(x, "<u8"), dtype=np.uint64))])) for b, x in zip(asked["block"].to_pylist(), asked["data"].to_pylist(), strict=True)])
 
+    known = fitted.where("node is null").select(F.col("part").alias("of_part"), "keys", "pred")
+    return sent.select("part", "block", "data").groupBy("part").cogroup(known.groupBy("of_part")).applyInArrow(answer, PACKED)
 
-# scores of words and documents -------------------------------------------------------------------
 
-
-def _word_scores(vocab: DataFrame, scores: DataFrame) -> DataFrame:
-    """word, c, logp: the grams that a part of the vocabulary needs are asked for once each."""
-
-    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for p, w in zip(b.column("part").to_pylist(), b.column("word").to_pylist(), strict=True):
-                held.setdefault(p, []).append(w)
-            for p in [p for p, ws in held.items() if len(ws) > 2 * PART_WORDS]:
-                yield _needed(p, held.pop(p))
-        for p, ws in held.items():
-            yield _needed(p, ws)
-
-    def score(words: pa.Table, grams: pa.Table) -> pa.Table:
-        w = words["word"].to_pylist()
-        key, of = gram_keys(w)
-        have = grams["key"].to_numpy().view(np.uint64)
-        order = np.argsort(have)
-        logp = grams["logp"].to_numpy()[order][np.searchsorted(have[order], key)] if len(key) else np.zeros(0)
-        return pa.table({"word": words["word"], "c": words["c"], "logp": np.bincount(of, logp, len(w))})
-
-    # a part's words stand in one task, so a gram is asked for once a part (twice does no harm)
-    asked = vocab.select("part", "word").repartition("part").mapInArrow(need, "part long, key long").join(scores, "key")
-    return vocab.groupBy("part").cogroup(asked.withColumnRenamed("part", "of_part").groupBy("of_part")).applyInArrow(score, "word binary, c long, logp double")
-
-
-def _needed(part: int, words: list[bytes]) -> pa.RecordBatch:
-    key = np.unique(gram_keys(words)[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part, np.int64)), pa.array(key.view(np.int64))], ["part", "key"])
+# scores of documents -----------------------------------------------------------------------------
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; learns from rows whose crc32 of the id mod 7 is not 2."""
     common.small_batches(docs.sparkSession)
-    cut = common.materialize(blocks(docs), "ctw-blocks")
-    rows, own = cut.where("kind = 0"), cut.where("kind = 1").select("block", "local", "word", "n_train")
-    vocab = common.materialize(own.groupBy("word").agg(F.sum("n_train").alias("c")), "ctw-vocab")
-    is_word = F.substring("word", 1, len(WORD)) == F.lit(WORD)
-    n_words, v, n = vocab.agg(F.count(F.lit(1)), F.coalesce(F.count_if(is_word & (F.col("c") > 0)), F.lit(0)), F.coalesce(F.sum(F.when(is_word, F.col("c"))), F.lit(0))).first()
-    ends = rows.where("not held_out").count()
+    size, ends = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("binary"))), F.lit(0)), F.count_if(~common.held_out("doc_id", 7, 2))).first()
+    parts = max(1, -(-size // PART_BYTES))
+    sent = common.materialize(blocks(docs, parts), "ctw-blocks")
+    of_words = common.materialize(sent.where(F.col("kind") == WORDS).select("part", "block", "data", "more").groupBy("part").applyInArrow(_count_words, PACKED), "ctw-words")
+    v, n = of_words.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     v, n = v + (ends > 0), n + ends
-    vocab = vocab.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(max(1, -(-n_words // PART_WORDS)))))
-    scores = common.materialize(gram_scores(_grams(vocab)), "ctw-grams")
-    words = _word_scores(vocab, scores)
-    back = own.select("block", "local", "word").join(words, "word").select(F.col("block").alias("of_block"), "local", is_word.alias("is_word"), "c", "logp")
-    log_all = float(np.log10(n + v + 1))
-    end_base = float(np.log10(ends + 1))
-
-    def total(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
-        local = words_of["local"].to_numpy()
-        c, logp, word = np.zeros(len(local), np.int64), np.zeros(len(local)), np.zeros(len(local), bool)
-        c[local], logp[local], word[local] = words_of["c"].to_numpy(), words_of["logp"].to_numpy(), words_of["is_word"].to_numpy(zero_copy_only=False)
-        logc, known = np.where(word, np.log10(c + 1), 0.0), word & (c > 0)
-        out = []
-        for ids, counts in zip(docs_of["ids"].to_pylist(), docs_of["counts"].to_pylist(), strict=True):
-            i, k = np.cumsum(np.frombuffer(ids, "<u4").astype(np.int64)), np.frombuffer(counts, "<u4").astype(np.int64)
-            t = int(k[word[i]].sum()) + 1
-            out.append((t, int(k[known[i]].sum()) + (ends > 0), float((k * logc[i]).sum()) + end_base - t * log_all, float((k * logp[i]).sum())))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table({"doc_id": docs_of["doc_id"], "held_out": docs_of["held_out"], "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()), "coded": docs_of["coded"]})
-
-    scored = rows.select("block", "doc_id", "held_out", "ids", "counts", "coded").groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, coded long")
+    answers = of_words.where(F.col("kind") == OF_WORDS).unionByName(gram_answers(sent.where(F.col("kind") == GRAMS)))
+    log_all, end_base = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
+
+    def total(texts: pa.Table, got: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(zstandard.decompress(texts["data"][0].as_py())).read_all()
+        block = Block(rows["text"].to_pylist(), rows["held_out"].to_pylist())
+        answer = {(k, p): x for k, p, x in zip(got["kind"].to_pylist(), got["part"].to_pylist(), got["data"].to_pylist(), strict=True)}
+        keys, _, cuts = block.grams(parts)
+        logp = np.concatenate([np.zeros(0, "<f4"), *[opened(answer[OF_GRAMS, k], "<f4") for k in np.nonzero(np.diff(cuts))[0].tolist()]])
+        order = np.argsort(keys)
+        keys, logp = keys[order], logp[order].astype(float)
+        score = np.zeros(len(rows))
+        for key, text in block.chunks():
+            code, u = _factorized(key)
+            score += np.bincount(text, logp[np.searchsorted(keys, u)][code], len(rows))
+        known, part = block.words(parts)
+        c = np.zeros(len(known), np.int64)
+        order = np.argsort(part, kind="stable")
+        if len(known):
+            c[order] = np.concatenate([opened(answer[OF_WORDS, k], "<i8") for k in np.unique(part).tolist()])
+        logc, tokens, hits, base = np.log10(c + 1), [], [], []
+        for t in block.texts:
+            i = np.fromiter(map(known.__getitem__, t.split()), np.int64)
+            tokens.append(len(i) + 1)
+            hits.append(int((c[i] > 0).sum()) + (ends > 0))
+            base.append(float(logc[i].sum()) + end_base - (len(i) + 1) * log_all)
+        sizes = pa.array([len(t) for t in block.texts], pa.int64())
+        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(hits, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": score, "coded": sizes})
+
+    texts = sent.where(F.col("kind") == TEXTS).select("block", "data")
+    own = answers.select(F.col("block").alias("of_block"), "kind", "part", "data")
+    scored = texts.groupBy("block").cogroup(own.groupBy("of_block")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, coded long")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * float(np.log2(10)) / F.col("coded")).alias("bits_per_byte"))
+
+
+def _factorized(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, distinct keys)."""
+    found = pa.array(keys).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_numpy()

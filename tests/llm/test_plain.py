@@ -94,10 +94,8 @@ def test_log_gamma():
 
 
 def test_tree_probabilities_add_up_to_one():
-    entries = [b"wabab", b"wabba", b"hx ab", b"wzz"]
-    keys, of = ctw.gram_keys(entries)
-    u, inv = np.unique(keys, return_inverse=True)
-    n = np.bincount(inv, np.array([5, 2, 7, 1])[of], len(u))
+    block = ctw.Block([ctw.coded(t) for t in (b"abab abba", b"x ab", b"zz zz")], [False] * 3)
+    u, n, _ = block.grams(1)
     ctx = u[len(u) // 2] >> np.uint64(8)
     every = (ctx << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     rows = np.unique(np.concatenate([u, every]))
