@@ -39,7 +39,7 @@ from . import common
 DEPTH, TOP = 5, 3
 PAD = b" " * 8
 #: Text of one block, of what is looked at at once, and of the table for each part of it.
-BLOCK_BYTES, CHUNK_BYTES, PART_BYTES = 32 << 20, 4 << 20, 96 << 20
+BLOCK_BYTES, CHUNK_BYTES, PART_BYTES = 14 << 20, 1 << 20, 96 << 20
 HALF = np.log(0.5)
 #: Kinds of rows: a block's texts, words and grams; answers to words and grams; how many words there are.
 TEXTS, WORDS, GRAMS, OF_WORDS, OF_GRAMS, TOTALS = range(6)
