@@ -10,7 +10,7 @@ from ..functions.columns import average_rank
 
 def matmul(m: DataFrame, weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
     """cell_id, k, logit = sum of x w over weights(gene_id, k, w), plus bias(k, b)."""
-    out = m.join(F.broadcast(weights), "gene_id").groupBy("cell_id", "k").agg(F.sum(F.col("x") * F.col("w")).alias("logit"))
+    out = m.join(weights, "gene_id").groupBy("cell_id", "k").agg(F.sum(F.col("x") * F.col("w")).alias("logit"))
     return out if bias is None else out.join(F.broadcast(bias), "k").withColumn("logit", F.col("logit") + F.col("b")).drop("b")
 
 
@@ -59,12 +59,12 @@ def weighted_spearman(pairs: DataFrame) -> DataFrame:
     return s.select(F.when(F.col("n") >= 3, F.coalesce(cov / F.nullif(F.sqrt(F.greatest(vx * vy, F.lit(0.0))), F.lit(0.0)), F.lit(0.0))).alias("rho"))
 
 
-def nt_xent(pairs: DataFrame, tau: float, column: str = "embedding") -> DataFrame:
-    """One row: the contrastive loss of rows (id, copy, vector): a row's positive is the other copy of its id."""
+def nt_xent(pairs: DataFrame, tau: float, column: str = "embedding", batch: str = "batch") -> DataFrame:
+    """One row: the mean contrastive loss over all batches of rows (batch, id, copy, vector): a row's positive is the other copy of its id, its negatives are its batch."""
     norm = F.sqrt(F.aggregate(F.transform(column, lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda acc, v: acc + v))
-    unit = pairs.select("id", "copy", F.transform(column, lambda v: v.cast("double") / norm).alias("u"))
-    a, b = unit.toDF("ia", "ca", "ua"), unit.toDF("ib", "cb", "ub")
+    unit = pairs.select(batch, "id", "copy", F.transform(column, lambda v: v.cast("double") / norm).alias("u"))
+    a, b = unit.toDF("batch", "ia", "ca", "ua"), unit.toDF("batch", "ib", "cb", "ub")
     sim = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v) / tau
-    s = a.crossJoin(F.broadcast(b)).where("ia != ib or ca != cb").withColumn("s", sim)  # a batch of vectors
-    per = s.groupBy("ia", "ca").agg(F.log(F.sum(F.exp("s"))).alias("lse"), F.max(F.when(F.col("ia") == F.col("ib"), F.col("s"))).alias("pos"))
+    s = a.join(b, "batch").where("ia != ib or ca != cb").withColumn("s", sim)  # a batch has a fixed number of vectors
+    per = s.groupBy("batch", "ia", "ca").agg(F.log(F.sum(F.exp("s"))).alias("lse"), F.max(F.when(F.col("ia") == F.col("ib"), F.col("s"))).alias("pos"))
     return per.agg(F.avg(F.col("lse") - F.col("pos")).alias("loss"))

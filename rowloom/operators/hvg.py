@@ -115,7 +115,7 @@ def v3_clip(mo: DataFrame, least_cells: int = 2) -> DataFrame:
 def v3_norm_var(m: DataFrame, cells: DataFrame, clip: DataFrame) -> DataFrame:
     """batch, gene_id, norm_var from clipped sums; zeros add nothing as clips are not negative."""
     c = F.least("x", "clip")
-    s = m.join(cells.select("cell_id", "batch"), "cell_id").join(F.broadcast(clip.select("batch", "gene_id", "clip")), ["batch", "gene_id"]).groupBy("batch", "gene_id").agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"))
+    s = m.join(cells.select("cell_id", "batch"), "cell_id").join(clip.select("batch", "gene_id", "clip"), ["batch", "gene_id"]).groupBy("batch", "gene_id").agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"))
     top = F.col("n") * F.col("mean") * F.col("mean") + F.col("q") - 2 * F.col("mean") * F.col("s")
     return s.join(clip, ["batch", "gene_id"]).select("batch", "gene_id", "n", F.coalesce(top / F.nullif((F.col("n") - 1) * F.col("reg_std") * F.col("reg_std"), F.lit(0.0)), F.lit(0.0)).alias("norm_var"))
 

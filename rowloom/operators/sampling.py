@@ -33,18 +33,28 @@ def split_sizes(n: int, train: float | int | None, val: float | int | None) -> t
     return a, b
 
 
-def split(df: DataFrame, order: str, n: int, train=None, val=None, n_predict: int = 0) -> DataFrame:
-    """`part` by ordinal position: train, val, rest; the last n_predict rows are also flagged."""
+def ordinal(df: DataFrame, bucket: Column, within: list[Column], bucket_order: Column | None = None) -> DataFrame:
+    """`pos` from 0 by bucket, then within: rows are numbered in their buckets, and each bucket starts where those before it end.
+
+    No task sees more than a bucket's rows, or one row a bucket."""
+    rows = df.withColumn("__bucket", bucket)
+    order = F.col("__bucket") if bucket_order is None else bucket_order
+    per = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__order", order)
+    start = per.select("__bucket", (F.sum("__n").over(Window.orderBy("__order", "__bucket")) - F.col("__n")).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*within)) - 1
+    return rows.withColumn("__own", own).join(start, "__bucket").withColumn("pos", F.col("__start") + F.col("__own")).drop("__bucket", "__own", "__start")
+
+
+def split(df: DataFrame, order: str, n: int, train=None, val=None, n_predict: int = 0, width: int = 1 << 16) -> DataFrame:
+    """`part` by ordinal position: train, val, rest; the last n_predict rows are also flagged. `order` is a whole number."""
     a, b = split_sizes(n, train, val)
-    pos = F.row_number().over(Window.orderBy(order)) - 1
     part = F.when(F.col("pos") < a, "train").when(F.col("pos") < a + b, "val").otherwise("rest")
-    return df.withColumn("pos", pos).withColumns({"part": part, "is_predict": F.col("pos") >= n - n_predict})
+    return ordinal(df, F.floor(F.col(order) / width), [F.col(order)]).withColumns({"part": part, "is_predict": F.col("pos") >= n - n_predict})
 
 
 def shard_shuffle(df: DataFrame, shard: str, row: str, seed: int, epoch: int = 0) -> DataFrame:
     """`pos`: shards in a seeded order, rows in a seeded order within."""
-    w = Window.orderBy(position(F.lit(seed + epoch), F.lit("shard"), shard), position(F.lit(seed + epoch), F.lit("row"), row))
-    return df.withColumn("pos", F.row_number().over(w) - 1)
+    return ordinal(df, F.col(shard), [position(F.lit(seed + epoch), F.lit("row"), row)], position(F.lit(seed + epoch), F.lit("shard"), "__bucket"))
 
 
 def _even(n: int, replicas: int, drop_last: bool) -> tuple[int, int]:

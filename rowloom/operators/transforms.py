@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ def normalize_total(m: DataFrame, target: float = 10_000.0, eps: float = 1e-6, t
     if target <= 0 or eps < 0:
         raise ValueError("target must be positive and eps not negative")
     if totals is None:
-        totals = m.groupBy("cell_id").agg(F.sum("x").alias("total"))
+        return m.withColumn("x", F.col("x") * target / (F.sum("x").over(Window.partitionBy("cell_id")) + eps))
     return m.join(totals, "cell_id").withColumn("x", F.col("x") * target / (F.col("total") + eps)).drop("total")
 
 
@@ -27,9 +27,12 @@ def densify(m: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     return grid.join(m, ["cell_id", "gene_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
 
 
-def z_score(dense: DataFrame, stats: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """(x - mean) / (std + eps) with stats(gene_id, mean, std)."""
-    return dense.join(F.broadcast(stats.select("gene_id", "mean", "std")), "gene_id").withColumn("x", (F.col("x") - F.col("mean")) / (F.col("std") + eps)).drop("mean", "std")
+def z_score(m: DataFrame, stats: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """(x - mean) / (std + eps) with stats(gene_id, mean, std): a row for each value, and with a null cell_id what each gene's zeros become."""
+    z = lambda x: (x - F.col("mean")) / (F.col("std") + eps)
+    s = stats.select("gene_id", "mean", "std")
+    own = m.join(s, "gene_id").select("cell_id", "gene_id", z(F.col("x")).alias("x"))
+    return own.unionByName(s.select(F.lit(None).cast("long").alias("cell_id"), "gene_id", z(F.lit(0.0)).alias("x")))
 
 
 def divide_by_scale(m: DataFrame, scales: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -38,12 +41,16 @@ def divide_by_scale(m: DataFrame, scales: DataFrame, eps: float = 1e-6) -> DataF
     return m.join(F.broadcast(scales.select("gene_id", s.alias("s"))), "gene_id").withColumn("x", F.col("x") / F.col("s")).drop("s")
 
 
-def center_per_cell(dense: DataFrame) -> DataFrame:
-    return dense.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("cell_id")))
+def center_per_cell(m: DataFrame, n_genes: int) -> DataFrame:
+    """x less the cell's mean over all genes: a row for each value, and with a null gene_id what each cell's zeros become."""
+    mean = F.sum("x").over(Window.partitionBy("cell_id")) / n_genes
+    own = m.select("cell_id", "gene_id", (F.col("x") - mean).alias("x"))
+    zeros = m.groupBy("cell_id").agg((-F.sum("x") / n_genes).alias("x"))
+    return own.unionByName(zeros.select("cell_id", F.lit(None).cast(m.schema["gene_id"].dataType).alias("gene_id"), "x"))
 
 
-def pflogpf(m: DataFrame, cells: DataFrame, genes: DataFrame, target: float = 1.0, eps: float = 1e-6) -> DataFrame:
-    return center_per_cell(densify(log1p(normalize_total(m, target, eps)), cells, genes))
+def pflogpf(m: DataFrame, n_genes: int, target: float = 1.0, eps: float = 1e-6) -> DataFrame:
+    return center_per_cell(log1p(normalize_total(m, target, eps)), n_genes)
 
 
 def filter_genes(m: DataFrame, genes: DataFrame, wanted: list[str], ordering: bool = True, allow_missing: bool = False, cells: DataFrame | None = None) -> DataFrame:
@@ -72,30 +79,47 @@ def filter_genes(m: DataFrame, genes: DataFrame, wanted: list[str], ordering: bo
     return out.unionByName(zeros)
 
 
+def uniform(seed: int, *key: str) -> Column:
+    """A number in [0, 1) for each key: the same on any partitioning and any engine, from 32 bits of an md5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+
+
 def randomize(original: DataFrame, changed: Column, p_apply: float, seed: int) -> DataFrame:
     """One draw per cell decides between the changed and the original value."""
-    draw = F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return original.withColumn("x", F.when(draw < p_apply, changed).otherwise(F.col("x")))
+    return original.withColumn("x", F.when(uniform(seed, "cell_id") < p_apply, changed).otherwise(F.col("x")))
 
 
 def dropout(m: DataFrame, lo: float, hi: float, p_apply: float = 1.0, seed: int = 0) -> DataFrame:
-    return randomize(m, F.when(F.rand(seed) < lo + (hi - lo) * F.rand(seed + 1), 0.0).otherwise(F.col("x")), p_apply, seed)
+    """0 with a probability drawn for each entry."""
+    p = lo + (hi - lo) * uniform(seed + 1, "cell_id", "gene_id")
+    return randomize(m, F.when(uniform(seed + 2, "cell_id", "gene_id") < p, 0.0).otherwise(F.col("x")), p_apply, seed)
 
 
 def gaussian_noise(dense: DataFrame, lo: float, hi: float, p_apply: float = 1.0, seed: int = 0) -> DataFrame:
-    return randomize(dense, F.col("x") + F.randn(seed) * (lo + (hi - lo) * F.rand(seed + 1)), p_apply, seed)
+    """Noise of a deviation drawn for each entry, by two draws' polar form."""
+    a, b = uniform(seed + 2, "cell_id", "gene_id"), uniform(seed + 3, "cell_id", "gene_id")
+    normal = F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * math.pi * b)
+    return randomize(dense, F.col("x") + normal * (lo + (hi - lo) * uniform(seed + 1, "cell_id", "gene_id")), p_apply, seed)
 
 
-def binomial_resample(m: DataFrame, lo: float, hi: float, p_apply: float = 1.0, seed: int = 0) -> DataFrame:
-    """Binomial(x, p) with p drawn per entry; numpy draws a whole batch at once."""
+def binomial(n: Column, p: Column, u: Column) -> Column:
+    """The least k whose cumulative binomial probability reaches u; n steps in the JVM."""
+    first = F.struct(F.lit(0).cast("long").alias("k"), F.pow(1 - p, n).alias("term"), F.pow(1 - p, n).alias("sum"))
 
-    @F.pandas_udf("double")
-    def draw(x: pd.Series, p: pd.Series, key: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(abs(hash((seed, int(key.iat[0]) if len(key) else 0))))
-        return pd.Series(rng.binomial(x.round().astype("int64"), p).astype(float))
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * (n - i + 1) / i * p / (1 - p)
+        done = acc["sum"] >= u
+        return F.struct(F.when(done, acc["k"]).otherwise(i.cast("long")).alias("k"), F.when(done, acc["term"]).otherwise(term).alias("term"), F.when(done, acc["sum"]).otherwise(acc["sum"] + term).alias("sum"))
 
-    p = lo + (hi - lo) * F.pmod(F.xxhash64("cell_id", "gene_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return randomize(m, draw("x", p, "cell_id"), p_apply, seed)
+    drawn = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), first, step, lambda acc: acc["k"])
+    return F.when(n < 1, 0).when(p >= 1, n).when(p <= 0, 0).otherwise(F.least(drawn, n)).cast("double")
+
+
+def binomial_resample(m: DataFrame, lo: float, hi: float, p_apply: float = 1.0, seed: int = 0) -> DataFrame:
+    """Binomial(x, p) with p drawn per entry."""
+    p = lo + (hi - lo) * uniform(seed + 1, "cell_id", "gene_id")
+    return randomize(m, binomial(F.round("x").cast("long"), p, uniform(seed + 2, "cell_id", "gene_id")), p_apply, seed)
 
 
 def duplicate(m: DataFrame, enabled: bool = True) -> DataFrame:
