@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
+#: Steps after which an ontology is taken for a cyclic one; the largest have some 20 levels.
 MOST_DEPTH = 64
 
 
+def _grown(start: DataFrame, step_edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows (a, b, dist) that steps along step_edges(p, c) reach from start: frontiers grow until nothing is new.
+
+    Every frontier is written as a step of one table in the shared folder, so neither lineage nor plans grow."""
+    spark = start.sparkSession
+    folder = new_folder(spark, "ontology")
+    start.select(a, b).coalesce(1).write.parquet(f"{folder}/dist=0")
+    step_edges.coalesce(1).write.parquet(f"{folder}-edges")
+    links = spark.read.parquet(f"{folder}-edges")
+    for step in range(1, MOST_DEPTH + 1):
+        known = spark.read.parquet(folder).select(a, b, F.col("dist").cast("int").alias("dist"))
+        front = spark.read.parquet(f"{folder}/dist={step - 1}")
+        new = front.join(links, front[b] == links["p"]).select(a, F.col("c").alias(b)).distinct().join(known, [a, b], "left_anti")
+        new.write.parquet(f"{folder}/dist={step}")
+        if spark.read.schema(front.schema).parquet(f"{folder}/dist={step}").isEmpty():
+            return known
+    raise ValueError(f"the ontology is deeper than {MOST_DEPTH} or has a cycle")
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """ancestor, descendant, dist (fewest steps), each term its own ancestor. Frontiers grow until nothing is new; an ontology's closure is small against the data."""
+    """ancestor, descendant, dist (fewest steps), each term its own ancestor. An ontology's closure is small against the data."""
     terms = edges.select(F.col("parent").alias("t")).unionByName(edges.select(F.col("child").alias("t"))).distinct()
-    out = terms.select(F.col("t").alias("ancestor"), F.col("t").alias("descendant"), F.lit(0).alias("dist")).persist()
-    front, step = out, 0
-    while step < MOST_DEPTH:
-        step += 1
-        ahead = front.join(edges, front.descendant == edges.parent).select("ancestor", F.col("child").alias("descendant")).distinct()
-        front = ahead.join(out, ["ancestor", "descendant"], "left_anti").withColumn("dist", F.lit(step)).persist()
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front).persist()
-    raise ValueError(f"the ontology is deeper than {MOST_DEPTH} or has a cycle")
+    start = terms.select(F.col("t").alias("ancestor"), F.col("t").alias("descendant"), F.lit(0).alias("dist"))
+    return _grown(start, edges.select(F.col("parent").alias("p"), F.col("child").alias("c")), "ancestor", "descendant")
 
 
 def distances(edges: DataFrame, unknown: str | None = None) -> DataFrame:
@@ -29,15 +43,7 @@ def distances(edges: DataFrame, unknown: str | None = None) -> DataFrame:
     terms = both.select(F.col("p").alias("a")).distinct()
     if unknown:
         terms = terms.unionByName(edges.sparkSession.createDataFrame([(unknown,)], "a string"))
-    out = terms.select("a", F.col("a").alias("b"), F.lit(0).alias("dist")).persist()
-    front, step = out, 0
-    while True:
-        step += 1
-        ahead = front.join(both, front.b == both.p).select("a", F.col("c").alias("b")).distinct()
-        front = ahead.join(out, ["a", "b"], "left_anti").withColumn("dist", F.lit(step)).persist()
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front).persist()
+    return _grown(terms.select("a", F.col("a").alias("b"), F.lit(0).alias("dist")), both, "a", "b")
 
 
 def with_ancestors(subset: DataFrame, clo: DataFrame) -> DataFrame:
@@ -78,3 +84,27 @@ def smoothed_counts(counts: DataFrame, clo: DataFrame, p: float) -> DataFrame:
     total = w.groupBy("term").agg(F.sum("w").alias("t"))
     share = w.join(total, "term")
     return counts.join(F.broadcast(share), "term").groupBy(F.col("ancestor").alias("term")).agg(F.floor(F.sum(F.col("n") * F.col("w") / F.col("t")) + 1e-9).alias("n"))
+
+
+def with_unknown(clo: DataFrame, name: str = "unknown") -> DataFrame:
+    """The closure and a term that is only its own ancestor."""
+    return clo.unionByName(clo.sparkSession.createDataFrame([(name, name, 0)], "ancestor string, descendant string, dist int"))
+
+
+def restricted(clo: DataFrame, observed: DataFrame) -> DataFrame:
+    """The closure among observed terms and their ancestors, without roots."""
+    terms = with_ancestors(observed, clo)
+    roots = clo.groupBy("descendant").count().where("count = 1").select("descendant").join(clo.where("dist > 0").select(F.col("ancestor").alias("descendant")).distinct(), "descendant")
+    keep = terms.join(roots, terms.term == roots.descendant, "left_anti")
+    out = clo.join(keep.select(F.col("term").alias("ancestor")), "ancestor", "left_semi")
+    return out.join(keep.select(F.col("term").alias("descendant")), "descendant", "left_semi").select("ancestor", "descendant", "dist")
+
+
+def distance_slice(dist: DataFrame, names: list[str]) -> DataFrame:
+    """i, j, dist among the named terms, numbered in that order; unknown names are an error."""
+    side = dist.sparkSession.createDataFrame(list(enumerate(names)), "i int, name string")
+    missing = sorted(r[0] for r in side.join(dist, F.col("name") == F.col("a"), "left_anti").select("name").collect())
+    if missing:
+        raise ValueError(f"terms without distances: {missing}")
+    out = dist.join(F.broadcast(side.select("i", F.col("name").alias("a"))), "a").join(F.broadcast(side.select(F.col("i").alias("j"), F.col("name").alias("b"))), "b")
+    return out.select("i", "j", "dist")

@@ -106,3 +106,25 @@ def n_batches(n: int, replicas: int, batch: int, drop_last: bool = False, drop_i
 def reservoir(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """A uniform sample of a fixed size, by a seeded order."""
     return df.orderBy(position(F.lit(seed), key), key).limit(most)
+
+
+def resumed(placed: DataFrame, step: int, workers: int) -> DataFrame:
+    """What is left after `step` batches of each replica: earlier turns go, and workers are renumbered so that the next batch is worker 0's."""
+    left = placed.where(F.col("turn") >= step)
+    return left.withColumns({"worker": F.pmod(F.col("worker") - step % workers, F.lit(workers)), "turn": F.col("turn") - step})
+
+
+def worker_seed(seed: int, epoch: Column, replica: Column, worker: Column, replicas: int, workers: int) -> Column:
+    return F.lit(seed) + epoch * replicas * workers + replica * workers + worker
+
+
+def rank_and_replicas(replicas: int | None = None) -> tuple[int, int]:
+    """In a task its partition among the replicas; (0, 1) on the driver."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    if task is None or replicas is None:
+        return 0, 1
+    if replicas < 1:
+        raise ValueError("there must be a replica")
+    return task.partitionId() % replicas, replicas

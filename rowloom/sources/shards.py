@@ -38,11 +38,24 @@ def limits(n_shards: int, shard_size: int, last_shard_size: int | None = None) -
     return ends
 
 
-def read_shards(spark: SparkSession, pattern: str, label: str | None = None, schema=None) -> DataFrame:
-    """One lazy table over all shards; `label` names a column with the shard's file."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.parquet(*expand_braces(pattern))
-    return df.withColumn(label, F.element_at(F.split(F.input_file_name(), "/"), -1)) if label else df
+def read_shards(spark: SparkSession, pattern: str, label: str | None = None, keys: list[str] | None = None, index_unique: str | None = None, row: str = "cell_id", convert: dict | None = None, like: DataFrame | None = None) -> DataFrame:
+    """One lazy table over all shards. `label` names a column with the shard's key (its name, or its entry in `keys`).
+
+    `index_unique` makes row names unique as row, separator, key; `convert` maps columns to functions of them;
+    `like` gives the columns' types, whatever the shards' own."""
+    paths = expand_braces(pattern)
+    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
+    if keys is not None and len(keys) != len(paths):
+        raise ValueError(f"{len(keys)} keys for {len(paths)} shards")
+    df = spark.read.parquet(*paths).withColumn("__key", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
+    if keys is not None:
+        df = df.withColumn("__key", F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, keys, strict=True) for x in pair]), F.col("__key")))
+    if index_unique is not None:
+        df = df.withColumn(row, F.concat_ws(index_unique, F.col(row).cast("string"), "__key"))
+    df = df.withColumns({c: f(F.col(c)) for c, f in (convert or {}).items()})
+    if like is not None:
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name != row or index_unique is None else F.col(f.name) for f in like.schema.fields], "__key")
+    return df.withColumnRenamed("__key", label) if label else df.drop("__key")
 
 
 def shard_table(spark: SparkSession, ends: list[int]) -> DataFrame:
@@ -59,14 +72,21 @@ def gather_rows(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return wanted.join(df, key)
 
 
-def check_schema(reference: DataFrame, candidate: DataFrame, columns: list[str] | None = None) -> None:
-    want = [(f.name, f.dataType) for f in reference.schema.fields if columns is None or f.name in columns]
-    have = [(f.name, f.dataType) for f in candidate.schema.fields if columns is None or f.name in columns]
-    if [n for n, _ in want] != [n for n, _ in have]:
-        raise SchemaMismatch(f"columns {[n for n, _ in have]} are not {[n for n, _ in want]}")
-    for (name, a), (_, b) in zip(want, have, strict=True):
-        if a != b:
-            raise SchemaMismatch(f"{name} has type {b.simpleString()}, not {a.simpleString()}")
+def schema_problems(reference: DataFrame, candidate: DataFrame, columns: list[str] | None = None, categorical: list[str] = ()) -> list[str]:
+    """What a shard has differently: columns, their order, types, and for categorical ones their values."""
+    want = {f.name: f.dataType.simpleString() for f in reference.schema.fields if columns is None or f.name in columns}
+    have = {f.name: f.dataType.simpleString() for f in candidate.schema.fields if columns is None or f.name in columns}
+    out = [f"missing column {c}" for c in want if c not in have] + [f"unknown column {c}" for c in have if c not in want]
+    if not out and list(want) != list(have):
+        out.append("columns in another order")
+    out += [f"{c} has type {have[c]}, not {t}" for c, t in want.items() if c in have and have[c] != t]
+    out += [f"{c} has other categories" for c in categorical if c in have and c in want and not category_difference(reference, candidate, c).isEmpty()]
+    return out
+
+
+def check_schema(reference: DataFrame, candidate: DataFrame, columns: list[str] | None = None, categorical: list[str] = ()) -> None:
+    if problems := schema_problems(reference, candidate, columns, categorical):
+        raise SchemaMismatch("; ".join(problems))
 
 
 def category_difference(reference: DataFrame, candidate: DataFrame, column: str) -> DataFrame:

@@ -38,3 +38,46 @@ def check_resume(saved: dict, now: dict) -> None:
     differ = sorted(k for k in saved.keys() | now.keys() if saved.get(k) != now.get(k))
     if differ:
         raise ValueError(f"cannot resume, as these settings changed: {differ}")
+
+
+def check_disk_space(free: int, first_file: int, files: int, share: float = 0.9) -> int:
+    """Bytes that `files` of the first one's size will take; raises if they are more than a share of what is free."""
+    need = first_file * files
+    if need > share * free:
+        raise OSError(f"{need} bytes are needed, {free} are free")
+    return need
+
+
+def write_top_genes(ranked: dict[int, DataFrame], folder: str) -> None:
+    """For each number of genes the whole table and that of the flagged genes."""
+    for n, df in sorted(ranked.items()):
+        df.write.csv(f"{folder}/top{n}.csv", header=True)
+        df.where("highly_variable").write.csv(f"{folder}/top{n}_flagged.csv", header=True)
+
+
+def write_matrix(layers: dict[str, DataFrame], cells: DataFrame, folder: str) -> None:
+    """Matrices of the same cells as layers of one table, and the cells beside it."""
+    for name, m in layers.items():
+        m.write.parquet(f"{folder}/matrix/layer={name}")
+    cells.write.parquet(f"{folder}/cells")
+
+
+def write_ontologies(parts: dict[str, DataFrame], folder: str) -> None:
+    """One table for several ontologies, a folder each."""
+    for name, df in parts.items():
+        df.write.parquet(f"{folder}/ontology={name}")
+
+
+def load_field(spark: SparkSession, path: str, field, format: str = "parquet", **options) -> DataFrame:
+    """One converted column of a file, as `value`."""
+    return spark.read.options(**options).format(format).load(path).select(field.column().alias("value"))
+
+
+def load_fields(spark: SparkSession, path: str, fields: dict, format: str = "parquet", **options) -> DataFrame:
+    """Several converted columns of one file."""
+    df = spark.read.options(**options).format(format).load(path)
+    return df.select(*[f.column().alias(n) for n, f in fields.items()])
+
+
+def resume_problems(saved: dict, now: dict) -> list[str]:
+    return sorted(f"{k}: {saved.get(k)} before, {now.get(k)} now" for k in saved.keys() | now.keys() if saved.get(k) != now.get(k))

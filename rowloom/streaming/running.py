@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
 
-def running_stats(spark: SparkSession, folder: str, schema, key: str, value: str, name: str, per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
-    """key, n, s, q after all files were read: sums are the state, so restarts from the checkpoint go on where they were."""
+
+def running_stats(spark: SparkSession, folder: str, schema, key: str, value: str, per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
+    """key, n, s, q after all files were read: sums are the state, so a restart from the checkpoint goes on where it was.
+
+    Each trigger's totals replace those before in a folder of their own; the last one's are the result."""
+    base = checkpoint or new_folder(spark, "running")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
     sums = stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    writer = sums.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.table(name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/totals/trigger={number}")
+
+    writer = sums.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/totals")
+    return rows.join(rows.agg(F.max("trigger").alias("trigger")), "trigger", "left_semi").drop("trigger")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from rowloom.plans import catalogue
+from rowloom.plans import catalogue, wider  # noqa: F401 (wider registers its queries)
 from tests.oracle import differences
 
 
