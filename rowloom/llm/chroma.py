@@ -11,7 +11,9 @@ id is divisible by QUERY_EVERY; each meets every class, block by block, so no ma
 differing bits of all offsets of a pair come at once, from the Fourier transforms of the two.
 
 Nulls: null or too short audio has no frames, an empty fingerprint and no match. A null id is
-indexed but never queried. Repeated rows share a class. An empty table gives an empty result.
+indexed but never queried. Repeated rows share a class. Of ties the class of the least id counts, then the offset
+nearest to 0. Very long recordings are compared whole. Other columns are ignored, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
