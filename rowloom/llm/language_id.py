@@ -157,7 +157,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMPLE
     common.small_batches(labelled.sparkSession)
     rows = common.bounded_sample(labelled.where("lang is not null and text is not null"), id_col, sample_rows)
     rows = common.materialize(rows.select("lang", "text"), "langid-sample")
-    counts = common.materialize(_with_grams(_counted(rows)), "langid-counts")
+    words = _counted(rows).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)  # few bytes, but much to count in each word
+    counts = common.materialize(_with_grams(words), "langid-counts")
     docs_by = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     totals = {(r["lang"], r["k"]): r["n"] for r in counts.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for lang, _ in totals})
