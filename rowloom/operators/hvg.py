@@ -72,7 +72,7 @@ def v3_moments(m: DataFrame, cells: DataFrame) -> DataFrame:
     return s.select("batch", "gene_id", "n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("var"))
 
 
-def quadratic_trend(mo: DataFrame) -> DataFrame:
+def power_trend(mo: DataFrame) -> DataFrame:
     """Adds est: least-squares log10 var = a + b log10 mean per batch, the closed form that SQL can repeat."""
     x, y, pos = F.log10(F.when(F.col("mean") > 0, F.col("mean"))), F.log10(F.when(F.col("var") > 0, F.col("var"))), F.col("var") > 0
     fit = mo.where(pos).groupBy("batch").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

@@ -369,10 +369,10 @@ _BATCH = "mo AS (SELECT batch, gene_id, SUM(x) / n AS mean, SUM(x * x) / n - (SU
 _BDISP = _DISP.replace("SELECT gene_id, ln", "SELECT batch, gene_id, ln").replace("FROM onepass", "FROM mo").replace("OVER ()", "OVER (PARTITION BY batch)").replace("PARTITION BY bin", "PARTITION BY batch, bin").replace("SELECT gene_id, mean, disp, bin", "SELECT batch, gene_id, mean, disp, bin")
 
 
-@query(_with(_CELLS, _MATRIX, _BATCH, _BDISP, "t AS (SELECT *, CASE WHEN z IS NOT NULL AND rank() OVER (PARTITION BY batch ORDER BY z DESC NULLS LAST) <= 12 THEN 1 ELSE 0 END AS top FROM disp)", "g AS (SELECT gene_id, SUM(top) AS nb, round(AVG(coalesce(z, 0)), 6) AS z FROM t GROUP BY 1)", select="SELECT gene_id, CAST(nb AS BIGINT) AS nbatches, z AS dispersion_norm FROM g"))
+@query(_with(_CELLS, _MATRIX, _BATCH, _BDISP, "t AS (SELECT *, CASE WHEN z IS NOT NULL AND rank() OVER (PARTITION BY batch ORDER BY z DESC NULLS LAST) <= 12 THEN 1 ELSE 0 END AS top FROM disp)", "g AS (SELECT gene_id, SUM(top) AS nb, AVG(coalesce(z, 0)) AS z FROM t GROUP BY 1)", select="SELECT gene_id, CAST(nb AS BIGINT) AS nbatches, round(z, 6) AS dispersion_norm, row_number() OVER (ORDER BY nb DESC, z DESC NULLS LAST, gene_id) <= 12 AS highly_variable FROM g"))
 def hvg_seurat_v1_batched(spark, d):
     mo = stats.onepass_by_batch(virtual.matrix(spark, d), virtual.cells(spark, d))
-    return hvg.seurat_batched(mo, 12).select("gene_id", "nbatches", r6(F.col("dispersion_norm")).alias("dispersion_norm"))
+    return hvg.seurat_batched(mo, 12).select("gene_id", "nbatches", r6(F.col("dispersion_norm")).alias("dispersion_norm"), "highly_variable")
 
 
 _KOT = "f AS (SELECT gene_id, mean, var, var / nullif(mean, 0) AS fano FROM onepass), a AS (SELECT MIN(sqrt(var) / mean) AS a FROM (SELECT * FROM f ORDER BY mean DESC, gene_id LIMIT 20)), q AS (SELECT quantile_cont(mean, 0.1) AS ml, quantile_cont(mean, 0.9) AS mh, quantile_cont(fano, 0.1) AS fl, quantile_cont(fano, 0.9) AS fh FROM f), b AS (SELECT sqrt(median(fano)) AS b, stddev_samp(fano) AS s FROM f, q WHERE mean > ml AND mean < mh AND fano > fl AND fano < fh), r AS (SELECT gene_id, mean, fano / (a * a * mean + b * b) AS ratio, s FROM f, a, b)"
@@ -398,7 +398,7 @@ def _rank_sql(order: str) -> str:
 
 
 def _clip(spark, d):
-    return hvg.v3_clip(hvg.quadratic_trend(hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))))
+    return hvg.v3_clip(hvg.power_trend(hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))))
 
 
 @query(_with(_CELLS, _MATRIX, _V1, select="SELECT batch, gene_id, n, round(mean, 6) AS mean, round(var, 6) AS var FROM mo"))
