@@ -72,13 +72,6 @@ def v3_moments(m: DataFrame, cells: DataFrame) -> DataFrame:
     return s.select("batch", "gene_id", "n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("var"))
 
 
-def power_trend(mo: DataFrame) -> DataFrame:
-    """Adds est: least-squares log10 var = a + b log10 mean per batch, the closed form that SQL can repeat."""
-    x, y, pos = F.log10(F.when(F.col("mean") > 0, F.col("mean"))), F.log10(F.when(F.col("var") > 0, F.col("var"))), F.col("var") > 0
-    fit = mo.where(pos).groupBy("batch").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
-    return mo.join(F.broadcast(fit), "batch").withColumn("est", F.when(pos, F.col("intercept") + F.col("slope") * x).otherwise(0.0)).drop("slope", "intercept")
-
-
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
     """Local quadratics with tricube weights over the nearest span of points."""
     n, k = len(x), max(4, int(np.ceil(span * len(x))))
@@ -121,9 +114,9 @@ def v3_norm_var(m: DataFrame, cells: DataFrame, clip: DataFrame) -> DataFrame:
 
 
 def v3_rank(nv: DataFrame, n_top: int, flavor: str = "seurat_v3", least_cells: int = 2) -> DataFrame:
-    """gene_id, nbatches, median_rank, norm_var, highly_variable."""
+    """gene_id, nbatches, median_rank, norm_var, highly_variable. Variances equal to nine decimals tie, so the order of summing decides nothing; the least gene goes first."""
     nv = nv.where(F.col("n") >= least_cells)
-    rank = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("norm_var"), "gene_id")) - 1
+    rank = F.row_number().over(Window.partitionBy("batch").orderBy(F.round("norm_var", 9).desc(), "gene_id")) - 1
     r = nv.withColumn("rank", rank).withColumn("rank", F.when(F.col("rank") < n_top, F.col("rank")))
     g = r.groupBy("gene_id").agg(F.count("rank").alias("nbatches"), F.percentile("rank", 0.5).alias("median_rank"), F.avg("norm_var").alias("norm_var"))
     by_rank, by_n = F.col("median_rank").asc_nulls_last(), F.desc("nbatches")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,7 +31,14 @@ def onepass_by_batch(m: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def nonzero_median(m: DataFrame) -> DataFrame:
-    return m.where("x != 0").groupBy("gene_id").agg(F.median("x").alias("median"))
+    """gene_id, median: equal values are counted before they move, so a task holds a gene's distinct values, not its cells."""
+    counts = m.where("x != 0").groupBy("gene_id", "x").agg(F.count(F.lit(1)).alias("c"))
+    gene = Window.partitionBy("gene_id")
+    total, upto = F.sum("c").over(gene), F.sum("c").over(gene.orderBy("x"))
+    placed = counts.select("gene_id", F.col("x").cast("double").alias("x"), total.alias("n"), upto.alias("upto"), (upto - F.col("c")).alias("below"))
+    holds = lambda place: ((F.col("below") < place) & (place <= F.col("upto"))).cast("int")
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    return placed.groupBy("gene_id").agg((F.sum(F.col("x") * (holds(low) + holds(high))) / 2).alias("median"))
 
 
 def nonzero_quantile_sketch(m: DataFrame, q: float = 0.5, accuracy: int = 10_000) -> DataFrame:

@@ -389,16 +389,23 @@ def hvg_kotliar_threshold(spark, d):
 
 
 _V1 = "bn AS (SELECT batch, COUNT(*) AS n FROM cells GROUP BY 1), mo AS (SELECT batch, gene_id, n, SUM(x) / n AS mean, (SUM(x * x) - SUM(x) * SUM(x) / n) / (n - 1) AS var FROM matrix JOIN cells USING (cell_id) JOIN bn USING (batch) GROUP BY batch, gene_id, n)"
-_V2 = "fit AS (SELECT batch, regr_slope(log10(var), log10(mean)) AS sl, regr_intercept(log10(var), log10(mean)) AS ic FROM mo WHERE var > 0 GROUP BY 1), cl AS (SELECT batch, gene_id, n, mean, sqrt(power(10.0, CASE WHEN var > 0 THEN ic + sl * log10(mean) ELSE 0 END)) AS rs FROM mo JOIN fit USING (batch)), clip AS (SELECT *, rs * sqrt(n) + mean AS clip FROM cl)"
+_LOESS = """pt AS (SELECT batch, gene_id, log10(mean) AS lx, log10(var) AS ly FROM mo WHERE var > 0 AND mean > 0),
+pr AS (SELECT a.batch, a.gene_id, b.lx - a.lx AS u, b.ly AS v FROM pt a JOIN pt b USING (batch)),
+near AS (SELECT *, row_number() OVER (PARTITION BY batch, gene_id ORDER BY abs(u)) AS place, COUNT(*) OVER (PARTITION BY batch, gene_id) AS k FROM pr),
+band AS (SELECT batch, gene_id, k, greatest(abs(u), 1e-12) AS h FROM near WHERE place = least(k, greatest(4, ceil(0.3 * k)))),
+wt AS (SELECT batch, gene_id, k, u / h AS u, v, CASE WHEN abs(u) < h THEN power(1 - power(abs(u) / h, 3), 3) ELSE 0 END AS w FROM pr JOIN band USING (batch, gene_id)),
+ls AS (SELECT batch, gene_id, k, SUM(w) AS s0, SUM(w * u) AS s1, SUM(w * u * u) AS s2, SUM(w * u * u * u) AS s3, SUM(w * u * u * u * u) AS s4, SUM(w * v) AS t0, SUM(w * v * u) AS t1, SUM(w * v * u * u) AS t2 FROM wt GROUP BY batch, gene_id, k),
+fit AS (SELECT batch, gene_id, CASE WHEN k < 4 THEN 0 ELSE (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)) END AS est FROM ls)"""
+_V2 = _LOESS + ", cl AS (SELECT batch, gene_id, n, mean, coalesce(est, 0) AS est, sqrt(power(10.0, coalesce(est, 0))) AS rs FROM mo LEFT JOIN fit USING (batch, gene_id)), clip AS (SELECT *, rs * sqrt(n) + mean AS clip FROM cl)"
 _V3 = "nv AS (SELECT batch, gene_id, n, coalesce((n * mean * mean + SUM(least(x, clip) * least(x, clip)) - 2 * mean * SUM(least(x, clip))) / nullif((n - 1) * rs * rs, 0), 0) AS nv FROM matrix JOIN cells USING (cell_id) JOIN clip USING (batch, gene_id) GROUP BY batch, gene_id, n, mean, rs)"
 
 
 def _rank_sql(order: str) -> str:
-    return _with(_CELLS, _MATRIX, _V1, _V2, _V3, "rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY nv DESC, gene_id) - 1 AS r FROM nv)", "g AS (SELECT gene_id, COUNT(*) FILTER (r < 20) AS nbatches, quantile_cont(CASE WHEN r < 20 THEN r END, 0.5) AS mr, AVG(nv) AS nv FROM rk GROUP BY 1)", select=f"SELECT gene_id, nbatches, CAST(mr AS DOUBLE) AS median_rank, round(nv, 6) AS norm_var, row_number() OVER (ORDER BY {order}, gene_id) <= 20 AS highly_variable FROM g")
+    return _with(_CELLS, _MATRIX, _V1, _V2, _V3, "rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY round(nv, 9) DESC, gene_id) - 1 AS r FROM nv)", "g AS (SELECT gene_id, COUNT(*) FILTER (r < 20) AS nbatches, quantile_cont(CASE WHEN r < 20 THEN r END, 0.5) AS mr, AVG(nv) AS nv FROM rk GROUP BY 1)", select=f"SELECT gene_id, nbatches, CAST(mr AS DOUBLE) AS median_rank, round(nv, 6) AS norm_var, row_number() OVER (ORDER BY {order}, gene_id) <= 20 AS highly_variable FROM g")
 
 
 def _clip(spark, d):
-    return hvg.v3_clip(hvg.power_trend(hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))))
+    return hvg.v3_clip(hvg.loess_trend(hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))))
 
 
 @query(_with(_CELLS, _MATRIX, _V1, select="SELECT batch, gene_id, n, round(mean, 6) AS mean, round(var, 6) AS var FROM mo"))
@@ -406,9 +413,9 @@ def hvg_v3_pass1(spark, d):
     return hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d)).select("batch", "gene_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
 
 
-@query(_with(_CELLS, _MATRIX, _V1, _V2, select="SELECT batch, gene_id, round(clip, 6) AS clip FROM clip"))
+@query(_with(_CELLS, _MATRIX, _V1, _V2, select="SELECT batch, gene_id, round(clip, 4) AS clip FROM clip"))
 def hvg_v3_clip(spark, d):
-    return _clip(spark, d).select("batch", "gene_id", r6(F.col("clip")).alias("clip"))
+    return _clip(spark, d).select("batch", "gene_id", F.round("clip", 4).alias("clip"))
 
 
 @query(_with(_CELLS, _MATRIX, _V1, _V2, _V3, select="SELECT batch, gene_id, round(nv, 6) AS norm_var FROM nv"))
@@ -431,10 +438,9 @@ def hvg_v3_rank_paper(spark, d):
     return _ranked(spark, d, "seurat_v3_paper")
 
 
-@query()
+@query(_with(_CELLS, _MATRIX, _V1, _V2, select="SELECT batch, gene_id, round(est, 5) AS est FROM clip"))
 def hvg_v3_loess(spark, d):
-    mo = hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))
-    return hvg.v3_clip(hvg.loess_trend(mo)).select("batch", "gene_id", "est", "clip")
+    return _clip(spark, d).select("batch", "gene_id", F.round("est", 5).alias("est"))
 
 
 # ontology -----------------------------------------------------------------------------------------
