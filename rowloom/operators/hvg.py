@@ -80,8 +80,10 @@ def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
         d = np.abs(x - x[i])
         h = max(np.partition(d, min(k, n) - 1)[min(k, n) - 1], 1e-12)
         w = np.sqrt(np.clip(1 - (d / h) ** 3, 0, None) ** 3)
-        a = np.stack([np.ones(n), x - x[i], (x - x[i]) ** 2], axis=1)
-        out[i] = np.linalg.lstsq(a * w[:, None], y * w, rcond=None)[0][0]
+        near = w > 0
+        u, w = x[near] - x[i], w[near]
+        a = np.stack([np.ones(len(u)), u, u**2], axis=1)
+        out[i] = np.linalg.lstsq(a * w[:, None], y[near] * w, rcond=None)[0][0]
     return out
 
 
@@ -107,10 +109,11 @@ def v3_clip(mo: DataFrame, least_cells: int = 2) -> DataFrame:
 
 def v3_norm_var(m: DataFrame, cells: DataFrame, clip: DataFrame) -> DataFrame:
     """batch, gene_id, norm_var from clipped sums; zeros add nothing as clips are not negative."""
-    c = F.least("x", "clip")
-    s = m.join(cells.select("cell_id", "batch"), "cell_id").join(clip.select("batch", "gene_id", "clip"), ["batch", "gene_id"]).groupBy("batch", "gene_id").agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"))
+    c, known = F.least("x", "clip"), ["n", "mean", "reg_std"]
+    x = m.join(cells.select("cell_id", "batch"), "cell_id").join(clip.select("batch", "gene_id", "clip", *known), ["batch", "gene_id"])
+    s = x.groupBy("batch", "gene_id").agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"), *[F.max(k).alias(k) for k in known])
     top = F.col("n") * F.col("mean") * F.col("mean") + F.col("q") - 2 * F.col("mean") * F.col("s")
-    return s.join(clip, ["batch", "gene_id"]).select("batch", "gene_id", "n", F.coalesce(top / F.nullif((F.col("n") - 1) * F.col("reg_std") * F.col("reg_std"), F.lit(0.0)), F.lit(0.0)).alias("norm_var"))
+    return s.select("batch", "gene_id", "n", F.coalesce(top / F.nullif((F.col("n") - 1) * F.col("reg_std") * F.col("reg_std"), F.lit(0.0)), F.lit(0.0)).alias("norm_var"))
 
 
 def v3_rank(nv: DataFrame, n_top: int, flavor: str = "seurat_v3", least_cells: int = 2) -> DataFrame:
