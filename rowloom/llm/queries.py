@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, ctw, exact_dedup, language_id, licenses, mixing, packing, pii, simhash_dedup, toxicity
+from . import chroma, ctw, exact_dedup, language_id, licenses, manifest, mixing, packing, pii, simhash_dedup, toxicity
 from .common import documents
 
 
@@ -49,6 +49,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ctw_scores": op2_ctw_scores,
@@ -60,9 +64,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": manifest.manifest_sql(),
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
