@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, ctw, exact_dedup, language_id, licenses, manifest, mixing, packing, pii, simhash_dedup, toxicity
+from . import bin_slack, chroma, codes, ctw, exact_dedup, language_id, licenses, manifest, mixing, packing, pii, simhash_dedup, toxicity
 from .common import documents
 
 
@@ -53,6 +53,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(documents(spark, sf_dir))
 
 
+def op12_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ctw_scores": op2_ctw_scores,
@@ -65,10 +73,13 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_va_file_codes": op12_va_file_codes,
+    "op13_bin_slack_packing": op13_bin_slack_packing,
 }
 
 ORACLE_SQL = {
     "op11_merkle_manifest": manifest.manifest_sql(),
+    "op12_va_file_codes": codes.compress_sql(),
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
