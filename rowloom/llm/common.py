@@ -53,13 +53,20 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int, total: int | None = None) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of the key: the same rows in each run."""
+def bounded_sample(df: DataFrame, most: int, total: int | None = None) -> DataFrame:
+    """All rows if they are `most` at most, else exactly `most`, drawn by a hash of the whole row and its place in the input.
+
+    Nulls and repeats in any column draw apart. Twice as many rows as are wanted are written first, so that draws stay.
+    """
     total = df.count() if total is None else total
     if total <= most:
         return df
-    cut = int(most / total * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < cut)
+    draw = "_".join(["draw", *df.columns])
+    drawn = df.withColumn(draw, F.shiftright(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id()), 1))
+    low = -(1 << 62) + int(min(1.0, (2 * most + 100) / total) * ((1 << 63) - 1))
+    drawn = materialize(drawn.where(F.col(f"`{draw}`") <= low), "drawn")
+    cut = drawn.select(F.col(f"`{draw}`").alias("d")).orderBy("d").limit(most).agg(F.max("d")).first()[0]
+    return drawn.where(F.col(f"`{draw}`") <= cut).drop(draw)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -5,12 +5,13 @@ not know is scored by character n-grams of its padded form: the longest order of
 one gram is known, tried from GRAM_ORDERS[0] down. Scores add up over the text, and the posterior
 of the best language is the row's score.
 
-The model is learnt from a bounded sample of labelled rows (SAMPLE_ROWS, a hash of the id decides)
+The model is learnt from a bounded sample of labelled rows (SAMPLE_ROWS at most, drawn by a hash of the row)
 and has every word and gram that the sample holds at least LEAST_COUNT times, so its size is that of the
 sample's vocabulary. Counting is distributed.
 
 A word is a run of letters with the combining marks on them, by Unicode category; digits that look
-like letters, signs and numerals are none.
+like letters, signs and numerals are none. Workers remember scores of runs between ASCII blanks and signs,
+up to CACHE_BYTES of them and none longer than CACHE_WORD, so scripts without blanks are scored as they come.
 
 Nulls: a null text, or one without letters, is `und` with score 0; so is everything when no
 labelled row was there to learn from. A null language is not learnt from. Repeated rows count as often as they
@@ -23,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ LEAST_COUNT = 3
 GRAM_ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 UNKNOWN = "und"
-#: Words that a worker remembers the scores of.
-CACHE_WORDS = 500_000
+#: Bytes of the words that a worker remembers the scores of, and the longest such word.
+CACHE_BYTES, CACHE_WORD = 96 << 20, 64
+#: What a word in the cache costs beside its bytes and scores.
+ENTRY_BYTES = 150
 
 #: ASCII letters in lower case, everything else in ASCII a blank; other bytes stay.
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -69,7 +73,8 @@ class Scorer:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.table = np.zeros((1 << 12, len(self.langs) + 1))
+        self.held = 0
+        self.table = np.zeros((1 << 12, len(self.langs) + 1))  # row 0 stays zero: words that are not remembered
 
     def word(self, word: str) -> np.ndarray:
         at = self.words.get(word)
@@ -81,30 +86,42 @@ class Scorer:
                 return self.logs[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    def _row(self, word: bytes) -> np.ndarray:
+        """Scores of a run's words, and their number."""
+        parts, row = letters(word), np.zeros(len(self.langs) + 1)
+        for p in parts:
+            row[:-1] += self.word(p)
+        row[-1] = len(parts)
+        return row
+
     def _learn(self, new: list[bytes]) -> None:
-        need = len(self.index) + len(new)
+        need = len(self.index) + len(new) + 1
         if need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(need, len(self.table)), self.table.shape[1]))])
         for w in new:
-            parts = letters(w)
-            row = self.table[len(self.index)]
-            row[:] = 0
-            for p in parts:
-                row[:-1] += self.word(p)
-            row[-1] = len(parts)
-            self.index[w] = len(self.index)
+            at = len(self.index) + 1
+            self.table[at] = self._row(w)
+            self.index[w] = at
+            self.held += len(w) + 8 * self.table.shape[1] + ENTRY_BYTES
 
     def score(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.forget()
         split = [split_words(t) for t in texts]
-        self._learn(list({w for s in split for w in s}.difference(self.index)))
+        new = {w for s in split for w in s}.difference(self.index)
+        long = {w for w in new if len(w) > CACHE_WORD}
+        self._learn(list(new - long))
         sizes = np.array([len(s) for s in split])
-        ids = np.fromiter((i for s in split for i in map(self.index.__getitem__, s)), np.int64, sizes.sum())
+        ids = np.fromiter((i for s in split for i in map(self.index.get, s, repeat(0))), np.int64, sizes.sum())
         total = np.zeros((len(texts), self.table.shape[1]))
         full = np.nonzero(sizes)[0]
         if len(full):
             total[full] = np.add.reduceat(self.table[ids], (np.cumsum(sizes) - sizes)[full], axis=0)
+        if long:
+            for row, s in zip(total, split, strict=True):
+                for w in s:
+                    if len(w) > CACHE_WORD:
+                        row += self._row(w)
         logs = total[:, :-1] + self.prior
         best = logs.argmax(1)
         p = 1 / np.exp(logs - logs[np.arange(len(best)), best][:, None]).sum(1)
@@ -152,11 +169,11 @@ def _flushed(seen: Counter) -> pa.RecordBatch:
     return out
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_count: int = LEAST_COUNT) -> dict:
+def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, least_count: int = LEAST_COUNT) -> dict:
     """Model from rows with text and lang; the caller has taken out what must not be learnt from."""
     common.small_batches(labelled.sparkSession)
-    rows = common.bounded_sample(labelled.where("lang is not null and text is not null"), id_col, sample_rows)
-    rows = common.materialize(rows.select("lang", "text"), "langid-sample")
+    rows = common.bounded_sample(labelled.where("lang is not null and text is not null").select("lang", "text"), sample_rows)
+    rows = common.materialize(rows, "langid-sample")
     words = _counted(rows).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)  # few bytes, but much to count in each word
     counts = common.materialize(_with_grams(words), "langid-counts")
     docs_by = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}

@@ -159,11 +159,11 @@ def fit(rows: list[tuple[int, set[str]]], classes: int) -> tuple[dict[str, int],
     return index, w, bias
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 9) -> dict:
+def train(docs: DataFrame, text_col: str = "text", seed: int = 9) -> dict:
     """Model; the corpus only gives the class `none`, from a bounded sample of its documents."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    sample = common.bounded_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")), "doc_id", SAMPLE_DOCS)
+    sample = common.bounded_sample(docs.select(F.col(text_col).cast("binary").alias("text")), SAMPLE_DOCS)
     least = {w for ts in TEMPLATES.values() for t in ts for w in t.split()}
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

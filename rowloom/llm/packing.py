@@ -7,8 +7,8 @@ widened gap more tightly, and repeats a pattern as often as the counts allow. Th
 ranks of a length go where; every piece finds its place by its rank among pieces of its length.
 
 Nulls: a null text is empty and packs as the end id alone; a null id is kept. Repeated rows and rows
-with one id are packed apart, ties among equal lengths go by id, piece and checksum. Very long texts
-are encoded whole; only documents longer than a sequence are cut. Other columns of the table are
+with one id are packed apart, ties among equal lengths go by id, piece, checksum and row. Very long texts,
+runs of blanks among them, are encoded whole; only documents longer than a sequence are cut. Other columns of the table are
 ignored, whatever their names. An empty table gives an empty result.
 """
 
@@ -90,9 +90,16 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def one(self, text: str) -> bytes:
+        if self.fast is None or any(a in text for a in self.added):
+            return self.whole(text)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its regex gives up on runs of some million blanks
+            return self.whole(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        run = self.fast and self.fast.encode_to_numpy
-        return [self.whole(t) if run is None or any(a in t for a in self.added) else run(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
+        return [self.one(t) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
@@ -102,7 +109,7 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: a document of up to `sequence` ids is one piece; of a longer one the first piece takes the remainder."""
+    """uid, doc_id, piece, start, length, ids_crc32: a document of up to `sequence` ids is one piece; of a longer one the first piece takes the remainder."""
     common.small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,20 +117,20 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, id_col: st
         end = np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for uid, d, ids in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 ids += end
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     size = (n - at) % sequence or sequence
-                    rows.append((d, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    rows.append((uid, d, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
                     at, k = at + size, k + 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return cols.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cols = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return cols.mapInArrow(cut, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[list[int], int]]:
@@ -206,11 +213,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
     places = spark.createDataFrame(found, "length long, first long, ranks long, base long, offset long")
     # a length that many pieces share is counted in slices
     slices = spark.createDataFrame([(x, -(-n // SLICE_ROWS)) for x, n in histogram.items()], "length long, slices long")
-    cut = cut.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("slices"))).drop("slices")
+    cut = cut.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "uid"), F.col("slices"))).drop("slices")
     per_slice = cut.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     start = per_slice.select("length", "slice", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32", "uid")) - 1
     ranked = cut.withColumn("own", own).join(start, ["length", "slice"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "slice")
     places = common.broadcast_if_small(places, len(found))
     out = ranked.join(places, (ranked["length"] == places["length"]) & (ranked["rank"] >= places["first"]) & (ranked["rank"] < places["first"] + places["ranks"]))

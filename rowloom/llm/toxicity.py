@@ -107,10 +107,10 @@ def fit(bags: list[tuple[int, list[int], list[int]]], start: np.ndarray) -> tupl
     return w, float(1 / (1 + np.exp(-leak)))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> dict:
+def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Model from rows (id, text, label 0 or 1)."""
     common.small_batches(labelled.sparkSession)
-    rows = common.materialize(common.bounded_sample(labelled, id_col, sample_rows).select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label")), "toxicity-sample")
+    rows = common.materialize(common.bounded_sample(labelled.select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label")), sample_rows), "toxicity-sample")
     by_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     model = {"words": {}, "weights": np.zeros(0), "leak": 0.0, "key": uuid.uuid4().hex}
     if not by_label.get(0) or not by_label.get(1):
@@ -184,6 +184,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, ...; learns from labels whose crc32 of the id mod 3 is not 1."""
     flagged = docs.select("doc_id", "text", common.held_out("doc_id", 3, 1).alias("held_out"))
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~common.held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    usable = common.materialize(common.bounded_sample(usable, "doc_id", SAMPLE_ROWS), "toxicity-labels")
+    usable = common.materialize(common.bounded_sample(usable, SAMPLE_ROWS), "toxicity-labels")
     labelled = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # about SAMPLE_ROWS rows
     return score(flagged, train(labelled), keep=("held_out",))
