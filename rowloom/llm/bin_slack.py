@@ -18,10 +18,13 @@ encoded whole. An empty table gives an empty result. Other columns are ignored,
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, ranks
+from .packing import byte_chars
 
 SEQUENCE = 2048
 END_ID = 1
+#: Rows of a length that are ranked in one window.
+BUCKET_ROWS = 1_000
 #: Bytes of the words that a worker remembers the ids of, and the longest such word.
 CACHE_BYTES, CACHE_WORD = 96 << 20, 128
 #: What an entry of the cache costs beside its bytes.
 ENTRY_BYTES = 200
+#: Fixed value: how tokenizers of this kind cut a text into words, digits and signs.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Small letters whose capital is one letter of as many bytes, and runs of them, of capitals and of ASCII signs but `'` and `<`.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+_SIMPLE = re.compile(rf"[!-&(-;=-~{_LETTERS}{_LETTERS.upper()}]+")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|\n|[^0-9{_LETTERS}\n]+")
+#: An id that no vocabulary has, between the ids of words.
+_STOP_ID = 0xFFFFFFFF
+_STOP = b"\xff\xff\xff\xff"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -46,10 +61,12 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, for tokenizers that let no token cross white space.
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, equal to those of the tokenizers library.
 
-    Such a tokenizer gives a text's ids as those of its runs without white space, one after the
-    other, so each different run is encoded once and remembered.
+    Where the file's tokens never cross white space, a text's ids are those of its runs without white
+    space, one after the other, so each different run is encoded once and remembered. Words of plain
+    letters in such a run are merged by tiktoken over the file's own merges (`word_ranks`). Other files
+    take whole texts.
     """
 
     def __init__(self, path: str):
@@ -57,27 +74,125 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        self.by_runs = splits_at_white_space(whole)
+        ranks = word_ranks(whole["model"]) if self.by_runs else None
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(name=os.path.basename(path), pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
+            self.line = ranks[b"\n"]
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": _STOP}
         self.held = 0
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of plain letters: each word's last letter is a capital, which stands for the word's end."""
+        ids = self.fast.encode_to_numpy("\n".join([w[:-1] + w[-1].upper() for w in words])).astype("<u4")
+        ids[ids == self.line] = _STOP_ID
+        return ids.tobytes().split(_STOP)
+
+    def _simple(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of plain letters, digits and signs: all their words at once."""
+        parts = _PARTS.findall("\n".join(runs).lower())
+        new = set(parts).difference(self.parts)
+        words = [p for p in new if p[0] in _LETTERS]
+        rest = [p for p in new if p[0] not in _LETTERS]
+        for names, found in ((words, self._words(words) if words else []), (rest, self.whole(rest))):
+            self._keep(self.parts, names, found)
+        return b"".join(map(self.parts.__getitem__, parts)).split(_STOP)
+
+    def _keep(self, where: dict, names: list, found: list[bytes]) -> None:
+        where.update(zip(names, found, strict=True))
+        self.held += sum(map(len, names)) + sum(map(len, found)) + ENTRY_BYTES * len(names)
+
+    def _runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs without white space."""
+        texts = b"\n".join(runs).decode("utf-8", "replace").split("\n")
+        if self.fast is None:
+            return dict(zip(runs, self.whole(texts), strict=True))
+        plain = [_SIMPLE.fullmatch(t) is not None for t in texts]
+        simple, odd = list(compress(texts, plain)), [k for k, x in enumerate(plain) if not x]
+        out = dict(zip(compress(runs, plain), self._simple(simple), strict=True)) if simple else {}
+        out.update(zip([runs[k] for k in odd], self.whole([texts[k] for k in odd]), strict=True))
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_runs:
+            return self.whole([t.decode("utf-8", "replace") for t in texts])
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.known)) if split else []
-        own: dict[bytes, bytes] = {}
-        for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            if len(w) <= CACHE_WORD:
-                self.known[w] = ids
-                self.held += len(w) + len(ids) + ENTRY_BYTES
-            else:
-                own[w] = ids
-        get = self.known.__getitem__ if not own else lambda w: self.known[w] if w in self.known else own[w]
+        long = [w for w in new if len(w) > CACHE_WORD]
+        short = [w for w in new if len(w) <= CACHE_WORD] if long else new
+        if short:
+            found = self._runs(short)
+            self._keep(self.known, list(found), list(found.values()))
+        get = self.known.__getitem__
+        if long:  # these are not remembered
+            own = dict(zip(long, self.whole([w.decode("utf-8", "replace") for w in long]), strict=True))
+            get = lambda w: own[w] if w in own else self.known[w]
         out = [b"".join(map(get, s)) for s in split]
         if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+            self.forget()
         return out
 
 
+def splits_at_white_space(whole: dict) -> bool:
+    """Whether the file cuts texts by WORD_PATTERN alone, after composing, folding white space and lower-casing."""
+    steps = (whole.get("normalizer") or {}).get("normalizers") or []
+    cuts = (whole.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        return False
+    folds = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    plain = cuts[0]["pattern"] == {"Regex": WORD_PATTERN} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    added = any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in whole.get("added_tokens") or [])
+    return folds and plain and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"] or added)
+
+
+def word_ranks(model: dict) -> dict[bytes, int] | None:
+    """The merges of words of plain letters as bytes and ids, capitals standing for letters at a word's end; None for other models.
+
+    A letter's UTF-8 bytes are its symbols, and the end of a word is part of the last. Its capital has
+    the same bytes but for a last one that no small letter has, so that is the last symbol.
+    """
+    suffix = model.get("end_of_word_suffix")
+    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "unk_token", "fuse_unk"))
+    if model.get("type") != "BPE" or not suffix or odd:
+        return None
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(m) for m in merged]
+    if None in ids or sorted(ids) != ids:
+        return None
+    chars = byte_chars()
+    ends = {c.encode()[-1]: c.upper().encode()[-1] for c in _LETTERS}
+    used = {b for c in _LETTERS + _LETTERS.upper() for b in c.encode()}
+    ranks: dict[bytes, int] = {}
+    for token, at in model["vocab"].items():
+        word = token.endswith(suffix) and token != suffix
+        raw = [chars.get(c) for c in (token[: -len(suffix)] if word else token)]
+        if None in raw or (word and raw[-1] not in ends):
+            continue
+        mapped = bytes([*raw[:-1], ends[raw[-1]]] if word else raw)
+        if len(mapped) > 1 and set(mapped[:-1]) & set(ends.values()) or not word and mapped[-1] in ends.values():
+            continue  # what no word of plain letters has
+        if set(mapped) <= used:
+            ranks[mapped] = at
+    spare = max(model["vocab"].values()) + 1
+    for b in range(256):  # bytes that no such word has, for tiktoken's sake; the line end among them
+        if bytes([b]) not in ranks:
+            ranks[bytes([b])] = spare
+            spare += 1
+    return ranks
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -198,7 +313,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `sequence` rows at most
     total = sum(histogram.values())
     keyed = found.select(*names, F.xxhash64("doc_id", "ids_crc32", "uid", "start").alias("draw"))
-    rows = ranks.ranked(keyed, "length", ["draw", "uid", "start"], total).select(*names, "rank")
+    rows = ranks.ranked(keyed, "length", ["draw", "uid", "start"], total, BUCKET_ROWS).select(*names, "rank")
     windows, aside = plan_windows(histogram, sequence)
     places, taken, base = [], Counter(), 0
     for lengths, times in windows:

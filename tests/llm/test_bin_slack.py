@@ -29,12 +29,41 @@ def test_ids_are_the_plain_tokenizers():
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_of_plain_letters_are_merged_alike():
+    rng = random.Random(8)
+    letters = bin_slack._LETTERS
+    plain, enc = _plain(), bin_slack.WordEncoder(bin_slack.default_tokenizer())
+    assert enc.by_runs and enc.fast is not None
+    vocabulary = [t.removesuffix("</w>") for t in plain.get_vocab()]
+    words = [w for w in vocabulary if w and set(w) <= set(letters[:26])]
+    words += ["".join(rng.choice(words)[:9] for _ in range(3)) for _ in range(30_000)] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(30_000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)] + ["ÀB-c12.5,É!É$$$ Ðx×y÷z ÿß ẞ Ÿ ªº ²³ naïve+Œuvre"]
+    for t, ids in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_tokens_encode_as_themselves():
+    """Then merging by ranks alone gives what merging by pairs does."""
+    plain = _plain()
+    held = [(t, k) for t, k in plain.get_vocab().items() if t.endswith("</w>") and t.removesuffix("</w>").isascii() and t.removesuffix("</w>").isalpha() and t.islower()]
+    assert len(held) > 20_000
+    assert [t for t, k in held if plain.encode(t.removesuffix("</w>"), add_special_tokens=False).ids != [k]] == []
+
+
+def test_other_files_take_whole_texts():
+    from rowloom.llm import packing
+
+    enc = bin_slack.WordEncoder(packing.default_tokenizer())
+    assert not enc.by_runs
+    assert enc.encode([b"two  words\n x"])[0] == packing.encoder(packing.default_tokenizer()).whole("two  words\n x")
+
+
 def test_the_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(bin_slack, "CACHE_BYTES", 5_000)
     enc = bin_slack.WordEncoder(bin_slack.default_tokenizer())
     for k in range(50):
         enc.encode([b" ".join(b"w%d" % (20 * k + j) for j in range(20)) + b" " + b"z" * 500])
-        assert enc.held <= 5_000 and len(enc.known) <= 25
+        assert enc.held <= 5_000 and len(enc.known) <= 25 and len(enc.parts) <= 50
 
 
 def test_fill_is_closest():
