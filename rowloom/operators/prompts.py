@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .transforms import binomial, uniform
+from ..functions.draws import binomial, log_gamma, negative_binomial
+from .transforms import uniform
 
 MASK_TOKEN, FIRST_GENE_TOKEN, NO_LABEL = 1, 2, -100
 
@@ -30,7 +31,7 @@ def library_target(m: DataFrame, least: float, most: float, fraction: float, see
 
 def downsample(m: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Binomial counts at each cell's p."""
-    return m.join(targets.select("cell_id", "p"), "cell_id").withColumn("x", binomial(F.col("x").cast("long"), F.col("p"), uniform(seed, "cell_id", "gene_id"))).drop("p")
+    return m.join(targets.select("cell_id", "p"), "cell_id").withColumn("x", binomial(F.round("x"), F.col("p"), uniform(seed, "cell_id", "gene_id")).cast("double")).drop("p")
 
 
 def prefix_lengths(most: int, zero: float = 0.1) -> list[tuple[int, float]]:
@@ -90,20 +91,12 @@ def generate_tokens(ctx: DataFrame) -> DataFrame:
     return out.withColumn("at", F.row_number().over(Window.partitionBy("cell_id").orderBy("is_prompt", "place")))
 
 
-def nb_sample(mu: Column, theta: Column, u: Column, most: int) -> Column:
-    """The least k up to `most` whose cumulative negative binomial probability reaches u."""
-    r = mu / (mu + theta)
-    first = F.pow(1 - r, theta)
-    zero = F.struct(F.lit(0).alias("k"), first.alias("term"), first.alias("sum"))
-
-    def step(acc: Column, i: Column) -> Column:
-        term, done = acc["term"] * (i - 1 + theta) / i * r, acc["sum"] >= u
-        return F.struct(F.when(done, acc["k"]).otherwise(i).alias("k"), F.when(done, acc["term"]).otherwise(term).alias("term"), F.when(done, acc["sum"]).otherwise(acc["sum"] + term).alias("sum"))
-
-    return F.when(mu <= 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step, lambda acc: acc["k"]))
+def nb_sample(mu: Column, theta: Column, u: Column) -> Column:
+    """The least k whose cumulative negative binomial probability reaches u, whatever its size."""
+    return negative_binomial(mu, theta, u)
 
 
 def nb_log_prob(x: Column, mu: Column, theta: Column) -> Column:
-    """lgamma(x + theta) - lgamma(theta) - lgamma(x + 1) + theta log(theta / (theta + mu)) + x log(mu / (theta + mu)) for whole x: the lgammas are sums of logs."""
-    rising = F.aggregate(F.when(x >= 1, F.sequence(F.lit(1), x.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda acc, i: acc + F.log((theta + i - 1) / i))
+    """lgamma(x + theta) - lgamma(theta) - lgamma(x + 1) + theta log(theta / (theta + mu)) + x log(mu / (theta + mu))."""
+    rising = log_gamma(x + theta) - log_gamma(theta) - log_gamma(x + 1)
     return rising + theta * F.log(theta / (theta + mu)) + F.when(x > 0, x * F.log(mu / (theta + mu))).otherwise(0.0)

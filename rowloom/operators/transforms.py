@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import binomial
+
 
 def normalize_total(m: DataFrame, target: float = 10_000.0, eps: float = 1e-6, totals: DataFrame | None = None) -> DataFrame:
     """x * target / (total + eps), the total given as (cell_id, total) or summed over the row."""
@@ -103,23 +105,11 @@ def gaussian_noise(dense: DataFrame, lo: float, hi: float, p_apply: float = 1.0,
     return randomize(dense, F.col("x") + normal * (lo + (hi - lo) * uniform(seed + 1, "cell_id", "gene_id")), p_apply, seed)
 
 
-def binomial(n: Column, p: Column, u: Column) -> Column:
-    """The least k whose cumulative binomial probability reaches u; n steps in the JVM."""
-    first = F.struct(F.lit(0).cast("long").alias("k"), F.pow(1 - p, n).alias("term"), F.pow(1 - p, n).alias("sum"))
-
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i * p / (1 - p)
-        done = acc["sum"] >= u
-        return F.struct(F.when(done, acc["k"]).otherwise(i.cast("long")).alias("k"), F.when(done, acc["term"]).otherwise(term).alias("term"), F.when(done, acc["sum"]).otherwise(acc["sum"] + term).alias("sum"))
-
-    drawn = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), first, step, lambda acc: acc["k"])
-    return F.when(n < 1, 0).when(p >= 1, n).when(p <= 0, 0).otherwise(F.least(drawn, n)).cast("double")
-
-
 def binomial_resample(m: DataFrame, lo: float, hi: float, p_apply: float = 1.0, seed: int = 0) -> DataFrame:
     """Binomial(x, p) with p drawn per entry."""
     p = lo + (hi - lo) * uniform(seed + 1, "cell_id", "gene_id")
-    return randomize(m, binomial(F.round("x").cast("long"), p, uniform(seed + 2, "cell_id", "gene_id")), p_apply, seed)
+    drawn = binomial(F.round("x"), p, uniform(seed + 2, "cell_id", "gene_id")).cast("double")
+    return randomize(m, drawn, p_apply, seed)
 
 
 def duplicate(m: DataFrame, enabled: bool = True) -> DataFrame:

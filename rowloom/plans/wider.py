@@ -320,9 +320,9 @@ def nb_log_probs(spark, d):
     return m.select("cell_id", "gene_id", r6(prompts.nb_log_prob(F.col("x"), F.col("mu"), F.lit(2.5))).alias("log_prob"))
 
 
-@query(_with(_MATRIX, f"u AS (SELECT cell_id, gene_id, x AS mu, {_U.format(s=21)} AS u FROM matrix)", "k AS (SELECT cell_id, gene_id, u, k, SUM(exp(lgamma(k + 4.0) - lgamma(4.0) - lgamma(k + 1.0) + 4.0 * ln(4.0 / (4.0 + mu)) + k * ln(mu / (4.0 + mu)))) OVER (PARTITION BY cell_id, gene_id ORDER BY k) AS cdf FROM (SELECT *, unnest(range(0, 61)) AS k FROM u))", select="SELECT cell_id, gene_id, CAST(coalesce(MIN(k) FILTER (cdf >= u), 60) AS INTEGER) AS x FROM k GROUP BY 1, 2"))
+@query(_with(_MATRIX, f"u AS (SELECT cell_id, gene_id, x AS mu, {_U.format(s=21)} AS u FROM matrix)", "k AS (SELECT cell_id, gene_id, u, k, SUM(exp(lgamma(k + 4.0) - lgamma(4.0) - lgamma(k + 1.0) + 4.0 * ln(4.0 / (4.0 + mu)) + k * ln(mu / (4.0 + mu)))) OVER (PARTITION BY cell_id, gene_id ORDER BY k) AS cdf FROM (SELECT *, unnest(range(0, CAST(12 * mu AS BIGINT) + 80)) AS k FROM u))", select="SELECT cell_id, gene_id, MIN(k) FILTER (cdf >= u) AS x FROM k GROUP BY 1, 2"))
 def nb_sampled(spark, d):
-    return virtual.matrix(spark, d).select("cell_id", "gene_id", prompts.nb_sample(F.col("x"), F.lit(4.0), tr.uniform(21, "cell_id", "gene_id"), 60).alias("x"))
+    return virtual.matrix(spark, d).select("cell_id", "gene_id", prompts.nb_sample(F.col("x"), F.lit(4.0), tr.uniform(21, "cell_id", "gene_id")).alias("x"))
 
 
 @query("WITH e AS (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(v / greatest(sqrt(SUM(v * v) OVER (PARTITION BY vec_id)), 1e-12), 6) AS v FROM e")
