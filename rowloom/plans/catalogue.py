@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..functions.columns import r6
 from ..operators import categories as cat
-from ..operators import estimators, evaluate, hvg, ontology, sampling, stats, tokens
+from ..operators import estimators, evaluate, hvg, ontology, quantiles, sampling, stats, tokens
 from ..operators import transforms as tr
-from ..sources import shards, virtual
+from ..sources import shards, shared, sinks, virtual
 from ..sources.virtual import table
 from ..streaming import running
 
@@ -84,6 +84,36 @@ def nonzero_quantile_sketch(spark, d):
     return stats.nonzero_quantile_sketch(virtual.matrix(spark, d))
 
 
+_QS = [0.25, 0.5, 0.9]
+
+
+def _within(m: DataFrame, state: DataFrame) -> DataFrame:
+    """gene_id, n, q, within: whether the sketch's quantile has its rank in the column but for the error that it states."""
+    e = quantiles.rank_error()
+    held = quantiles.held_rank(m, quantiles.quantiles(state, _QS))
+    return held.select("gene_id", "n", "q", ((F.col("least") <= F.col("q") + e) & (F.col("most") >= F.col("q") - e) & (F.col("low") <= F.col("value")) & (F.col("value") <= F.col("high"))).alias("within"))
+
+
+@query(_with(_MATRIX, _NORM, select="SELECT gene_id, COUNT(*) AS n, CAST(q AS DOUBLE) AS q, TRUE AS within FROM norm CROSS JOIN (VALUES (0.25), (0.5), (0.9)) v(q) WHERE x <> 0 GROUP BY gene_id, q"))
+def quantile_states_merged(spark, d):
+    """Sketches of four shards, each saved apart and loaded again, give the quantiles of all cells."""
+    m = _norm(spark, d)
+    folder = shared.new_folder(spark, "sketches")
+    for k in range(4):
+        sinks.save_state(quantiles.sketches(m.where(F.pmod("cell_id", F.lit(4)) == k)), f"{folder}/shard={k}", size=quantiles.SIZE)
+    parts = [sinks.load_state(spark, f"{folder}/shard={k}")[0] for k in range(4)]
+    return _within(m, quantiles.merged(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])))
+
+
+@query("SELECT l_suppkey AS gene_id, COUNT(*) AS n, CAST(q AS DOUBLE) AS q, TRUE AS within FROM lineitem CROSS JOIN (VALUES (0.25), (0.5), (0.9)) v(q) WHERE l_extendedprice <> 0 GROUP BY l_suppkey, q")
+def stream_quantile_states(spark, d):
+    """Sketches as the state of a stream over the table's files."""
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    state = running.running_quantiles(spark, f"{d}/lineitem.parquet*", schema, "l_suppkey", "l_extendedprice")
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("gene_id"), F.col("l_extendedprice").alias("x"))
+    return _within(m, state.withColumnRenamed("l_suppkey", "gene_id"))
+
+
 @query("WITH e AS (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(SUM(a.v * b.v), 5) AS sum_ij FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
 def covariance_gram(spark, d):
     g = stats.gram(table(spark, d, "embeddings"))

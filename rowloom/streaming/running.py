@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import quantiles
 from ..sources.shared import new_folder
 
+#: Triggers after which the parts of a state are merged into one.
+PARTS = 8
+
 
 def running_stats(spark: SparkSession, folder: str, schema, key: str, value: str, per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
     """key, n, s, q after all files were read: sums are the state, so a restart from the checkpoint goes on where it was.
@@ -29,3 +33,29 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     """Event-time counts by type; works on streams and on tables."""
     ts = F.col("ts").cast("timestamp")
     return events.withColumn("ts", ts).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def running_quantiles(spark: SparkSession, folder: str, schema, key: str, value: str, per_trigger: int = 1, checkpoint: str | None = None, size: int = quantiles.SIZE) -> DataFrame:
+    """key, sketch after all files were read. Each trigger adds its own sketches as a part; a trigger that is run
+    again replaces its part, so a restart from the checkpoint counts no file twice. Parts of earlier triggers are merged every PARTS triggers."""
+    base = checkpoint or new_folder(spark, "quantiles")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        own = quantiles.sketches(batch, key, value, size)
+        if number % PARTS == PARTS - 1:  # all so far in one part, which stands for the ones before it
+            own = quantiles.merged(own.unionByName(_parts(spark, base, key, number)), key, size) if number else own
+        own.write.mode("overwrite").parquet(f"{base}/parts/upto={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return quantiles.merged(_parts(spark, base, key, None), key, size)
+
+
+def _parts(spark: SparkSession, base: str, key: str, before: int | None) -> DataFrame:
+    """The last part that stands for all before it, and those after it; below trigger `before` if that is given."""
+    parts = spark.read.parquet(f"{base}/parts")
+    if before is not None:
+        parts = parts.where(F.col("upto") < before)
+    top = parts.agg(F.max("upto")).first()[0]
+    full = -1 if top is None else (top + 1) // PARTS * PARTS - 1
+    return parts.where(F.col("upto") >= full).select(key, "sketch")
