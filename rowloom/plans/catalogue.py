@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..functions.columns import r6
 from ..operators import categories as cat
-from ..operators import estimators, evaluate, hvg, ontology, quantiles, sampling, stats, tokens
+from ..operators import estimators, evaluate, hvg, lowrank, ontology, quantiles, sampling, stats, tokens
 from ..operators import transforms as tr
 from ..sources import shards, shared, sinks, virtual
 from ..sources.virtual import table
@@ -120,29 +120,53 @@ def covariance_gram(spark, d):
     return g.select("i", "j", F.round("sum_ij", 5).alias("sum_ij"))
 
 
+def _fitted(spark: SparkSession, d: str, k: int = 5) -> tuple[DataFrame, lowrank.Fit]:
+    """The cells as sparse rows, and their truncated decomposition."""
+    m, cells = _norm(spark, d), virtual.cells(spark, d)
+    genes = lowrank.vocabulary(m)
+    rows = lowrank.sparse_rows(m, genes, cells)
+    return rows, lowrank.fit(rows, genes, cells.count(), k)
+
+
 @query()
 def incremental_pca(spark, d):
-    fit = stats.pca(table(spark, d, "embeddings"), 5)
-    return spark.createDataFrame([(k + 1, j, float(v)) for k, c in enumerate(fit["components"]) for j, v in enumerate(c)], "pc int, dim int, loading double")
+    """Loadings of the cell x gene matrix' components, without its Gram matrix."""
+    f = _fitted(spark, d)[1]
+    return spark.createDataFrame([(k + 1, g, float(v)) for k, c in enumerate(f.components) for g, v in zip(f.genes, c, strict=True)], "pc int, gene_id long, loading double")
 
 
 @query()
 def pca_explained_variance(spark, d):
-    fit = stats.pca(table(spark, d, "embeddings"), 5)
-    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(fit["explained"])], "pc int, variance double")
+    f = _fitted(spark, d)[1]
+    return spark.createDataFrame([(k + 1, float(v), float(v / f.total)) for k, v in enumerate(f.explained)], "pc int, variance double, ratio double")
 
 
 @query()
 def pca_embed(spark, d):
-    e = table(spark, d, "embeddings")
-    return stats.embed(e, stats.pca(e, 5), "vec_id")
+    rows, f = _fitted(spark, d)
+    return lowrank.project(rows, f)
 
 
 @query()
 def ppca_closed_form(spark, d):
-    fit = stats.ppca(table(spark, d, "embeddings"), 5)
-    total = float(fit["explained"].sum() + fit["rest"].sum())
-    return spark.createDataFrame([(k + 1, float(v), fit["sigma2"], float((v - fit["sigma2"]) / total)) for k, v in enumerate(fit["explained"])], "pc int, eigenvalue double, sigma2 double, share double")
+    """sigma^2 is the mean of the variances left out, from the total."""
+    f = _fitted(spark, d)[1]
+    return spark.createDataFrame([(k + 1, float(v), f.noise, float((v - f.noise) / f.total)) for k, v in enumerate(f.explained)], "pc int, eigenvalue double, sigma2 double, share double")
+
+
+@query(_with(_CELLS, _MATRIX, _NORM, "n AS (SELECT COUNT(*) AS n FROM cells)", "v AS (SELECT SUM(s2 - s * s / n) / any_value(n) AS total FROM (SELECT gene_id, SUM(x) AS s, SUM(x * x) AS s2 FROM norm GROUP BY 1), n)", select="SELECT CAST(pc AS INTEGER) AS pc, n AS cells, round(total, 6) AS total, TRUE AS centred, TRUE AS orthogonal, TRUE AS variance_is_eigenvalue FROM n, v, range(1, 6) r(pc)"))
+def pca_properties(spark, d):
+    """What makes a decomposition one, measured on every cell's coordinates: mean 0, no covariance with the others, variance equal to the eigenvalue."""
+    rows, f = _fitted(spark, d)
+    p = lowrank.project(rows, f).groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("pc", "value"))).alias("p")).select(F.transform("p", lambda x: x["value"]).alias("p"))
+    ks = range(len(f.explained))
+    sums = p.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("p")[i]).alias(f"s{i}") for i in ks], *[F.sum(F.col("p")[i] * F.col("p")[j]).alias(f"s{i}_{j}") for i in ks for j in ks if i <= j]).first()
+    out = []
+    for i in ks:
+        v = float(f.explained[i])
+        others = max(abs(sums[f"s{min(i, j)}_{max(i, j)}"]) / f.n for j in ks if j != i)
+        out.append((i + 1, f.n, round(f.total, 6), abs(sums[f"s{i}"]) / f.n < 1e-6, others < 1e-6 * float(f.explained[0]), abs(sums[f"s{i}_{i}"] / f.n - v) < 1e-6 * v))
+    return spark.createDataFrame(out, "pc int, cells long, total double, centred boolean, orthogonal boolean, variance_is_eigenvalue boolean")
 
 
 # transforms ---------------------------------------------------------------------------------------

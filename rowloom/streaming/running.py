@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quantiles
+from ..operators import lowrank, quantiles
 from ..sources.shared import new_folder
 
 #: Triggers after which the parts of a state are merged into one.
@@ -59,3 +60,22 @@ def _parts(spark: SparkSession, base: str, key: str, before: int | None) -> Data
     top = parts.agg(F.max("upto")).first()[0]
     full = -1 if top is None else (top + 1) // PARTS * PARTS - 1
     return parts.where(F.col("upto") >= full).select(key, "sketch")
+
+
+def running_svd(spark: SparkSession, folder: str, schema, genes: list, k: int, per_trigger: int = 1, checkpoint: str | None = None, correct: bool = True) -> lowrank.Fit:
+    """The merged fit of a stream of files of whole cells (cell_id, gene_id, x). Each trigger fits its own cells and merges that with the
+    state of the trigger before; a trigger that is run again starts from the same state, so a restart equals one pass."""
+    base = checkpoint or new_folder(spark, "svd")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        n = batch.select("cell_id").distinct().count()
+        own = lowrank.fit(lowrank.sparse_rows(batch, genes), genes, n, k, correct, seed=number) if n else lowrank.Fit(np.zeros((0, len(genes))), np.zeros(0), np.zeros(len(genes)), genes, 0, 0.0)
+        if number:
+            own = lowrank.merge(lowrank.load(spark, f"{base}/state{number - 1}"), own, k, correct)
+        lowrank.save(spark, own, f"{base}/state{number}")
+        spark.createDataFrame([(number,)], "done long").coalesce(1).write.mode("overwrite").parquet(f"{base}/done/trigger={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    last = spark.read.parquet(f"{base}/done").agg(F.max("done")).first()[0]
+    return lowrank.load(spark, f"{base}/state{last}")
