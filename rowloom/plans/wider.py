@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..operators import evaluate, fits, hvg, ontology, prompts, sampling, stats
 from ..operators import transforms as tr
-from ..sources import fields, paths, shards, shared, sinks, virtual
+from ..operators.ranges import range_join
+from ..sources import fields, paths, shard_source, shards, shared, sinks, virtual
 from ..sources.fields import Field
 from ..sources.virtual import table
 from .catalogue import _CELLS, _CENT, _CLO, _CTX, _EDGES, _GENES, _MATRIX, _MOM, _NORM, _U, _UC, _closure, _ctx, _moments, _norm, _shuffled, _soft, _SOFT, _LOGITS, _with, query
@@ -42,23 +43,55 @@ def brace_expansion(spark, d):
 
 
 def _written_shards(spark, d, n: int = 4) -> str:
-    """Cells as n shards in the shared folder, their ids as text and totals narrower than the reference's."""
+    """Cells as n shards in the shared folder, in order of id; every other shard has ids as text and totals narrower than the reference's."""
     folder = shared.new_folder(spark, "shards")
-    c = virtual.cells(spark, d).select(F.col("cell_id").cast("string").alias("cell_id"), "batch", "assay", F.col("library").cast("float").alias("library"))
+    c = virtual.cells(spark, d).select("cell_id", "batch", "assay", "library")
     for k in range(n):
-        c.where(F.pmod(F.col("cell_id").cast("long"), F.lit(n)) == k).write.parquet(f"{folder}/shard_{k:03d}.parquet")
+        own = c.where(F.pmod("cell_id", F.lit(n)) == k).repartition(1).sortWithinPartitions("cell_id")  # a shard is one file
+        if k % 2 == 0:
+            own = own.select(F.col("cell_id").cast("string").alias("cell_id"), "batch", "assay", F.col("library").cast("float").alias("library"))
+        own.write.parquet(f"{folder}/shard_{k:03d}.parquet")
     return f"{folder}/shard_{{000..{n - 1:03d}}}.parquet"
 
 
-@query(_with(_CELLS, select="SELECT cell_id, batch, assay, round(CAST(CAST(library AS FLOAT) AS DOUBLE), 2) AS library, 'shard_00' || (cell_id % 4) || '.parquet' AS shard FROM cells"))
+_SHARDED = "sharded AS (SELECT *, cell_id % 4 AS shard_id, round(CASE WHEN cell_id % 2 = 0 THEN CAST(CAST(library AS FLOAT) AS DOUBLE) ELSE library END, 2) AS total, row_number() OVER (ORDER BY cell_id % 4, cell_id) - 1 AS row_index FROM cells)"
+_AS_READ = "cell_id long, batch string, library double, row_index long, shard string"
+
+
+@query(_with(_CELLS, _SHARDED, select="SELECT cell_id, batch, assay, total AS library, 'shard_00' || shard_id || '.parquet' AS shard FROM sharded"))
 def shard_scan(spark, d):
     like = virtual.cells(spark, d).select("cell_id", "batch", "assay", F.col("library").cast("double").alias("library"))
     return shards.read_shards(spark, _written_shards(spark, d), label="shard", like=like).withColumn("library", F.round("library", 2))
 
 
+@query(_with(_CELLS, _SHARDED, select="SELECT cell_id, batch, total AS library, row_index, 'shard_00' || shard_id || '.parquet' AS shard FROM sharded WHERE row_index >= 100"))
+def shard_source_scan(spark, d):
+    """The data source over shards of different types, with each row's place over all shards."""
+    return shard_source.load(spark, _written_shards(spark, d), _AS_READ).where("row_index >= 100").withColumn("library", F.round("library", 2))
+
+
+@query(_with(_CELLS, _SHARDED, select="SELECT CAST(shard_id AS INTEGER) AS shard_id, MIN(row_index) AS start, MAX(row_index) + 1 AS stop FROM sharded GROUP BY 1"))
+def shard_limits(spark, d):
+    return shard_source.limits(spark, _written_shards(spark, d)).drop("shard")
+
+
+@query(_with(_CELLS, _SHARDED, "w AS (SELECT o_orderkey AS pos, (o_orderkey * 31) % 700 AS row_index FROM orders)", select="SELECT pos, row_index, cell_id, batch FROM w JOIN sharded USING (row_index)"))
+def shard_requests(spark, d):
+    """Rows by their place, repeats included; places from 0 to 699 touch some of the shards only."""
+    wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 31 % 700).alias("row_index"))
+    return shard_source.request(spark, _written_shards(spark, d), wanted, "cell_id long, batch string").select("pos", "row_index", "cell_id", "batch")
+
+
+@query("SELECT p_partkey, c_custkey FROM part JOIN customer ON c_acctbal >= p_retailprice AND c_acctbal < p_retailprice + p_size")
+def range_join_brackets(spark, d):
+    """Balances in the parts' price brackets, which overlap and differ in length."""
+    brackets = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("start"), (F.col("p_retailprice") + F.col("p_size")).alias("stop"))
+    return range_join(table(spark, d, "customer").select("c_custkey", "c_acctbal"), brackets, "c_acctbal").select("p_partkey", "c_custkey")
+
+
 @query(_with(_CELLS, select="SELECT CAST(cell_id AS VARCHAR) || '-' || substr('wxyz', CAST(cell_id % 4 + 1 AS INTEGER), 1) AS cell_id, lower(batch) AS batch, substr('wxyz', CAST(cell_id % 4 + 1 AS INTEGER), 1) AS key FROM cells"))
 def shard_unique_names(spark, d):
-    out = shards.read_shards(spark, _written_shards(spark, d), label="key", keys=list("wxyz"), index_unique="-", convert={"batch": F.lower})
+    out = shards.read_shards(spark, _written_shards(spark, d), like=virtual.cells(spark, d).select("cell_id", "batch"), label="key", keys=list("wxyz"), index_unique="-", convert={"batch": F.lower})
     return out.select("cell_id", "batch", "key")
 
 

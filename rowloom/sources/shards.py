@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import range_join
+
 
 class SchemaMismatch(ValueError):
     """A shard does not have the reference's columns, types or categories."""
@@ -42,29 +45,48 @@ def read_shards(spark: SparkSession, pattern: str, label: str | None = None, key
     """One lazy table over all shards. `label` names a column with the shard's key (its name, or its entry in `keys`).
 
     `index_unique` makes row names unique as row, separator, key; `convert` maps columns to functions of them;
-    `like` gives the columns' types, whatever the shards' own."""
+    `like` gives the columns and their types, whatever the shards' own: shards of one schema are read together, and each such
+    table is cast before they are united."""
     paths = expand_braces(pattern)
     names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
     if keys is not None and len(keys) != len(paths):
         raise ValueError(f"{len(keys)} keys for {len(paths)} shards")
-    df = spark.read.parquet(*paths).withColumn("__key", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
+    df = _united(spark, paths, like, row if index_unique is not None else None).withColumn("__key", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)).drop("_metadata")
     if keys is not None:
         df = df.withColumn("__key", F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, keys, strict=True) for x in pair]), F.col("__key")))
     if index_unique is not None:
         df = df.withColumn(row, F.concat_ws(index_unique, F.col(row).cast("string"), "__key"))
     df = df.withColumns({c: f(F.col(c)) for c, f in (convert or {}).items()})
-    if like is not None:
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name != row or index_unique is None else F.col(f.name) for f in like.schema.fields], "__key")
     return df.withColumnRenamed("__key", label) if label else df.drop("__key")
 
 
+def _united(spark: SparkSession, paths: list[str], like: DataFrame | None, text: str | None) -> DataFrame:
+    """All shards' rows with the file's path as metadata; like's columns and types if it is given, but for `text`, which stays text."""
+    if like is None:
+        return spark.read.parquet(*paths).select("*", "_metadata")
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(lambda p: spark.read.parquet(p).schema, paths))
+    by: dict[str, list[str]] = {}
+    for p, s in zip(paths, schemas, strict=True):
+        by.setdefault(s.json(), []).append(p)
+    out = None
+    for own in by.values():
+        df = spark.read.parquet(*own)
+        if missing := [c for c in like.columns if c not in df.columns]:
+            raise SchemaMismatch(f"{own[0]} has no columns {missing}")
+        df = df.select(*[F.col(f.name).cast("string" if f.name == text else f.dataType).alias(f.name) for f in like.schema.fields], "_metadata")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def shard_table(spark: SparkSession, ends: list[int]) -> DataFrame:
     starts = [0, *ends[:-1]]
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(starts, ends, strict=True))], "shard_id int, start long, stop long")
 
 
 def lookup_shards(rows: DataFrame, row: str, shards: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(shards), (F.col(row) >= F.col("start")) & (F.col(row) < F.col("stop")))
+    """Each row with the shard that holds it."""
+    return range_join(rows, shards, row)
 
 
 def gather_rows(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
