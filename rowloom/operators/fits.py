@@ -125,15 +125,6 @@ def linear(rows: DataFrame, weights: DataFrame, bias: DataFrame | None = None, s
     return out
 
 
-def layer_norm(rows: DataFrame, row: str = "cell_id", eps: float = 1e-5) -> DataFrame:
-    s = rows.groupBy(row).agg(F.avg("v").alias("m"), F.var_pop("v").alias("d"))
-    return rows.join(s, row).withColumn("v", (F.col("v") - F.col("m")) / F.sqrt(F.col("d") + eps)).drop("m", "d")
-
-
-def relu(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("v", F.greatest("v", F.lit(0.0)))
-
-
 def norms(vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
     """key, l2, l1: the root of all squares and the mean size of all numbers of each key."""
     e = vectors.select(key, F.explode(column).alias("v")).withColumn("v", F.col("v").cast("double"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..operators import evaluate, fits, hvg, ontology, prompts, sampling, stats
+from ..operators import evaluate, fits, hvg, lowrank, networks, ontology, prompts, sampling, stats
 from ..operators import transforms as tr
 from ..operators.ranges import range_join
 from ..sources import fields, paths, shard_source, shards, shared, sinks, virtual
@@ -398,33 +398,53 @@ _W1 = "w1 AS (SELECT gene_id, CAST(k AS INTEGER) AS k, sin(gene_id + 3.0 * k) /
 _VAE = "h0 AS (SELECT cell_id, k, SUM(x * w) AS v FROM norm JOIN w1 USING (gene_id) GROUP BY 1, 2), h1 AS (SELECT h0.cell_id, k, v + s AS v FROM h0 JOIN cells USING (cell_id) JOIN bb USING (batch, k)), h2 AS (SELECT cell_id, k, greatest((v - AVG(v) OVER (PARTITION BY cell_id)) / sqrt(var_pop(v) OVER (PARTITION BY cell_id) + 1e-5), 0) AS v FROM h1), z AS (SELECT cell_id, CAST(j AS INTEGER) AS k, SUM(v * sin(1.0 + k + 2 * j)) AS v FROM h2 CROSS JOIN range(2) r(j) GROUP BY 1, 2)"
 
 
-def _latent(spark, d) -> DataFrame:
-    """A fixed network's latent means: one layer with a bias of each batch, normalised and rectified, then a linear one."""
-    m, c, g = _norm(spark, d), virtual.cells(spark, d), virtual.genes(spark, d)
-    five = spark.range(5).select(F.col("id").cast("int").alias("k"))
-    w1 = g.select(F.col("gene_id").alias("i")).crossJoin(five).withColumn("w", F.sin(F.col("i") + 3.0 * F.col("k")) / 10)
-    shift = c.select("cell_id", "batch").crossJoin(five).select("cell_id", "k", F.cos(F.length("batch") + F.col("k").cast("double")).alias("s"))
-    h = fits.relu(fits.layer_norm(fits.linear(m.select("cell_id", F.col("gene_id").alias("i"), F.col("x").alias("v")), w1, shift=shift)))
-    w2 = five.select(F.col("k").alias("i")).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("k"))).withColumn("w", F.sin(1.0 + F.col("i") + 2 * F.col("k")))
-    return fits.linear(h.select("cell_id", F.col("k").alias("i"), "v"), w2)
+def _network(spark, d, m, log_input: bool) -> tuple[DataFrame, networks.Network]:
+    """A fixed network over all genes, and the cells as sparse rows with their batch's code: one layer with a bias of each batch, normalised and rectified, then linear heads."""
+    cells = virtual.cells(spark, d)
+    genes = [r[0] for r in virtual.genes(spark, d).select("gene_id").orderBy("gene_id").collect()]
+    batches = [r[0] for r in cells.select("batch").distinct().orderBy("batch").collect()]
+    g, k, j, long = np.array(genes, float), np.arange(5.0), np.arange(2.0), np.array([len(b) for b in batches], float)
+    first = networks.Layer(np.sin(g[:, None] + 3 * k) / 10, shift=np.cos(long[:, None] + k), norm="layer", activation="relu")
+    net = networks.Network(
+        genes, encoder=[first], mean=networks.Layer(np.sin(1 + k[:, None] + 2 * j)), log_var=networks.Layer(np.cos(0.3 * k[:, None] + j) / 4),
+        scale=networks.Layer(np.cos(g + j[:, None]) / 5, bias=np.sin(g * 0.5), activation="softmax"),
+        theta=np.exp(np.sin(g + long[:, None])), log_input=log_input,
+    )
+    return networks.coded(lowrank.sparse_rows(m, genes), cells, batches, "batch"), net
 
 
 @query(_with(_CELLS, _GENES, _MATRIX, _NORM, _W1, _VAE, select="SELECT cell_id, k, round(v, 5) AS v FROM z"))
 def vae_latent(spark, d):
-    return _latent(spark, d).select("cell_id", "k", F.round("v", 5).alias("v"))
+    out = networks.encode(*_network(spark, d, _norm(spark, d), False))
+    return out.select("cell_id", F.posexplode("mean").alias("k", "v")).select("cell_id", "k", F.round("v", 5).alias("v"))
 
 
 @query(_with(_CELLS, _GENES, _MATRIX, _NORM, _W1, _VAE, "o AS (SELECT cell_id, gene_id, SUM(v * cos(gene_id + 1.0 * k)) / 5 + sin(gene_id * 0.5) AS e FROM z CROSS JOIN genes WHERE gene_id % 2 = 0 GROUP BY 1, 2)", "p AS (SELECT cell_id, gene_id, exp(e - mx) / SUM(exp(e - mx)) OVER (PARTITION BY cell_id) AS p FROM (SELECT *, MAX(e) OVER (PARTITION BY cell_id) AS mx FROM o))", select="SELECT gene_id, round(AVG(p * 10000), 4) AS mean FROM p GROUP BY 1"))
 def vae_reconstruct(spark, d):
-    """Mean over all cells of what a fixed decoder gives for a subset of genes under one batch, at a library of 10,000."""
-    z, g = _latent(spark, d), virtual.genes(spark, d).where("gene_id % 2 = 0").select("gene_id")
-    two = spark.range(2).select(F.col("id").cast("int").alias("i"))
-    w = two.crossJoin(g).select("i", F.col("gene_id").alias("k"), (F.cos(F.col("gene_id") + F.col("i").cast("double")) / 5).alias("w"))
-    out = fits.linear(z.select("cell_id", F.col("k").alias("i"), "v"), w, bias=g.select(F.col("gene_id").alias("k"), F.sin(F.col("gene_id") * 0.5).alias("b")))
-    per = Window.partitionBy("cell_id")
-    e = F.exp(F.col("v") - F.max("v").over(per))
-    p = out.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(per)).select(F.col("k").alias("gene_id"), "p")
-    return p.groupBy("gene_id").agg(F.round(F.avg(F.col("p") * 10000), 4).alias("mean"))
+    """Mean over all cells of what a fixed decoder gives for a subset of genes, at a library of 10,000."""
+    rows, net = _network(spark, d, _norm(spark, d), False)
+    even = [k for k, g in enumerate(net.genes) if g % 2 == 0]
+    net.scale = networks.Layer(net.scale.weight[:, even], bias=net.scale.bias[even], activation="softmax")
+    names = spark.createDataFrame([(i, net.genes[k]) for i, k in enumerate(even)], "at int, gene_id long")
+    net.genes = [net.genes[k] for k in even]
+    return networks.expected_by_gene(rows, net, library=10_000.0).join(F.broadcast(names), "at").select("gene_id", F.round(F.col("s") / F.col("n"), 4).alias("mean"))
+
+
+_COUNTED = "norm AS (SELECT cell_id, gene_id, ln(1 + x) AS x FROM matrix)"
+_HEADS = "lv AS (SELECT cell_id, CAST(j AS INTEGER) AS k, exp(SUM(v * cos(0.3 * k + j) / 4)) + 1e-4 AS v FROM h2 CROSS JOIN range(2) r(j) GROUP BY 1, 2), heads AS (SELECT cell_id, k, z.v AS mean, lv.v AS var FROM z JOIN lv USING (cell_id, k))"
+
+
+@query(_with(_CELLS, _GENES, _MATRIX, _COUNTED, _W1, _VAE, _HEADS, "o AS (SELECT cell_id, gene_id, SUM(mean * cos(gene_id + 1.0 * k)) / 5 + sin(gene_id * 0.5) AS e FROM heads CROSS JOIN genes GROUP BY 1, 2)", "t AS (SELECT cell_id, SUM(x) AS total FROM matrix GROUP BY 1)", "p AS (SELECT o.cell_id, o.gene_id, total * exp(e) / SUM(exp(e)) OVER (PARTITION BY o.cell_id) + 1e-10 AS mu, exp(sin(o.gene_id + length(batch) * 1.0)) + 1e-10 AS theta, coalesce(x, 0) AS x FROM o JOIN t USING (cell_id) JOIN cells USING (cell_id) LEFT JOIN matrix m ON m.cell_id = o.cell_id AND m.gene_id = o.gene_id)", "rec AS (SELECT cell_id, -SUM(lgamma(x + theta) - lgamma(theta) - lgamma(x + 1) + theta * (ln(theta) - ln(theta + mu)) + x * (ln(mu) - ln(theta + mu))) AS reconstruction FROM p GROUP BY 1)", "k AS (SELECT cell_id, SUM(var + mean * mean - 1 - ln(var)) / 2 AS kl FROM heads GROUP BY 1)", select="SELECT cell_id, round(reconstruction, 4) AS reconstruction, round(kl, 4) AS kl FROM rec JOIN k USING (cell_id)"))
+def vae_losses(spark, d):
+    """Each cell's negative binomial reconstruction over all genes, with dispersion by batch and the cell's own library, and its divergence from the prior."""
+    out = networks.losses(*_network(spark, d, virtual.matrix(spark, d), True))
+    return out.select("cell_id", F.round("reconstruction", 4).alias("reconstruction"), F.round("kl", 4).alias("kl"))
+
+
+@query(_with(_CELLS, _GENES, _MATRIX, _COUNTED, _W1, _VAE, _HEADS, "u AS (SELECT *, CAST('0x' || left(md5((31 + 2 * k) || '|' || cell_id), 8) AS UBIGINT) / 4294967296.0 AS a, CAST('0x' || left(md5((32 + 2 * k) || '|' || cell_id), 8) AS UBIGINT) / 4294967296.0 AS b FROM heads)", select="SELECT cell_id, k, round(mean + sqrt(var) * sqrt(-2 * ln(1 - a)) * cos(2 * pi() * b), 5) AS v FROM u"))
+def vae_latent_sampled(spark, d):
+    out = networks.encode(*_network(spark, d, virtual.matrix(spark, d), True), samples=31)
+    return out.select("cell_id", F.posexplode("sample").alias("k", "v")).select("cell_id", "k", F.round("v", 5).alias("v"))
 
 
 @query("SELECT l_returnflag AS part, round(SUM(l_extendedprice * l_discount) / COUNT(*), 4) AS loss FROM lineitem GROUP BY 1 UNION ALL SELECT 'all', round(SUM(l_extendedprice * l_discount) / COUNT(*), 4) FROM lineitem")
