@@ -87,20 +87,114 @@ def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
     return out
 
 
-def loess_trend(mo: DataFrame, span: float = 0.3) -> DataFrame:
-    """Adds est by LOESS in each batch; a batch has one row a gene."""
+def _cuts(xs: np.ndarray, least: int) -> list[float]:
+    """Vertices between the ends of sorted xs: cells are halved at their median until they hold `least` points at most."""
+    out, todo = [], [(0, len(xs))]
+    while todo:
+        lo, hi = todo.pop()
+        mid = (lo + hi) // 2
+        if hi - lo > least and xs[mid - 1] < xs[mid]:
+            out.append((xs[mid - 1] + xs[mid]) / 2)
+            todo += [(lo, mid), (mid, hi)]
+        elif hi - lo > least and xs[lo] < xs[hi - 1]:  # ties over the median: cut beside them
+            at = lo + int(np.searchsorted(xs[lo:hi], xs[mid], side="left")) or lo
+            at = at if at > lo else lo + int(np.searchsorted(xs[lo:hi], xs[mid], side="right"))
+            out.append((xs[at - 1] + xs[at]) / 2)
+            todo += [(lo, at), (at, hi)]
+    return out
+
+
+def _at_vertex(v: float, xs: np.ndarray, ys: np.ndarray, near: int) -> tuple[float, float]:
+    """Value and slope of the local quadratic over the `near` nearest points of sorted xs."""
+    d = np.abs(xs - v)
+    h = np.partition(d, near - 1)[near - 1]
+    if h <= 0:
+        raise ValueError("all points of a neighbourhood are the same")
+    lo, hi = np.searchsorted(xs, [v - h, v + h])
+    u, w = (xs[lo:hi] - v) / h, 1 - (d[lo:hi] / h) ** 3
+    w = np.sqrt(np.clip(w, 0, None) ** 3)
+    c = np.linalg.lstsq(np.stack([np.ones(len(u)), u, u * u], axis=1) * w[:, None], ys[lo:hi] * w, rcond=None)[0]
+    return float(c[0]), float(c[1] / h)
+
+
+def loess_interpolated(x: np.ndarray, y: np.ndarray, span: float = 0.3, cell: float = 0.2) -> np.ndarray:
+    """LOESS on an interpolation tree: local quadratics at the vertices of cells of at most span x cell of the points, and
+    between two vertices the cubic that has both values and slopes. Few fits, whatever the number of points."""
+    n = len(x)
+    near, least = min(n, int(n * span + 1e-5)), max(1, int(n * span * cell))
+    if near < 3:
+        raise ValueError(f"a span of {span} holds {near} of {n} points")
+    order = np.argsort(x, kind="stable")
+    xs, ys = x[order], y[order]
+    margin = 0.1 * (xs[-1] - xs[0]) + 1e-10 * np.abs(xs).max() + 1e-30
+    vertices = np.array([xs[0] - margin, *sorted(_cuts(xs, least)), xs[-1] + margin])
+    value, slope = np.array([_at_vertex(v, xs, ys, near) for v in vertices]).T
+    k = np.clip(np.searchsorted(vertices, xs, side="right") - 1, 0, len(vertices) - 2)
+    width = vertices[k + 1] - vertices[k]
+    t = (xs - vertices[k]) / width
+    fitted = (1 + 2 * t) * (1 - t) ** 2 * value[k] + t * (1 - t) ** 2 * width * slope[k] + t * t * (3 - 2 * t) * value[k + 1] - t * t * (1 - t) * width * slope[k + 1]
+    out = np.empty(n)
+    out[order] = fitted
+    return out
+
+
+def loess_with_jitter(x: np.ndarray, y: np.ndarray, span: float = 0.3, least: float = 1e-18, most: float = 1e-6, seed: int = 0) -> np.ndarray:
+    """The interpolated fit; where it fails, again with uniform jitter on x, ten times as large each time up to `most`."""
+    rng, jitter = np.random.default_rng(seed), 0.0
+    while jitter <= most * (1 + 1e-9):
+        try:
+            return loess_interpolated(x if jitter == 0 else x + rng.uniform(-jitter, jitter, len(x)), y, span)
+        except ValueError:
+            jitter = least if jitter == 0 else jitter * 10
+    raise ValueError(f"LOESS failed with jitter up to {most}")
+
+
+def loess_trend(mo: DataFrame, span: float = 0.3, surface: str = "direct") -> DataFrame:
+    """Adds est by LOESS in each batch; a batch has one row a gene. `surface` is direct (a fit at each gene) or interpolate (few fits)."""
+    if surface not in ("direct", "interpolate"):
+        raise ValueError(f"{surface} is no surface")
+    curve = loess if surface == "direct" else loess_with_jitter
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("gene_id")
         f["est"] = 0.0
         ok = (f["var"] > 0) & (f["mean"] > 0)
-        if ok.sum() >= 4:
-            f.loc[ok, "est"] = loess(np.log10(f.loc[ok, "mean"].to_numpy()), np.log10(f.loc[ok, "var"].to_numpy()), span)
+        if ok.sum() >= (4 if surface == "direct" else np.ceil(3 / span)):
+            f.loc[ok, "est"] = curve(np.log10(f.loc[ok, "mean"].to_numpy()), np.log10(f.loc[ok, "var"].to_numpy()), span)
         return f
 
     return mo.groupBy("batch").applyInPandas(fit, mo.schema.simpleString()[7:-1] + ",est:double")
 
 
+def moment_problems(moments: DataFrame, batch: str | None = None) -> DataFrame:
+    """batch (null without batches), problem, genes: what makes moments(gene_id, mean, var[, batch]) unfit for gene selection.
+
+    Unnamed and repeated genes, genes without a mean or variance, and, over batches, genes that a batch lacks and another has.
+    """
+    if missing := [c for c in ("gene_id", "mean", "var", *([batch] if batch else [])) if c not in moments.columns]:
+        raise ValueError(f"moments have no columns {missing}")
+    b = F.col(batch).cast("string") if batch else F.lit(None).cast("string")
+    rows = moments.select(b.alias("batch"), "gene_id", "mean", "var")
+    report = lambda df, text: df.groupBy("batch").agg(F.count(F.lit(1)).alias("genes")).select("batch", F.lit(text).alias("problem"), "genes")
+    out = report(rows.where("gene_id is null"), "unnamed")
+    out = out.unionByName(report(rows.groupBy("batch", "gene_id").count().where("count > 1 and gene_id is not null"), "repeated"))
+    out = out.unionByName(report(rows.where("mean is null or var is null"), "without moments"))
+    if batch:
+        every = rows.agg(F.count_distinct("gene_id").alias("all")).select("all")
+        lacks = rows.groupBy("batch").agg(F.count_distinct("gene_id").alias("own")).crossJoin(F.broadcast(every))  # one row
+        out = out.unionByName(lacks.where("own < all").select("batch", F.lit("missing").alias("problem"), (F.col("all") - F.col("own")).alias("genes")))
+    return out
+
+
+def check_moments(moments: DataFrame, n_top: int | None = None, batch: str | None = None) -> None:
+    """ValueError for moments that have a problem, or fewer genes than are wanted."""
+    found = moment_problems(moments, batch).orderBy("batch", "problem").limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r['genes']} genes {r['problem']}" + (f" in {r['batch']}" if r["batch"] else "") for r in found))
+    if n_top is not None and not 0 < n_top <= moments.select("gene_id").distinct().count():
+        raise ValueError(f"{n_top} genes cannot be flagged")
+
+
 def v3_clip(mo: DataFrame, least_cells: int = 2) -> DataFrame:
     """Adds reg_std and clip = reg_std sqrt(n) + mean; infinite for batches that are too small."""
     std = F.sqrt(F.pow(F.lit(10.0), F.col("est")))

@@ -194,6 +194,22 @@ def stats_csv(spark, d):
     return back.select("var_name", *[F.round(c, 5).alias(c) for c in ("mean", "var", "std")])
 
 
+@query(_with(_CELLS, _MATRIX, "mo AS (SELECT batch, gene_id, COUNT(*) OVER (PARTITION BY batch) AS genes FROM matrix JOIN cells USING (cell_id) GROUP BY 1, 2)", "nn AS (SELECT batch, COUNT(*) AS n FROM cells GROUP BY 1)", "v AS (SELECT batch, gene_id, (SUM(x * x) - SUM(x) * SUM(x) / any_value(n)) / (any_value(n) - 1) AS var FROM matrix JOIN cells USING (cell_id) JOIN nn USING (batch) GROUP BY 1, 2)", select="SELECT batch, COUNT(*) AS genes, CASE WHEN COUNT(*) >= 50 THEN TRUE END AS close FROM v WHERE var > 0 GROUP BY 1"))
+def hvg_v3_interpolated(spark, d):
+    """The trend from few fits on an interpolation tree against a fit at each gene: all within 0.1 of the logarithm, the mean within 0.02 (said from 50 genes on)."""
+    mo = hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))
+    few = hvg.loess_trend(mo, surface="interpolate").where("var > 0").select("batch", "gene_id", F.col("est").alias("few"))
+    off = F.abs(F.col("few") - F.col("est"))
+    return few.join(hvg.loess_trend(mo), ["batch", "gene_id"]).groupBy("batch").agg(F.count(F.lit(1)).alias("genes"), F.when(F.count(F.lit(1)) >= 50, (F.max(off) < 0.1) & (F.avg(off) < 0.02)).alias("close"))
+
+
+@query(_with(_CELLS, _MATRIX, "mo AS (SELECT assay, gene_id FROM matrix JOIN cells USING (cell_id) WHERE cell_id % 50 < 2 GROUP BY 1, 2)", select="SELECT assay AS batch, 'missing' AS problem, (SELECT COUNT(DISTINCT gene_id) FROM mo) - COUNT(*) AS genes FROM mo GROUP BY 1 HAVING COUNT(*) < (SELECT COUNT(DISTINCT gene_id) FROM mo)"))
+def moment_checks(spark, d):
+    """Genes that a batch of few cells lacks, by assay."""
+    c = virtual.cells(spark, d).where("cell_id % 50 < 2").withColumn("batch", F.col("assay"))
+    return hvg.moment_problems(hvg.v3_moments(virtual.matrix(spark, d).join(c.select("cell_id"), "cell_id"), c), "batch")
+
+
 @query()
 def hvg_loess_files(spark, d):
     """Seurat v3 on LOESS for several numbers of genes: one pass pair, one table each, the flagged genes read back with what is known of them."""
