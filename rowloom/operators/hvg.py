@@ -104,12 +104,10 @@ def _cuts(xs: np.ndarray, least: int) -> list[float]:
     return out
 
 
-def _at_vertex(v: float, xs: np.ndarray, ys: np.ndarray, near: int) -> tuple[float, float]:
-    """Value and slope of the local quadratic over the `near` nearest points of sorted xs."""
+def _at_vertex(v: float, xs: np.ndarray, ys: np.ndarray, near: int, places: np.ndarray) -> tuple[float, float]:
+    """Value and slope of the local quadratic over the `near` nearest points of sorted xs, and over three of their places at least."""
     d = np.abs(xs - v)
-    h = np.partition(d, near - 1)[near - 1]
-    if h <= 0:
-        raise ValueError("all points of a neighbourhood are the same")
+    h = max(np.partition(d, near - 1)[near - 1], 1.001 * np.partition(np.abs(places - v), 2)[2])
     lo, hi = np.searchsorted(xs, [v - h, v + h])
     u, w = (xs[lo:hi] - v) / h, 1 - (d[lo:hi] / h) ** 3
     w = np.sqrt(np.clip(w, 0, None) ** 3)
@@ -126,9 +124,12 @@ def loess_interpolated(x: np.ndarray, y: np.ndarray, span: float = 0.3, cell: fl
         raise ValueError(f"a span of {span} holds {near} of {n} points")
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
+    places = np.unique(xs)
+    if len(places) < 3:
+        raise ValueError("a quadratic needs three places")
     margin = 0.1 * (xs[-1] - xs[0]) + 1e-10 * np.abs(xs).max() + 1e-30
     vertices = np.array([xs[0] - margin, *sorted(_cuts(xs, least)), xs[-1] + margin])
-    value, slope = np.array([_at_vertex(v, xs, ys, near) for v in vertices]).T
+    value, slope = np.array([_at_vertex(v, xs, ys, near, places) for v in vertices]).T
     k = np.clip(np.searchsorted(vertices, xs, side="right") - 1, 0, len(vertices) - 2)
     width = vertices[k + 1] - vertices[k]
     t = (xs - vertices[k]) / width
