@@ -2,48 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder
 
-#: Steps after which an ontology is taken for a cyclic one; the largest have some 20 levels.
-MOST_DEPTH = 64
-
-
-def _grown(start: DataFrame, step_edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows (a, b, dist) that steps along step_edges(p, c) reach from start: frontiers grow until nothing is new.
-
-    Every frontier is written as a step of one table in the shared folder, so neither lineage nor plans grow."""
-    spark = start.sparkSession
-    folder = new_folder(spark, "ontology")
-    start.select(a, b).coalesce(1).write.parquet(f"{folder}/dist=0")
-    step_edges.coalesce(1).write.parquet(f"{folder}-edges")
-    links = spark.read.parquet(f"{folder}-edges")
-    for step in range(1, MOST_DEPTH + 1):
-        known = spark.read.parquet(folder).select(a, b, F.col("dist").cast("int").alias("dist"))
-        front = spark.read.parquet(f"{folder}/dist={step - 1}")
-        new = front.join(links, front[b] == links["p"]).select(a, F.col("c").alias(b)).distinct().join(known, [a, b], "left_anti")
-        new.write.parquet(f"{folder}/dist={step}")
-        if spark.read.schema(front.schema).parquet(f"{folder}/dist={step}").isEmpty():
-            return known
-    raise ValueError(f"the ontology is deeper than {MOST_DEPTH} or has a cycle")
+#: Rounds of doubling: paths of up to 2 ** MOST_ROUNDS steps.
+MOST_ROUNDS = 24
+#: Most links of an ontology whose neighbourhoods go out with the tasks; the largest ones have some hundred thousand.
+MOST_LINKS = 5_000_000
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """ancestor, descendant, dist (fewest steps), each term its own ancestor. An ontology's closure is small against the data."""
-    terms = edges.select(F.col("parent").alias("t")).unionByName(edges.select(F.col("child").alias("t"))).distinct()
+    """ancestor, descendant, dist (fewest steps), each term its own ancestor; terms may have several parents.
+
+    Paths double each round, so rounds are the logarithm of the depth. A cycle raises ValueError. Loops of a term on itself do not count.
+    """
+    links = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"))
+    terms = links.select(F.col("ancestor").alias("t")).unionByName(links.select(F.col("descendant").alias("t"))).where("t is not null").distinct()
     start = terms.select(F.col("t").alias("ancestor"), F.col("t").alias("descendant"), F.lit(0).alias("dist"))
-    return _grown(start, edges.select(F.col("parent").alias("p"), F.col("child").alias("c")), "ancestor", "descendant")
+    start = start.unionByName(links.where("ancestor != descendant").distinct().withColumn("dist", F.lit(1)))
+    known, mark = _written(start, "closure"), None
+    for _ in range(MOST_ROUNDS + 1):
+        other = known.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("ancestor"))
+        if not known.where("dist > 0").join(other.join(known.where("dist > 0"), ["ancestor", "descendant"], "left_semi"), ["ancestor", "descendant"], "left_semi").isEmpty():
+            raise ValueError("the ontology has a cycle")
+        now = known.agg(F.count(F.lit(1)), F.sum("dist")).first()
+        if now == mark:
+            return known
+        mark = now
+        x = known.select("ancestor", F.col("descendant").alias("via"), F.col("dist").alias("first"))
+        y = known.select(F.col("ancestor").alias("via"), "descendant", F.col("dist").alias("second"))
+        known = _written(x.join(y, "via").groupBy("ancestor", "descendant").agg(F.min(F.col("first") + F.col("second")).cast("int").alias("dist")), "closure")
+    raise ValueError(f"paths are longer than 2 ** {MOST_ROUNDS}")
 
 
 def distances(edges: DataFrame, unknown: str | None = None) -> DataFrame:
-    """a, b, dist: fewest undirected steps; pairs that are not connected have no row."""
-    both = edges.select(F.col("parent").alias("p"), F.col("child").alias("c")).unionByName(edges.select(F.col("child").alias("p"), F.col("parent").alias("c"))).distinct()
-    terms = both.select(F.col("p").alias("a")).distinct()
-    if unknown:
-        terms = terms.unionByName(edges.sparkSession.createDataFrame([(unknown,)], "a string"))
-    return _grown(terms.select("a", F.col("a").alias("b"), F.lit(0).alias("dist")), both, "a", "b")
+    """a, b, dist: fewest undirected steps; pairs that are not connected have no row. `unknown` names one more term, near none.
+
+    Terms are dealt over tasks, and each walks the neighbourhoods of all terms, which go out once after a check of their number: one job, whatever the depth.
+    """
+    spark = edges.sparkSession
+    both = edges.select(F.col("parent").alias("p"), F.col("child").alias("c")).where("p is not null and c is not null")
+    if both.count() > MOST_LINKS:
+        raise ValueError(f"more than {MOST_LINKS} links")
+    links = both.distinct().toPandas()
+    names = sorted({*links["p"], *links["c"], *([unknown] if unknown else [])})
+    code = {n: k for k, n in enumerate(names)}
+    p, c = (links[x].map(code).to_numpy(int) for x in ("p", "c"))
+    tails, heads = np.concatenate([p, c]), np.concatenate([c, p])
+    order = np.argsort(tails, kind="stable")
+    shared = spark.sparkContext.broadcast((np.searchsorted(tails[order], np.arange(len(names) + 1)), heads[order], names))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, near, every = shared.value
+        text = np.array(every, object)
+        for b in batches:
+            for source in b.column(0).to_pylist():
+                dist = np.full(len(every), -1)
+                dist[source], front, step = 0, np.array([source]), 0
+                while len(front):
+                    step += 1
+                    sizes = begin[front + 1] - begin[front]
+                    at = np.repeat(begin[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    front = np.unique(near[at])
+                    front = front[dist[front] < 0]
+                    dist[front] = step
+                met = np.flatnonzero(dist >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array([every[source]] * len(met)), pa.array(text[met].tolist()), pa.array(dist[met], pa.int32())], ["a", "b", "dist"])
+
+    kind = edges.schema["parent"].dataType.simpleString()
+    return spark.range(len(names), numPartitions=min(max(len(names), 1), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(walk, f"a {kind}, b {kind}, dist int")
 
 
 def with_ancestors(subset: DataFrame, clo: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.columns import r6
 from ..operators import evaluate, fits, hvg, lowrank, networks, ontology, prompts, sampling, stats
 from ..operators import transforms as tr
 from ..operators.ranges import range_join
-from ..sources import fields, paths, shard_source, shards, shared, sinks, virtual
+from ..sources import fields, ontologies, paths, shard_source, shards, shared, sinks, virtual
 from ..sources.fields import Field
 from ..sources.virtual import table
 from .catalogue import _CELLS, _CENT, _CLO, _CTX, _EDGES, _GENES, _MATRIX, _MOM, _NORM, _U, _UC, _closure, _ctx, _moments, _norm, _shuffled, _soft, _SOFT, _LOGITS, _with, query
@@ -489,6 +489,49 @@ def term_names(spark, d):
     return known.unionByName(spark.createDataFrame([("unknown",)], "term string")).withColumn("prefix", F.split_part("term", F.lit(":"), F.lit(1)))
 
 
+# suppliers under their nation and under a band of their balance, nations under regions; every tenth supplier has two labels
+_GRAPH = """terms AS (SELECT 'T:all' AS term, 'all' AS label UNION ALL SELECT 'T:r' || r_regionkey, r_name FROM region UNION ALL SELECT 'T:n' || n_nationkey, n_name FROM nation
+ UNION ALL SELECT DISTINCT 'T:b' || CAST(floor(s_acctbal / 2000) AS INTEGER), 'band ' || CAST(floor(s_acctbal / 2000) AS INTEGER) FROM supplier UNION ALL SELECT 'T:s' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 10 <> 3),
+ edges AS (SELECT 'T:all' AS parent, 'T:r' || r_regionkey AS child FROM region UNION ALL SELECT 'T:r' || n_regionkey, 'T:n' || n_nationkey FROM nation UNION ALL SELECT DISTINCT 'T:all', 'T:b' || CAST(floor(s_acctbal / 2000) AS INTEGER) FROM supplier
+ UNION ALL SELECT 'T:n' || s_nationkey, 'T:s' || s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3 UNION ALL SELECT 'T:b' || CAST(floor(s_acctbal / 2000) AS INTEGER), 'T:s' || s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3)"""
+
+
+def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """That graph written as OBO text and read again."""
+    r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    name = lambda p, c: F.concat(F.lit(f"T:{p}"), F.col(c).cast("string"))
+    band = F.floor(F.col("s_acctbal") / 2000).cast("string")
+    two = s.where("s_suppkey % 10 = 3").select(name("s", "s_suppkey").alias("term"), F.lower("s_name").alias("label"))
+    terms = spark.createDataFrame([("T:all", "all")], "term string, label string")
+    for part in (r.select(name("r", "r_regionkey").alias("term"), F.col("r_name").alias("label")), n.select(name("n", "n_nationkey").alias("term"), F.col("n_name").alias("label")), s.select(F.concat(F.lit("T:b"), band).alias("term"), F.concat(F.lit("band "), band).alias("label")).distinct(), s.select(name("s", "s_suppkey").alias("term"), F.col("s_name").alias("label")), two):
+        terms = terms.unionByName(part)
+    edges = r.select(F.lit("T:all").alias("parent"), name("r", "r_regionkey").alias("child"))
+    for part in (n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")), s.select(F.lit("T:all").alias("parent"), F.concat(F.lit("T:b"), band).alias("child")).distinct(), s.select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("child")), s.select(F.concat(F.lit("T:b"), band).alias("parent"), name("s", "s_suppkey").alias("child"))):
+        edges = edges.unionByName(part)
+    folder = shared.new_folder(spark, "obo")
+    ontologies.write_obo(terms, edges, folder)
+    return ontologies.read_obo(spark, folder, "T:")
+
+
+@query(_with(_GRAPH, select="SELECT term, label, COUNT(parent) AS parents FROM terms LEFT JOIN edges ON child = term GROUP BY 1, 2"))
+def ontology_text_terms(spark, d):
+    terms, edges = _graph(spark, d)
+    n = edges.groupBy(F.col("child").alias("term")).agg(F.count(F.lit(1)).alias("parents"))
+    return terms.join(n, "term", "left").select("term", "label", F.coalesce("parents", F.lit(0)).alias("parents"))
+
+
+@query(_with(_GRAPH, "walk AS (SELECT term AS ancestor, term AS descendant, 0 AS dist FROM terms UNION SELECT ancestor, child, dist + 1 FROM walk JOIN edges ON descendant = parent)", select="SELECT ancestor, descendant, MIN(dist) AS dist FROM walk GROUP BY 1, 2", recursive=True))
+def graph_closure(spark, d):
+    """Ancestors over two parents a term."""
+    return ontology.closure(_graph(spark, d)[1])
+
+
+@query(_with(_GRAPH, "links AS (SELECT parent AS p, child AS c FROM edges UNION SELECT child, parent FROM edges)", "walk AS (SELECT term AS a, term AS b, 0 AS dist FROM terms UNION SELECT a, c, dist + 1 FROM walk JOIN links ON b = p WHERE dist < 6)", select="SELECT a, b, CAST(MIN(dist) AS INTEGER) AS dist FROM walk WHERE a IN (SELECT term FROM terms WHERE term NOT LIKE 'T:s%' OR term LIKE '%7') GROUP BY 1, 2 UNION ALL SELECT 'unknown', 'unknown', 0", recursive=True))
+def graph_distances(spark, d):
+    """Fewest steps between all terms and those of groups and some suppliers, and a term that is near none."""
+    return ontology.distances(_graph(spark, d)[1], "unknown").where("a not like 'T:s%' or a like '%7'")
+
+
 @query(_with(_EDGES, _CLO, "u AS (SELECT * FROM clo UNION ALL SELECT 'unknown', 'unknown', 0)", select="SELECT descendant, COUNT(*) AS ancestors, MAX(dist) AS height FROM u GROUP BY 1", recursive=True))
 def closure_with_unknown(spark, d):
     clo = ontology.with_unknown(_closure(spark, d))
