@@ -870,13 +870,40 @@ def logistic_regression_fit(spark, d):
     return estimators.coefficients(estimators.logistic_regression(e, e.count(), 1.0, rounds=20))
 
 
+def _two_parents(k: int = 10) -> np.ndarray:
+    """Labels 0 to 9 under two parents of five: classes 10 and 11."""
+    desc = np.eye(k + 2, dtype=bool)
+    desc[k, : k // 2] = desc[k + 1, k // 2 : k] = True
+    return desc
+
+
+def _ontology_rows(spark, d) -> DataFrame:
+    """Vectors of which every fifth is known by its parent's class only."""
+    y = F.when(F.col("vec_id") % 5 == 0, F.when(F.col("label") < 5, 10).otherwise(11)).otherwise(F.col("label"))
+    return estimators.dense_rows(table(spark, d, "embeddings").where("label between 0 and 9"), y)
+
+
 @query()
 def socam_fit(spark, d):
-    """Ten labels under two parents of five: classes 10 and 11."""
-    desc = np.eye(12, dtype=bool)
-    desc[10, :5] = desc[11, 5:10] = True
-    w, b = estimators.ontology_regression(table(spark, d, "embeddings"), desc, rounds=5)
-    return spark.createDataFrame([(k, j, float(v)) for k, r in enumerate(np.column_stack([w, b])) for j, v in enumerate(r)], "k int, j int, w double")
+    """Coefficients of a fit that stops where it is stationary; column 64 is the intercept."""
+    fit = estimators.ontology_regression(_ontology_rows(spark, d), 64, _two_parents(), prior_scale=0.1, tolerance=1e-3)
+    return spark.createDataFrame([(k, j, float(v)) for k, r in enumerate(np.column_stack([fit.w, fit.b])) for j, v in enumerate(r)], "k int, j int, w double")
+
+
+@query("WITH y AS (SELECT CASE WHEN vec_id % 5 = 0 THEN CASE WHEN label < 5 THEN 10 ELSE 11 END ELSE label END AS k FROM embeddings WHERE label BETWEEN 0 AND 9) SELECT CAST(k AS INTEGER) AS k, COUNT(*) AS n, TRUE AS converged FROM y GROUP BY 1")
+def socam_converged(spark, d):
+    """Rows of each class, and whether the fit to them came within its tolerance."""
+    rows = _ontology_rows(spark, d)
+    fit = estimators.ontology_regression(rows, 64, _two_parents(), prior_scale=0.1, tolerance=1e-3)
+    return rows.groupBy(F.col("y").alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("converged", F.lit(fit.converged))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE label BETWEEN 0 AND 9), z AS (SELECT vec_id, k, SUM(v * sin(k + 3.0 * j)) + cos(k) AS z FROM e CROSS JOIN range(12) r(k) GROUP BY 1, 2), p AS (SELECT vec_id, k, exp(z - MAX(z) OVER w) / SUM(exp(z)) OVER w * exp(MAX(z) OVER w) AS p FROM z WINDOW w AS (PARTITION BY vec_id)), up AS (SELECT k AS a, k AS c FROM range(12) r(k) UNION ALL SELECT 10, k FROM range(5) r(k) UNION ALL SELECT 11, k FROM range(5, 10) r(k)) SELECT vec_id AS cell_id, CAST(a AS INTEGER) AS k, round(least(SUM(p), 1), 6) AS p FROM p JOIN up ON k = c GROUP BY 1, 2")
+def socam_predict(spark, d):
+    """Propagated probabilities under fixed coefficients."""
+    k, j = np.arange(12.0), np.arange(64.0)
+    p = estimators.ontology_predict(_ontology_rows(spark, d), np.sin(k[:, None] + 3 * j), np.cos(k), _two_parents())
+    return p.select("cell_id", F.posexplode("p").alias("k", "p")).select("cell_id", "k", r6(F.col("p")).alias("p"))
 
 
 @query("SELECT l_suppkey AS gene_id, COUNT(*) AS n, round(SUM(l_quantity), 6) AS s, round(SUM(l_quantity * l_quantity), 6) AS q FROM lineitem GROUP BY 1")

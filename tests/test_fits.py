@@ -98,18 +98,6 @@ def test_regressions_reach_a_stationary_point(vectors):
 
     best, rng = objective(w), np.random.default_rng(0)
     assert all(objective(w + 0.02 * rng.normal(size=w.shape)) > best for _ in range(10))
-    desc = np.eye(12, dtype=bool)
-    desc[10, :5] = desc[11, 5:10] = True
-    loss = []
-    for rounds in (1, 6):
-        v, c = estimators.ontology_regression(e, desc, rounds=rounds)
-        z = x @ v.T + c
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        loss.append(-np.log((desc[y] * p).sum(1)).mean())
-    assert loss[1] < loss[0] < np.log(12)
-    with pytest.raises(ValueError):
-        estimators.ontology_regression(e, np.zeros((2, 3), bool))
 
 
 def test_validation_classifier_learns(spark, folder):
