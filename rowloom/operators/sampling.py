@@ -108,6 +108,14 @@ def reservoir(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     return df.orderBy(position(F.lit(seed), key), key).limit(most)
 
 
+def priority_sample(df: DataFrame, key: str, most: int, seed: int, group: str | None = None) -> DataFrame:
+    """The `most` rows of each group that are first in the seeded order of their key: what a sample of samples gives, too, so it is
+    kept and merged as state. Tasks pass on `most` rows a group at most."""
+    w = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy(position(F.lit(seed), key), key)
+    name = "_".join(["place", *df.columns])
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= most).drop(name)
+
+
 def resumed(placed: DataFrame, step: int, workers: int) -> DataFrame:
     """What is left after `step` batches of each replica: earlier turns go, and workers are renumbered so that the next batch is worker 0's."""
     left = placed.where(F.col("turn") >= step)

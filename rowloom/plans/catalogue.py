@@ -911,3 +911,34 @@ def stream_running_stats(spark, d):
     schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
     out = running.running_stats(spark, f"{d}/lineitem.parquet*", schema, "l_suppkey", "l_quantity")
     return out.select(F.col("l_suppkey").alias("gene_id"), "n", r6(F.col("s")).alias("s"), r6(F.col("q")).alias("q"))
+
+
+@query("SELECT o_orderkey AS cell_id, o_orderkey % 2 AS split FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY md5('11|' || CAST(o_orderkey AS VARCHAR)), o_orderkey) <= 60")
+def stream_reservoir(spark, d):
+    """Sixty orders of each split, kept as the state of a stream over the table's files."""
+    folder = shared.new_folder(spark, "orders")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), (F.col("o_orderkey") % 2).alias("split"))
+    rows.repartition(6, "cell_id").write.parquet(folder)
+    return running.running_sample(spark, folder, rows.schema, "cell_id", 60, 11, "split", per_trigger=2)
+
+
+@query("WITH s AS (SELECT l_suppkey AS gene_id, COUNT(*) AS n, AVG(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS std FROM lineitem GROUP BY 1) SELECT gene_id, n, round(any_value(mean), 4) AS mean, round(AVG(least(l_extendedprice, mean + std)), 4) AS clipped FROM lineitem JOIN s ON l_suppkey = gene_id GROUP BY gene_id, n")
+def stream_two_passes(spark, d):
+    """Means and then means of clipped values, in two passes over a stream; the clip comes from the first."""
+    x = F.col("l_extendedprice").cast("double")
+
+    def sums(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        return batch.groupBy(F.col("l_suppkey").alias("gene_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+
+    def moments(parts: DataFrame) -> DataFrame:
+        mean = F.sum("s") / F.sum("n")
+        return parts.groupBy("gene_id").agg(F.sum("n").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0))).alias("std"))
+
+    def clipped(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        return batch.join(before, F.col("l_suppkey") == F.col("gene_id")).groupBy("gene_id", "n", "mean").agg(F.sum(F.least(x, F.col("mean") + F.col("std"))).alias("s"))
+
+    def result(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("gene_id", "n", "mean").agg((F.sum("s") / F.col("n")).alias("clipped"))
+
+    out = running.running_passes(spark, f"{d}/lineitem.parquet*", table(spark, d, "lineitem").schema, [(sums, moments), (clipped, result)])
+    return out.select("gene_id", "n", F.round("mean", 4).alias("mean"), F.round("clipped", 4).alias("clipped"))

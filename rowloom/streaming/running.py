@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lowrank, quantiles
+from ..operators import lowrank, quantiles, sampling
 from ..sources.shared import new_folder
 
 #: Triggers after which the parts of a state are merged into one.
@@ -79,3 +82,44 @@ def running_svd(spark: SparkSession, folder: str, schema, genes: list, k: int, p
     stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     last = spark.read.parquet(f"{base}/done").agg(F.max("done")).first()[0]
     return lowrank.load(spark, f"{base}/state{last}")
+
+
+def running_sample(spark: SparkSession, folder: str, schema, key: str, most: int, seed: int, group: str | None = None, per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
+    """A uniform sample of `most` rows a group over all files: the state is the sample so far, and each trigger samples that and its own
+    rows. It is the batch sample of the same keys, whatever the files' order and the restarts."""
+    base = checkpoint or new_folder(spark, "sample")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        if number:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{base}/state{number - 1}"))
+        sampling.priority_sample(batch, key, most, seed, group).write.mode("overwrite").parquet(f"{base}/state{number}")
+        spark.createDataFrame([(number,)], "done long").coalesce(1).write.mode("overwrite").parquet(f"{base}/done/trigger={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    last = spark.read.parquet(f"{base}/done").agg(F.max("done")).first()[0]
+    return spark.read.parquet(f"{base}/state{last}")
+
+
+def running_passes(spark: SparkSession, folder: str, schema, passes: list[tuple[Callable[[DataFrame, DataFrame | None], DataFrame], Callable[[DataFrame], DataFrame]]], per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
+    """Several passes over one stream of files, each with the result of the pass before.
+
+    A pass is (part, result): part(batch, before) gives mergeable rows of a trigger, result(all parts) what the next pass gets. Parts are
+    kept by trigger, so a restart goes on in the pass and at the file where it was; files that come later are seen by passes that are not done."""
+    base, before = checkpoint or new_folder(spark, "passes"), None
+    for k, (part, result) in enumerate(passes):
+        own = f"{base}/pass{k}"
+        try:
+            before = spark.read.parquet(f"{own}/result")
+            continue
+        except AnalysisException:  # not done yet
+            pass
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+        def keep(batch: DataFrame, number: int, own: str = own, part: Callable = part, before: DataFrame | None = before) -> None:
+            part(batch, before).write.mode("overwrite").parquet(f"{own}/parts/trigger={number}")
+
+        stream.writeStream.option("checkpointLocation", f"{own}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+        result(spark.read.parquet(f"{own}/parts").drop("trigger")).write.mode("overwrite").parquet(f"{own}/result")
+        before = spark.read.parquet(f"{own}/result")
+    return before
