@@ -7,8 +7,10 @@ compared at every offset at which they overlap enough, and aligned where the sha
 bits is least, then at the offset nearest to 0.
 
 Equal fingerprints are one class, so copies are compared once. Queries are the recordings whose
-id is divisible by QUERY_EVERY; each meets every class, block by block, so no match is missed. The
-differing bits of all offsets of a pair come at once, from the Fourier transforms of the two.
+id is divisible by QUERY_EVERY; each meets every class, block by block, so no match is missed. A pair's
+histogram of offsets counts, for each offset, the bits of frames that far apart that agree, less those that
+differ. All its counts come at once, from the Fourier transforms of the two recordings' bits, and are exact whole numbers,
+so they also are the bit errors by which the best offset is taken.
 
 Nulls: null or too short audio has no frames, an empty fingerprint and no match. A null id is
 indexed but never queried. Repeated rows share a class. Of ties the class of the least id counts, then the offset
@@ -116,7 +118,7 @@ def recordings(embeddings: DataFrame) -> DataFrame:
             audio = [None if v is None else tones(np.array([x or 0.0 for x in v])).tobytes() for v in b.column("embedding").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("media_id"), pa.array(audio, pa.binary())], ["media_id", "audio"])
 
-    return embeddings.select(F.col("vec_id").cast("long").alias("media_id"), "embedding").repartition("media_id").mapInArrow(run, "media_id long, audio binary")
+    return embeddings.select(F.col("vec_id").cast("long").alias("media_id"), "embedding").repartition(F.xxhash64("media_id", "embedding")).mapInArrow(run, "media_id long, audio binary")
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def least_errors(own: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.nd
     enough = (frames > 0) & (frames >= LEAST_SHARE * np.minimum(y, z))
     use = enough.any((1, 2))
     o, frames, enough = o[use].ravel(), frames[use], enough[use]
-    # other offsets may fall on each other, but not on these
+    # the histogram of offsets: votes of agreeing bits; other offsets may fall on each other, but not on these
     size = max(int(o.max() + m.max()), int(n.max() - o.min()))
     while not _smooth(size):
         size += 1

@@ -8,8 +8,8 @@ once are hits: the smallest and largest normalised text of each must be the same
 that fails this is split by the text itself.
 
 Filters have FILTER_BITS bits a row, so a digest passes wrongly about once in FILTER_BITS a run; passing only
-costs its share of the compaction. Filters are asked where they are (counted) small enough to be
-broadcast; beyond that asking would move what it saves, and all digests are compacted.
+costs its share of the compaction. Filters stand in buckets that digests ask by a join; (counted) small ones are
+broadcast for it, and larger ones meet the digests of their bucket, some thousand rows, by a shuffle.
 
 Nulls: a null text counts as empty; a null id is a row of its own and sorts last among ties.
 Repeated rows, also with one id, are copies of which one is kept. Very long texts are digested and compared whole.
@@ -78,6 +78,11 @@ class DigestIndex:
     def small(self) -> bool:
         return self.buckets * self.memtables * self.levels * BUCKET_BITS // 8 <= BROADCAST_BYTES
 
+    def _beside(self, rows: DataFrame) -> DataFrame:
+        """Rows with the filters of their digest's bucket."""
+        filters = self.filters()
+        return rows.withColumn("bucket", self._place()[0]).join(F.broadcast(filters) if self.small() else filters, "bucket")
+
     def _asked(self, rows: DataFrame, of_run: Column) -> Column:
         """Whether a filter of a run for which of_run(run) holds may have the row's digest; rows stand beside their bucket's filters."""
         _, place = self._place()
@@ -87,19 +92,14 @@ class DigestIndex:
 
     def compact(self) -> DataFrame:
         """digest, best, n over all runs, for every digest that was met more than once (and some others)."""
-        rows = self.runs()
-        if self.small():
-            bucket, _ = self._place()
-            beside = rows.withColumn("bucket", bucket).join(F.broadcast(self.filters()), "bucket")
-            rows = beside.where((F.col("n") > 1) | self._asked(beside, lambda run: run != F.col("run"))).drop("bucket", "filters")
+        beside = self._beside(self.runs())
+        rows = beside.where((F.col("n") > 1) | self._asked(beside, lambda run: run != F.col("run"))).drop("bucket", "filters")
         merged = rows.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         return common.materialize(merged.sortWithinPartitions("digest"), "lsm-compact")
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """Rows of batch(digest, ...) that the index holds. The filters rule out most others before the runs are read."""
-        bucket, _ = self._place()
-        filters = self.filters()
-        beside = batch.withColumn("bucket", bucket).join(F.broadcast(filters) if self.small() else filters, "bucket")
+        beside = self._beside(batch)
         maybe = beside.where(self._asked(beside, lambda run: run.isNotNull())).drop("bucket", "filters")
         return maybe.join(self.runs().select("digest").distinct(), "digest", "left_semi")
 
