@@ -100,3 +100,55 @@ def nb_log_prob(x: Column, mu: Column, theta: Column) -> Column:
     """lgamma(x + theta) - lgamma(theta) - lgamma(x + 1) + theta log(theta / (theta + mu)) + x log(mu / (theta + mu))."""
     rising = log_gamma(x + theta) - log_gamma(theta) - log_gamma(x + 1)
     return rising + theta * F.log(theta / (theta + mu)) + F.when(x > 0, x * F.log(mu / (theta + mu))).otherwise(0.0)
+
+
+def metadata_tokens(cells: DataFrame, vocabularies: dict[str, list[str]], prompts: DataFrame | list[str] | None = None, resampled: DataFrame | None = None, predict: bool = False) -> DataFrame:
+    """cell_id, field, is_prompt, is_query, token, label, weight: a token for each field of each cell, in the fields' order as `slot`.
+
+    A name that its vocabulary lacks is not measured: neither prompt nor query. `prompts` says which measured fields are prompts, by name or
+    as rows (cell_id, field, is_prompt); the other measured ones are queries, whose token is the mask, the vocabulary's size. `resampled`
+    (cell_id, field, name) gives prompts a coarser name; labels keep their own. To predict, measured fields are prompts and the rest queries.
+    """
+    spark = cells.sparkSession
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(f).alias("field"), F.lit(len(v)).alias("size"), F.col(f).cast("string").alias("name")) for k, (f, v) in enumerate(vocabularies.items())]))
+    long = cells.select("cell_id", named.alias("m")).select("cell_id", "m.*")
+    codes = F.broadcast(spark.createDataFrame([(f, n, k) for f, v in vocabularies.items() for k, n in enumerate(v)], "field string, name string, code int"))
+    long = long.join(codes, ["field", "name"], "left")
+    if isinstance(prompts, DataFrame):
+        long = long.join(prompts.select("cell_id", "field", (F.col("is_prompt") == 1).alias("asked")), ["cell_id", "field"], "left")
+    else:
+        long = long.withColumn("asked", F.col("field").isin(list(prompts)) if prompts else F.lit(False))
+    measured, asked = F.col("code").isNotNull(), F.coalesce("asked", F.lit(False))
+    is_prompt, is_query = (measured, ~measured) if predict else (measured & asked, measured & ~asked)
+    own = F.col("code")
+    if resampled is not None:
+        coarser = resampled.join(codes, ["field", "name"]).select("cell_id", "field", F.col("code").alias("coarser"))
+        long = long.join(coarser, ["cell_id", "field"], "left")
+        own = F.coalesce("coarser", "code")
+    token = F.when(is_query, F.col("size")).otherwise(F.coalesce(own, F.lit(0)))
+    return long.select("cell_id", "slot", "field", is_prompt.cast("int").alias("is_prompt"), is_query.cast("int").alias("is_query"), token.cast("int").alias("token"), F.coalesce("code", F.lit(0)).cast("long").alias("label"), is_query.cast("double").alias("weight"))
+
+
+def measured_only(split: DataFrame, measured: DataFrame, cells: DataFrame, by: str) -> DataFrame:
+    """Genes that the cell's `by` does not measure, as measured(by, gene_id) says, are neither prompt nor query; weights share one over what is left."""
+    hit = split.join(cells.select("cell_id", by), "cell_id").join(F.broadcast(measured.select(by, "gene_id", F.lit(1).alias("known"))), [by, "gene_id"], "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    out = hit.withColumns({"is_prompt": F.col("is_prompt") * F.col("known"), "is_query": F.col("is_query") * F.col("known")}).drop("known", by)
+    n = F.sum("is_query").over(Window.partitionBy("cell_id"))
+    return out.withColumn("weight", F.col("is_query") / F.greatest(n, F.lit(1)))
+
+
+def context(genes: DataFrame, metadata: DataFrame, n_genes: int) -> DataFrame:
+    """One row a token: genes(cell_id, at from 0, gene_id, value, is_prompt, is_query, label, weight), then the cell's metadata at n_genes and after.
+
+    A gene has a value and no token, metadata a token and no value; places of genes that a cell lacks stay empty.
+    """
+    g = genes.select("cell_id", "at", F.lit("gene_value").alias("field"), "gene_id", "value", F.lit(None).cast("int").alias("token"), "is_prompt", "is_query", "label", "weight")
+    m = metadata.select("cell_id", (F.col("slot") + n_genes).cast("int").alias("at"), "field", F.lit(None).cast("long").alias("gene_id"), F.lit(0.0).alias("value"), "token", "is_prompt", "is_query", "label", "weight")
+    return g.unionByName(m)
+
+
+def attends(tokens: DataFrame) -> DataFrame:
+    """cell_id, at, keys: the places that each token may attend to, its own and the prompts', one row a token; keys are as many as the context at most."""
+    prompts = tokens.where("is_prompt = 1").groupBy("cell_id").agg(F.sort_array(F.collect_list("at")).alias("prompts"))
+    out = tokens.select("cell_id", "at").join(prompts, "cell_id", "left")
+    return out.select("cell_id", "at", F.sort_array(F.array_union(F.coalesce("prompts", F.array().cast("array<int>")), F.array(F.col("at").cast("int")))).alias("keys"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..operators import evaluate, fits, hvg, lowrank, networks, ontology, prompts, sampling, stats
+from ..operators import evaluate, fits, hvg, lowrank, networks, ontology, prompts, sampling, stats, tokens
 from ..operators import transforms as tr
 from ..operators.ranges import range_join
 from ..sources import fields, ontologies, paths, shard_source, shards, shared, sinks, virtual
@@ -363,6 +363,59 @@ def generate_prompt_tokens(spark, d):
     return prompts.generate_tokens(_ctx(spark, d)).select("cell_id", "gene_id", "is_prompt", r6(F.col("value")).alias("value"), "at")
 
 
+_VOCAB = {"assay": ["O", "F"], "batch": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "tissue": ["AFRICA", "ALL", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", *[f"NATION_{k}" for k in range(25)]]}
+_CODES = "codes(field, slot, size, name, code) AS (VALUES " + ", ".join(f"('{f}', {k}, {len(v)}, '{n}', {c})" for k, (f, v) in enumerate(_VOCAB.items()) for c, n in enumerate(v)) + "), fields AS (SELECT DISTINCT field, slot, size FROM codes), named AS (SELECT cell_id, field, slot, size, CASE field WHEN 'assay' THEN assay WHEN 'batch' THEN batch ELSE tissue END AS name FROM cells CROSS JOIN fields), coded AS (SELECT n.*, c.code FROM named n LEFT JOIN codes c ON n.field = c.field AND n.name = c.name)"
+_MEASURED = "gene_id % 4 <> ascii(assay) % 4"
+_TOKENS = 'SELECT cell_id, "at", field, gene_id, value, token, is_prompt, is_query, label, round(weight, 6) AS weight FROM (SELECT * FROM gt UNION ALL SELECT * FROM mt)'
+_GENE_ROWS = "gt AS (SELECT cell_id, CAST(place - 1 AS INTEGER) AS at, 'gene_value' AS field, gene_id, round(ln(1 + {x}) * p, 6) AS value, CAST(NULL AS INTEGER) AS token, CAST(p AS INTEGER) AS is_prompt, CAST(q AS INTEGER) AS is_query, CAST(least(greatest(x, 0), 29) AS BIGINT) AS label, q / greatest(SUM(q) OVER (PARTITION BY cell_id), 1.0) AS weight FROM g)"
+_META_ROWS = "mt AS (SELECT cell_id, CAST(slot + 5 AS INTEGER) AS at, field, CAST(NULL AS BIGINT) AS gene_id, 0.0 AS value, CAST(CASE WHEN q = 1 THEN size ELSE coalesce({own}, 0) END AS INTEGER) AS token, CAST(p AS INTEGER) AS is_prompt, CAST(q AS INTEGER) AS is_query, CAST(coalesce(code, 0) AS BIGINT) AS label, CAST(q AS DOUBLE) AS weight FROM m)"
+
+
+def _context(spark, d, genes: DataFrame, metadata: DataFrame) -> DataFrame:
+    placed = genes.withColumn("at", (F.col("place") - 1).cast("int"))
+    out = prompts.context(placed, metadata, 5)
+    return out.withColumns({"value": r6(F.col("value")), "weight": r6(F.col("weight"))})
+
+
+@query(_with(_EDGES, _CLO, _CELLS, _MATRIX, _CTX, _PREFIX, f"g AS (SELECT ctx.*, CASE WHEN {_MEASURED} AND place > least(prefix, 5) THEN 1 ELSE 0 END AS q, CASE WHEN {_MEASURED} AND place <= least(prefix, 5) THEN 1 ELSE 0 END AS p FROM ctx JOIN px USING (cell_id) JOIN cells USING (cell_id))", _GENE_ROWS.format(x="x"), _CODES, f"asked AS (SELECT cell_id, field, CASE WHEN row_number() OVER (PARTITION BY cell_id ORDER BY {_UF}, field) <= floor({_UC.format(s=16)} * 4) THEN 1 ELSE 0 END AS a FROM named)", f"re AS (SELECT cell_id, ancestor AS name FROM (SELECT cell_id, ancestor, row_number() OVER (PARTITION BY cell_id ORDER BY ln(0.6) + dist * ln(0.4) - ln(-ln({_UA})) DESC, ancestor DESC) AS r FROM cells JOIN clo ON descendant = tissue) WHERE r = 1)", "m AS (SELECT c.*, CASE WHEN c.code IS NOT NULL AND a = 0 THEN 1 ELSE 0 END AS q, CASE WHEN c.code IS NOT NULL AND a = 1 THEN 1 ELSE 0 END AS p, x.code AS coarser FROM coded c JOIN asked ON asked.cell_id = c.cell_id AND asked.field = c.field LEFT JOIN re ON re.cell_id = c.cell_id AND c.field = 'tissue' LEFT JOIN codes x ON x.field = 'tissue' AND x.name = re.name AND c.field = 'tissue')", _META_ROWS.format(own="coalesce(coarser, code)"), select=_TOKENS, recursive=True))
+def gpt_train_tokens(spark, d):
+    """Gene and metadata tokens to train on: sampled prefixes, genes that the assay measures, sampled metadata prompts with tissues coarsened along the ontology."""
+    cells, ctx = virtual.cells(spark, d), _ctx(spark, d)
+    split = prompts.split_by_prefix(ctx, prompts.sampled_prefix(ctx.select("cell_id").distinct(), 5, 13))
+    kinds = cells.select("assay").distinct().crossJoin(F.broadcast(virtual.genes(spark, d).select("gene_id")))
+    genes = tokens.values_labels(prompts.measured_only(split, kinds.where(F.col("gene_id") % 4 != F.ascii("assay") % 4), cells, "assay"), 30)
+    asked = prompts.metadata_prompt(cells, list(_VOCAB), 15)
+    coarser = prompts.ontology_resample(cells, _closure(spark, d), "tissue", 0.6, 19).select("cell_id", F.lit("tissue").alias("field"), F.col("term").alias("name"))
+    return _context(spark, d, genes, prompts.metadata_tokens(cells, _VOCAB, asked, coarser))
+
+
+@query(_with(_CELLS, _MATRIX, _CTX, "tot AS (SELECT cell_id, SUM(x) AS total FROM matrix GROUP BY 1)", "g AS (SELECT ctx.*, total, CASE WHEN place > 3 THEN 1 ELSE 0 END AS q, CASE WHEN place > 3 THEN 0 ELSE 1 END AS p FROM ctx JOIN tot USING (cell_id))", _GENE_ROWS.format(x="round_even(x * least(total, 50.0) / total, 0)"), _CODES, "m AS (SELECT *, CASE WHEN code IS NULL THEN 1 ELSE 0 END AS q, CASE WHEN code IS NULL THEN 0 ELSE 1 END AS p FROM (SELECT * REPLACE (CASE WHEN field = 'tissue' AND cell_id % 5 = 0 THEN NULL ELSE code END AS code) FROM coded))", _META_ROWS.format(own="code"), select=_TOKENS))
+def gpt_predict_tokens(spark, d):
+    """Tokens to predict from: counts scaled to a library of 50 at most; fields without a known name are asked for."""
+    cells = virtual.cells(spark, d).withColumn("tissue", F.when(F.col("cell_id") % 5 != 0, F.col("tissue")))
+    total = virtual.matrix(spark, d).groupBy("cell_id").agg(F.sum("x").alias("total"))
+    split = tokens.prompt_query(_ctx(spark, d), 3).join(total, "cell_id")
+    genes = tokens.values_labels(split, 30).withColumn("value", F.log1p(F.bround(F.col("x") * F.least("total", F.lit(50.0)) / F.col("total"))) * F.col("is_prompt"))
+    return _context(spark, d, genes, prompts.metadata_tokens(cells, _VOCAB, predict=True))
+
+
+@query(_with(_CELLS, _MATRIX, _CTX, "g AS (SELECT * REPLACE (row_number() OVER (PARTITION BY cell_id ORDER BY place <= 2, place) AS place), CASE WHEN place > 2 THEN 1 ELSE 0 END AS q, CASE WHEN place > 2 THEN 0 ELSE 1 END AS p FROM ctx)", _GENE_ROWS.format(x="round_even(x * 0.5, 0)"), _CODES, "m AS (SELECT *, CASE WHEN code IS NOT NULL AND field <> 'assay' THEN 1 ELSE 0 END AS q, CASE WHEN code IS NOT NULL AND field = 'assay' THEN 1 ELSE 0 END AS p FROM coded)", _META_ROWS.format(own="code"), select=_TOKENS))
+def gpt_test_tokens(spark, d):
+    """Tokens to test with: queries first, prompts alone downsampled, the assay as the only metadata prompt."""
+    ctx = prompts.test_tokens(_ctx(spark, d), 2, 0.5).withColumn("place", F.col("at"))
+    split = ctx.withColumn("is_query", 1 - F.col("is_prompt")).withColumn("weight", F.col("is_query") / F.greatest("query_size", F.lit(1)))
+    genes = tokens.values_labels(split.drop("at"), 30).withColumn("value", F.log1p(F.bround(F.col("x") * 0.5)) * F.col("is_prompt"))
+    return _context(spark, d, genes, prompts.metadata_tokens(virtual.cells(spark, d), _VOCAB, ["assay"]))
+
+
+@query(_with(_CELLS, _MATRIX, _CTX, _CODES, "t AS (SELECT cell_id, CAST(place - 1 AS INTEGER) AS place, CASE WHEN place > 2 THEN 0 ELSE 1 END AS p FROM ctx UNION ALL SELECT cell_id, CAST(slot + 5 AS INTEGER), CASE WHEN code IS NOT NULL AND field = 'assay' THEN 1 ELSE 0 END FROM coded)", select="SELECT a.cell_id, a.place AS at, COUNT(*) AS keys, CAST(SUM(b.place) AS BIGINT) AS places FROM t a JOIN t b ON a.cell_id = b.cell_id AND (b.p = 1 OR a.place = b.place) GROUP BY 1, 2"))
+def gpt_attention_keys(spark, d):
+    """How many places each token attends to, and their sum: one row a token with its list, not a row a pair."""
+    genes = tokens.values_labels(tokens.prompt_query(_ctx(spark, d), 2), 30)
+    out = prompts.attends(_context(spark, d, genes, prompts.metadata_tokens(virtual.cells(spark, d), _VOCAB, ["assay"])))
+    return out.select("cell_id", "at", F.size("keys").cast("long").alias("keys"), F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc + k).alias("places"))
+
+
 @query(_with(_MATRIX, select="SELECT cell_id, gene_id, round(lgamma(x + 2.5) - lgamma(2.5) - lgamma(x + 1) + 2.5 * ln(2.5 / (2.5 + mu)) + x * ln(mu / (2.5 + mu)), 6) AS log_prob FROM (SELECT *, AVG(x) OVER (PARTITION BY cell_id) AS mu FROM matrix)"))
 def nb_log_probs(spark, d):
     m = virtual.matrix(spark, d).withColumn("mu", F.avg("x").over(Window.partitionBy("cell_id")))
