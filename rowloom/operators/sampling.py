@@ -103,6 +103,12 @@ def n_batches(n: int, replicas: int, batch: int, drop_last: bool = False, drop_i
     return per // batch if drop_incomplete_batch else -(-per // batch)
 
 
+def batches(n: Column, replicas: Column, batch: int, drop_last: bool = False, drop_incomplete: bool = False) -> Column:
+    """The same number as a column."""
+    per = F.floor(n / replicas) if drop_last else F.ceil(n / replicas)
+    return F.floor(per / batch) if drop_incomplete else F.ceil(per / batch)
+
+
 def reservoir(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """A uniform sample of a fixed size, by a seeded order."""
     return df.orderBy(position(F.lit(seed), key), key).limit(most)

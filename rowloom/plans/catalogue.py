@@ -336,9 +336,12 @@ def column_gather(spark, d):
     return virtual.matrix(spark, d).join(F.broadcast(wanted), "gene_id").select("out_pos", "cell_id", "gene_id", "x")
 
 
-@query("SELECT CAST(k AS INTEGER) AS shard_id, k * 400 AS start, CASE WHEN k = 3 THEN 1300 ELSE (k + 1) * 400 END AS stop FROM range(4) r(k)")
+@query("WITH n AS (SELECT COUNT(*) AS n FROM orders) SELECT CAST(k AS INTEGER) AS shard_id, CAST(k * 400 AS BIGINT) AS start, CAST(least((k + 1) * 400, n) AS BIGINT) AS stop FROM n, range(CAST(ceil(n / 400.0) AS BIGINT)) r(k)")
 def limits_from_shard_size(spark, d):
-    return shards.shard_table(spark, shards.limits(4, 400, 100))
+    """Limits of the orders in shards of 400, the last one shorter."""
+    n = table(spark, d, "orders").count()
+    k = -(-n // 400)
+    return shards.shard_table(spark, shards.limits(k, 400, n - 400 * (k - 1)))
 
 
 @query("SELECT o_orderkey AS cell_id, CAST(CASE WHEN o_orderkey >= 1200 THEN 3 ELSE o_orderkey // 400 END AS INTEGER) AS shard_id FROM orders WHERE o_orderkey < 1300")
@@ -356,10 +359,12 @@ def train_val_split(spark, d):
     return sampling.split(o, "cell_id", o.count(), 0.7, 100, 50).select("cell_id", "part", "is_predict")
 
 
-@query("SELECT * FROM (VALUES (0, 80, 10), (1, 80, 20), (2, 80, 20), (3, 80, 20), (4, 80, 20), (5, 80, 20), (6, 80, 20), (7, 80, 20), (8, 100, 0)) v(k, n_train, n_val)")
+@query(_with(_CELLS, "b AS (SELECT batch, COUNT(*) AS n FROM cells GROUP BY 1)", select="SELECT batch, CAST(k AS INTEGER) AS k, CAST(CASE k WHEN 0 THEN ceil(n * CAST(0.8 AS DOUBLE)) WHEN 1 THEN ceil(n * CAST(0.8 AS DOUBLE)) WHEN 2 THEN n - ceil(n * CAST(0.2 AS DOUBLE)) WHEN 3 THEN 80 WHEN 4 THEN 80 WHEN 5 THEN n - 20 ELSE n END AS BIGINT) AS n_train, CAST(CASE k WHEN 0 THEN ceil(n * CAST(0.1 AS DOUBLE)) WHEN 1 THEN n - ceil(n * CAST(0.8 AS DOUBLE)) WHEN 2 THEN ceil(n * CAST(0.2 AS DOUBLE)) WHEN 3 THEN 20 WHEN 4 THEN n - 80 WHEN 5 THEN 20 ELSE 0 END AS BIGINT) AS n_val FROM b CROSS JOIN range(7) r(k)"))
 def split_sizes_table(spark, d):
-    given = [(0.8, 0.1), (0.8, 0.2), (80, 0.2), (80, 20), (80, None), (None, 20), (0.8, None), (None, 0.2), (None, None)]
-    return spark.createDataFrame([(k, *sampling.split_sizes(100, *g)) for k, g in enumerate(given)], "k int, n_train int, n_val int")
+    """Sizes of the parts of each batch for shares, numbers and missing parts."""
+    given = [(0.8, 0.1), (0.8, None), (None, 0.2), (80, 20), (80, None), (None, 20), (None, None)]
+    sizes = virtual.cells(spark, d).groupBy("batch").count().collect()  # batches
+    return spark.createDataFrame([(r["batch"], k, *sampling.split_sizes(r["count"], *g)) for r in sizes for k, g in enumerate(given)], "batch string, k int, n_train long, n_val long")
 
 
 _SHUF = "o AS (SELECT o_orderkey AS cell_id, o_orderkey // 1000 AS shard FROM orders), shuffled AS (SELECT cell_id, row_number() OVER (ORDER BY md5('5|shard|' || CAST(shard AS VARCHAR)), md5('5|row|' || CAST(cell_id AS VARCHAR))) - 1 AS pos FROM o)"
@@ -776,9 +781,11 @@ def r_squared(spark, d):
     return li.crossJoin(mean).agg(r6(1 - F.sum(res * res) / F.sum(tot * tot)).alias("r2"))
 
 
-@query("SELECT CAST(h AS BIGINT) AS n_heads, CAST(b AS BIGINT) AS batch_size, CAST(h * 64 AS BIGINT) AS d_model, CAST(12 * h * 64 * h * 64 AS BIGINT) AS params FROM (VALUES (4), (8), (16)) m(h) CROSS JOIN (VALUES (64), (128)) g(b)")
+@query("SELECT CAST(h AS BIGINT) AS n_heads, CAST(b AS BIGINT) AS batch_size, CAST(h * 64 AS BIGINT) AS d_model, CAST(12 * h * 64 * h * 64 AS BIGINT) AS params FROM (SELECT DISTINCT p_size AS h FROM part) CROSS JOIN (SELECT DISTINCT 64 * (1 + n_regionkey) AS b FROM nation)")
 def config_grid(spark, d):
-    m, g = spark.createDataFrame([(4,), (8,), (16,)], "n_heads long"), spark.createDataFrame([(64,), (128,)], "batch_size long")
+    """Every number of heads with every batch size."""
+    m = table(spark, d, "part").select(F.col("p_size").cast("long").alias("n_heads")).distinct()
+    g = table(spark, d, "nation").select((64 * (1 + F.col("n_regionkey"))).cast("long").alias("batch_size")).distinct()
     return m.crossJoin(F.broadcast(g)).withColumn("d_model", F.col("n_heads") * 64).withColumn("params", 12 * F.col("d_model") * F.col("d_model"))
 
 
@@ -833,32 +840,40 @@ def mutual_exclusivity(spark, d):
 # formulas -----------------------------------------------------------------------------------------
 
 
-@query("SELECT mu, theta, round(CASE WHEN theta = 0 THEN 0 ELSE mu + mu * mu / nullif(theta, 0) END, 6) AS var FROM (SELECT CAST(i AS DOUBLE) AS mu FROM range(5) r(i)) CROSS JOIN (VALUES (CAST(0 AS DOUBLE)), (0.5), (2)) t(theta)")
+@query(_with(_MATRIX, "g AS (SELECT gene_id, AVG(x) AS mu FROM matrix GROUP BY 1)", select="SELECT gene_id, CAST(theta AS DOUBLE) AS theta, round(mu, 6) AS mu, round(CASE WHEN theta = 0 THEN 0 ELSE mu + mu * mu / nullif(theta, 0) END, 4) AS var FROM g CROSS JOIN (VALUES (CAST(0 AS DOUBLE)), (0.5), (2)) t(theta)"))
 def nb_moments(spark, d):
-    mu, theta = spark.range(5).select(F.col("id").cast("double").alias("mu")), spark.createDataFrame([(0.0,), (0.5,), (2.0,)], "theta double")
-    return mu.crossJoin(F.broadcast(theta)).withColumn("var", r6(fx.nb_variance(F.col("mu"), F.col("theta"))))
+    """Variances that a gene's mean has under several dispersions."""
+    mu = virtual.matrix(spark, d).groupBy("gene_id").agg(F.avg("x").alias("mu"))
+    theta = F.explode(F.array(*[F.lit(t) for t in (0.0, 0.5, 2.0)])).alias("theta")
+    return mu.select("gene_id", "mu", theta).select("gene_id", "theta", r6(F.col("mu")).alias("mu"), F.round(fx.nb_variance(F.col("mu"), F.col("theta")), 4).alias("var"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 400 THEN i / 400.0 ELSE 1 END, 6) AS weight FROM range(0, 1000, 50) r(i)")
+@query("SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 400 THEN o_orderkey / 400.0 ELSE 1 END, 6) AS weight FROM orders")
 def kl_warmup(spark, d):
-    return spark.range(0, 1000, 50).select(F.col("id").alias("step"), r6(fx.kl_weight(F.col("id"), 400)).alias("weight"))
+    """The weight of each order's step."""
+    step = F.col("o_orderkey")
+    return table(spark, d, "orders").select(step.alias("step"), r6(fx.kl_weight(step, 400)).alias("weight"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 100 THEN i / 100.0 ELSE greatest(0, (900 - i) / 800.0) END, 6) AS factor FROM range(0, 1000, 50) r(i)")
+@query("SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 100 THEN o_orderkey / 100.0 ELSE greatest(0, (900 - o_orderkey) / 800.0) END, 6) AS factor FROM orders")
 def linear_lr(spark, d):
-    return spark.range(0, 1000, 50).select(F.col("id").alias("step"), r6(fx.linear_lr(F.col("id"), 100, 900)).alias("factor"))
+    """The factor of each order's step."""
+    step = F.col("o_orderkey")
+    return table(spark, d, "orders").select(step.alias("step"), r6(fx.linear_lr(step, 100, 900)).alias("factor"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS x, round((1 + 0.5 * i) / (1 + 0.1 * i + 0.01 * i * i), 6) AS pade, round(2 + 3 * pow(i + 1.0, -0.3), 6) AS law FROM range(20) r(i)")
+@query("SELECT p_partkey, round((1 + 0.5 * p_size) / (1 + 0.1 * p_size + 0.01 * p_size * p_size), 6) AS pade, round(2 + 3 * pow(p_size + 1.0, -0.3), 6) AS law FROM part")
 def pade_eval(spark, d):
-    x = F.col("id")
-    return spark.range(20).select(x.alias("x"), r6((1 + 0.5 * x) / (1 + 0.1 * x + 0.01 * x * x)).alias("pade"), r6(2 + 3 * F.pow(x + 1.0, F.lit(-0.3))).alias("law"))
+    """A rational curve and a power law at each part's size."""
+    x = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", r6((1 + 0.5 * x) / (1 + 0.1 * x + 0.01 * x * x)).alias("pade"), r6(2 + 3 * F.pow(x + 1.0, F.lit(-0.3))).alias("law"))
 
 
-@query("SELECT CAST(6 * 12 * l * w * w * t AS DOUBLE) AS flops, CAST(l AS BIGINT) AS layers, CAST(w AS BIGINT) AS width FROM (VALUES (6, 512, 1000000.0), (12, 768, 2000000.0)) m(l, w, t)")
+@query("SELECT p_partkey, CAST(6.0 * 12 * p_size * (64.0 * p_size) * (64.0 * p_size) * round(p_retailprice) AS DOUBLE) AS flops FROM part")
 def flops_estimate(spark, d):
-    m = spark.createDataFrame([(6, 512, 1e6), (12, 768, 2e6)], "layers long, width long, t double")
-    return m.select((6 * 12 * F.col("layers") * F.col("width") * F.col("width") * F.col("t")).alias("flops"), "layers", "width")
+    """Six operations a weight and token, for as many layers and heads of 64 as a part's size, and tokens as its price."""
+    width = 64.0 * F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", (6.0 * 12 * F.col("p_size") * width * width * F.round("p_retailprice")).alias("flops"))
 
 
 # fits, streams ------------------------------------------------------------------------------------

@@ -37,9 +37,13 @@ def glob_matches(spark, d):
     return _uris(spark, d).select("cell_id", paths.any_glob(F.col("uri"), ["gs://cells-[of]/*.parquet", "https://host[0-3]/x/*"]).alias("hit"))
 
 
-@query("SELECT 'gs://b/' || printf('%03d', i) || '_' || s || '.parquet' AS path FROM range(25) r(i) CROSS JOIN (VALUES ('raw'), ('norm')) v(s)")
+@query("SELECT s_suppkey, 'gs://b/' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || '_' || s || '.parquet' AS path FROM supplier CROSS JOIN (VALUES ('raw'), ('norm')) v(s)")
 def brace_expansion(spark, d):
-    return spark.createDataFrame([(p,) for p in shards.expand_braces("gs://b/{000..024}_{raw,norm}.parquet")], "path string")
+    """Paths of two files a supplier from one pattern, each with its supplier."""
+    s = table(spark, d, "supplier")
+    last = s.agg(F.max("s_suppkey")).first()[0]
+    paths = spark.createDataFrame([(p,) for p in shards.expand_braces(f"gs://b/{{00000..{last:05d}}}_{{raw,norm}}.parquet")], "path string")
+    return paths.withColumn("s_suppkey", F.regexp_extract("path", r"/(\d+)_", 1).cast("long")).join(s.select("s_suppkey"), "s_suppkey")
 
 
 def _written_shards(spark, d, n: int = 4) -> str:
@@ -152,10 +156,12 @@ def renamed_columns(spark, d):
     return short.select(F.col("id").alias("gene_id"), r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
 
 
-@query("SELECT * FROM (VALUES (0, 'error: z_score at 1 needs densify before it'), (1, 'warning: densify at 2 does nothing, the matrix is dense'), (1, 'warning: filter_genes at 1 is cheaper before densify')) v(pipeline, message)")
+@query("SELECT c_custkey, unnest(CASE c_custkey % 4 WHEN 0 THEN ['error: z_score at 1 needs densify before it'] WHEN 1 THEN ['warning: filter_genes at 1 is cheaper before densify', 'warning: densify at 2 does nothing, the matrix is dense'] WHEN 3 THEN ['error: pflogpf at 0 needs densify before it', 'warning: duplicate at 2 is cheaper before densify'] ELSE [] END) AS message FROM customer")
 def pipeline_lint(spark, d):
-    lines = [["normalize_total", "z_score"], ["densify", "filter_genes", "densify", "z_score"], ["filter_genes", "normalize_total", "log1p"]]
-    return spark.createDataFrame([(k, m) for k, t in enumerate(lines) for m in fields.lint(t)], "pipeline int, message string")
+    """What is wrong with the order of each customer's transforms."""
+    lines = [["normalize_total", "z_score"], ["densify", "filter_genes", "densify", "z_score"], ["filter_genes", "normalize_total", "log1p"], ["pflogpf", "densify", "duplicate"]]
+    own = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in lines]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", F.explode(fields.lint(own)).alias("message"))
 
 
 @query(_with(_GENES, select="SELECT gene_id, var_name FROM genes WHERE gene_id % 5 = 0 AND gene_id % 2 = 0"))
@@ -267,10 +273,12 @@ def state_as_input(spark, d):
     return both
 
 
-@query("SELECT * FROM (VALUES ('batch_size: 64 before, 32 now'), ('seed: 1 before, None now')) v(problem)")
+@query("SELECT n_name AS setting, CAST(n_regionkey AS VARCHAR) AS before, CASE WHEN n_nationkey % 6 <> 5 THEN CAST(n_regionkey + CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS now FROM nation WHERE n_nationkey % 4 = 0 OR n_nationkey % 6 = 5")
 def resume_checks(spark, d):
-    rows = sinks.resume_problems({"batch_size": 64, "seed": 1, "workers": 2}, {"batch_size": 32, "workers": 2})
-    return spark.createDataFrame([(r,) for r in rows], "problem string")
+    """Settings of nations that a later run has otherwise or not at all."""
+    saved = table(spark, d, "nation").select(F.col("n_name").alias("setting"), "n_nationkey", F.col("n_regionkey").alias("value"))
+    now = saved.where("n_nationkey % 6 != 5").withColumn("value", F.col("value") + F.when(F.col("n_nationkey") % 4 == 0, 1).otherwise(0))
+    return sinks.resume_problems(saved.select("setting", "value"), now.select("setting", "value"))
 
 
 # assignment ---------------------------------------------------------------------------------------
@@ -286,17 +294,19 @@ def resumed_assignment(spark, d):
     return out.select("cell_id", *[F.col(c).cast("long").alias(c) for c in ("replica", "turn", "worker")])
 
 
-@query("SELECT CAST(e AS BIGINT) AS epoch, CAST(r AS BIGINT) AS replica, CAST(w AS BIGINT) AS worker, CAST(17 + e * 6 + r * 3 + w AS BIGINT) AS seed FROM range(3) a(e) CROSS JOIN range(2) b(r) CROSS JOIN range(3) c(w)")
+@query("SELECT o_orderkey AS cell_id, CAST(17 + (o_orderkey // 1000) * 6 + (o_orderkey % 2) * 3 + o_orderkey % 3 AS BIGINT) AS seed FROM orders")
 def worker_seeds(spark, d):
-    e, r, w = (spark.range(n).withColumnRenamed("id", c) for n, c in ((3, "epoch"), (2, "replica"), (3, "worker")))
-    return e.crossJoin(r).crossJoin(w).withColumn("seed", sampling.worker_seed(17, F.col("epoch"), F.col("replica"), F.col("worker"), 2, 3))
+    """The seed under which each order is read: of its epoch, replica and worker."""
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("cell_id"), sampling.worker_seed(17, F.floor(k / 1000), k % 2, k % 3, 2, 3).cast("long").alias("seed"))
 
 
-@query("SELECT CAST(r AS INTEGER) AS replicas, CAST(ceil(ceil(n / CAST(r AS DOUBLE)) / 64.0) AS BIGINT) AS padded, CAST(ceil((n // r) / 64.0) AS BIGINT) AS dropped, CAST((n // r) // 64 AS BIGINT) AS whole FROM (SELECT COUNT(*) AS n FROM orders), (VALUES (1), (2), (7)) v(r)")
+@query(_with(_CELLS, "b AS (SELECT batch, COUNT(*) AS n FROM cells GROUP BY 1)", select="SELECT batch, CAST(r AS INTEGER) AS replicas, CAST(ceil(ceil(n / CAST(r AS DOUBLE)) / 64.0) AS BIGINT) AS padded, CAST(ceil((n // r) / 64.0) AS BIGINT) AS dropped, CAST((n // r) // 64 AS BIGINT) AS whole FROM b, (VALUES (1), (2), (7)) v(r)"))
 def batch_counts(spark, d):
-    n = table(spark, d, "orders").count()
-    rows = [(r, sampling.n_batches(n, r, 64), sampling.n_batches(n, r, 64, True), sampling.n_batches(n, r, 64, True, True)) for r in (1, 2, 7)]
-    return spark.createDataFrame(rows, "replicas int, padded long, dropped long, whole long")
+    """Mini-batches of each batch's cells: with a padded tail, without it, and whole ones only."""
+    n = virtual.cells(spark, d).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).withColumn("replicas", F.explode(F.array(F.lit(1), F.lit(2), F.lit(7))))
+    of = lambda *how: sampling.batches(F.col("n"), F.col("replicas"), 64, *how)
+    return n.select("batch", "replicas", of().alias("padded"), of(True).alias("dropped"), of(True, True).alias("whole"))
 
 
 # prompts ------------------------------------------------------------------------------------------
@@ -652,10 +662,11 @@ def merged_maps(spark, d):
     return virtual.cells(spark, d).select("cell_id", m["a"].alias("a"), m["b"].alias("b"), F.size(m).cast("long").alias("n"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round(pow(10, -3 + 6.0 * i / 12), 9) AS logspace, round(0.5 + i * 0.25, 6) AS linspace FROM range(13) r(i)")
+@query("SELECT p_partkey, round(pow(10, -3 + 6.0 * p_size / 50), 6) AS logspace, round(0.5 + p_size * 0.25, 6) AS linspace FROM part")
 def grids(spark, d):
-    i = F.col("id")
-    return spark.range(13).select(i.alias("i"), F.round(F.pow(F.lit(10.0), -3 + 6.0 * i / 12), 9).alias("logspace"), r6(0.5 + i * 0.25).alias("linspace"))
+    """Points of a logarithmic and a linear grid by each part's size."""
+    i = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", r6(F.pow(F.lit(10.0), -3 + 6.0 * i / 50)).alias("logspace"), r6(0.5 + i * 0.25).alias("linspace"))
 
 
 @query(_with(_CENT, select="SELECT label, CAST(k AS INTEGER) AS k, round(SUM(c * sin(dim + 2.0 * k)) + cos(label + 1.0 * k), 5) AS v FROM cent CROSS JOIN range(3) r(k) GROUP BY label, k"))

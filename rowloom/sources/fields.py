@@ -69,17 +69,17 @@ def required(value: Column, ok: Column, message: str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)).cast("double"))
 
 
-def lint(transforms: list[str]) -> list[str]:
-    """What is wrong with an order of transforms on a sparse matrix; errors first."""
-    dense = {"z_score", "center_per_cell", "pflogpf", "gaussian_noise"}
-    out, densified = [], False
-    for k, t in enumerate(transforms):
-        if t == "densify":
-            if densified:
-                out.append(f"warning: densify at {k} does nothing, the matrix is dense")
-            densified = True
-        elif t in dense and not densified:
-            out.append(f"error: {t} at {k} needs densify before it")
-        elif t in ("filter_genes", "duplicate") and densified:
-            out.append(f"warning: {t} at {k} is cheaper before densify")
-    return sorted(out)
+def lint(transforms: Column) -> Column:
+    """What is wrong with an order of transforms (an array of names) on a sparse matrix, in that order."""
+    dense, early = ["z_score", "center_per_cell", "pflogpf", "gaussian_noise"], ["filter_genes", "duplicate"]
+
+    def message(t: Column, k: Column) -> Column:
+        before = F.array_contains(F.slice(transforms, F.lit(1), k), "densify")
+        at = F.concat(t, F.lit(" at "), k.cast("string"))
+        return (
+            F.when((t == "densify") & before, F.concat(F.lit("warning: "), at, F.lit(" does nothing, the matrix is dense")))
+            .when(t.isin(dense) & ~before, F.concat(F.lit("error: "), at, F.lit(" needs densify before it")))
+            .when(t.isin(early) & before, F.concat(F.lit("warning: "), at, F.lit(" is cheaper before densify")))
+        )
+
+    return F.filter(F.transform(transforms, message), lambda m: m.isNotNull())

@@ -79,5 +79,7 @@ def load_fields(spark: SparkSession, path: str, fields: dict, format: str = "par
     return df.select(*[f.column().alias(n) for n, f in fields.items()])
 
 
-def resume_problems(saved: dict, now: dict) -> list[str]:
-    return sorted(f"{k}: {saved.get(k)} before, {now.get(k)} now" for k in saved.keys() | now.keys() if saved.get(k) != now.get(k))
+def resume_problems(saved: DataFrame, now: DataFrame) -> DataFrame:
+    """setting, before, now of (setting, value) tables, where the two differ or one lacks it."""
+    a, b = (t.select("setting", F.col("value").cast("string").alias(n)) for t, n in ((saved, "before"), (now, "now")))
+    return a.join(b, "setting", "full").where(~F.col("before").eqNullSafe(F.col("now")))
