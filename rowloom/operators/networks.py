@@ -241,3 +241,24 @@ def losses(rows: DataFrame, net: Network, likelihood: str = "nb", samples: int |
         yield [ids, pa.array(-log), pa.array(kl)]
 
     return _each(rows, f"{_cell(rows)}, reconstruction double, kl double", len(net.genes), run, samples is not None)
+
+
+def layer_sizes(rows: DataFrame, net: Network) -> DataFrame:
+    """layer, n, l1: the mean size of each encoder layer's outputs and of the latent means over all cells, as sums of the tasks."""
+    net.checked()
+    names = [*[f"encoder {k}" for k in range(len(net.encoder))], "latent"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(len(names)), np.zeros(len(names), int)
+        for b in batches:
+            sizes = np.asarray(b.column(1).value_lengths())
+            row, codes, places, values = np.repeat(np.arange(len(sizes)), sizes), np.asarray(b.column(0)), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            h = None
+            for k, layer in enumerate([*net.encoder, net.mean]):
+                h = layer.after(_times(len(sizes), row, places, np.log1p(values) if net.log_input else values, layer.weight), codes) if h is None else layer(h, codes)
+                total[k] += np.abs(h).sum()
+                count[k] += h.size
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(count), pa.array(total)], ["layer", "n", "s"])
+
+    parts = rows.select("code", "at", "x").mapInArrow(part, "layer string, n long, s double")
+    return parts.groupBy("layer").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("l1"))

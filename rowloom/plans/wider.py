@@ -526,6 +526,45 @@ def vae_latent_sampled(spark, d):
     return out.select("cell_id", F.posexplode("sample").alias("k", "v")).select("cell_id", "k", F.round("v", 5).alias("v"))
 
 
+_WIDTHS = "wd AS (SELECT * FROM (VALUES (2), (4), (8)) w(width) CROSS JOIN (VALUES (0), (1)) s(seed)), hh AS (SELECT width, seed, cell_id, k, SUM(x * sin(gene_id + 3.0 * k + seed)) / width AS v FROM matrix CROSS JOIN wd CROSS JOIN range(8) r(k) WHERE k < width GROUP BY width, seed, cell_id, k), full_h AS (SELECT width, seed, c.cell_id, k, coalesce(v, 0) AS v FROM cells c CROSS JOIN wd CROSS JOIN range(8) r(k) LEFT JOIN hh USING (width, seed, cell_id, k) WHERE k < width), zz AS (SELECT width, seed, cell_id, j, SUM(greatest(v, 0) * cos(k + 2.0 * j + seed)) AS v FROM full_h CROSS JOIN range(2) r(j) GROUP BY width, seed, cell_id, j)"
+
+
+@query(_with(_CELLS, _MATRIX, _WIDTHS, select="SELECT CAST(width AS INTEGER) AS width, CAST(seed AS INTEGER) AS seed, 'encoder 0' AS layer, COUNT(*) AS n, round(AVG(greatest(v, 0)), 5) AS l1 FROM full_h GROUP BY 1, 2 UNION ALL SELECT CAST(width AS INTEGER), CAST(seed AS INTEGER), 'latent', COUNT(*), round(AVG(abs(v)), 5) FROM zz GROUP BY 1, 2"))
+def coordinate_check(spark, d):
+    """How large a network's layers are at several widths and seeds: sizes that stay as the width grows."""
+    m, cells = virtual.matrix(spark, d), virtual.cells(spark, d)
+    genes = [r[0] for r in virtual.genes(spark, d).select("gene_id").orderBy("gene_id").collect()]
+    rows = lowrank.sparse_rows(m, genes, cells).withColumn("code", F.lit(-1))
+    out = None
+    for width in (2, 4, 8):
+        for seed in (0, 1):
+            k = np.arange(float(width))
+            first = networks.Layer(np.sin(np.array(genes, float)[:, None] + 3 * k + seed) / width, activation="relu")
+            net = networks.Network(genes, encoder=[first], mean=networks.Layer(np.cos(k[:, None] + 2 * np.arange(2.0) + seed)), log_input=False)
+            own = networks.layer_sizes(rows, net).select(F.lit(width).alias("width"), F.lit(seed).alias("seed"), "layer", "n", F.round("l1", 5).alias("l1"))
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("WITH n AS (SELECT COUNT(*) AS n FROM embeddings), r AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings), w AS (SELECT o_orderkey AS pos, (o_orderkey * 37) % n AS row FROM orders, n) SELECT pos, row, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INTEGER) AS size FROM w JOIN r USING (row)")
+def nested_rows(spark, d):
+    """Rows of a nest of arrays and labels by number, repeats included."""
+    e = table(spark, d, "embeddings")
+    leaf = lambda c: e.select(F.col("vec_id").alias("row"), c.alias("value"))
+    tree = fields.nest({"x": {"vector": leaf(F.col("embedding")), "size": leaf(F.size("embedding"))}, "label": leaf(F.col("label"))})
+    n = tree.count()
+    wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 37 % n).alias("row"))
+    return shards.gather_rows(tree, "row", wanted).select("pos", "row", "label", r6(F.col("x.vector")[0]).alias("first"), F.col("x.size").alias("size"))
+
+
+@query("SELECT round(ln(1 + abs(s_acctbal)), 6) AS value FROM supplier")
+def file_field(spark, d):
+    """One converted column of a file."""
+    folder = shared.new_folder(spark, "field")
+    virtual.genes(spark, d).write.csv(folder, header=True)
+    return sinks.load_field(spark, folder, Field("scale", convert=fields.compose(lambda c: c.cast("double"), F.abs, F.log1p, r6)), "csv", header=True)
+
+
 @query("SELECT l_returnflag AS part, round(SUM(l_extendedprice * l_discount) / COUNT(*), 4) AS loss FROM lineitem GROUP BY 1 UNION ALL SELECT 'all', round(SUM(l_extendedprice * l_discount) / COUNT(*), 4) FROM lineitem")
 def mean_losses(spark, d):
     """Exact means from sums and counts of batches, per part and over all."""

@@ -42,6 +42,31 @@ def batch(df: DataFrame, keys: dict, *keep: str) -> DataFrame:
     return df.select(*keep, *[column(n, f) for n, f in keys.items()])
 
 
+def nest(tree: dict, key: str = "row") -> DataFrame:
+    """key and one column a branch of a nested dict whose leaves are tables (key, value): inner dicts become structs.
+
+    All leaves must have the same number of rows, one a key; a leaf that lacks another's key is an error as well.
+    """
+    leaves: list[DataFrame] = []
+
+    def column(node) -> Column:
+        if isinstance(node, dict):
+            return F.struct(*[column(v).alias(k) for k, v in node.items()])
+        leaves.append(node)
+        return F.col(f"__v{len(leaves) - 1}")
+
+    columns = {k: column(v) for k, v in tree.items()}
+    sizes = [d.agg(F.count(F.lit(1)), F.count_distinct(key)).first() for d in leaves]
+    if len({n for n, _ in sizes}) > 1 or any(n != own for n, own in sizes):
+        raise ValueError(f"leaves have other numbers of rows or repeated keys: {[tuple(s) for s in sizes]}")
+    out = leaves[0].select(key, F.col("value").alias("__v0"))
+    for k, leaf in enumerate(leaves[1:], 1):
+        out = out.join(leaf.select(key, F.col("value").alias(f"__v{k}")), key)
+    if len(leaves) > 1 and out.count() != sizes[0][0]:
+        raise ValueError("leaves have other keys")
+    return out.select(key, *[c.alias(n) for n, c in columns.items()])
+
+
 def collate(parts: list[DataFrame], constant: list[str] = ()) -> DataFrame:
     """Parts under each other; they must have the same columns, and one value in each constant one."""
     if not parts:
