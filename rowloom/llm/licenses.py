@@ -35,19 +35,52 @@ from . import common
 
 #: What notices of each family say, in short.
 TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license version 3", "released under the agpl 3.0 license"],
-    "apache": ["licensed under the apache license version 2.0", "you may obtain a copy of the license at www.apache.org licenses", "spdx license identifier apache 2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd 3 clause license"],
-    "cc-by": ["licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0"],
+    "agpl": [
+        "licensed under the gnu affero general public license version 3", "released under the agpl 3.0 license",
+        "gnu affero general public license as published by the free software foundation", "spdx license identifier agpl 3.0 or later",
+    ],
+    "apache": [
+        "licensed under the apache license version 2.0", "you may obtain a copy of the license at www.apache.org licenses", "spdx license identifier apache 2.0",
+        "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd 3 clause license",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "spdx license identifier bsd 3 clause",
+    ],
+    "cc-by": ["licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "spdx license identifier cc by 4.0"],
     "cc-by-nc": ["licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc 4.0"],
     "cc-by-sa": ["licensed under a creative commons attribution sharealike 4.0 international license", "licensed under cc by sa 4.0"],
-    "cc0": ["dedicated to the public domain under the creative commons zero universal dedication", "released under cc0 1.0"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "redistribute it and or modify it under the terms of the gnu general public license", "released under the gpl 2.0 license"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "released under the lgpl 3.0 license"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under mpl 2.0"],
+    "cc0": ["dedicated to the public domain under the creative commons zero universal dedication", "released under cc0 1.0", "spdx license identifier cc0 1.0"],
+    "gpl": [
+        "this work is licensed under the gnu general public license version 3", "redistribute it and or modify it under the terms of the gnu general public license", "released under the gpl 2.0 license",
+        "this program is free software you can redistribute it and or modify", "gnu general public license as published by the free software foundation", "you should have received a copy of the gnu general public license along with this program",
+        "spdx license identifier gpl 3.0 or later", "spdx license identifier gpl 2.0 only",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license",
+        "provided that the above copyright notice and this permission notice appear in all copies", "spdx license identifier isc",
+    ],
+    "lgpl": [
+        "licensed under the gnu lesser general public license version 2.1", "released under the lgpl 3.0 license",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "spdx license identifier lgpl 2.1 or later",
+    ],
+    "mit": [
+        "released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "spdx license identifier mit",
+    ],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under mpl 2.0", "spdx license identifier mpl 2.0"],
     "proprietary": ["all rights reserved", "copyright all rights reserved no part may be reproduced without prior written permission"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software",
+        "spdx license identifier unlicense",
+    ],
+    "zlib": [
+        "in no event will the authors be held liable for any damages arising from the use of this software", "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "spdx license identifier zlib",
+    ],
 }
 NONE, UNKNOWN = "none", "unknown"
 #: How notices of licences that have no template read; two made-up names and a number go into each.
@@ -75,6 +108,18 @@ def paragraphs(text: bytes | None) -> list[bytes]:
     return [p for p in re.split(rb"[\n\r]+", (text or b"").translate(_BLANK)) if p.strip()]
 
 
+def blocks(text: bytes | None) -> list[tuple[int, int]]:
+    """Runs of lines, as places in `paragraphs`: a line goes on in the next one unless it ends with a full stop or a blank line follows."""
+    out, at, begin = [], 0, 0
+    for line in re.split(rb"\r\n|[\n\r]", (text or b"").translate(_BLANK)):
+        if line.strip():
+            at += 1
+        if at > begin and (not line.strip() or line.rstrip().endswith(b".")):
+            out.append((begin, at))
+            begin = at
+    return out + ([(begin, at)] if at > begin else [])
+
+
 def words(paragraph: bytes) -> list[str]:
     return [w.decode() for w in _WORD.findall(paragraph)]
 
@@ -239,6 +284,25 @@ def classify(model: dict, paragraph: bytes) -> tuple[str, float]:
     return (UNKNOWN, some) if some >= CERTAIN else (NONE, 1 - some)
 
 
+def found(model: dict, ps: list[bytes], joined: list[tuple[int, int]]) -> list[tuple[int, str, float]]:
+    """(paragraph, family or `unknown`, probability) of paragraphs with a notice; one that is wrapped over lines
+    counts where a line has its family alone, else at its first line."""
+    out = {k: g for k, g in ((k, classify(model, p)) for k, p in enumerate(ps)) if g[0] != NONE}
+    for begin, end in joined:
+        inside = [k for k in range(begin, end) if k in out]
+        known = {out[k][0] for k in inside} - {UNKNOWN}
+        unknown = [k for k in inside if out[k][0] == UNKNOWN]
+        if end - begin < 2 or len(known) > 1 or (known and not unknown):
+            continue
+        whole = classify(model, b" ".join(ps[begin:end]))
+        if whole[0] in known or (not known and whole[0] not in (NONE, UNKNOWN)):
+            for k in unknown:
+                del out[k]
+            if not known:
+                out[begin] = whole
+    return [(k, *out[k]) for k in sorted(out)]
+
+
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, n_licences, families (comma-joined), first_paragraph, score: one row per input row."""
     spark = docs.sparkSession
@@ -259,8 +323,7 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
                     rows.append((sum(1 for p in low.replace(b"\r", b"\n").split(b"\n") if p.strip()), 0, "", -1, 0.0))
                     continue
                 ps = paragraphs(t)
-                got = [(k, *classify(m, p)) for k, p in enumerate(ps)]
-                got = [g for g in got if g[1] != NONE]
+                got = found(m, ps, blocks(t))
                 rows.append((len(ps), len(got), ",".join(sorted({g[1] for g in got})), got[0][0] if got else -1, max((g[2] for g in got), default=0.0)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64()]

@@ -63,3 +63,70 @@ def test_held_out_paragraphs(model, spark):
     assert all(v >= 0.6 for v in share.values()) and sum(map(sum, right.values())) >= 0.85 * len(made), (share, sum(map(sum, right.values())) / len(made))
     clean = [licenses.classify(model, p)[0] for p in prose if not any(licenses.cover(licenses.words(p), f) >= 0.3 for f in licenses.TEMPLATES)]
     assert sum(c != "none" for c in clean) <= 0.005 * len(clean)
+
+
+HELD_OUT = [
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License v3"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("gpl", "// SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("apache", "# SPDX-License-Identifier: Apache-2.0"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify"),
+    ("gpl", "along with this program. You should have received a copy of the GNU General Public License; if not, write to the Free Software Foundation"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", "warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", "3. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."),
+    ("bsd", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("apache", "you may not use this file except in compliance with the License."),
+    ("isc", "copyright notice and this permission notice appear in all copies, provided that the above"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"),
+    ("cc-by", "This chapter is licensed under a Creative Commons Attribution 4.0 International License (CC BY 4.0)."),
+    ("cc0", "To the extent possible this data is released under CC0 1.0"),
+    ("mit", "Code samples are licensed under the MIT License unless noted."),
+    ("proprietary", "(c) 2019 Example Corp. All rights reserved."),
+]
+
+WRAPPED = {
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "mit": "Permission is hereby granted, free of charge, to\nany person obtaining a copy\nof this software and associated documentation files, to deal\nin it without restriction",
+    "gpl": "you can redistribute it and/or\nmodify it under the terms of the GNU\nGeneral Public License",
+}
+
+
+def test_real_notices_are_told(model):
+    got = [licenses.found(model, licenses.paragraphs(t.encode()), licenses.blocks(t.encode())) for _, t in HELD_OUT]
+    right = [f in {g[1] for g in found} for (f, _), found in zip(HELD_OUT, got, strict=True)]
+    assert sum(right) >= 0.9 * len(HELD_OUT), [(t, g) for r, t, g in zip(right, HELD_OUT, got, strict=True) if not r]
+
+
+def test_notices_over_line_ends_are_joined(model):
+    for family, t in WRAPPED.items():
+        raw = f"A first line.\n\n{t}\n\nAnd more prose".encode()
+        found = licenses.found(model, licenses.paragraphs(raw), licenses.blocks(raw))
+        assert {g[1] for g in found} == {family}, (family, found)
+    assert licenses.blocks(b"a\nb.\n\nc\r\nd\n \ne") == [(0, 2), (2, 4), (4, 5)] and licenses.blocks(None) == []
+
+
+def test_probabilities_are_calibrated(model, spark):
+    """What is said with a probability is right about as often, on made paragraphs that were not trained on."""
+    import random
+
+    rng = random.Random(123)
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    prose = [licenses.words(p) for t in rows[:80] for p in licenses.paragraphs((t or "").encode())]
+    filler = [w for p in prose[:100] for w in p]
+    names = [*model["families"], licenses.NONE, licenses.UNKNOWN]
+    made = licenses._variants(rng, filler) + [(licenses.UNKNOWN, ws) for ws in licenses._strangers(rng, 300, filler)]
+    said = []
+    for f, ws in made:
+        fs = licenses.features(ws, model["anchors"], model["keys"])
+        p = licenses.probabilities(model, fs)
+        said.append((float(p.max()), names[int(p.argmax())] == f))
+    error = 0.0
+    for lo in range(10):
+        own = [(p, r) for p, r in said if lo / 10 < p <= (lo + 1) / 10]
+        if own:
+            error += len(own) / len(said) * abs(sum(p for p, _ in own) / len(own) - sum(r for _, r in own) / len(own))
+    assert error < 0.06
