@@ -138,3 +138,18 @@ def test_recordings_align_after_a_shift():
     other = chroma.fingerprint(chroma.tones(rng.normal(size=64)))
     assert np.bitwise_count(x ^ other).mean() / 32 > 0.25
     assert len(chroma.fingerprint(np.zeros(100))) == 0
+
+
+def test_the_cube_keeps_each_inclusion_probability():
+    """Over many draws each document is taken as often as its probability says, and both totals stay as near as one landing allows."""
+    size, prob = [3.0, 50.0, 7.0, 7.0, 120.0, 33.0, 1.0, 18.0], [0.3, 0.62, 0.3, 0.9, 0.11, 0.5, 0.77, 0.45]
+    draws, taken = 6_000, np.zeros(8)
+    for seed in range(draws):
+        rng = random.Random(seed)
+        p = mixing.flight(prob, size, rng)
+        assert sum(p) == pytest.approx(sum(prob), abs=1e-6) and sum(a * b for a, b in zip(p, size, strict=True)) == pytest.approx(sum(a * b for a, b in zip(prob, size, strict=True)), abs=1e-6)
+        out = mixing.landing(p, size, rng)
+        assert abs(sum(out) - sum(prob)) < 2.0 and abs(sum(a * b for a, b in zip(out, size, strict=True)) - sum(a * b for a, b in zip(prob, size, strict=True))) <= max(size)
+        taken += out
+    error = np.sqrt(np.array(prob) * (1 - np.array(prob)) / draws)
+    assert (np.abs(taken / draws - prob) < 5 * error).all(), taken / draws
