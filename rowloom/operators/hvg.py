@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 
 def seurat_dispersion(moments: DataFrame, n_bins: int = 20, batch: str | None = None) -> DataFrame:
     """Adds mean (log1p), dispersion (log) and dispersion_norm to rows (gene_id, mean, var): z within equal-width bins of the mean."""
@@ -64,10 +66,21 @@ def kotliar(moments: DataFrame, n_top: int | None = None, threshold: float | Non
     return d.withColumn("highly_variable", flag).drop("a", "b", "spread")
 
 
+def by_batch(m: DataFrame, cells: DataFrame) -> DataFrame:
+    """batch, gene_id, x of the matrix, written once for the passes over it."""
+    folder = new_folder(m.sparkSession, "batched")
+    m.join(cells.select("cell_id", "batch"), "cell_id").select("batch", "gene_id", "x").write.parquet(folder)
+    return m.sparkSession.read.parquet(folder)
+
+
+def _batched(m: DataFrame, cells: DataFrame) -> DataFrame:
+    return m if "batch" in m.columns else m.join(cells.select("cell_id", "batch"), "cell_id")
+
+
 def v3_moments(m: DataFrame, cells: DataFrame) -> DataFrame:
-    """batch, gene_id, n, mean, var: sample variance over the batch's cells."""
+    """batch, gene_id, n, mean, var: sample variance over the batch's cells. m is the matrix or what by_batch made of it."""
     n = cells.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-    s = m.join(cells.select("cell_id", "batch"), "cell_id").groupBy("batch", "gene_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    s = _batched(m, cells).groupBy("batch", "gene_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     s = s.join(F.broadcast(n), "batch")
     return s.select("batch", "gene_id", "n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("var"))
 
@@ -205,7 +218,7 @@ def v3_clip(mo: DataFrame, least_cells: int = 2) -> DataFrame:
 def v3_norm_var(m: DataFrame, cells: DataFrame, clip: DataFrame) -> DataFrame:
     """batch, gene_id, norm_var from clipped sums; zeros add nothing as clips are not negative."""
     c, known = F.least("x", "clip"), ["n", "mean", "reg_std"]
-    x = m.join(cells.select("cell_id", "batch"), "cell_id").join(clip.select("batch", "gene_id", "clip", *known), ["batch", "gene_id"])
+    x = _batched(m, cells).join(clip.select("batch", "gene_id", "clip", *known), ["batch", "gene_id"])
     s = x.groupBy("batch", "gene_id").agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"), *[F.max(k).alias(k) for k in known])
     top = F.col("n") * F.col("mean") * F.col("mean") + F.col("q") - 2 * F.col("mean") * F.col("s")
     return s.select("batch", "gene_id", "n", F.coalesce(top / F.nullif((F.col("n") - 1) * F.col("reg_std") * F.col("reg_std"), F.lit(0.0)), F.lit(0.0)).alias("norm_var"))

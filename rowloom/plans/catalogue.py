@@ -467,6 +467,13 @@ def _clip(spark, d):
     return hvg.v3_clip(hvg.loess_trend(hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d))))
 
 
+def _norm_var(spark, d):
+    """Both passes over one written table of values by batch."""
+    c = virtual.cells(spark, d)
+    x = hvg.by_batch(virtual.matrix(spark, d), c)
+    return hvg.v3_norm_var(x, c, hvg.v3_clip(hvg.loess_trend(hvg.v3_moments(x, c))))
+
+
 @query(_with(_CELLS, _MATRIX, _V1, select="SELECT batch, gene_id, n, round(mean, 6) AS mean, round(var, 6) AS var FROM mo"))
 def hvg_v3_pass1(spark, d):
     return hvg.v3_moments(virtual.matrix(spark, d), virtual.cells(spark, d)).select("batch", "gene_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
@@ -479,11 +486,11 @@ def hvg_v3_clip(spark, d):
 
 @query(_with(_CELLS, _MATRIX, _V1, _V2, _V3, select="SELECT batch, gene_id, round(nv, 6) AS norm_var FROM nv"))
 def hvg_v3_pass2(spark, d):
-    return hvg.v3_norm_var(virtual.matrix(spark, d), virtual.cells(spark, d), _clip(spark, d)).select("batch", "gene_id", r6(F.col("norm_var")).alias("norm_var"))
+    return _norm_var(spark, d).select("batch", "gene_id", r6(F.col("norm_var")).alias("norm_var"))
 
 
 def _ranked(spark, d, flavor):
-    nv = hvg.v3_norm_var(virtual.matrix(spark, d), virtual.cells(spark, d), _clip(spark, d))
+    nv = _norm_var(spark, d)
     return hvg.v3_rank(nv, 20, flavor).select("gene_id", "nbatches", "median_rank", r6(F.col("norm_var")).alias("norm_var"), "highly_variable")
 
 

@@ -219,7 +219,8 @@ def moment_checks(spark, d):
 @query()
 def hvg_loess_files(spark, d):
     """Seurat v3 on LOESS for several numbers of genes: one pass pair, one table each, the flagged genes read back with what is known of them."""
-    m, c = virtual.matrix(spark, d), virtual.cells(spark, d)
+    c = virtual.cells(spark, d)
+    m = hvg.by_batch(virtual.matrix(spark, d), c)
     nv = hvg.v3_norm_var(m, c, hvg.v3_clip(hvg.loess_trend(hvg.v3_moments(m, c)))).persist()
     folder = shared.new_folder(spark, "hvg")
     sinks.write_top_genes({n: hvg.v3_rank(nv, n) for n in (10, 20)}, folder)
