@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +70,26 @@ def nt_xent(pairs: DataFrame, tau: float, column: str = "embedding", batch: str
     s = a.join(b, "batch").where("ia != ib or ca != cb").withColumn("s", sim)  # a batch has a fixed number of vectors
     per = s.groupBy("batch", "ia", "ca").agg(F.log(F.sum(F.exp("s"))).alias("lse"), F.max(F.when(F.col("ia") == F.col("ib"), F.col("s"))).alias("pos"))
     return per.agg(F.avg(F.col("lse") - F.col("pos")).alias("loss"))
+
+
+def nt_xent_batches(views: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """batch, n, loss of views(batch, id, copy, z): the mean of - log softmax of the other view's similarity among all others of the mini-batch.
+
+    z are unit vectors; a mini-batch is one product of its rows, so it must be as small as those that models train on. Ids with one view are left out.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["copy", "id"])
+        f = f[f.groupby("id")["id"].transform("size") == 2]
+        n = len(f) // 2
+        if not n:
+            return pd.DataFrame({"batch": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "loss": pd.Series([], dtype="float64")})
+        z = np.array(f["z"].tolist())
+        s = z @ z.T / temperature
+        np.fill_diagonal(s, -np.inf)
+        top = s.max(1)
+        log = np.log(np.exp(s - top[:, None]).sum(1)) + top
+        own = s[np.arange(2 * n), np.r_[np.arange(n, 2 * n), np.arange(n)]]
+        return pd.DataFrame({"batch": [f["batch"].iat[0]], "n": [2 * n], "loss": [float((log - own).mean())]})
+
+    return views.select("batch", "id", "copy", "z").groupBy("batch").applyInPandas(run, "batch long, n long, loss double")

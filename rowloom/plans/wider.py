@@ -527,6 +527,27 @@ def vae_latent_sampled(spark, d):
     return out.select("cell_id", F.posexplode("sample").alias("k", "v")).select("cell_id", "k", F.round("v", 5).alias("v"))
 
 
+def _view(copy: int, seed: int) -> str:
+    return f"SELECT {copy} AS copy, cell_id, gene_id, CASE WHEN {_UC.format(s=seed)} < 0.9 AND {_U.format(s=seed + 2)} < 0.1 + 0.2 * {_U.format(s=seed + 1)} THEN 0 ELSE x END AS x FROM norm"
+
+
+@query(_with(_CELLS, _MATRIX, _NORM, f"views AS ({_view(0, 41)} UNION ALL {_view(1, 51)})", "h0 AS (SELECT copy, cell_id, k, SUM(x * sin(gene_id + 3.0 * k) / 10) AS v FROM views CROSS JOIN range(5) r(k) GROUP BY 1, 2, 3)", "h1 AS (SELECT copy, cell_id, k, greatest((coalesce(v, 0) - 0.1 * k) / sqrt(1 + 0.1 * k + 1e-5), 0) AS v FROM (SELECT cell_id, copy, k FROM cells CROSS JOIN range(2) c(copy) CROSS JOIN range(5) r(k)) LEFT JOIN h0 USING (copy, cell_id, k))", "z0 AS (SELECT copy, cell_id, j, SUM(v * cos(k + 2.0 * j)) + 0.2 + 0.1 * j AS v FROM h1 CROSS JOIN range(3) r(j) GROUP BY 1, 2, 3)", "z AS (SELECT cell_id // 64 AS batch, copy, cell_id, j, v / greatest(sqrt(SUM(v * v) OVER (PARTITION BY copy, cell_id)), 1e-12) AS v FROM z0)", "s AS (SELECT a.batch, a.copy AS ca, a.cell_id AS ia, b.copy AS cb, b.cell_id AS ib, SUM(a.v * b.v) / 0.5 AS s FROM z a JOIN z b ON a.batch = b.batch AND a.j = b.j AND (a.copy <> b.copy OR a.cell_id <> b.cell_id) GROUP BY ALL)", "l AS (SELECT batch, ia, ca, ln(SUM(exp(s))) - SUM(CASE WHEN ia = ib THEN s ELSE 0 END) AS l FROM s GROUP BY 1, 2, 3)", select="SELECT batch, COUNT(*) AS n, round(AVG(l), 5) AS loss FROM l GROUP BY 1"))
+def contrastive_losses(spark, d):
+    """Two views of each cell with values dropped, through a network with stored batch norms; each mini-batch's loss."""
+    m, cells = _norm(spark, d), virtual.cells(spark, d)
+    genes = [r[0] for r in virtual.genes(spark, d).select("gene_id").orderBy("gene_id").collect()]
+    k, j = np.arange(5.0), np.arange(3.0)
+    first = networks.Layer(np.sin(np.array(genes, float)[:, None] + 3 * k) / 10, norm="batch", stored=(0.1 * k, 1 + 0.1 * k), activation="relu")
+    net = networks.Network(genes, encoder=[first], mean=networks.Layer(np.cos(k[:, None] + 2 * j), bias=0.2 + 0.1 * j), log_input=False)
+    unit = lambda c: F.transform(c, lambda v: v / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, u: acc + u * u)), F.lit(1e-12)))
+    views = None
+    for copy, seed in enumerate((41, 51)):
+        rows = lowrank.sparse_rows(tr.dropout(m, 0.1, 0.3, 0.9, seed), genes, cells).withColumn("code", F.lit(-1))
+        own = networks.encode(rows, net).select(F.floor(F.col("cell_id") / 64).alias("batch"), F.col("cell_id").alias("id"), F.lit(copy).alias("copy"), unit(F.col("mean")).alias("z"))
+        views = own if views is None else views.unionByName(own)
+    return evaluate.nt_xent_batches(views, 0.5).select("batch", "n", F.round("loss", 5).alias("loss"))
+
+
 _WIDTHS = "wd AS (SELECT * FROM (VALUES (2), (4), (8)) w(width) CROSS JOIN (VALUES (0), (1)) s(seed)), hh AS (SELECT width, seed, cell_id, k, SUM(x * sin(gene_id + 3.0 * k + seed)) / width AS v FROM matrix CROSS JOIN wd CROSS JOIN range(8) r(k) WHERE k < width GROUP BY width, seed, cell_id, k), full_h AS (SELECT width, seed, c.cell_id, k, coalesce(v, 0) AS v FROM cells c CROSS JOIN wd CROSS JOIN range(8) r(k) LEFT JOIN hh USING (width, seed, cell_id, k) WHERE k < width), zz AS (SELECT width, seed, cell_id, j, SUM(greatest(v, 0) * cos(k + 2.0 * j + seed)) AS v FROM full_h CROSS JOIN range(2) r(j) GROUP BY width, seed, cell_id, j)"
 
 
