@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder
@@ -147,3 +147,26 @@ def distance_slice(dist: DataFrame, names: list[str]) -> DataFrame:
         raise ValueError(f"terms without distances: {missing}")
     out = dist.join(F.broadcast(side.select("i", F.col("name").alias("a"))), "a").join(F.broadcast(side.select(F.col("i").alias("j"), F.col("name").alias("b"))), "b")
     return out.select("i", "j", "dist")
+
+
+def nonleaf_first(clo: DataFrame) -> DataFrame:
+    """term, leaf, place: terms with others below them in order of name, then the leaves. Terms are a vocabulary, so one window numbers them."""
+    below = clo.groupBy(F.col("ancestor").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    leaf = F.col("n") == 1
+    return below.select("term", leaf.alias("leaf"), (F.row_number().over(Window.orderBy(leaf, "term")) - 1).alias("place"))
+
+
+def write_distances(dist: DataFrame, folder: str) -> None:
+    """A row a term with its distances to all terms in order of name; -1 where there is no path."""
+    names = dist.select(F.col("a").alias("b")).distinct()
+    every = names.select(F.col("b").alias("a")).crossJoin(F.broadcast(names))  # terms x terms, as the matrix is
+    full = every.join(dist, ["a", "b"], "left").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", F.coalesce("dist", F.lit(-1)).alias("d")))).alias("row"))
+    full.select("a", F.transform("row", lambda r: r["d"]).alias("dist")).write.parquet(folder)
+
+
+def read_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """a, b, dist of pairs with a path."""
+    rows = spark.read.parquet(folder)
+    names = rows.agg(F.sort_array(F.collect_list("a")).alias("names"))  # the terms
+    pairs = rows.crossJoin(F.broadcast(names)).select("a", F.explode(F.arrays_zip(F.col("names").alias("b"), F.col("dist").alias("d"))).alias("p"))
+    return pairs.select("a", F.col("p.b").alias("b"), F.col("p.d").alias("dist")).where("dist >= 0")

@@ -738,3 +738,17 @@ def linear_with_bias(spark, d):
     w = spark.range(64).select(F.col("id").cast("int").alias("i")).crossJoin(three).withColumn("w", F.sin(F.col("i") + 2.0 * F.col("k")))
     shift = cent.select("label").distinct().crossJoin(three).withColumn("s", F.cos(F.col("label") + F.col("k").cast("double")))
     return fits.linear(cent.select("label", F.col("dim").alias("i"), F.col("c").alias("v")), w, shift=shift, row="label").select("label", "k", F.round("v", 5).alias("v"))
+
+
+@query(_with(_GRAPH, "walk AS (SELECT term AS ancestor, term AS descendant FROM terms UNION SELECT ancestor, child FROM walk JOIN edges ON descendant = parent)", "k AS (SELECT ancestor AS term, COUNT(*) AS below FROM walk GROUP BY 1)", select="SELECT term, below = 1 AS leaf, CAST(row_number() OVER (ORDER BY below = 1, term) - 1 AS INTEGER) AS place FROM k", recursive=True))
+def nonleaf_order(spark, d):
+    """Terms with others below them first, then the leaves: where each stands when logits are propagated."""
+    return ontology.nonleaf_first(ontology.closure(_graph(spark, d)[1]))
+
+
+@query(_with(_EDGES, _CLO, select="SELECT x.descendant AS a, y.descendant AS b, CAST(MIN(x.dist + y.dist) AS INTEGER) AS dist FROM clo x JOIN clo y ON x.ancestor = y.ancestor GROUP BY 1, 2 UNION ALL SELECT 'unknown', 'unknown', 0", recursive=True))
+def distance_matrix_file(spark, d):
+    """All distances as one array a term in a Parquet file, and back."""
+    folder = f"{shared.new_folder(spark, 'distances')}/matrix"
+    ontology.write_distances(ontology.distances(virtual.edges(spark, d), "unknown"), folder)
+    return ontology.read_distances(spark, folder)
