@@ -97,8 +97,9 @@ def _within(m: DataFrame, state: DataFrame) -> DataFrame:
 @query(_with(_MATRIX, _NORM, select="SELECT gene_id, COUNT(*) AS n, CAST(q AS DOUBLE) AS q, TRUE AS within FROM norm CROSS JOIN (VALUES (0.25), (0.5), (0.9)) v(q) WHERE x <> 0 GROUP BY gene_id, q"))
 def quantile_states_merged(spark, d):
     """Sketches of four shards, each saved apart and loaded again, give the quantiles of all cells."""
-    m = _norm(spark, d)
     folder = shared.new_folder(spark, "sketches")
+    _norm(spark, d).write.parquet(f"{folder}/values")
+    m = spark.read.parquet(f"{folder}/values")
     for k in range(4):
         sinks.save_state(quantiles.sketches(m.where(F.pmod("cell_id", F.lit(4)) == k)), f"{folder}/shard={k}", size=quantiles.SIZE)
     parts = [sinks.load_state(spark, f"{folder}/shard={k}")[0] for k in range(4)]
