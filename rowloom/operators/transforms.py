@@ -55,27 +55,30 @@ def pflogpf(m: DataFrame, n_genes: int, target: float = 1.0, eps: float = 1e-6)
     return center_per_cell(log1p(normalize_total(m, target, eps)), n_genes)
 
 
-def filter_genes(m: DataFrame, genes: DataFrame, wanted: list[str], ordering: bool = True, allow_missing: bool = False, cells: DataFrame | None = None) -> DataFrame:
-    """Values of the wanted genes with `pos`: their place in the list (ordering) or among the input's genes."""
+def filter_vocabulary(genes: DataFrame, wanted: list[str], ordering: bool = True, allow_missing: bool = False) -> tuple[DataFrame, list[str]]:
+    """(gene_id, var_name, pos) of the genes that a filter lets through, and the wanted names that there are none of; no value is read."""
     if not wanted:
         raise ValueError("the list of genes is empty")
     if allow_missing and not ordering:
         raise ValueError("missing genes can only be filled in list order")
-    spark = m.sparkSession
-    names = spark.createDataFrame(list(enumerate(wanted)), "list_pos int, var_name string")
+    names = genes.sparkSession.createDataFrame(list(enumerate(wanted)), "list_pos int, var_name string")
     found = names.join(genes.select("gene_id", "var_name"), "var_name")
     missing = sorted(r[0] for r in names.join(genes, "var_name", "left_anti").select("var_name").collect())
     if len(missing) == len(set(wanted)):
         raise ValueError("none of the genes is known")
     if missing and ordering and not allow_missing:
         raise AssertionError(f"unknown genes: {missing}")
-    if ordering:
-        placed = found.withColumn("pos", F.col("list_pos"))
-    else:
-        placed = found.withColumn("pos", F.row_number().over(Window.orderBy("gene_id")) - 1)
-    out = m.join(F.broadcast(placed.select("gene_id", "pos", "var_name")), "gene_id").select("cell_id", "pos", "var_name", "x")
+    pos = F.col("list_pos") if ordering else F.row_number().over(Window.orderBy("gene_id")) - 1
+    return found.select("gene_id", "var_name", pos.alias("pos")), missing
+
+
+def filter_genes(m: DataFrame, genes: DataFrame, wanted: list[str], ordering: bool = True, allow_missing: bool = False, cells: DataFrame | None = None) -> DataFrame:
+    """Values of the wanted genes with `pos`: their place in the list (ordering) or among the input's genes."""
+    placed, missing = filter_vocabulary(genes, wanted, ordering, allow_missing)
+    out = m.join(F.broadcast(placed), "gene_id").select("cell_id", "pos", "var_name", "x")
     if not (missing and allow_missing):
         return out
+    names = m.sparkSession.createDataFrame(list(enumerate(wanted)), "list_pos int, var_name string")
     base = cells if cells is not None else m
     zeros = base.select("cell_id").distinct().crossJoin(F.broadcast(names.where(F.col("var_name").isin(missing)))).select("cell_id", F.col("list_pos").alias("pos"), "var_name", F.lit(0.0).alias("x"))
     return out.unionByName(zeros)

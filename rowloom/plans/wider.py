@@ -13,6 +13,7 @@ from ..operators.ranges import range_join
 from ..sources import fields, ontologies, paths, shard_source, shards, shared, sinks, virtual
 from ..sources.fields import Field
 from ..sources.virtual import table
+from ..streaming import running
 from .catalogue import _CELLS, _CENT, _CLO, _CTX, _EDGES, _GENES, _MATRIX, _MOM, _NORM, _U, _UC, _closure, _ctx, _moments, _norm, _shuffled, _soft, _SOFT, _LOGITS, _with, query
 
 # paths and shards ---------------------------------------------------------------------------------
@@ -164,11 +165,14 @@ def pipeline_lint(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.explode(fields.lint(own)).alias("message"))
 
 
-@query(_with(_GENES, select="SELECT gene_id, var_name FROM genes WHERE gene_id % 5 = 0 AND gene_id % 2 = 0"))
+@query(_with(_GENES, "a AS (SELECT gene_id, var_name, row_number() OVER (ORDER BY gene_id) - 1 AS pos FROM genes WHERE gene_id % 5 = 0)", select="SELECT gene_id, var_name, CAST(row_number() OVER (ORDER BY var_name DESC) - 1 AS INTEGER) AS pos FROM a WHERE gene_id % 2 = 0"))
 def pipeline_vocabulary(spark, d):
-    """The genes that two filters in a row let through, from the plan alone: no value is read."""
-    first, second = (lambda g, k=k: g.where(F.col("gene_id") % k == 0) for k in (5, 2))
-    return fields.compose(first, second)(virtual.genes(spark, d)).select("gene_id", "var_name")
+    """The genes that two filters in a row let through, the second in the order of its list: no value is read."""
+    g = virtual.genes(spark, d)
+    fifth = [r["var_name"] for r in g.where("gene_id % 5 = 0").collect()]
+    first, _ = tr.filter_vocabulary(g, fifth, ordering=False)
+    even = [r["var_name"] for r in g.where("gene_id % 2 = 0").orderBy(F.desc("var_name")).collect() if r["var_name"] in set(fifth)]
+    return tr.filter_vocabulary(first, even)[0]
 
 
 @query(_with(_MATRIX, select="SELECT cell_id, gene_id, round(ln(1 + x * 10000.0 / (SUM(x) OVER (PARTITION BY cell_id) + 1e-6)) * 2, 6) AS x FROM matrix"))
@@ -752,3 +756,10 @@ def distance_matrix_file(spark, d):
     folder = f"{shared.new_folder(spark, 'distances')}/matrix"
     ontology.write_distances(ontology.distances(virtual.edges(spark, d), "unknown"), folder)
     return ontology.read_distances(spark, folder)
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, COUNT(*) AS n, round(SUM(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_event_windows(spark, d):
+    """Counts and sums of event types by hour of event time, as a stream over the table's files."""
+    out = running.stream_windows(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

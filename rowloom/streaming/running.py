@@ -39,6 +39,20 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return events.withColumn("ts", ts).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def stream_windows(spark: SparkSession, folder: str, schema, width: str = "1 hour", late: str = "10 minutes", per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
+    """window, event_type, n, total after all files were read: each trigger's windows replace those before, so nothing that comes late is lost."""
+    base = checkpoint or new_folder(spark, "windows")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/windows/trigger={number}")
+
+    writer = windowed_counts(stream, width, late).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/windows")
+    return rows.join(rows.agg(F.max("trigger").alias("trigger")), "trigger", "left_semi").drop("trigger")
+
+
 def running_quantiles(spark: SparkSession, folder: str, schema, key: str, value: str, per_trigger: int = 1, checkpoint: str | None = None, size: int = quantiles.SIZE) -> DataFrame:
     """key, sketch after all files were read. Each trigger adds its own sketches as a part; a trigger that is run
     again replaces its part, so a restart from the checkpoint counts no file twice. Parts of earlier triggers are merged every PARTS triggers."""

@@ -78,3 +78,13 @@ def test_two_passes_stopped_in_the_second_go_on(spark, files, tmp_path):
     want = rows.join(rows.groupBy("split").agg(F.avg("x").alias("mean")), "split").where("x > mean").groupBy("split").count()
     assert got == {r["split"]: r["count"] for r in want.collect()}
     assert {r["split"]: r["n"] for r in go().collect()} == got and calls.count("first") == 6
+
+
+def test_windows_count_late_files_and_restarts(spark, tmp_path):
+    rows = [("2024-01-01 10:05:00", "a", 1.0), ("2024-01-01 10:59:59", "a", 2.0), ("2024-01-01 11:00:00", "b", 4.0), ("2024-01-01 10:30:00", "a", 8.0), (None, "a", 16.0)]
+    go = lambda: running.stream_windows(spark, str(tmp_path / "in" / "*"), "ts timestamp, event_type string, value double", checkpoint=str(tmp_path / "ckpt"))
+    for k, part in enumerate((rows[:3], rows[3:])):
+        df = spark.createDataFrame(part, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+        df.select("ts", "event_type", "value").coalesce(1).write.parquet(str(tmp_path / "in" / f"f={k}"))
+        got = {(r["h"], r["event_type"]): (r["n"], r["total"]) for r in go().select(F.date_format("window.start", "HH").alias("h"), "event_type", "n", "total").collect()}
+    assert got == {("10", "a"): (3, 11.0), ("11", "b"): (1, 4.0)}
