@@ -38,48 +38,107 @@ TEMPLATES = {
     "agpl": [
         "licensed under the gnu affero general public license version 3", "released under the agpl 3.0 license",
         "gnu affero general public license as published by the free software foundation", "spdx license identifier agpl 3.0 or later",
+        "gnu affero general public license",
+        "gnu affero gpl",
+        "gnu agpl",
     ],
     "apache": [
         "licensed under the apache license version 2.0", "you may obtain a copy of the license at www.apache.org licenses", "spdx license identifier apache 2.0",
         "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "apache license version 2.0",
+        "apache 2.0 license",
+        "apache license",
+        "see the license for the specific language governing permissions and limitations under the license",
+        "licensed to the apache software foundation asf under one or more contributor license agreements",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd 3 clause license",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "spdx license identifier bsd 3 clause",
+        "bsd license",
+        "bsd style license",
+        "bsd 2 clause",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+    ],
+    "cc-by": [
+        "licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "spdx license identifier cc by 4.0",
+        "creative commons attribution license",
+        "cc by 3.0",
+    ],
+    "cc-by-nc": [
+        "licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc 4.0",
+        "creative commons attribution noncommercial license",
+        "cc by nc",
+    ],
+    "cc-by-sa": [
+        "licensed under a creative commons attribution sharealike 4.0 international license", "licensed under cc by sa 4.0",
+        "creative commons attribution sharealike license",
+        "cc by sa",
+    ],
+    "cc0": [
+        "dedicated to the public domain under the creative commons zero universal dedication", "released under cc0 1.0", "spdx license identifier cc0 1.0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights",
+        "creative commons zero",
+        "cc0 1.0 universal",
+        "cc0 public domain dedication",
     ],
-    "cc-by": ["licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "spdx license identifier cc by 4.0"],
-    "cc-by-nc": ["licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc 4.0"],
-    "cc-by-sa": ["licensed under a creative commons attribution sharealike 4.0 international license", "licensed under cc by sa 4.0"],
-    "cc0": ["dedicated to the public domain under the creative commons zero universal dedication", "released under cc0 1.0", "spdx license identifier cc0 1.0"],
     "gpl": [
         "this work is licensed under the gnu general public license version 3", "redistribute it and or modify it under the terms of the gnu general public license", "released under the gpl 2.0 license",
         "this program is free software you can redistribute it and or modify", "gnu general public license as published by the free software foundation", "you should have received a copy of the gnu general public license along with this program",
         "spdx license identifier gpl 3.0 or later", "spdx license identifier gpl 2.0 only",
+        "gnu general public license",
+        "gnu gpl",
+        "licensed under gplv2",
+        "licensed under gplv3",
+        "gpl version 2",
+        "gpl version 3",
+        "but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "see the gnu general public license for more details",
     ],
     "isc": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license",
         "provided that the above copyright notice and this permission notice appear in all copies", "spdx license identifier isc",
+        "isc license",
+        "the software is provided as is and the author disclaims all warranties with regard to this software",
     ],
     "lgpl": [
         "licensed under the gnu lesser general public license version 2.1", "released under the lgpl 3.0 license",
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "spdx license identifier lgpl 2.1 or later",
+        "gnu lesser general public license",
+        "gnu lgpl",
+        "gnu library general public license",
+        "lgpl version 2.1",
     ],
     "mit": [
         "released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "spdx license identifier mit",
+        "mit license",
+        "mit licensed",
+        "the above notice shall be included in all copies or substantial portions of this software",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+    ],
+    "mpl": [
+        "this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under mpl 2.0", "spdx license identifier mpl 2.0",
+        "mozilla public license version 2.0",
+        "mozilla public license",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
     ],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under mpl 2.0", "spdx license identifier mpl 2.0"],
     "proprietary": ["all rights reserved", "copyright all rights reserved no part may be reproduced without prior written permission"],
     "unlicense": [
         "this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software",
         "spdx license identifier unlicense",
+        "for more information please refer to unlicense.org",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
     ],
     "zlib": [
         "in no event will the authors be held liable for any damages arising from the use of this software", "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
         "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "spdx license identifier zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "this notice may not be removed or altered from any source distribution",
     ],
 }
 NONE, UNKNOWN = "none", "unknown"
@@ -150,7 +209,7 @@ def _variants(rng: random.Random, filler: list[str]) -> list[tuple[str, list[str
         for t in templates:
             out.append((family, t.split()))
             for _ in range(VARIANTS):
-                ws = [w for w in t.split() if rng.random() > 0.06]
+                ws = [w for w in t.split() if rng.random() > (0.06 if t.count(" ") > 3 else 0)]  # short ones say nothing without a word
                 around = [rng.choice(filler) for _ in range(rng.choice((0, 0, 3, 10)))]
                 cut = rng.randint(0, len(around))
                 out.append((family, around[:cut] + ws + around[cut:]))

@@ -65,7 +65,8 @@ def test_held_out_paragraphs(model, spark):
     assert sum(c != "none" for c in clean) <= 0.005 * len(clean)
 
 
-HELD_OUT = [
+#: Real lines around sentences that the templates have.
+NOTICES = [
     ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License v3"),
     ("mit", "SPDX-License-Identifier: MIT"),
@@ -96,9 +97,9 @@ WRAPPED = {
 
 
 def test_real_notices_are_told(model):
-    got = [licenses.found(model, licenses.paragraphs(t.encode()), licenses.blocks(t.encode())) for _, t in HELD_OUT]
-    right = [f in {g[1] for g in found} for (f, _), found in zip(HELD_OUT, got, strict=True)]
-    assert sum(right) >= 0.9 * len(HELD_OUT), [(t, g) for r, t, g in zip(right, HELD_OUT, got, strict=True) if not r]
+    got = [licenses.found(model, licenses.paragraphs(t.encode()), licenses.blocks(t.encode())) for _, t in NOTICES]
+    right = [f in {g[1] for g in found} for (f, _), found in zip(NOTICES, got, strict=True)]
+    assert sum(right) >= 0.9 * len(NOTICES), [(t, g) for r, t, g in zip(right, NOTICES, got, strict=True) if not r]
 
 
 def test_notices_over_line_ends_are_joined(model):
