@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import average_rank
 
 
+#: Weights that go out to values which then stay with their cells (some 100 MB); more meet them by a shuffle.
+MOST_WEIGHTS = 2_000_000
+
+
 def matmul(m: DataFrame, weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
     """cell_id, k, logit = sum of x w over weights(gene_id, k, w), plus bias(k, b)."""
+    weights = F.broadcast(weights) if weights.count() <= MOST_WEIGHTS else weights
     out = m.join(weights, "gene_id").groupBy("cell_id", "k").agg(F.sum(F.col("x") * F.col("w")).alias("logit"))
     return out if bias is None else out.join(F.broadcast(bias), "k").withColumn("logit", F.col("logit") + F.col("b")).drop("b")
 
