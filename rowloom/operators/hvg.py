@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -85,19 +87,100 @@ def v3_moments(m: DataFrame, cells: DataFrame) -> DataFrame:
     return s.select("batch", "gene_id", "n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("var"))
 
 
+def _local_quadratic(at: float, x: np.ndarray, y: np.ndarray, h: float) -> float:
+    d = np.abs(x - at)
+    w = np.sqrt(np.clip(1 - (d / h) ** 3, 0, None) ** 3)
+    near = w > 0
+    u, w = x[near] - at, w[near]
+    a = np.stack([np.ones(len(u)), u, u**2], axis=1)
+    return np.linalg.lstsq(a * w[:, None], y[near] * w, rcond=None)[0][0]
+
+
+def _reach(at: np.ndarray, xs: np.ndarray, near: int) -> np.ndarray:
+    """Distance of the `near`-th nearest of sorted xs: the run of so many whose farther end is nearest."""
+    runs = len(xs) - near + 1
+    s = np.searchsorted(xs[:runs] + xs[near - 1 :], 2 * at)
+    tried = [np.clip(s + k, 0, runs - 1) for k in (-1, 0, 1)]
+    return np.min([np.maximum(at - xs[t], xs[t + near - 1] - at) for t in tried], axis=0)
+
+
+#: Targets whose sums are added up at a time.
+LOESS_CHUNK = 16_384
+#: Share of a well-placed determinant below which a fit is solved from its points.
+LEAST_DETERMINANT = 1e-6
+#: Mean of w t^4 below which the powers' sums cancel too far.
+LEAST_SPREAD = 1e-4
+
+
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
-    """Local quadratics with tricube weights over the nearest span of points."""
+    """Local quadratics with tricube weights over the nearest span of points, a fit at each.
+
+    On either side of a point tricube weights are a polynomial of the distance, so a fit needs sums of powers only. Runs of 1, 2, 4, ... sorted
+    points have theirs around their own middle; the neighbourhood is made of two runs of each length at most on a side, moved to the point. So
+    work grows with n log n. Fits whose points hardly tell a quadratic are solved from the points.
+    """
     n, k = len(x), max(4, int(np.ceil(span * len(x))))
-    out = np.empty(n)
-    for i in range(n):
-        d = np.abs(x - x[i])
-        h = max(np.partition(d, min(k, n) - 1)[min(k, n) - 1], 1e-12)
-        w = np.sqrt(np.clip(1 - (d / h) ** 3, 0, None) ** 3)
-        near = w > 0
-        u, w = x[near] - x[i], w[near]
-        a = np.stack([np.ones(len(u)), u, u**2], axis=1)
-        out[i] = np.linalg.lstsq(a * w[:, None], y[near] * w, rcond=None)[0][0]
-    return out
+    order = np.argsort(x, kind="stable")
+    xs, level = x[order], float(np.mean(y))
+    ys = y[order] - level
+    at, back = np.unique(x, return_inverse=True)
+    h = np.maximum(_reach(at, xs, min(k, n)), 1e-12)
+    middle = np.searchsorted(xs, at, side="right")
+    sides = [(1.0, middle, np.searchsorted(xs, at + h, side="right")), (-1.0, np.searchsorted(xs, at - h), middle.copy())]
+    count = sides[0][2] - sides[1][1]
+    sums = np.zeros((8, len(at)))  # w, w t .. w t^4; w y, w y t, w y t^2
+
+    def add(sign: float, hit: np.ndarray, runs: np.ndarray) -> None:
+        for c in range(0, len(hit), LOESS_CHUNK):
+            to, b = hit[c : c + LOESS_CHUNK], runs[c : c + LOESS_CHUNK]
+            a, r = sign * (centre[b] - at[to]) / h[to], sign * radius[b] / h[to]
+            up, out = [np.ones(len(to))], np.ones(len(to))
+            for _ in range(13):
+                up.append(up[-1] * a)
+            part = [[out * m[0, b]] for m in (powers, weighted)]
+            scaled = [[out * m[0, b]] for m in (powers, weighted)]
+            for p in range(1, 14):
+                out = out * r
+                for moved, own, m in zip(part, scaled, (powers, weighted), strict=True):
+                    if p < len(m):
+                        own.append(out * m[p, b])
+                        moved.append(sum(math.comb(p, j) * up[p - j] * own[j] for j in range(p + 1)))
+            cube = lambda m, q: m[q] - 3 * m[q + 3] + 3 * m[q + 6] - m[q + 9]
+            for q in range(5):
+                sums[q, to] += sign**q * cube(part[0], q)
+            for q in range(3):
+                sums[5 + q, to] += sign**q * cube(part[1], q)
+
+    size = 1
+    while size <= n:
+        whole = n // size
+        blocks = xs[: whole * size].reshape(whole, size)
+        centre, radius = (blocks[:, 0] + blocks[:, -1]) / 2, (blocks[:, -1] - blocks[:, 0]) / 2
+        z = (blocks - centre[:, None]) / np.where(radius > 0, radius, 1.0)[:, None]
+        own, up = ys[: whole * size].reshape(whole, size), np.ones_like(z)
+        powers, weighted = np.empty((14, whole)), np.empty((12, whole))
+        for p in range(14):
+            powers[p] = up.sum(1)
+            if p < 12:
+                weighted[p] = (up * own).sum(1)
+            up = up * z
+        for s, (sign, lo, hi) in enumerate(sides):
+            hit = np.flatnonzero((lo < hi) & (lo % 2 == 1))
+            add(sign, hit, lo[hit])
+            lo[hit] += 1
+            hit = np.flatnonzero((lo < hi) & (hi % 2 == 1))
+            hi[hit] -= 1
+            add(sign, hit, hi[hit])
+            sides[s] = (sign, lo // 2, hi // 2)
+        size *= 2
+    s0, s1, s2, s3, s4, t0, t1, t2 = sums
+    c0, c1, c2 = s2 * s4 - s3 * s3, s2 * s3 - s1 * s4, s1 * s3 - s2 * s2
+    det = s0 * c0 + s1 * c1 + s2 * c2
+    sure = (det > LEAST_DETERMINANT * s0 * s2 * s4) & (s4 > LEAST_SPREAD * count)
+    out = (t0 * c0 + t1 * c1 + t2 * c2) / np.where(sure, det, 1.0)
+    for i in np.flatnonzero(~sure):
+        out[i] = _local_quadratic(at[i], xs, ys, h[i])
+    return out[back] + level
 
 
 def _cuts(xs: np.ndarray, least: int) -> list[float]:
