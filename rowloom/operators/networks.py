@@ -22,7 +22,9 @@ from .transforms import uniform
 #: Bytes of weights that go out with the tasks.
 MOST_BYTES = 1 << 30
 #: Numbers of a dense chunk (rows x genes).
-CHUNK = 1 << 20
+CHUNK = 1 << 17
+#: Numbers (rows x genes) that one task makes, about.
+TASK_NUMBERS = 1 << 31
 EPS = 1e-10
 
 
@@ -49,12 +51,12 @@ class Layer:
         return sum(a.nbytes for a in (self.weight, self.bias, self.shift) if a is not None)
 
     def after(self, h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """What follows the product."""
+        """What follows the product, in its place."""
         if self.bias is not None:
-            h = h + self.bias
+            h += self.bias
         if self.shift is not None:
             known = (codes >= 0) & (codes < len(self.shift))
-            h = h + np.where(known[:, None], self.shift[np.where(known, codes, 0)], 0.0)  # an unknown batch has no shift
+            h += np.where(known[:, None], self.shift[np.where(known, codes, 0)], 0.0)  # an unknown batch has no shift
         if self.norm == "layer":
             h = (h - h.mean(1, keepdims=True)) / np.sqrt(h.var(1, keepdims=True) + self.eps)
         elif self.norm == "batch":
@@ -64,8 +66,9 @@ class Layer:
         elif self.activation == "softplus":
             h = np.logaddexp(h, 0)
         elif self.activation == "softmax":
-            h = np.exp(h - h.max(1, keepdims=True))
-            h = h / h.sum(1, keepdims=True)
+            h -= h.max(1, keepdims=True)
+            np.exp(h, out=h)
+            h /= h.sum(1, keepdims=True)
         return h
 
     def __call__(self, h: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -130,6 +133,12 @@ def noise(size: int, seed: int = 0) -> Column:
     return F.array(*[one(k) for k in range(size)])
 
 
+def _dealt(rows: DataFrame, width: int) -> DataFrame:
+    """rows in as many tasks as their products need: sparse rows are few bytes, by which Spark would give them to few tasks."""
+    parts = -(-rows.count() * width // TASK_NUMBERS)
+    return rows.repartition(max(parts, rows.sparkSession.sparkContext.defaultParallelism), "cell_id") if parts > 1 else rows
+
+
 def _each(rows: DataFrame, schema: str, width: int, run: Callable[..., Iterator[list[pa.Array]]], extra: bool = False) -> DataFrame:
     """run(cell ids, codes, row, places, values[, noise]) for chunks of rows with about CHUNK / width rows."""
     names = ["cell_id", "code", "at", "x", *(["noise"] if extra else [])]
@@ -146,7 +155,7 @@ def _each(rows: DataFrame, schema: str, width: int, run: Callable[..., Iterator[
                 for cols in run(b.column(0), np.asarray(b.column(1)), row, b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy(), *more):
                     yield pa.RecordBatch.from_arrays(cols, out_names)
 
-    return rows.select(*names).mapInArrow(part, schema)
+    return _dealt(rows.select(*names), width).mapInArrow(part, schema)
 
 
 def _cell(rows: DataFrame) -> str:
@@ -203,7 +212,7 @@ def expected_by_gene(rows: DataFrame, net: Network, code: int | None = None, lib
                 n += len(sizes)
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([n] * size, pa.int64()), pa.array(s)], ["at", "n", "s"])
 
-    return rows.select("code", "at", "x").mapInArrow(part, "at int, n long, s double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return _dealt(rows, size).select("code", "at", "x").mapInArrow(part, "at int, n long, s double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -228,14 +237,18 @@ def losses(rows: DataFrame, net: Network, likelihood: str = "nb", samples: int |
         mean, var = net.latent(len(ids), row, places, values, codes)
         z = mean if draws is None else mean + np.sqrt(var) * draws
         total = np.bincount(row, values, len(ids))
-        mu = total[:, None] * net.shares(z, codes) + EPS
+        mu = net.shares(z, codes)
+        mu *= total[:, None]
+        mu += EPS
         own = mu[row, places]
         if likelihood == "poisson":
             log = -mu.sum(1) + np.bincount(row, values * np.log(own) - _log_gamma(values + 1), len(ids))
         else:
             theta = np.broadcast_to(net.dispersion(codes) + EPS, mu.shape)
-            zero = (theta * (np.log(theta) - np.log(theta + mu))).sum(1)
             t = theta[row, places]
+            mu /= theta
+            np.log1p(mu, out=mu)
+            zero = -np.einsum("ij,ij->i", theta, mu)
             log = zero + np.bincount(row, _log_gamma(values + t) - _log_gamma(t) - _log_gamma(values + 1) + values * (np.log(own) - np.log(own + t)), len(ids))
         kl = 0.5 * (var + mean * mean - 1 - np.log(var)).sum(1)
         yield [ids, pa.array(-log), pa.array(kl)]
