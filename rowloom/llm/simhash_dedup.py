@@ -61,8 +61,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return cols.mapInArrow(hashed, "doc_id long, fp long")
 
 
-def links(nodes: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
-    """nodes(fp, rep) with distinct fp and rep -> a, b: edges between reps, a < b, that have the components of all links within the radius."""
+def links(nodes: DataFrame, total: int, radius: int = RADIUS, within: tuple[str, ...] = ()) -> DataFrame:
+    """nodes(fp, rep) with distinct fp and rep -> a, b: edges between reps, a < b, that have the components of all links within the radius.
+
+    Nodes link only where the columns `within` agree; fp need only be distinct there, and total is the number of nodes there.
+    A shard's edges are stars: of what hangs together in it, one node is the a of all others.
+    """
     depth = min(vptree.MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total / SHARD_POINTS)))))
     most = vptree.SAMPLE_PER_LEAF << depth
     sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(most).toArrow() if depth else None  # 32 MB at most
@@ -71,9 +75,8 @@ def links(nodes: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, rep = b.column("fp").to_numpy(), b.column("rep").to_numpy()
-            shard, idx = vptree.route(shared.value, fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[idx]), pa.array(rep[idx])], ["shard", "fp", "rep"])
+            shard, idx = vptree.route(shared.value, b.column("fp").to_numpy().view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *[b.column(c).take(pa.array(idx)) for c in names]], ["shard", *names])
 
     def join(table: pa.Table) -> pa.Table:
         order = np.argsort(table["rep"].to_numpy(), kind="stable")
@@ -82,8 +85,9 @@ def links(nodes: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
         b = np.nonzero(root != np.arange(len(root)))[0]
         return pa.table({"a": rep[root[b]], "b": rep[b]})
 
-    dealt = nodes.select("fp", "rep").mapInArrow(deal, "shard long, fp long, rep long")
-    return dealt.groupBy("shard").applyInArrow(join, "a long, b long")
+    names = [*within, "fp", "rep"]
+    dealt = nodes.select(*[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(deal, ", ".join(f"{c} long" for c in ["shard", *names]))
+    return dealt.groupBy("shard", *within).applyInArrow(join, "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, **cols: str) -> DataFrame:

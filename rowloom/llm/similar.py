@@ -1,15 +1,19 @@
-"""Near copies by similarity of word shingles: wide SimHash fingerprints propose, the shingles themselves decide.
+"""Near copies by similarity of word shingles: vantage-point trees over short fingerprints propose, wide SimHash fingerprints sift, the shingles decide.
 
-At a shingle similarity of 0.8 two fingerprints differ in 15% of their bits on average, so a short
-one at a small radius misses such pairs. Here a fingerprint has eight words of 64 bits, made of the
+A text has BANDS short fingerprints, each of BITS bits of the least hash under ROWS reorderings of its distinct shingles'
+hashes (b-bit minwise hashing). op5's vantage-point tree search (`simhash_dedup.links`) finds, band by band, all that differ in
+TREE_RADIUS bits at most; only texts that it ties in one shard meet in a bucket. At a similarity of 0.8 a least hash
+is shared with probability 0.8: a band's fingerprints are equal for 41% of the pairs and within two bits for another 2%,
+so all but one pair in 8500 meet (one in 4500 by equal ones alone). Similarity above 0.8 is missed less still.
+
+At 0.8 two SimHash fingerprints differ in 15% of their bits on average, so a short
+one at a small radius misses such pairs, and no Hamming ball that wide lets a vantage point part unrelated ones (of 512 bits
+they stand 256 apart, give or take 11). They only sift inside a bucket: a wide fingerprint has eight words of 64 bits, made of the
 distinct shingles' hashes. Differing bits estimate a similarity to about 0.04, too little to decide by: up to
 LINK_RADIUS differing bits of 512 (the mean at 0.8 and nearly five standard deviations) two texts are compared by the
 share of shingles that they have in common, counted over their 32-bit hashes, and link from SIMILARITY on.
 
-No Hamming ball that wide lets a vantage point part unrelated fingerprints: they all stand 256 bits
-apart, give or take 11. Candidates therefore come from MinHash bands: texts that share the ROWS least
-hashes of one of BANDS bands meet in a bucket, as all but one in 4500 pairs of similarity 0.8 do. Buckets with
-the same members count once. Only members of shared buckets carry their shingles on. Inside a bucket vantage points do
+Buckets with the same members count once. Only members of shared buckets carry their shingles on. Inside a bucket vantage points do
 prune, as its members are mostly alike: what is similar to the point is one component, and of the rest only
 texts within twice the distance (1 - similarity, a metric) can link to it, by the triangle bound. Buckets
 beyond TILE_POINTS are split by the same rule over tasks: members similar to the bucket's vantage point
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash_dedup
 from .components import components
 from .simhash_dedup import shingle_hashes
 
@@ -40,8 +44,10 @@ WORDS = 8
 LINK_RADIUS, EDGE_RADIUS = 120, 160
 #: Texts of fewer shingles are compared whatever their fingerprints: so few hashes make rough ones.
 FEW = 20
-#: MinHash bands of a text, and hashes that make one band's key.
-BANDS, ROWS = 16, 4
+#: Short fingerprints of a text, least hashes that make one, and bits of each: 40 in all, so that of a billion unrelated texts few come near one.
+BANDS, ROWS, BITS = 16, 4, 10
+#: Differing bits up to which the trees tie short fingerprints of one band.
+TREE_RADIUS = 2
 #: Rows of one number that may be broadcast (some 64 MB).
 ONE_LONG_ROWS = 2_000_000
 #: Rows of one tile, about; larger buckets are split.
@@ -70,15 +76,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band: the least of ROWS reorderings of the hashes, mixed with the band's number. No hashes: no keys."""
+    """One key a band: its number above its fingerprint, BITS bits of the least of each of ROWS reorderings of the hashes. No hashes: no keys."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for s in range(0, len(hashes), 4096):
         least = np.minimum(least, (hashes[s : s + 4096, None] * MULTIPLIERS[None, :]).min(0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
+        key = key << np.uint64(BITS) | mixed(least[r::ROWS]) >> np.uint64(64 - BITS)
     return key
 
 
@@ -177,10 +183,32 @@ def _tile_edges(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def meetings(nodes: DataFrame, radius: int = TREE_RADIUS) -> DataFrame:
+    """nodes(rep, keys), rep distinct -> rep, key, a row once: texts that have a band's fingerprints within the radius share a key.
+
+    A key is the least band key of what a vantage-point tree ties in one shard. Equal fingerprints are one point of the
+    tree, so many copies do not fill a shard; a point that has no other near it is a key by itself where several texts have it.
+    """
+    posts = nodes.select("rep", F.explode("keys").alias("point"))
+    points = common.materialize(posts.groupBy("point").agg(F.count(F.lit(1)).alias("n")), "similar-points")
+    bits = ROWS * BITS
+    tree = points.select(F.shiftright("point", bits).alias("band"), F.col("point").bitwiseAND((1 << bits) - 1).alias("fp"), F.col("point").alias("rep"))
+    tied = simhash_dedup.links(tree, nodes.count(), radius, ("band",)).select(F.explode(F.array("a", "b")).alias("point"), F.col("a").alias("key"), F.lit(1).cast("long").alias("n"))
+    alone = points.where("n > 1").select("point", F.lit(None).cast("long").alias("key"), "n")
+    met = tied.unionByName(alone).groupBy("point").agg(F.max("n").alias("n"), F.collect_set("key").alias("keys"))
+    met = common.materialize(met.select("point", "n", F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array("point")).alias("keys")), "similar-met")
+    many = met.count()
+    if many <= common.BROADCAST_ROWS:
+        posts = posts.join(F.broadcast(met), "point")
+    else:
+        posts = common.join_groups(posts, met, "point", "n", points.agg(F.sum("n")).first()[0])
+    return posts.select("rep", F.explode("keys").alias("key"))
+
+
 def links(nodes: DataFrame, fps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """nodes(fp, rep, keys), fp and rep distinct, fps(uid, shingles) with a row for each rep -> a, b: edges between reps that have the components of all links of texts that share a key."""
+    """nodes(fp, rep, keys), fp and rep distinct, fps(uid, shingles) with a row for each rep -> a, b: edges between reps that have the components of all links of texts that share one of `meetings`."""
     most, edges = TILE_POINTS, "a long, b long"
-    posts = nodes.select("rep", F.explode("keys").alias("key"))
+    posts = common.materialize(meetings(nodes), "similar-posts")
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
     # buckets with the same members are one
     shared = common.materialize(shared.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "pivot"), "similar-keys")

@@ -107,3 +107,44 @@ def test_alike_texts_share_a_band():
         both, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (80, 10, 10))
         missed += not (similar.band_keys(np.concatenate([both, a])) == similar.band_keys(np.concatenate([both, b]))).any()
     assert missed <= 2
+
+
+@pytest.mark.parametrize(("points", "broadcast"), [(40_000, 200_000), (40, 0)])  # one shard a band and a broadcast, several and a shuffle
+def test_short_fingerprints_meet_by_vantage_point_trees(spark, monkeypatch, points, broadcast):
+    monkeypatch.setattr(similar.simhash_dedup, "SHARD_POINTS", points)
+    monkeypatch.setattr(similar.common, "BROADCAST_ROWS", broadcast)
+    rng, bits = np.random.default_rng(8), similar.ROWS * similar.BITS
+    texts = []
+    for _ in range(60):
+        both = rng.integers(0, 2**63, 40)
+        texts += [np.concatenate([both, rng.integers(0, 2**63, k)]).astype(np.uint64) for k in (0, 4, 10, 25)]
+    keys = [similar.band_keys(x) for x in texts]
+    assert [k >> bits for k in keys[0].tolist()] == list(range(similar.BANDS))
+    near = {(i, j) for i in range(len(keys)) for j in range(i) if (np.bitwise_count(keys[i] ^ keys[j]) <= similar.TREE_RADIUS).any()}
+    equal = {(i, j) for i, j in near if (keys[i] == keys[j]).any()}
+    assert len(near) > len(equal) > 100
+    rows = [(k, [*map(int, v)]) for k, v in enumerate(keys)]
+    got = similar.meetings(spark.createDataFrame(rows, "rep long, keys array<long>")).collect()
+    buckets: dict = {}
+    for r in got:
+        buckets.setdefault(r["key"], set()).add(r["rep"])
+    assert len(got) == sum(map(len, buckets.values()))
+    met = {(i, j) for b in buckets.values() for i in b for j in b if j < i}
+    assert near <= met and len(met) <= 1.1 * len(near)
+
+
+def test_texts_without_an_equal_band_are_found_within_the_radius(spark):
+    rng, pairs = random.Random(12), []
+    while len(pairs) < 5:  # alike from 0.5 on, no least hashes of a band all shared, some band's fingerprints within the radius
+        a = [f"w{rng.randint(0, 5000)}" for _ in range(60)]
+        b = list(a)
+        for k in rng.sample(range(60), 3):
+            b[k] = "other"
+        x, y = (np.unique(shingle_hashes([w.encode() for w in t], 5)) for t in (a, b))
+        apart = np.bitwise_count(similar.band_keys(x) ^ similar.band_keys(y))
+        sifted = np.bitwise_count(similar.wide_fingerprint(x) ^ similar.wide_fingerprint(y)).sum() > similar.LINK_RADIUS
+        if not sifted and likeness(" ".join(a), " ".join(b)) >= 0.5 and 0 < apart.min() <= similar.TREE_RADIUS:
+            pairs.append((" ".join(a), " ".join(b)))
+    rows = [(k, t) for k, t in enumerate(t for p in pairs for t in p)]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.5).collect()}
+    assert got == {k: k - k % 2 for k in range(10)}
