@@ -62,7 +62,7 @@ class Axis:
 
 
 class Surface:
-    """The nodes of a box of latents, for a softmax of weight (latent x genes) and bias."""
+    """The nodes of a box of latents, for a softmax of weight (latent x genes) and bias; there are none unless it is `even`."""
 
     def __init__(self, weight: np.ndarray, bias: np.ndarray | None, low: np.ndarray, high: np.ndarray):
         # what all genes share cancels in a softmax, so exponents are taken about their middle
@@ -70,7 +70,7 @@ class Surface:
         self.bias = np.zeros(weight.shape[1]) if bias is None else bias - bias.max()
         reach = (high - low) / 2 * np.abs(self.weight).max(1)
         self.reach = reach
-        self.axes = [Axis(a, b, nodes_for(r)) for a, b, r in zip(low, high, reach, strict=True)]
+        self.axes = [Axis(a, b, nodes_for(r)) for a, b, r in zip(low, high, reach, strict=True)] if self.even else []  # a grid of no use may be huge
         self.size = math.prod(x.size for x in self.axes)
 
     @property
